@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +27,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shipped(spark: SparkSession) -> None:
+    """Sends the package to Python workers that wouldn't find it: those not started in its folder or with it on PYTHONPATH."""
+    root = Path(__file__).resolve().parents[2]
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    context = spark.sparkContext
+    if any(x and Path(x).resolve() == root for x in known) or getattr(context, "_skein_sent", False):
+        return
+    name = os.path.join(tempfile.mkdtemp(), "skein")
+    context.addPyFile(shutil.make_archive(name, "zip", root, "skein"))
+    context._skein_sent = True
+
+
 def tuned(spark: SparkSession) -> SparkSession:
     """Arrow batches small enough for very long texts in a small Python worker."""
+    shipped(spark)
     for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "512"), ("spark.sql.session.timeZone", "UTC")):
         spark.conf.set(key, value)
     return spark
