@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, packing
+from . import minhash, mixing, packing, quality
 from .common import tuned
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -45,3 +45,10 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = quality.train(docs, quality.graded(_read(spark, sf_dir, "labels")), n_grades=3)
+    return quality.classified(docs, model)
