@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, packing, quality
+from . import lm, minhash, mixing, packing, quality
 from .common import tuned
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -52,3 +52,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = quality.train(docs, quality.graded(_read(spark, sf_dir, "labels")), n_grades=3)
     return quality.classified(docs, model)
+
+
+@query
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(_read(spark, sf_dir, "documents").select("doc_id", "text"))
