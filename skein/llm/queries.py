@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lm, minhash, mixing, packing, pieces, quality
+from . import chat, lm, minhash, mixing, packing, pieces, quality, rabitq
 from .common import tuned
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -96,3 +96,8 @@ SELECT conv_id, count(*) AS n_turns,
         AND bool_or(place = many AND role = 'assistant') AS valid
 FROM marked GROUP BY conv_id
 """
+
+
+@query
+def op3_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rabitq.near_vectors(_read(spark, sf_dir, "embeddings"))
