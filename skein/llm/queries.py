@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, lm, minhash, mixing, packing, pieces, quality, rabitq
+from . import ann, chat, licenses, lm, minhash, mixing, packing, pieces, quality, rabitq
 from .common import tuned
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -106,3 +106,8 @@ def op3_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(_read(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
+@query
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(_read(spark, sf_dir, "documents"))
