@@ -231,3 +231,27 @@ def eligible_files(spark: SparkSession, sf: str) -> DataFrame:
     files = d.select(draft.alias("relpath")).unionByName(d.select(other.alias("relpath"))).distinct()
     manifest = spark.range(30).select(F.concat(F.lit("draft-"), "id").alias("draft"), F.when(F.col("id") % 4 == 0, "rfc").otherwise("active").alias("state"))
     return C.eligible(files, manifest)
+
+
+@query("SELECT lang AS kind, count(*) AS files, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1")
+def file_inventory(spark: SparkSession, sf: str) -> DataFrame:
+    from skein.sources.versions import inventory
+
+    d = table(spark, sf, "documents")
+    return inventory(d.select(F.concat("lang", F.lit("/"), "doc_id").alias("relpath"), F.col("n_chars").alias("chars")))
+
+
+@query("SELECT conv_id, string_agg(coalesce(text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS text, count(*) AS n FROM conversations GROUP BY 1")
+def thread_bundles(spark: SparkSession, sf: str) -> DataFrame:
+    from skein.sources.versions import bundles
+
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    return bundles(c, ["conv_id"], ["turn"])
+
+
+@query("""WITH v AS (SELECT o_custkey AS corpus, o_orderkey AS version, o_orderkey % 11 = 0 AS current FROM orders) SELECT corpus, version, current FROM v QUALIFY row_number() OVER (PARTITION BY corpus ORDER BY current DESC, version DESC) <= 2""")
+def version_retention(spark: SparkSession, sf: str) -> DataFrame:
+    from skein.sources.versions import retained
+
+    o = table(spark, sf, "orders")
+    return retained(o.select(F.col("o_custkey").alias("corpus"), F.col("o_orderkey").alias("version"), (F.col("o_orderkey") % 11 == 0).alias("current")), 2)
