@@ -232,13 +232,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
-    """`docs` with one row of each group of near duplicates: a row of the smallest doc_id."""
+    """`docs` (all columns) with one row of each group of near duplicates: one of the smallest doc_id. Rows without an id go."""
     found = written(near_duplicates(docs, **how).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "minhash-kept")
     gone, twice = found.agg(F.count_if(~F.col("kept")), F.count_if(F.col("n") > 1)).first()
-    drop = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_id"))
-    out = docs.join(F.broadcast(drop) if (gone or 0) <= BROADCAST_ROWS else drop, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    drop = found.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone_id"))
+    out = docs.join(F.broadcast(drop) if (gone or 0) <= BROADCAST_ROWS else drop, F.col("doc_id").eqNullSafe(F.col("__gone_id")), "left_anti")
     if twice:
-        many = found.filter("n > 1").select(F.col("doc_id").alias("_id"))
-        same = F.col("doc_id").eqNullSafe(F.col("_id"))
+        many = found.filter("n > 1").select(F.col("doc_id").alias("__gone_id"))
+        same = F.col("doc_id").eqNullSafe(F.col("__gone_id"))
         out = out.join(many, same, "left_anti").unionByName(out.join(many, same, "left_semi").dropDuplicates(["doc_id"]))
     return out

@@ -138,14 +138,14 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     also those without words.
     """
     cols = docs.columns
-    docs = docs.withColumn("_size", word_count(F.col("text"))).withColumn("_text", F.xxhash64("text"))
-    docs = docs.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy("_text")))
-    got = mix(docs.select("doc_id", "source", F.col("_size").alias("size")), **how)
-    got = got.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("taken")))
-    got = got.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_got"), F.col("_n").alias("_m"), "taken")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_got")) & (F.col("_n") == F.col("_m"))
-    rows = docs.join(got, same).filter("taken > 0")
-    turns = F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("_size")).cast("int"))
-    rows = rows.withColumn("_turn", F.explode(turns)).withColumn("_words", F.least(F.col("_size"), F.col("taken") - (F.col("_turn") - 1) * F.col("_size")).cast("int"))
-    lead = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.greatest(F.col("_words"), F.lit(1))), " ")
-    return rows.withColumn("text", F.when(F.col("_words") < F.col("_size"), lead).otherwise(F.col("text"))).withColumn("n_chars", F.length("text").cast("long")).select(*cols)
+    docs = docs.withColumn("__mix_size", word_count(F.col("text"))).withColumn("__mix_text", F.xxhash64("text"))
+    docs = docs.withColumn("__mix_n", F.row_number().over(Window.partitionBy("doc_id", "source", "__mix_size").orderBy("__mix_text")))
+    got = mix(docs.select("doc_id", "source", F.col("__mix_size").alias("size")), **how)
+    got = got.withColumn("__mix_n", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("taken")))
+    got = got.select(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("size").alias("__mix_got"), F.col("__mix_n").alias("__mix_m"), F.col("taken").alias("__mix_taken"))
+    same = F.col("doc_id").eqNullSafe(F.col("__mix_id")) & F.col("source").eqNullSafe(F.col("__mix_source")) & (F.col("__mix_size") == F.col("__mix_got")) & (F.col("__mix_n") == F.col("__mix_m"))
+    rows = docs.join(got, same).filter("__mix_taken > 0")
+    turns = F.sequence(F.lit(1), F.ceil(F.col("__mix_taken") / F.col("__mix_size")).cast("int"))
+    rows = rows.withColumn("__mix_turn", F.explode(turns)).withColumn("__mix_words", F.least(F.col("__mix_size"), F.col("__mix_taken") - (F.col("__mix_turn") - 1) * F.col("__mix_size")).cast("int"))
+    lead = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.greatest(F.col("__mix_words"), F.lit(1))), " ")
+    return rows.withColumn("text", F.when(F.col("__mix_words") < F.col("__mix_size"), lead).otherwise(F.col("text"))).withColumn("n_chars", F.length("text").cast("long")).select(*cols)

@@ -7,6 +7,7 @@ Weights are kept under the features' hashes, so a rare word never shares the wei
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ from .words import SPACE, chunks, distinct, mixed, split
 
 #: Bounds of the fit: labelled texts (those of the least hash of doc_id), features, texts that a feature must be in.
 SAMPLE, MAX_FEATURES, MIN_TEXTS = 20_000, 200_000, 5
-EPOCHS, STEP, PULL, BATCH = 12, 0.15, 2e-5, 128
+STEPS, STEP, PULL, BATCH = 2000, 0.15, 3e-4, 128
 #: A document is kept if the chance of the top grade is at least this.
 KEEP = 0.5
 
@@ -84,7 +85,7 @@ def fit(features: list[np.ndarray], grades: np.ndarray, n_grades: int) -> Ordina
     bars = -np.log(np.clip(share, 0.01, 0.99) / np.clip(1 - share, 0.01, 0.99)) + 1e-3 * np.arange(n_grades - 1)
     w, seen, rng = np.zeros(len(keys)), np.full(len(keys), 1e-6), np.random.default_rng(11)
     bar_seen = np.full(n_grades - 1, 1e-6)
-    for _ in range(EPOCHS):
+    for _ in range(math.ceil(STEPS * BATCH / len(rows)) if rows else 0):
         order = rng.permutation(len(rows))
         for low in range(0, len(order), BATCH):
             pick = order[low : low + BATCH]
@@ -155,4 +156,4 @@ def classified(docs: DataFrame, model: OrdinalModel, keep: float = KEEP) -> Data
 
 def selected(docs: DataFrame, model: OrdinalModel, keep: float = KEEP) -> DataFrame:
     """The rows of `docs`, all columns, that are kept."""
-    return docs.withColumn("_rated", rated(F.col("text"), model)).filter(F.col("_rated.p_top") >= keep).drop("_rated")
+    return docs.withColumn("__rated", rated(F.col("text"), model)).filter(F.col("__rated.p_top") >= keep).drop("__rated")
