@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
+from skein.scratch import written
 
 #: Longest silence that a subject bridges, matches and replies of a topic.
 MERGE_DAYS, TOPIC_CAP = 60, 60
@@ -28,20 +29,21 @@ def with_parents(messages: DataFrame) -> DataFrame:
     return out.withColumn("parent_id", F.coalesce(F.when(F.col("_direct") != F.col("message_id"), F.col("_direct")), F.col("_last"))).drop("_last", "_direct")
 
 
-def descendants(edges: DataFrame, roots: DataFrame, most: int = 10_000) -> DataFrame:
+def descendants(edges: DataFrame, roots: DataFrame, most: int = 10_000, compact: int = 16) -> DataFrame:
     """Root, node, depth of everything below the roots, each once at its least depth. edges: parent, child.
 
-    Rounds of joins until nothing new is found, so cycles end and chains may be deep.
+    Rounds of joins until nothing new is found, so cycles end and chains may be deep. Each round is a table of its own,
+    merged into one now and then, so plans stay small.
     """
-    found = roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth"))
-    front, depth = found, 0
-    while depth < most:
-        depth += 1
+    found = front = written(roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")), "reached")
+    for depth in range(1, most + 1):
         step = front.join(edges, front["node"] == edges["parent"]).select("root", F.col("child").alias("node")).distinct()
-        front = step.join(found.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)).persist()
+        front = written(step.join(found.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)), "reached")
         if front.isEmpty():
             break
         found = found.unionByName(front)
+        if depth % compact == 0:
+            found = written(found, "reached")
     return found.filter("depth > 0")
 
 
