@@ -5,26 +5,13 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
-import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-#: Used only where the session names no shared folder, as in local tests.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+from skein.scratch import scratch_dir, written
 
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`, shared by all executors."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: cuts lineage, survives the loss of executors, and is computed once."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["parts", "scratch_dir", "shipped", "tuned", "written"]
 
 
 def shipped(spark: SparkSession) -> None:
