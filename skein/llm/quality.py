@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
 from .words import SPACE, chunks, distinct, mixed, split
 
 #: Bounds of the fit: labelled texts (those of the least hash of doc_id), features, texts that a feature must be in.
@@ -69,18 +70,8 @@ def features(column: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]
         yield rows, *distinct(values, np.concatenate([[0], np.cumsum(n + m + kinds.shape[1])]))
 
 
-def fit(features: list[np.ndarray], grades: np.ndarray, n_grades: int) -> OrdinalModel:
-    """Adaptive-gradient descent over texts in a fixed shuffled order; deterministic."""
-    everything = np.concatenate(features) if features else np.zeros(0, np.uint64)
-    keys, texts = np.unique(everything, return_counts=True)
-    often = texts >= min(MIN_TEXTS, max(1, len(features) // 20))
-    if often.sum() > MAX_FEATURES:
-        often &= texts >= np.sort(texts)[-MAX_FEATURES]
-    keys = keys[often]
-    rows = []
-    for x in features:
-        at = np.minimum(np.searchsorted(keys, x), max(0, len(keys) - 1))
-        rows.append(at[keys[at] == x] if len(keys) else at[:0])
+def fit(rows: list[np.ndarray], grades: np.ndarray, keys: np.ndarray, n_grades: int) -> OrdinalModel:
+    """Adaptive-gradient descent over texts in a fixed shuffled order; deterministic. rows: places of a text's features in `keys`."""
     share = np.array([(grades >= k).mean() if len(grades) else 0.5 for k in range(1, n_grades)])
     bars = -np.log(np.clip(share, 0.01, 0.99) / np.clip(1 - share, 0.01, 0.99)) + 1e-3 * np.arange(n_grades - 1)
     w, seen, rng = np.zeros(len(keys)), np.full(len(keys), 1e-6), np.random.default_rng(11)
@@ -107,7 +98,10 @@ def fit(features: list[np.ndarray], grades: np.ndarray, n_grades: int) -> Ordina
 
 
 def train(docs: DataFrame, ratings: DataFrame, n_grades: int, sample: int = SAMPLE) -> OrdinalModel:
-    """ratings: doc_id, grade (0 to n_grades - 1; null: left out). Fits on at most `sample` rated documents."""
+    """ratings: doc_id, grade (0 to n_grades - 1; null: left out). Fits on at most `sample` rated documents.
+
+    Features in few of these texts are left out before anything reaches the driver.
+    """
     rated = ratings.filter("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     rated = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("_id"), "grade")
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(rated), F.col("doc_id") == F.col("_id"))
@@ -118,12 +112,24 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int, sample: int = SAMP
                 got = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[rows], batch.column(1)[rows], got], names=["doc_id", "grade", "features"])
 
-    got = rows.select("doc_id", "grade", "text").mapInArrow(run, "doc_id long, grade int, features array<long>").toArrow()
+    found = written(rows.select("doc_id", "grade", "text").mapInArrow(run, "doc_id long, grade int, features array<long>"), "quality-features")
+    n = found.count()
+    often = found.select(F.explode("features").alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= min(MIN_TEXTS, max(1, n // 20)))
+    often = often.orderBy(F.desc("n"), "key").limit(MAX_FEATURES).select("key").toArrow()
+    keys = np.sort(often.column("key").to_numpy().view(np.uint64))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = []
+            for x in batch.column(2):
+                own = x.values.to_numpy().view(np.uint64)
+                at = np.minimum(np.searchsorted(keys, own), max(0, len(keys) - 1))
+                lists.append(at[keys[at] == own].astype(np.int32).tobytes() if len(keys) else b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.binary())], names=["doc_id", "grade", "places"])
+
+    got = found.mapInArrow(placed, "doc_id long, grade int, places binary").toArrow()
     got = got.take(np.argsort(got.column("doc_id").to_numpy(), kind="stable"))
-    flat = got.column("features").combine_chunks()
-    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
-    at, values = flat.offsets.to_numpy(), flat.values.to_numpy().view(np.uint64)
-    return fit([values[a:b] for a, b in zip(at, at[1:], strict=False)], got.column("grade").to_numpy().astype(np.int64), n_grades)
+    return fit([np.frombuffer(x.as_py(), np.int32) for x in got.column("places")], got.column("grade").to_numpy().astype(np.int64), keys, n_grades)
 
 
 def rated(text: Column, model: OrdinalModel) -> Column:
