@@ -22,6 +22,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 4096
 #: Rows of one bucket of documents, slots of one chunk, cells that the unit interval is cut into for the join.
 BUCKET_ROWS, CHUNK_SLOTS, CELLS = 20_000, 16_384, 1024
+#: Rows (about 60 bytes each) up to which the mix is broadcast to the texts.
+BROADCAST_ROWS = 500_000
 
 
 def word_count(text: Column) -> Column:
@@ -134,17 +136,24 @@ def mix(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: `docs` (doc_id, text, source, ...) with a row for each time a document is taken, the last one cut to the words taken.
 
-    Rows with the same doc_id, source and text are told apart by number. Documents of which nothing is taken go,
-    also those without words.
+    Rows with the same doc_id, source and size are told apart by number. Documents of which nothing is taken go, also
+    those without words. The texts move only where the mix is too large to be broadcast or such rows exist.
     """
     cols = docs.columns
-    docs = docs.withColumn("__mix_size", word_count(F.col("text"))).withColumn("__mix_text", F.xxhash64("text"))
-    docs = docs.withColumn("__mix_n", F.row_number().over(Window.partitionBy("doc_id", "source", "__mix_size").orderBy("__mix_text")))
-    got = mix(docs.select("doc_id", "source", F.col("__mix_size").alias("size")), **how)
-    got = got.withColumn("__mix_n", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("taken")))
-    got = got.select(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("size").alias("__mix_got"), F.col("__mix_n").alias("__mix_m"), F.col("taken").alias("__mix_taken"))
-    same = F.col("doc_id").eqNullSafe(F.col("__mix_id")) & F.col("source").eqNullSafe(F.col("__mix_source")) & (F.col("__mix_size") == F.col("__mix_got")) & (F.col("__mix_n") == F.col("__mix_m"))
-    rows = docs.join(got, same).filter("__mix_taken > 0")
+    docs = docs.withColumn("__mix_size", word_count(F.col("text")))
+    sizes = written(docs.select("doc_id", "source", F.col("__mix_size").alias("size")), "mix-words")
+    same = ["doc_id", "source", "size"]
+    rows, most = sizes.groupBy(*same).agg(F.count("*").alias("n")).agg(F.sum("n"), F.max("n")).first()
+    got = mix(sizes, **how)
+    if (most or 1) > 1:
+        docs = docs.withColumn("__mix_n", F.row_number().over(Window.partitionBy("doc_id", "source", "__mix_size").orderBy(F.xxhash64("text"))))
+        got = got.withColumn("n", F.row_number().over(Window.partitionBy(*same).orderBy("taken")))
+    else:
+        docs, got = docs.withColumn("__mix_n", F.lit(1)), got.withColumn("n", F.lit(1))
+    got = written(got.filter("taken > 0").select(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("size").alias("__mix_got"), F.col("n").alias("__mix_m"), F.col("taken").alias("__mix_taken")), "mix-taken")
+    got = F.broadcast(got) if (rows or 0) <= BROADCAST_ROWS else got
+    match = F.col("doc_id").eqNullSafe(F.col("__mix_id")) & F.col("source").eqNullSafe(F.col("__mix_source")) & (F.col("__mix_size") == F.col("__mix_got")) & (F.col("__mix_n") == F.col("__mix_m"))
+    rows = docs.join(got, match)
     turns = F.sequence(F.lit(1), F.ceil(F.col("__mix_taken") / F.col("__mix_size")).cast("int"))
     rows = rows.withColumn("__mix_turn", F.explode(turns)).withColumn("__mix_words", F.least(F.col("__mix_size"), F.col("__mix_taken") - (F.col("__mix_turn") - 1) * F.col("__mix_size")).cast("int"))
     lead = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.greatest(F.col("__mix_words"), F.lit(1))), " ")
