@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 
 #: Stands for the end of a word in the fast encoder; no UTF-8 text holds this byte.
 WORD_END = b"\xff"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 LETTERS = re.compile(rb"[a-z]+")
 #: Words of printable ASCII and Latin letters, which both libraries treat alike.
 PLAIN = re.compile("[\x21-\x7e¡-ɏ]+")
