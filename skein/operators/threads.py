@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,14 +31,18 @@ def with_parents(messages: DataFrame) -> DataFrame:
     return out.withColumn("parent_id", F.coalesce(F.when(F.col("_direct") != F.col("message_id"), F.col("_direct")), F.col("_last"))).drop("_last", "_direct")
 
 
-def descendants(edges: DataFrame, roots: DataFrame, most: int = 10_000, compact: int = 16) -> DataFrame:
+def descendants(edges: DataFrame, roots: DataFrame, compact: int = 16) -> DataFrame:
     """Root, node, depth of everything below the roots, each once at its least depth. edges: parent, child.
 
-    Rounds of joins until nothing new is found, so cycles end and chains may be deep. Each round is a table of its own,
-    merged into one now and then, so plans stay small.
+    Rounds of joins until nothing new is found, so cycles end and chains may be of any depth. Where no node has two
+    parents the steps double from round to round; else each round is one step. Each round is a table of its own, merged
+    into one now and then, so plans stay small.
     """
-    found = front = written(roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")), "reached")
-    for depth in range(1, most + 1):
+    edges = written(edges.select("parent", "child").distinct(), "edges")
+    found = front = written(roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")).distinct(), "reached")
+    if edges.groupBy("child").count().filter("count > 1").isEmpty():
+        return _doubled(edges, found)
+    for depth in count(1):
         step = front.join(edges, front["node"] == edges["parent"]).select("root", F.col("child").alias("node")).distinct()
         front = written(step.join(found.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)), "reached")
         if front.isEmpty():
@@ -47,6 +53,19 @@ def descendants(edges: DataFrame, roots: DataFrame, most: int = 10_000, compact:
     return found.filter("depth > 0")
 
 
+def _doubled(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """`descendants` where a node has one parent: so it has one ancestor 2, 4, 8, ... steps up, and those links stay as few as the edges."""
+    jumps, length = edges, 1
+    while True:
+        step = found.join(jumps, found["node"] == jumps["parent"]).groupBy("root", F.col("child").alias("node")).agg((F.min("depth") + F.lit(length)).alias("depth"))
+        new = written(step.join(found.select("root", "node"), ["root", "node"], "left_anti"), "reached")
+        if new.isEmpty():
+            return found.filter("depth > 0")
+        found = written(found.unionByName(new), "reached")
+        below = jumps.select(F.col("parent").alias("_via"), F.col("child").alias("_child"))
+        jumps, length = written(jumps.join(below, F.col("child") == F.col("_via")).select("parent", F.col("_child").alias("child")), "jumps"), length * 2
+
+
 def subject_clusters(roots: DataFrame) -> DataFrame:
     """T4: roots of one subject joined to conversations. roots: corpus, key, id, subject, date (timestamp or null), last.
 

@@ -105,6 +105,21 @@ def test_descendants_stop_at_cycles(spark):
     assert got == {(2, 1), (3, 2), (4, 2)}
 
 
+def test_descendants_have_no_bound_on_rounds(spark, monkeypatch):
+    monkeypatch.setattr(threads, "range", lambda *a: range(a[0], 4), raising=False)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 9)] + [(1, 3), (8, 1)], "parent long, child long")
+    got = {(r.node, r.depth) for r in threads.descendants(edges, spark.createDataFrame([(1,)], "node long"), compact=3).collect()}
+    assert got == {(2, 1)} | {(i, i - 2) for i in range(3, 10)}
+
+
+def test_descendants_of_deep_chains_and_nested_roots(spark):
+    edges = spark.range(1, 10_102).selectExpr("id AS parent", "id + 1 AS child").union(spark.createDataFrame([(-1, -2), (-2, -3), (-3, -1), (-3, -4), (-3, -4)], "parent long, child long"))
+    roots = spark.createDataFrame([(1,), (10_095,), (-1,)], "node long")
+    got = {(r.root, r.node): r.depth for r in threads.descendants(edges, roots).collect()}
+    want = {(r, n): n - r for r in (1, 10_095) for n in range(r + 1, 10_103)}
+    assert got == want | {(-1, -2): 1, (-1, -3): 2, (-1, -4): 3}
+
+
 def test_ingest_order(spark):
     rows = [("c", 1, "a@x", "jane doe"), ("c", 2, "b@x", "jane doe"), ("c", 3, "b@x", "j d"), ("c", 4, "c@x", "")]
     got = {r.email: r.person for r in people.ingested(spark.createDataFrame(rows, "corpus string, seq long, email string, key string")).collect()}
