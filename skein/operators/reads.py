@@ -16,6 +16,14 @@ def lines(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select("*", F.posexplode(parts).alias("_pos", "line_text")).withColumn("line", F.col("_pos") + 1).drop("_pos")
 
 
+def line_chunks(files: DataFrame, size: int) -> DataFrame:
+    """file, chunk_idx, start_line, end_line: chunks of `size` lines, as many as each file's own lines need."""
+    count = F.size(F.split("text", "\n", -1)) - F.when(F.col("text").endswith("\n") | (F.col("text") == ""), 1).otherwise(0)
+    last = F.expr(f"(_lines - 1) div {size}")
+    c = files.select("file", count.cast("long").alias("_lines")).filter("_lines > 0").select("file", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("chunk_idx"))
+    return c.withColumn("start_line", F.col("chunk_idx") * size + 1).withColumn("end_line", F.col("chunk_idx") * size + size)
+
+
 def outline(chunks: DataFrame) -> DataFrame:
     """Sections with their first chunk, its title and the characters of all."""
     return chunks.groupBy("file", "section").agg(F.min_by("title", "chunk_idx").alias("title"), F.min("chunk_idx").alias("first"), F.sum(F.length("text")).alias("chars"))

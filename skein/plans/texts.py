@@ -196,8 +196,7 @@ def grep_line_to_chunk(spark: SparkSession, sf: str) -> DataFrame:
     f = _files(spark, sf)
     pattern = R.literal("license")
     hits = R.lines(f).filter(F.col("line_text").rlike(pattern)).select("file", "line")
-    c = f.select("file", F.explode(F.expr("sequence(0L, 399L)")).alias("chunk_idx")).withColumn("start_line", F.col("chunk_idx") * 5 + 1).withColumn("end_line", F.col("chunk_idx") * 5 + 5)
-    return R.line_to_chunk(hits, c).select("file", "line", "chunk_idx")
+    return R.line_to_chunk(hits, R.line_chunks(f, 5)).select("file", "line", "chunk_idx")
 
 
 @query(f"""{GREP}, near AS (SELECT DISTINCT h.doc_id, h.line + d AS line FROM hits h, range(-1, 2) r(d)) SELECT l.doc_id AS file, l.line FROM lines l SEMI JOIN near USING (doc_id, line)""")

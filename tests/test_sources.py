@@ -130,3 +130,14 @@ def test_logins(spark):
     p = spark.createDataFrame([(1, "jane@x.org", "jane doe"), (2, "bob@x.org", "bob roe")], "person long, email string, key string")
     a = spark.createDataFrame([("jane", None, ""), ("zz", "BOB@x.org", ""), ("yy", None, "jane doe"), ("none", None, "no one")], "login string, email string, key string")
     assert {r.login: r.person for r in people.login_links(p, a).collect()} == {"jane": 1, "zz": 2, "yy": 1, "none": None}
+
+
+def test_grep_line_to_chunk_beyond_400_chunks(spark, tmp_path):
+    from skein import catalogue
+
+    text = "\n".join("a license" if i in (1, 5, 6, 2000, 2001, 4321) else "other" for i in range(1, 4322))
+    rows = [(1, text), (2, text + "\n"), (3, ""), (4, "license"), (5, None), (6, "\n\nlicense\n\n")]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in catalogue.QUERIES["grep_line_to_chunk"](spark, str(tmp_path)).select("file", "line", "chunk_idx").collect())
+    want = [(i, k, (k - 1) // 5) for i, t in rows for k, line in enumerate((t or "").split("\n"), 1) if "license" in line]
+    assert got == sorted(want)
