@@ -25,7 +25,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document stays of each group linked by similarities of 0.8 or more on five-word shingles."""
     tuned(spark)
-    return minhash.deduplicated(docs.select(*COLUMNS), size=5, percent=80)
+    return minhash.distinct_rows(docs.select(*COLUMNS), size=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

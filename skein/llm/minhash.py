@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -69,12 +69,16 @@ def text_sets(column: pa.Array, size: int) -> Iterator[tuple[slice, np.ndarray,
         yield rows, *distinct(*shingles(split(body, at), size))
 
 
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def profiled(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, cls (key of the set; null if empty), bands (array of long)."""
+    """doc_id, th (hash of the text), n_shingles, cls (key of the set; null if empty), bands (array of long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, values, first in text_sets(batch.column(1), size):
+            for rows, values, first in text_sets(batch.column(2), size):
                 n = np.diff(first)
                 some = np.flatnonzero(n)
                 cls, bands = np.zeros(len(n), np.int64), np.zeros((len(n), 0), np.int64)
@@ -85,12 +89,12 @@ def profiled(docs: DataFrame, size: int) -> DataFrame:
                     keys = band_keys(signatures(values, bounds)).view(np.int64).ravel()
                 at = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[rows], pa.array(n.astype(np.int64)), pa.array(cls, mask=n == 0), pa.ListArray.from_arrays(pa.array(at), pa.array(keys))],
-                    names=["doc_id", "n_shingles", "cls", "bands"],
+                    [batch.column(0)[rows], batch.column(1)[rows], pa.array(n.astype(np.int64)), pa.array(cls, mask=n == 0), pa.ListArray.from_arrays(pa.array(at), pa.array(keys))],
+                    names=["doc_id", "th", "n_shingles", "cls", "bands"],
                 )
 
-    text = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return text.mapInArrow(run, "doc_id long, n_shingles long, cls long, bands array<long>")
+    text = docs.select("doc_id", text_hash().alias("th"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return text.mapInArrow(run, "doc_id long, th long, n_shingles long, cls long, bands array<long>")
 
 
 def least_matches(threshold: float) -> np.ndarray:
@@ -190,15 +194,8 @@ def confirmed_links(table: pa.Table, size: int, percent: int) -> pa.Table:
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """docs: doc_id long, text; other columns are not read. Links texts with 100 * intersection >= percent * union.
-
-    Returns doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (doc_id = component_id), one
-    row an input row. Words are lower-cased (A-Z) runs of bytes outside 0x20 and 0x09-0x0D; a text with fewer than
-    `size` words is one shingle. A null or empty text has no shingles and links with nothing. Rows with a null doc_id
-    link like others, their component_id is null if no row of the group has an id, and they are not kept. Repeated
-    rows get equal results. An empty table gives an empty result.
-    """
+def grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """A table of doc_id, th (hash of the text), n_shingles, _group (of linked texts; null without shingles), one row an input row."""
     base = written(profiled(docs, size), "minhash-profiles")
     reps = base.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"))
     reps = written(reps, "minhash-classes")
@@ -225,14 +222,29 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     else:
         groups = near
     named = base.drop("bands").join(groups.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("_group", F.coalesce("component", "cls"))
-    named = written(named.drop("component", "cls"), "minhash-groups")
+    return written(named.drop("component", "cls"), "minhash-groups")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """docs: doc_id long, text; other columns are not read. Links texts with 100 * intersection >= percent * union.
+
+    Returns doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (doc_id = component_id), one
+    row an input row. Words are lower-cased (A-Z) runs of bytes outside 0x20 and 0x09-0x0D; a text with fewer than
+    `size` words is one shingle. A null or empty text has no shingles and links with nothing. Rows with a null doc_id
+    link like others, their component_id is null if no row of the group has an id, and they are not kept. Repeated
+    rows get equal results. An empty table gives an empty result.
+    """
+    named = grouped(docs, size, percent)
     least = named.filter("_group is not null").groupBy("_group").agg(F.min("doc_id").alias("_least"))
     out = named.join(least, "_group", "left").withColumn("component_id", F.when(F.col("_group").isNull(), F.col("doc_id")).otherwise(F.col("_least")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
-    """`docs` (all columns) with one row of each group of near duplicates: one of the smallest doc_id. Rows without an id go."""
+    """`docs` (all columns) with one row an id of each group of near duplicates: one of the smallest doc_id. Rows without an id go.
+
+    Only for tables whose ids are known and unique; `distinct_rows` decides by row.
+    """
     found = written(near_duplicates(docs, **how).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "minhash-kept")
     gone, twice = found.agg(F.count_if(~F.col("kept")), F.count_if(F.col("n") > 1)).first()
     drop = found.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone_id"))
@@ -242,3 +254,24 @@ def deduplicated(docs: DataFrame, **how) -> DataFrame:
         same = F.col("doc_id").eqNullSafe(F.col("__gone_id"))
         out = out.join(many, same, "left_anti").unionByName(out.join(many, same, "left_semi").dropDuplicates(["doc_id"]))
     return out
+
+
+def distinct_rows(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """`docs` (all columns) with one row of each group of near duplicates: the first by doc_id (nulls last), then by a hash of the text.
+
+    The choice is by row, so ids may be null or shared by other texts. Rows without shingles link with nothing and stay.
+    """
+    rows = grouped(docs, size, percent).filter("_group is not null").withColumn("_place", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th"))
+    first = rows.groupBy("_group").agg(F.min("_place").alias("_first"))
+    texts = rows.join(first, "_group").groupBy("doc_id", "th").agg(F.bool_or(F.col("_place") == F.col("_first")).alias("kept"), F.count("*").alias("n"))
+    texts = written(texts.select(F.col("doc_id").alias("__text_id"), F.col("th").alias("__text_key"), "kept", "n"), "minhash-kept")
+    gone, repeats = texts.agg(F.count_if(~F.col("kept")), F.count_if(F.col("kept") & (F.col("n") > 1))).first()
+    same = F.col("doc_id").eqNullSafe(F.col("__text_id")) & (F.col("__text_hash") == F.col("__text_key"))
+    drop = texts.filter("not kept").select("__text_id", "__text_key")
+    out = docs.withColumn("__text_hash", text_hash())
+    out = out.join(F.broadcast(drop) if (gone or 0) <= BROADCAST_ROWS else drop, same, "left_anti")
+    if repeats:
+        many = texts.filter("kept and n > 1").select("__text_id", "__text_key")
+        many = F.broadcast(many) if repeats <= BROADCAST_ROWS else many
+        out = out.join(many, same, "left_anti").unionByName(out.join(many, same, "left_semi").dropDuplicates(["doc_id", "__text_hash"]))
+    return out.drop("__text_hash")

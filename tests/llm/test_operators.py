@@ -120,6 +120,21 @@ def test_deduplicated_keeps_one_a_group_and_all_columns(docs):
     assert len(ids) == len(set(ids)) and 1 in ids and 3 not in ids
 
 
+def test_distinct_rows_lose_no_unique_document(spark, docs, awkward):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(4)
+    a, b, c, d, e = (" ".join(rng.choice(VOCABULARY, 60)) for _ in range(5))
+    rows = [(1, a), (2, a), (2, b), (None, a), (None, c), (None, c), (None, d), (5, d), (7, e), (7, e), (8, ""), (8, ""), (None, None), (None, " ")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = Counter([(1, a), (2, b), (None, c), (5, d), (7, e), (8, ""), (8, ""), (None, None), (None, " ")])
+    assert Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()) == want
+    out = minhash.distinct_rows(docs)
+    assert out.columns == docs.columns
+    assert Counter(r.doc_id for r in out.collect()) == Counter(i for i, *_ in awkward if i not in (2, 3, 8, 11)) - Counter([13])
+    assert minhash.distinct_rows(df.limit(0)).count() == 0
+
+
 def test_bayes_bars_keep_true_pairs():
     bars = minhash.least_matches(0.8)
     for n, bar in zip(range(minhash.BATCH, minhash.BANDS * minhash.ROWS + 1, minhash.BATCH), bars, strict=True):
