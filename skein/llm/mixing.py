@@ -101,60 +101,76 @@ def shuffled_stream(sizes: DataFrame, n_docs: int) -> DataFrame:
     return rows.withColumn("start", (F.col("_inside") + F.col("_before")).cast("long")).drop("_h", "_bucket", "_inside", "_before")
 
 
-def mix(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """How many words the mix takes of each document.
+def spans(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The spans that the mix's slots take of the documents, the shuffled streams (sid, doc_id, size, start), and the sources by sid."""
+    sizes = written(sizes.select("doc_id", "source", F.col("size").cast("long").alias("size")), "mix-sizes")
+    sources = written(source_targets(sizes, weights, share, most), "mix-targets")
+    key = sources.select("sid", F.col("source").alias("_source"), "source_size", "target")
+    rows = sizes.join(key.select("sid", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("source", "_source")
+    stream = written(shuffled_stream(rows, sizes.count()), "mix-streams")
+    cut = F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words))
+    pieces = stream.filter("size > 0").select("sid", "doc_id", "size", "start", F.explode(cut).alias("block"))
+    base = F.col("block") * block_words
+    low, high = F.greatest(F.col("start"), base), F.least(F.col("start") + F.col("size"), base + F.col("length"))
+    got = pieces.join(schedule(sources, block_words), ["sid", "block"]).filter(low < high)
+    got = got.select("slot", "sid", "pass", "block", (low - base).alias("place"), "doc_id", "size", "start", (low - F.col("start")).alias("first"), (high - low).alias("words"))
+    return got, stream, key
+
+
+def blocks(sizes: DataFrame, **how) -> DataFrame:
+    """The mix in the order of its slots, as spans of documents.
+
+    sizes: as in `mix`, which has the parameters too. Returns slot, source, pass, block, place, doc_id, size, start,
+    first, words: slot `slot` takes block `block` of the source's shuffled stream, and from word `place` of the block
+    on stand `words` words of the document, from its word `first` on (all from 0). start is the document's place in the
+    stream and tells repeated rows apart. Slots that no source needs are left out; each other has block_words words,
+    but for the last block of a stream and the slot in which a source's target is reached. Sorted by slot and place.
+    """
+    got, _, key = spans(sizes, **how)
+    got = written(got, "mix-spans").join(key.select("sid", F.col("_source").alias("source")), "sid")
+    return got.select("slot", "source", "pass", "block", "place", "doc_id", "size", "start", "first", "words").orderBy("slot", "place")
+
 
-    sizes: doc_id, source, size (words, not null); other columns are dropped. Returns doc_id, source, size,
-    source_size, target, taken, one row an input row. A document is taken whole in each pass over its source, but for
-    the block in which the source's target is reached: there a leading part of it. So taken <= most * size.
+def mix(sizes: DataFrame, **how) -> DataFrame:
+    """How many words the mix takes of each document: the sums of the spans of `blocks`.
+
+    sizes: doc_id, source, size (words, not null); other columns are dropped. how: weights (3, 1, 2), share 1.5, most 2
+    and block_words 4096. Returns doc_id, source, size, source_size, target, taken, one row an input row. A document is
+    taken whole in each pass over its source, but for the block in which the source's target is reached: there a
+    leading part of it. So taken <= most * size.
 
     Null ids and sources are values like others (sources: last). Repeated rows are documents of their own. A size of
     0 gives taken 0; an empty table gives an empty result. The order depends on doc_id and size only: reruns agree.
     """
-    sizes = written(sizes.select("doc_id", "source", F.col("size").cast("long").alias("size")), "mix-sizes")
-    sources = written(source_targets(sizes, weights, share, most), "mix-targets")
-    key = sources.select("sid", F.col("source").alias("_source"), "source_size", "target")
-    rows = sizes.join(key.select("sid", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("source", "_source")
-    stream = shuffled_stream(rows, sizes.count())
-    filled = stream.filter("size > 0")
-    blocks = F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words))
-    pieces = filled.select("sid", "doc_id", "size", "start", F.explode(blocks).alias("block"))
-    used = schedule(sources, block_words).groupBy("sid", "block").agg(
-        F.count_if(F.col("length") == F.col("whole")).alias("turns"),
-        F.coalesce(F.max(F.when(F.col("length") < F.col("whole"), F.col("length"))), F.lit(0)).alias("part"),
-    )
-    low, end = F.greatest(F.col("start"), F.col("block") * block_words), F.col("start") + F.col("size")
-    full = F.least(end, (F.col("block") + 1) * block_words) - low
-    some = F.greatest(F.lit(0), F.least(end, F.col("block") * block_words + F.col("part")) - low)
-    took = F.coalesce(F.col("turns") * full + some, F.lit(0))
-    taken = pieces.join(used, ["sid", "block"], "left").groupBy("sid", "doc_id", "size", "start").agg(F.sum(took).cast("long").alias("taken"))
-    none = rows.filter("size = 0").select("sid", "doc_id", "size", F.lit(0).cast("long").alias("taken"))
-    out = taken.drop("start").unionByName(none).join(key, "sid")
+    got, stream, key = spans(sizes, **how)
+    taken = got.groupBy("sid", "start").agg(F.sum("words").alias("_taken"))
+    filled = F.when(F.col("size") > 0, F.col("_taken"))
+    out = stream.join(taken, ["sid", "start"], "left").withColumn("taken", F.coalesce(filled, F.lit(0)).cast("long")).join(key, "sid")
     return out.select("doc_id", F.col("_source").alias("source"), "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: `docs` (doc_id, text, source, ...) with a row for each time a document is taken, the last one cut to the words taken.
+    """`docs` (doc_id, text, source, ...) in the order of the mix: a row for each time a document is taken, the last one cut to the words taken.
 
-    Rows with the same doc_id, source and size are told apart by number. Documents of which nothing is taken go, also
-    those without words. The texts move only where the mix is too large to be broadcast or such rows exist.
+    A row stands at the slot of `blocks` that holds its first word. It isn't cut where its words run on into other
+    slots. Rows with the same doc_id, source and size are told apart by number. Documents of which nothing is taken
+    go, also those without words.
     """
     cols = docs.columns
     docs = docs.withColumn("__mix_size", word_count(F.col("text")))
     sizes = written(docs.select("doc_id", "source", F.col("__mix_size").alias("size")), "mix-words")
-    same = ["doc_id", "source", "size"]
-    rows, most = sizes.groupBy(*same).agg(F.count("*").alias("n")).agg(F.sum("n"), F.max("n")).first()
-    got = mix(sizes, **how)
+    most = sizes.filter("size > 0").groupBy("doc_id", "source", "size").count().agg(F.max("count")).first()[0]
+    got, _, key = spans(sizes, **how)
+    got = got.groupBy("sid", "doc_id", "size", "start", "pass").agg(F.sum("words").cast("int").alias("__mix_words"), F.min(F.struct("block", "slot", "place")).alias("_at"))
     if (most or 1) > 1:
         docs = docs.withColumn("__mix_n", F.row_number().over(Window.partitionBy("doc_id", "source", "__mix_size").orderBy(F.xxhash64("text"))))
-        got = got.withColumn("n", F.row_number().over(Window.partitionBy(*same).orderBy("taken")))
+        got = got.withColumn("__mix_m", F.dense_rank().over(Window.partitionBy("sid", "doc_id", "size").orderBy("start")))
     else:
-        docs, got = docs.withColumn("__mix_n", F.lit(1)), got.withColumn("n", F.lit(1))
-    got = written(got.filter("taken > 0").select(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("size").alias("__mix_got"), F.col("n").alias("__mix_m"), F.col("taken").alias("__mix_taken")), "mix-taken")
-    got = F.broadcast(got) if (rows or 0) <= BROADCAST_ROWS else got
+        docs, got = docs.withColumn("__mix_n", F.lit(1)), got.withColumn("__mix_m", F.lit(1))
+    got = got.join(key, "sid").select(F.col("doc_id").alias("__mix_id"), F.col("_source").alias("__mix_source"), F.col("size").alias("__mix_got"), "__mix_m", "__mix_words", F.col("_at.slot").alias("__mix_slot"), F.col("_at.place").alias("__mix_place"))
+    got = written(got, "mix-taken")
+    got = F.broadcast(got) if got.count() <= BROADCAST_ROWS else got
     match = F.col("doc_id").eqNullSafe(F.col("__mix_id")) & F.col("source").eqNullSafe(F.col("__mix_source")) & (F.col("__mix_size") == F.col("__mix_got")) & (F.col("__mix_n") == F.col("__mix_m"))
-    rows = docs.join(got, match)
-    turns = F.sequence(F.lit(1), F.ceil(F.col("__mix_taken") / F.col("__mix_size")).cast("int"))
-    rows = rows.withColumn("__mix_turn", F.explode(turns)).withColumn("__mix_words", F.least(F.col("__mix_size"), F.col("__mix_taken") - (F.col("__mix_turn") - 1) * F.col("__mix_size")).cast("int"))
+    rows = docs.join(got, match).orderBy("__mix_slot", "__mix_place")
     lead = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.greatest(F.col("__mix_words"), F.lit(1))), " ")
     return rows.withColumn("text", F.when(F.col("__mix_words") < F.col("__mix_size"), lead).otherwise(F.col("text"))).withColumn("n_chars", F.length("text").cast("long")).select(*cols)

@@ -184,6 +184,42 @@ def test_mixed_documents(docs):
     assert got == {k: v for k, v in want.items() if v}
 
 
+def test_mix_follows_the_schedule(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"{i}.{k}" for k in range(int(rng.integers(1, 90)))), "abc"[min(2, i % 5)]) for i in range(300)] + [(7, "again again", "b"), (7, "again again", "b"), (None, "no id", "a"), (9, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    got = [r.asDict() for r in mixing.blocks(sizes, block_words=64).collect()]
+    slots, first, taken = {}, {}, Counter()
+    for r in got:
+        slots.setdefault(r["slot"], []).append(r)
+        taken[r["doc_id"], r["source"], r["size"]] += r["words"]
+        if r["first"] == 0:
+            first[r["source"], r["start"], r["pass"]] = (r["slot"], r["place"], r["doc_id"])
+    assert [(r["slot"], r["place"]) for r in got] == sorted((r["slot"], r["place"]) for r in got)
+    short = Counter()
+    for own in slots.values():
+        assert len({(r["source"], r["pass"], r["block"]) for r in own}) == 1
+        assert [r["place"] for r in own] == [sum(x["words"] for x in own[:k]) for k in range(len(own))]
+        assert all(r["start"] + r["first"] == r["block"] * 64 + r["place"] for r in own)
+        short[own[0]["source"]] += sum(r["words"] for r in own) < 64
+    assert all(n <= 3 for n in short.values())
+    mixed = Counter()
+    for r in mixing.mix(sizes, block_words=64).collect():
+        mixed[r.doc_id, r.source, r.size] += r.taken
+    assert +mixed == taken
+    # Every prefix of the schedule has each source's share of the slots within the discrepancy of the points.
+    dealt = [own[0]["source"] for _, own in sorted(slots.items())]
+    total = Counter(dealt)
+    for k in range(1, len(dealt) + 1):
+        have = Counter(dealt[:k])
+        assert all(abs(have[s] - k * total[s] / len(dealt)) <= 2 * math.log2(len(dealt)) for s in total)
+    out = mixing.mixed_documents(docs, block_words=64).collect()
+    assert [r.doc_id for r in out] == [d for _, _, d in sorted(first.values(), key=lambda x: x[:2])]
+
+
 def test_packing(docs, none, awkward):
     from tokenizers import Tokenizer
 
