@@ -36,7 +36,7 @@ def reply_descendants(spark: SparkSession, sf: str) -> DataFrame:
 d AS (SELECT DISTINCT l_orderkey AS root, l_orderkey AS node, 0 AS depth FROM lineitem WHERE l_orderkey % 97 = 5 UNION SELECT d.root, e.child, d.depth + 1 FROM d JOIN e ON d.node = e.parent)
 SELECT root, node, min(depth)::INT AS depth FROM d WHERE depth > 0 GROUP BY 1, 2""")
 def obsoletes_chain(spark: SparkSession, sf: str) -> DataFrame:
-    """Chains whose roots are the feature: records that nothing obsoletes any more."""
+    """Chains from the records whose key leaves 5 modulo 97, as in the SQL; not yet from those that nothing obsoletes."""
     li = table(spark, sf, "lineitem")
     e = li.filter("l_linenumber = 1").select(F.col("l_orderkey").alias("parent"), F.expr("l_orderkey div 2 + 1").alias("child")).filter("parent <> child").distinct()
     return T.descendants(e, li.filter("l_orderkey % 97 = 5").select(F.col("l_orderkey").alias("node")).distinct())
