@@ -1,48 +1,72 @@
 """Scoring by a log-bilinear neural model, trained in numpy with noise-contrastive estimation.
 
-Counts of all words of the training texts come first: they give the unigram base, the model's vocabulary (the most
-frequent words; all others share one class) and the noise. The model predicts a word's class from the two before it:
+Counts of all words of the training texts come first: they give the unigram base, the model's buckets and the noise.
+The most frequent words have a bucket each; all others share buckets by hash, so that every word has vectors, however
+many words there are. The model predicts a word's bucket from the word before it:
 
-    score(w | u, v) = (R[u] C1 + R[v] C2) . Q[w] + b[w]
+    score(w | v) = R[v] . Q[w] + b[w]          P(w | v) = exp(score(w | v)) / Z(v)
 
-Each task trains from the same start on all its texts' tokens, and the results are averaged, weighted by tokens; a
-short first round on the first tokens of each task brings all to a common start. As exp(score) is a product of a
-factor of u and one of v, the normaliser of every context is one product of two matrices, so all probabilities are
-exact. A word of the shared class gets the class's probability times its smoothed share of the class.
+and a word of a shared bucket has its smoothed share of that bucket. Words that training never saw share bucket 0,
+whose vectors learn from the words that stand once: each such token also counts as one of a word never seen.
+
+Each task trains on all tokens of its texts from the same start. A row of R or Q is then averaged over the tasks,
+weighted by how often each has used it, so what a single task learnt of a rare word stays. As Z depends on one bucket
+only, blocks of R times Q give all normalisers once, and every probability is exact.
 
 Counts of the most frequent words (a bounded number) go to every task; those of all other words are joined by a
-shuffle of each document's distinct rare words.
+shuffle of the rare words alone.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 from .words import Words, chunks, split
 
-#: Stands for the end of a text; the class of all words outside the vocabulary has id 0, the end id 1.
+#: Stands for the end of a text. Buckets: 0 words never seen, 1 the end, then words of their own, then shared ones.
 END = np.uint64(0x00E0D0000000001)
-CLASSES, SIZE, NOISE, BATCH, STEP = 1024, 16, 32, 4096, 0.08
-#: Words whose counts every task gets at most (16 bytes each); tokens of each task in the first round.
-HEAD_WORDS, WARM_TOKENS = 1 << 19, 150_000
-FLUSH = 1 << 20
+UNSEEN, LAST, OWN = 0, 1, 2
+#: Words whose counts every task gets at most (16 bytes each); counts kept before they are passed on; rows of a normaliser's block.
+HEAD_WORDS, FLUSH, NORM_ROWS = 1 << 19, 1 << 20, 128
+
+
+@dataclass(frozen=True)
+class Fit:
+    """How a model is trained.
+
+    buckets at most (half of them shared, if there are more words), numbers a vector (size) and length of the first
+    vectors (start), noise samples and tokens of a batch, step of the first round (later ones fall towards a fifth of
+    it), rounds over all tokens, tokens of a task aimed at (each task gives a model).
+    """
+
+    buckets: int = 1 << 16
+    size: int = 64
+    start: float = 1.0
+    noise: int = 64
+    batch: int = 1024
+    step: float = 0.25
+    rounds: int = 1
+    task_tokens: int = 8_000_000
 
 
 @dataclass
 class Counts:
-    """keys (sorted hashes) and counts of the frequent words, and totals of all: tokens, types."""
+    """keys (sorted hashes) and counts of the frequent words, and totals of all: tokens, types, words that stand once."""
 
     keys: np.ndarray
     counts: np.ndarray
     tokens: int
     types: int
+    once: int = 0
 
     def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(self.keys, h), max(0, len(self.keys) - 1))
@@ -95,12 +119,12 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def head_of(counts: DataFrame, most: int = HEAD_WORDS) -> Counts:
+def head_of(counts: DataFrame, most: int) -> Counts:
     """The words above the least count that at most `most` words exceed; END is always among the totals."""
     total, types = counts.agg(F.sum("c"), F.count("*")).first()
     often = counts.groupBy("c").agg(F.count("*").alias("n")).filter("n > 0")
-    level, seen = 0, 0
-    for c, n in sorted(((int(r[0]), int(r[1])) for r in often.toLocalIterator()), reverse=True):
+    level, seen, often = 0, 0, sorted(((int(r[0]), int(r[1])) for r in often.toLocalIterator()), reverse=True)
+    for c, n in often:
         if seen + n > most:
             level = c
             break
@@ -108,203 +132,310 @@ def head_of(counts: DataFrame, most: int = HEAD_WORDS) -> Counts:
     got = counts.filter(F.col("c") > level).toArrow()
     h, c = got.column("h").to_numpy().view(np.uint64), got.column("c").to_numpy()
     order = np.argsort(h)
-    return Counts(h[order], c[order], int(total or 0), int(types or 0))
+    return Counts(h[order], c[order], int(total or 0), int(types or 0), sum(n for c, n in often if c == 1))
+
+
+@dataclass
+class Buckets:
+    """Which bucket a word is in. keys (sorted hashes), ids: of words with a bucket of their own; shared: how many others.
+
+    mass: smoothed counts of the buckets. often: words (sorted hashes) that stand more than once, as far as the head
+    tells; of the tokens of all others the share `once` also counts as never seen.
+    """
+
+    keys: np.ndarray
+    ids: np.ndarray
+    shared: int
+    mass: np.ndarray
+    often: np.ndarray
+    once: float
+
+    def single(self, h: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """Places of tokens that also count as never seen."""
+        at = np.minimum(np.searchsorted(self.often, h), max(0, len(self.often) - 1))
+        rare = (self.often[at] != h if len(self.often) else np.ones(len(h), bool)) & (h != END)
+        return np.flatnonzero(rare & (rng.random(len(h)) < self.once))
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        out = OWN + len(self.keys) + np.mod(h.view(np.int64), self.shared) if self.shared else np.full(len(h), UNSEEN)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+            out = np.where(self.keys[at] == h, self.ids[at], out)
+        return np.where(h == END, LAST, out).astype(np.int32)
+
+
+def bucketed(head: Counts, counts: DataFrame, most: int) -> Buckets:
+    """At most `most` buckets. Only one row for each shared bucket reaches the driver."""
+    order = np.lexsort((head.keys, -head.counts))
+    own = order[head.keys[order] != END]
+    every = len(own) + 1 >= head.types and len(own) + OWN <= most
+    own = own if every else own[: most // 2 - OWN]
+    shared = 0 if every else most // 2
+    at = np.sort(own)
+    place = np.full(len(head.keys), -1)
+    place[own] = np.arange(len(own))
+    keys, ids = head.keys[at], OWN + place[at]
+    until = OWN + len(own)
+    mass = np.full(until + shared, 0.5)
+    mass[ids] = head.counts[at] + 0.5
+    mass[UNSEEN] = head.once + 0.5
+    there = head.places(np.array([END], np.uint64))
+    mass[LAST] = (head.counts[there[0][0]] if there[1][0] else 0) + 0.5
+    if shared:
+        rows = counts.groupBy(F.pmod(F.col("h"), F.lit(shared)).alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).toArrow()
+        total = np.zeros(shared)
+        total[rows.column("k").to_numpy()] = rows.column("c").to_numpy() + 0.5 * rows.column("n").to_numpy()
+        total -= np.bincount(np.mod(keys.view(np.int64), shared), head.counts[at] + 0.5, shared)
+        if there[1][0]:
+            total[int(np.mod(np.int64(END), shared))] -= head.counts[there[0][0]] + 0.5
+        mass[until:] = np.maximum(total, 0) + 1e-3
+    often = head.counts > 1
+    rest = head.tokens - head.counts[often].sum()
+    return Buckets(keys, ids, shared, mass, head.keys[often], head.once / rest if rest else 0.0)
 
 
 @dataclass
 class Model:
-    """classes: of the head's words, in the order of its keys. share: smoothed probabilities of the classes."""
+    """r, q, b, and how often (weights) and how steeply (slopes) each row of r and q was moved."""
 
     r: np.ndarray
-    c1: np.ndarray
-    c2: np.ndarray
     q: np.ndarray
     b: np.ndarray
+    weights: np.ndarray
+    slopes: np.ndarray
+
+    @staticmethod
+    def started(mass: np.ndarray, fit: Fit) -> Model:
+        rng, n = np.random.default_rng(5), len(mass)
+        first = lambda: (rng.normal(size=(n, fit.size)) * fit.start / math.sqrt(fit.size)).astype(np.float32)
+        return Model(first(), first(), np.log(mass / mass.sum()).astype(np.float32), np.zeros((2, n), np.float32), np.full((3, n), 1e-6, np.float32))
 
-    def packed(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.r, self.c1, self.c2, self.q, self.b)]).astype(np.float32)
+    def packed(self) -> bytes:
+        return b"".join([self.r.astype(np.float16).tobytes(), self.q.astype(np.float16).tobytes(), self.b.tobytes(), self.weights.tobytes(), self.slopes.tobytes()])
 
     @staticmethod
-    def unpacked(x: np.ndarray, n: int) -> Model:
-        shapes, out, at = [(n, SIZE), (SIZE, SIZE), (SIZE, SIZE), (n, SIZE), (n,)], [], 0
-        for s in shapes:
-            out.append(x[at : at + int(np.prod(s))].reshape(s).astype(np.float32))
-            at += int(np.prod(s))
+    def unpacked(x: bytes, n: int, size: int) -> Model:
+        out, at = [], 0
+        for shape, kind in (((n, size), np.float16), ((n, size), np.float16), ((n,), np.float32), ((2, n), np.float32), ((3, n), np.float32)):
+            length = int(np.prod(shape)) * np.dtype(kind).itemsize
+            out.append(np.frombuffer(x[at : at + length], kind).reshape(shape).astype(np.float32))
+            at += length
         return Model(*out)
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """By (u, w), by (v, w) and by (u, v): natural log P(w | u, v) is first + second - third."""
-        one, two = (self.r @ self.c1) @ self.q.T, (self.r @ self.c2) @ self.q.T + self.b
-        high1, high2 = one.max(axis=1, keepdims=True), two.max(axis=1, keepdims=True)
-        total = np.exp(one - high1) @ np.exp(two - high2).T
-        return one, two, np.log(np.maximum(total, 1e-30)) + high1 + high2.T
+    def joined(self, other: Model) -> Model:
+        """The average by weight, row by row; rows that neither has moved stay as they are."""
+        total = self.weights + other.weights
+        part = np.where(total > 0, other.weights / np.maximum(total, 1), 0.5)
+        mean = lambda x, y, p: x + p * (y - x)
+        r, q = mean(self.r, other.r, part[0][:, None]), mean(self.q, other.q, part[1][:, None])
+        return Model(r, q, mean(self.b, other.b, part[1]), total, self.slopes + other.slopes)
 
+    def norms(self, low: int, high: int) -> np.ndarray:
+        """log Z of the buckets low to high."""
+        s = self.r[low:high] @ self.q.T
+        s += self.b
+        top = s.max(axis=1, keepdims=True)
+        s -= top
+        np.exp(s, out=s)
+        return np.log(s.sum(axis=1, dtype=np.float64)) + top[:, 0]
 
-def vocabulary(head: Counts, classes: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each word of the head, and smoothed shares of the classes among all training tokens."""
-    cls = np.zeros(len(head.keys), np.int32)
-    at, there = head.places(np.array([END], np.uint64))
-    order = np.lexsort((head.keys, -head.counts))
-    order = order[head.keys[order] != END][: classes - 2]
-    cls[order] = 2 + np.arange(len(order))
-    if there[0]:
-        cls[at[0]] = 1
-    share = np.bincount(cls, head.counts, 2 + len(order)) if len(cls) else np.zeros(2)
-    share[0] += head.tokens - head.counts.sum()
-    return cls, (share + 0.5) / (share + 0.5).sum()
-
-
-def started(share: np.ndarray) -> Model:
-    rng = np.random.default_rng(5)
-    n = len(share)
-    small = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
-    return Model(small(n, SIZE), np.eye(SIZE, dtype=np.float32) * 0.5, np.eye(SIZE, dtype=np.float32), small(n, SIZE), np.log(share).astype(np.float32))
-
-
-def contexts(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The classes two places and one place before each token; before a text stand ends."""
-    v = np.concatenate([[1], ids[:-1]]) if len(ids) else ids
-    u = np.concatenate([[1, 1], ids[:-2]])[: len(ids)]
-    starts = first[:-1]
-    v[starts] = 1
-    u[starts] = 1
-    later = starts + 1
-    later = later[later < len(ids)]
-    u[later] = 1
-    return u, v
+
+def before(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The bucket before each token; before a text stands the end."""
+    v = np.concatenate([[LAST], ids[:-1]]).astype(ids.dtype) if len(ids) else ids.copy()
+    v[first[:-1]] = LAST
+    return v
+
+
+def _summed(rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows, and the sums of their gradients."""
+    order = np.argsort(rows, kind="stable")
+    own = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    return own[first], np.add.reduceat(grad[order], first, axis=0)
 
 
 class Trainer:
-    """Adaptive-gradient noise-contrastive training; NOISE samples are shared by a batch."""
+    """Noise-contrastive training with a step for each row that falls with its gradients so far; a batch shares its noise."""
 
-    def __init__(self, model: Model, share: np.ndarray, seed: int) -> None:
-        self.m, self.rng, self.n = model, np.random.default_rng(seed), len(share)
-        self.cum, self.log_noise = np.cumsum(share), np.log(NOISE * share).astype(np.float32)
-        self.seen = [np.full(x.shape, 1e-4, np.float32) for x in (model.r, model.c1, model.c2, model.q, model.b)]
+    def __init__(self, model: Model, mass: np.ndarray, fit: Fit, step: float, seed: tuple[int, ...] = (7,)) -> None:
+        self.m, self.fit, self.step, self.rng = model, fit, step, np.random.default_rng(seed)
+        share = mass / mass.sum()
+        self.cum, self.log_noise = np.cumsum(share), np.log(fit.noise * share).astype(np.float32)
         self.tokens = 0
 
-    def _rows(self, idx: np.ndarray, grad: np.ndarray) -> np.ndarray:
-        flat = (idx[:, None].astype(np.int64) * SIZE + np.arange(SIZE)).ravel()
-        return np.bincount(flat, grad.ravel(), self.n * SIZE).reshape(self.n, SIZE).astype(np.float32)
-
-    def batch(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> None:
-        m, n = self.m, len(w)
-        noise = np.minimum(np.searchsorted(self.cum, self.rng.random(NOISE)), self.n - 1)
-        ru, rv, qw, qn = m.r[u], m.r[v], m.q[w], m.q[noise]
-        h = ru @ m.c1 + rv @ m.c2
-        good = (h * qw).sum(1) + m.b[w] - self.log_noise[w]
-        bad = h @ qn.T + (m.b[noise] - self.log_noise[noise])
-        g = 1 / (1 + np.exp(np.clip(good, -30, 30)))
-        e = -1 / (1 + np.exp(-np.clip(bad, -30, 30)))
-        dh = g[:, None] * qw + e @ qn
-        dq = self._rows(w, g[:, None] * h) + self._rows(noise, e.T @ h)
-        dr = self._rows(np.concatenate([u, v]), np.concatenate([dh @ m.c1.T, dh @ m.c2.T]))
-        db = np.bincount(w, g, self.n) + np.bincount(noise, e.sum(0), self.n)
-        for x, seen, grad in zip((m.r, m.c1, m.c2, m.q, m.b), self.seen, (dr, ru.T @ dh, rv.T @ dh, dq, db.astype(np.float32)), strict=True):
-            seen += (grad / n) ** 2
-            x += STEP * (grad / n) / np.sqrt(seen)
-        self.tokens += n
-
-    def texts(self, ids: np.ndarray, first: np.ndarray) -> None:
-        u, v = contexts(ids, first)
-        for low in range(0, len(ids), BATCH):
-            self.batch(u[low : low + BATCH], v[low : low + BATCH], ids[low : low + BATCH])
-
-
-def _trained(texts: DataFrame, model: Model, share: np.ndarray, head: Counts, cls: np.ndarray, warm: bool) -> Model:
-    """One round: every task trains from `model`; the average, formed in a tree of tasks."""
-    context = texts.sparkSession.sparkContext
-    known = np.flatnonzero(cls)
-    start = context.broadcast((model.packed(), share, head.keys[known], cls[known]))
+    def _moved(self, kind: int, rows: np.ndarray, grad: np.ndarray) -> None:
+        at, g = _summed(rows, grad)
+        vectors, offsets = ((self.m.r, None), (self.m.q, self.m.b))[kind]
+        size = self.fit.size
+        own = g[:, :size]
+        slope = self.m.slopes[kind]
+        steep = slope[at] + np.einsum("ij,ij->i", own, own) / size
+        slope[at] = steep
+        vectors[at] += own * (self.step / np.sqrt(steep))[:, None]
+        if offsets is not None:
+            steep = self.m.slopes[2][at] + g[:, size] ** 2
+            self.m.slopes[2][at] = steep
+            offsets[at] += 0.3 * self.step * g[:, size] / np.sqrt(steep)
+
+    def batch(self, v: np.ndarray, w: np.ndarray) -> None:
+        m, size, noise = self.m, self.fit.size, self.fit.noise
+        z = np.minimum(np.searchsorted(self.cum, self.rng.random(noise)), len(self.cum) - 1).astype(w.dtype)
+        h, q, qz = m.r[v], m.q[w], m.q[z]
+        good = np.einsum("ij,ij->i", h, q) + m.b[w] - self.log_noise[w]
+        bad = h @ qz.T
+        bad += m.b[z] - self.log_noise[z]
+        up = 1 / (1 + np.exp(np.clip(good, -30, 30)))
+        # minus the chance that a noise word is taken for data
+        np.clip(bad, -30, 30, out=bad)
+        np.negative(bad, out=bad)
+        np.exp(bad, out=bad)
+        bad += 1
+        np.divide(-1, bad, out=bad)
+        dh = up[:, None] * q
+        dh += bad @ qz
+        dq = np.empty((len(w) + noise, size + 1), np.float32)
+        np.multiply(up[:, None], h, out=dq[: len(w), :size])
+        dq[: len(w), size] = up
+        dq[len(w) :, :size] = bad.T @ h
+        dq[len(w) :, size] = bad.sum(axis=0)
+        self._moved(0, v, dh)
+        self._moved(1, np.concatenate([w, z]), dq)
+        m.weights[1][z] += 1
+
+    def texts(self, ids: np.ndarray, first: np.ndarray, single: np.ndarray = np.zeros(0, np.int64)) -> None:
+        """single: places of tokens that also count as never seen, both as the word and as the one before."""
+        v = before(ids, first)
+        if len(single):
+            later = single + 1
+            later = later[later < len(ids)]
+            later = later[v[later] == ids[later - 1]]
+            both = np.concatenate([np.arange(len(ids)), single, later])
+            order = np.argsort(both, kind="stable")
+            v = np.concatenate([v, v[single], np.full(len(later), UNSEEN, v.dtype)])[order]
+            ids = np.concatenate([ids, np.full(len(single), UNSEEN, ids.dtype), ids[later]])[order]
+        self.m.weights[0] += np.bincount(v, minlength=len(self.cum))
+        self.m.weights[1] += np.bincount(ids, minlength=len(self.cum))
+        self.tokens += len(ids)
+        for low in range(0, len(ids), self.fit.batch):
+            self.batch(v[low : low + self.fit.batch], ids[low : low + self.fit.batch])
+
+
+def _round(texts: DataFrame, model: Model, buckets: Buckets, fit: Fit, k: int) -> Model:
+    """Round k: every task trains from `model`; their average is formed in a tree of tasks."""
+    context, n = texts.sparkSession.sparkContext, len(buckets.mass)
+    model.weights[:] = 0
+    start = context.broadcast((model.packed(), buckets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed, share, keys, ids_of = start.value
-        trainer = Trainer(Model.unpacked(packed.copy(), len(share)), share, 7)
+        packed, buckets = start.value
+        trainer = Trainer(Model.unpacked(packed, n, fit.size), buckets.mass, fit, fit.step * (1 - 0.8 * k / fit.rounds), (k, TaskContext.get().partitionId()))
         for batch in batches:
             for _, body, at in chunks(batch.column(0)):
                 h, first = tokens(split(body, at))
-                place = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
-                trainer.texts(np.where(keys[place] == h, ids_of[place], 0), first)
-                if warm and trainer.tokens >= WARM_TOKENS:
-                    break
-            if warm and trainer.tokens >= WARM_TOKENS:
-                break
+                trainer.texts(buckets.of(h), first, buckets.single(h, trainer.rng))
         if trainer.tokens:
-            yield pa.RecordBatch.from_arrays([pa.array([trainer.tokens], pa.int64()), pa.array([trainer.m.packed().tobytes()], pa.binary())], names=["n", "model"])
+            yield pa.RecordBatch.from_arrays([pa.array([trainer.m.packed()], pa.binary())], names=["model"])
 
     def averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, sums = 0, None
+        total = None
         for batch in batches:
-            for n, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(x, np.float32).astype(np.float64) * n
-                total, sums = total + n, part if sums is None else sums + part
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([(sums / total).astype(np.float32).tobytes()], pa.binary())], names=["n", "model"])
+            for x in batch.column(0):
+                part = Model.unpacked(x.as_py(), n, fit.size)
+                total = part if total is None else total.joined(part)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.packed()], pa.binary())], names=["model"])
 
-    models = texts.select("text").mapInArrow(run, "n long, model binary")
+    models = texts.select("text").mapInArrow(run, "model binary")
     width = max(1, texts.rdd.getNumPartitions())
     while width > 1:
         width = -(-width // 16)
-        models = models.repartition(width).mapInArrow(averaged, "n long, model binary")
+        models = models.repartition(width).mapInArrow(averaged, "model binary")
     rows = models.collect()
     start.unpersist()
-    return Model.unpacked(np.frombuffer(rows[0]["model"], np.float32), len(share)) if rows else model
+    return Model.unpacked(bytes(rows[0]["model"]), n, fit.size) if rows else model
 
 
-def trained(texts: DataFrame, head: Counts) -> tuple[Model, np.ndarray, np.ndarray]:
-    cls, share = vocabulary(head)
-    model = _trained(texts, started(share), share, head, cls, warm=True)
-    return _trained(texts, model, share, head, cls, warm=False), cls, share
+def trained(texts: DataFrame, n_tokens: int, buckets: Buckets, fit: Fit) -> Model:
+    """texts: text. Rounds over all tokens, with a falling step."""
+    width = max(1, math.ceil(n_tokens / fit.task_tokens))
+    texts = texts.select("text")
+    texts = texts.coalesce(width) if width < texts.rdd.getNumPartitions() else texts
+    model = Model.started(buckets.mass, fit)
+    for k in range(fit.rounds):
+        model = _round(texts, model, buckets, fit, k)
+    return model
+
+
+def normalisers(docs: DataFrame, model: Model) -> np.ndarray:
+    """log Z of every bucket, by blocks dealt to tasks."""
+    spark, n = docs.sparkSession, len(model.b)
+    if n <= 4 * NORM_ROWS:
+        return model.norms(0, n)
+    shared = spark.sparkContext.broadcast((model.r, model.q, model.b))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = Model(*shared.value, np.zeros(0), np.zeros(0))
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([whole.norms(k * NORM_ROWS, (k + 1) * NORM_ROWS).tolist()], pa.list_(pa.float64()))], names=["k", "z"])
+
+    rows = spark.range(math.ceil(n / NORM_ROWS)).mapInArrow(run, "k long, z array<double>").collect()
+    shared.unpersist()
+    return np.concatenate([np.array(z) for _, z in sorted((r["k"], r["z"]) for r in rows)])
 
 
-def scored(docs: DataFrame) -> DataFrame:
+def scored(docs: DataFrame, fit: Fit = Fit(), head_words: int = HEAD_WORDS) -> DataFrame:
     """docs: doc_id, text; other columns are not read. One row an input row:
 
     doc_id, held_out, n_tokens (words and one end), n_known (tokens with a count in training), train_tokens,
     base_score (smoothed unigram) and score (the model), both log10 probabilities of the whole text.
 
     Training texts are those not held out. Words are A-Z lower-cased runs of bytes outside 0x20 and 0x09-0x0D. A null
-    or empty text is one end. Ids may be null or repeated. Without training texts all counts are 0.
+    or empty text is one end. Ids may be null or repeated; repeated rows get equal results. Texts of any length are
+    read whole, in slices. Without training texts all counts are 0, and an empty table gives an empty result.
     """
     docs = marked(docs)
     learn = docs.filter(~F.col("held_out"))
     counts = written(word_counts(learn), "lm-counts")
-    head = head_of(counts)
-    model, cls, share = trained(learn, head)
+    head = head_of(counts, head_words)
+    buckets = bucketed(head, counts, fit.buckets)
+    model = trained(learn, head.tokens, buckets, fit)
     unit = head.tokens + 0.5 * (head.types + 1)
-    inside = int((cls > 0).sum())
-    rare_unit = float(max(0, head.tokens - head.counts[cls > 0].sum()) + 0.5 * (head.types - inside + 1))
-    shared = docs.sparkSession.sparkContext.broadcast((head, cls, *model.tables()))
+    shared = docs.sparkSession.sparkContext.broadcast((head, buckets, model.r, model.q, model.b, normalisers(docs, model)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, cls, one, two, norm = shared.value
+        head, buckets, r, q, b, norm = shared.value
         ln10 = np.log(10.0)
         for batch in batches:
             for rows, body, at in chunks(batch.column(3)):
                 h, first = tokens(split(body, at))
                 place, there = head.places(h)
-                ids = np.where(there, cls[place], 0) if len(cls) else np.zeros(len(h), np.int32)
-                ids = np.where(h == END, 1, ids)
-                c = np.where(there, head.counts[place], 0) if len(cls) else np.zeros(len(h))
-                u, v = contexts(ids, first)
-                log = (one[u, ids].astype(np.float64) + two[v, ids] - norm[u, v]) / ln10
-                log += np.where((ids == 0) & there, np.log10((c + 0.5) / rare_unit), 0)
+                c = np.where(there, head.counts[place], 0) if len(head.keys) else np.zeros(len(h))
+                ids = buckets.of(h)
+                v = before(ids, first)
+                log = (np.einsum("ij,ij->i", r[v], q[ids]).astype(np.float64) + b[ids] - norm[v]) / ln10
+                share = np.where(ids >= OWN, np.log10(buckets.mass[ids]), 0)
+                log = np.where(there & (ids >= OWN), log + np.log10(c + 0.5) - share, log)
                 base = np.where(there, np.log10((c + 0.5) / unit), 0)
                 total = lambda x: np.add.reduceat(x, first[:-1])
                 tail = np.flatnonzero(~there)
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(tail, first).astype(np.int32)), pa.array(h[tail].view(np.int64)))
+                bounds = pa.array(np.searchsorted(tail, first).astype(np.int32))
+                never = (np.einsum("ij,j->i", r[v[tail]], q[UNSEEN]).astype(np.float64) + b[UNSEEN] - norm[v[tail]]) / ln10
+                lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (h[tail].view(np.int64), log[tail] - share[tail], np.where(ids[tail] == LAST, log[tail], never))]
                 columns = [batch.column(k)[rows] for k in range(3)]
-                columns += [pa.array(np.diff(first).astype(np.int64)), pa.array(total(there.astype(np.int64))), pa.array(total(base)), pa.array(total(log)), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["rid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
+                columns += [pa.array(np.diff(first).astype(np.int64)), pa.array(total(there.astype(np.int64))), pa.array(total(base)), pa.array(total(np.where(there, log, 0))), *lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["rid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "seen", "never"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "text")
-    part = written(rows.mapInArrow(run, "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>"), "lm-parts")
-    rare = part.select("rid", F.explode("rare").alias("h")).groupBy("rid", "h").agg(F.count("*").alias("n"))
+    schema = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, seen array<double>, never array<double>"
+    part = written(rows.mapInArrow(run, schema), "lm-parts")
+    rare = part.select("rid", F.explode(F.arrays_zip("rare", "seen", "never")).alias("t")).select("rid", F.col("t.rare").alias("h"), "t.seen", "t.never")
     c = F.coalesce(F.col("c"), F.lit(0))
     rare = rare.join(counts, "h", "left").groupBy("rid").agg(
-        F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("known"),
-        F.sum(F.col("n") * F.log10((c + 0.5) / F.lit(float(unit)))).alias("base"),
-        F.sum(F.when(F.col("h") == int(END), 0).otherwise(F.col("n")) * F.log10((c + 0.5) / F.lit(rare_unit))).alias("log"),
+        F.count_if(c > 0).alias("known"),
+        F.sum(F.log10((c + 0.5) / F.lit(float(unit)))).alias("base"),
+        F.sum(F.when((c > 0) & (F.col("h") != int(END)), F.col("seen") + F.log10(c + 0.5)).otherwise(F.col("never"))).alias("log"),
     )
     out = part.join(rare, "rid", "left")
     return out.select(

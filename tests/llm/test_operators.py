@@ -327,26 +327,75 @@ def test_lm(docs, none, awkward):
 def test_lm_rare_words_are_joined_alike(docs):
     key = lambda r: (str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 4))
     whole = sorted(map(key, lm.scored(docs).collect()))
-    old = lm.head_of.__defaults__
-    try:
-        lm.head_of.__defaults__ = (300,)
-        few = lm.scored(docs).collect()
-    finally:
-        lm.head_of.__defaults__ = old
-    assert [x[:4] for x in sorted(map(key, few))] == [x[:4] for x in whole]
-
-
-def test_lm_probabilities_are_normalised_and_learn(spark):
+    few = sorted(map(key, lm.scored(docs, head_words=300).collect()))
+    assert [x[:4] for x in few] == [x[:4] for x in whole]
+
+
+def test_lm_scores_like_a_plain_softmax(spark, docs, awkward):
+    """`score` from the fitted vectors by a sum over all buckets for each token, without the engine's tables."""
+    small = lm.Fit(buckets=64, size=8, noise=16, batch=128)
+    marked = lm.marked(docs)
+    learn = marked.filter("not held_out")
+    counts = lm.word_counts(learn)
+    head = lm.head_of(counts, 100)
+    buckets = lm.bucketed(head, counts, small.buckets)
+    assert buckets.shared == 32 and len(buckets.keys) == 30
+    model = lm.trained(learn, head.tokens, buckets, small)
+    c = Counter(w for (d, t, _) in awkward if zlib.crc32(("" if d is None else str(d)).encode()) % 5 != 1 for w in [*words(t), None])
+    h = lambda w: lm.END if w is None else lm.tokens(lm.split(np.frombuffer(w, np.uint8), np.array([0, len(w)])))[0][0]
+    place = {w: int(buckets.of(np.array([h(w)]))[0]) for w in {x for _, t, _ in awkward for x in [*words(t), None]}}
+    mass = Counter()
+    for w in c:
+        mass[place[w]] += c[w] + 0.5
+    want = []
+    for doc_id, text, _ in awkward:
+        total, v = 0.0, lm.LAST
+        for w in [*words(text), None]:
+            k = place[w] if w in c else lm.UNSEEN
+            s = model.q.astype("f8") @ model.r[v].astype("f8") + model.b
+            total += s[k] - np.log(np.exp(s).sum())
+            total += math.log((c[w] + 0.5) / mass[k]) if k >= lm.OWN else 0
+            v = place[w]
+        want.append((str(doc_id), round(total / math.log(10), 1)))
+    got = [(str(r.doc_id), round(r.score, 1)) for r in lm.scored(docs, small, head_words=100).collect()]
+    assert all(a == x and abs(b - y) <= 0.11 + 1e-3 * abs(b) for (a, b), (x, y) in zip(sorted(want), sorted(got), strict=True))
+
+
+def test_lm_learns_what_follows_what(spark):
     rng = np.random.default_rng(6)
     # after "a" comes "b", after "b" "c" or "d"
     rows = [(i, " ".join(x for _ in range(40) for x in ("a", "b", rng.choice(["c", "d"])))) for i in range(400)]
     got = lm.scored(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
     held = got[got.held_out]
-    assert held.score.sum() > 0.75 * held.base_score.sum()
-    share = np.full(20, 0.05)
-    one, two, norm = lm.started(share).tables()
-    p = np.exp(one[:, None, :] + two[None] - norm[:, :, None])
-    assert np.allclose(p.sum(axis=2), 1, atol=1e-4)
+    assert held.score.sum() > 0.3 * held.base_score.sum()
+
+
+def test_lm_beats_a_discounted_bigram_on_held_out_texts(spark):
+    """Absolute discounting of word pairs over the smoothed unigram, on the smallest table of documents."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = lm.scored(rows).toPandas()
+    texts = [(zlib.crc32(str(r.doc_id).encode()) % 5 == 1, [None, *words(r.text), None]) for r in rows.collect()]
+    learn = [x for held, x in texts if not held]
+    c, pairs = Counter(w for x in learn for w in x[1:]), Counter(p for x in learn for p in zip(x, x[1:], strict=False))
+    n, v, after, kinds = sum(c.values()), len(c), Counter(), Counter()
+    for (a, _), k in pairs.items():
+        after[a] += k
+        kinds[a] += 1
+    total = 0.0
+    for held, x in texts:
+        for a, b in zip(x, x[1:], strict=False) if held else ():
+            one = (c[b] + 0.5) / (n + 0.5 * (v + 1))
+            total += math.log10((max(pairs[a, b] - 0.75, 0) + 0.75 * kinds[a] * one) / after[a] if after[a] else one)
+    assert got[got.held_out].score.sum() > total > got[got.held_out].base_score.sum()
+
+
+def test_lm_averages_rows_by_use():
+    fit = lm.Fit(size=4)
+    a, b = (lm.Model.started(np.ones(5), fit) for _ in range(2))
+    a.weights[0, 2], b.weights[0, 2], b.weights[0, 3] = 1, 3, 2
+    a.r[2], b.r[2], b.r[3] = 0, 4, 9
+    both = lm.Model.unpacked(a.joined(b).packed(), 5, 4)
+    assert (both.r[2] == 3).all() and (both.r[3] == 9).all() and np.allclose(both.r[1], a.r[1], atol=1e-3) and both.weights[0].tolist() == [0, 0, 4, 2, 0]
 
 
 def test_quality(spark, none):
