@@ -8,6 +8,7 @@ are verified on the words themselves.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 from .quality import NOT_WORD
-from .words import chunks, shingles, split
+from .words import Words, chunks, shingles, split
 
 #: Fixed phrases and their labels: every place where the words stand in a row counts.
 PHRASES = {
@@ -28,7 +29,7 @@ PHRASES = {
     "mit license": "mit",
 }
 
-#: Fixed passages of public licenses, at most 60 words each (more are cut), and their labels.
+#: Fixed passages of public licenses, of any length, and their labels.
 PASSAGES = {
     "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
     "apache-2.0-text": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0",
@@ -43,8 +44,8 @@ PASSAGES = {
 GRAM = 2
 #: Diagonals at most so far apart are merged; shares of a passage's pairs (votes) and words (verified) that make a span.
 GAP, VOTES, VERIFIED = 4, 0.5, 0.7
-#: Templates are cut so that their pairs fit into a bit mask.
-MOST_WORDS = 60
+#: Places of a template that a bit mask holds; longer templates have several masks.
+MASK_BITS = 63
 #: Candidate spans are broadcast up to so many (about 40 bytes each), else joined by a shuffle.
 BROADCAST_SPANS = 500_000
 #: Stands for the end of every text, so that each text comes through the join.
@@ -58,7 +59,7 @@ class Template:
     phrase: bool
 
 
-TEMPLATES = [Template(label, tuple(p.encode().split()), True) for p, label in PHRASES.items()] + [Template(label, tuple(p.encode().split())[:MOST_WORDS], False) for label, p in PASSAGES.items()]
+TEMPLATES = [Template(label, tuple(p.encode().split()), True) for p, label in PHRASES.items()] + [Template(label, tuple(p.encode().split()), False) for label, p in PASSAGES.items()]
 
 
 def grams(column: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
@@ -91,12 +92,12 @@ def _lined_up(template: tuple[bytes, ...], words: list[bytes]) -> int:
     return int(row[-1])
 
 
-def verified(words: list[bytes], spans: list[dict]) -> dict:
-    """spans: template, start, end (words). What the text's row says of its licenses."""
+def verified(words: Words, low: int, high: int, spans: list[dict]) -> dict:
+    """low, high: the text's words. spans: template, start, end (words of the text). What the text's row says of its licenses."""
     places, base, labels, score = [], set(), set(), 0.0
     for s in spans:
         t = TEMPLATES[s["template"]]
-        own = words[max(0, s["start"]) : s["end"]]
+        own = [words.word(i) for i in range(low + max(0, s["start"]), min(high, low + s["end"]))]
         if t.phrase:
             if tuple(own) == t.words:
                 places.append(s["start"])
@@ -117,8 +118,9 @@ def scanned(docs: DataFrame) -> DataFrame:
     without), base_labels, labels (with those of verified passages), score (1 with a phrase, else the best verified
     share of a passage, else 0). Labels are distinct, sorted and joined by commas.
 
-    Words are A-Z lower-cased runs of ASCII digits, letters and all non-ASCII characters. A null text is empty. Ids may
-    be null; repeated rows get equal results.
+    Words are A-Z lower-cased runs of ASCII digits, letters and all non-ASCII characters. A null text is empty. Texts of
+    any length are read whole, in slices. Ids may be null; repeated rows get equal results. Of equally good passages all
+    are named. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
@@ -132,18 +134,20 @@ def scanned(docs: DataFrame) -> DataFrame:
     hashed = texts.select("rid", "doc_id", "text").mapInArrow(run, "rid long, doc_id long, n_words long, grams array<long>")
     hits = hashed.select("rid", "doc_id", "n_words", F.posexplode("grams").alias("pos", "h")).join(F.broadcast(template_table(spark)), "h")
     diagonal = F.when(F.col("template") >= 0, F.col("pos") - F.col("at")).otherwise(0).alias("diagonal")
+    masks = math.ceil(max(len(t.words) for t in TEMPLATES) / MASK_BITS)
+    parts = [F.when(F.expr(f"at div {MASK_BITS} = {k}"), F.expr(f"shiftleft(1L, at % {MASK_BITS})")).otherwise(0).cast("long") for k in range(masks)]
     votes = hits.groupBy("rid", "doc_id", "n_words", "template", diagonal).agg(
-        F.expr("bit_or(shiftleft(1L, at))").alias("mask"), F.min("pos").alias("low"), F.max("pos").alias("high"), F.count("*").alias("copies"),
+        *(F.bit_or(part).alias(f"mask{k}") for k, part in enumerate(parts)), F.min("pos").alias("low"), F.max("pos").alias("high"), F.count("*").alias("copies"),
     )
     votes = written(votes, "license-votes")
     size = F.element_at(F.array(*[F.lit(len(t.words)) for t in TEMPLATES]), F.col("template") + 1)
     phrase = F.col("template") < len(PHRASES)
-    cast = F.bit_count("mask")
+    cast = sum((F.bit_count(f"mask{k}") for k in range(1, masks)), F.bit_count("mask0"))
     phrases = votes.filter((F.col("template") >= 0) & phrase & (cast == size - GRAM + 1)).select("rid", "template", F.col("diagonal").alias("start"), (F.col("diagonal") + size).alias("end"))
     along = Window.partitionBy("rid", "template").orderBy("diagonal")
     new = F.when(F.col("diagonal") - F.lag("diagonal").over(along) <= GAP, 0).otherwise(1)
     bands = votes.filter((F.col("template") >= 0) & ~phrase).withColumn("_new", new).withColumn("band", F.sum("_new").over(along))
-    bands = bands.groupBy("rid", "template", "band").agg(F.bit_or("mask").alias("mask"), F.min("low").alias("start"), F.max("high").alias("end"))
+    bands = bands.groupBy("rid", "template", "band").agg(*(F.bit_or(f"mask{k}").alias(f"mask{k}") for k in range(masks)), F.min("low").alias("start"), F.max("high").alias("end"))
     bands = bands.filter(cast >= VOTES * (size - GRAM + 1)).select("rid", "template", "start", (F.col("end") + GRAM).alias("end"))
     spans = phrases.unionByName(bands).select("rid", F.struct("template", "start", "end").alias("span"))
     spans = written(spans.groupBy("rid").agg(F.collect_list("span").alias("spans")), "license-spans")
@@ -156,8 +160,7 @@ def scanned(docs: DataFrame) -> DataFrame:
             for rows, body, at in chunks(batch.column(1)):
                 words = split(body, at, NOT_WORD)
                 for k, own in enumerate(batch.column(2)[rows].to_pylist()):
-                    low, high = words.doc[k], words.doc[k + 1]
-                    out.append(verified([words.word(i) for i in range(low, high)], own))
+                    out.append(verified(words, words.doc[k], words.doc[k + 1], own))
             names = ["n_base", "first_word", "last_word", "base_labels", "labels", "score"]
             kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[c] for x in out], t) for c, t in zip(names, kinds, strict=True))], names=["rid", *names])

@@ -153,7 +153,8 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """`docs` (doc_id, text, source, ...) in the order of the mix: a row for each time a document is taken, the last one cut to the words taken.
 
     A row stands at the slot of `blocks` that holds its first word. It isn't cut where its words run on into other
-    slots. Rows with the same doc_id, source and size are told apart by number. Documents of which nothing is taken
+    slots. A cut text ends after its last word taken and keeps its white space up to there. Null and empty texts have no
+    words and go; very long ones are like others. An empty table gives an empty result. Rows with the same doc_id, source and size are told apart by number. Documents of which nothing is taken
     go, also those without words.
     """
     cols = docs.columns
@@ -172,5 +173,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     got = F.broadcast(got) if got.count() <= BROADCAST_ROWS else got
     match = F.col("doc_id").eqNullSafe(F.col("__mix_id")) & F.col("source").eqNullSafe(F.col("__mix_source")) & (F.col("__mix_size") == F.col("__mix_got")) & (F.col("__mix_n") == F.col("__mix_m"))
     rows = docs.join(got, match).orderBy("__mix_slot", "__mix_place")
-    lead = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.greatest(F.col("__mix_words"), F.lit(1))), " ")
+    few = F.greatest(F.col("__mix_words"), F.lit(1))
+    words, gaps = (F.slice(x, F.lit(1), few) for x in (F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.split("text", WORD)))
+    lead = F.array_join(F.zip_with(gaps, words, lambda g, w: F.concat(g, w)), "")
     return rows.withColumn("text", F.when(F.col("__mix_words") < F.col("__mix_size"), lead).otherwise(F.col("text"))).withColumn("n_chars", F.length("text").cast("long")).select(*cols)

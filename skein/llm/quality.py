@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import written
 from .words import SPACE, chunks, distinct, mixed, split
 
-#: Bounds of the fit: labelled texts (those of the least hash of doc_id), features, texts that a feature must be in.
-SAMPLE, MAX_FEATURES, MIN_TEXTS = 20_000, 200_000, 5
+#: Bound of the fit: labelled texts (those of the least hash of doc_id). All their features have a weight.
+SAMPLE = 20_000
 STEPS, STEP, PULL, BATCH = 2000, 0.15, 3e-4, 128
 #: A document is kept if the chance of the top grade is at least this.
 KEEP = 0.5
@@ -71,36 +71,48 @@ def features(column: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]
 
 
 def fit(rows: list[np.ndarray], grades: np.ndarray, keys: np.ndarray, n_grades: int) -> OrdinalModel:
-    """Adaptive-gradient descent over texts in a fixed shuffled order; deterministic. rows: places of a text's features in `keys`."""
+    """Adaptive-gradient descent over texts in a fixed shuffled order; deterministic. rows: places of a text's features in `keys`.
+
+    Only a batch's own features move; the pull to zero of the steps between is caught up when a feature comes again.
+    """
     share = np.array([(grades >= k).mean() if len(grades) else 0.5 for k in range(1, n_grades)])
     bars = -np.log(np.clip(share, 0.01, 0.99) / np.clip(1 - share, 0.01, 0.99)) + 1e-3 * np.arange(n_grades - 1)
     w, seen, rng = np.zeros(len(keys)), np.full(len(keys), 1e-6), np.random.default_rng(11)
-    bar_seen = np.full(n_grades - 1, 1e-6)
+    bar_seen, last, step = np.full(n_grades - 1, 1e-6), np.zeros(len(keys), np.int64), 0
     for _ in range(math.ceil(STEPS * BATCH / len(rows)) if rows else 0):
         order = rng.permutation(len(rows))
         for low in range(0, len(order), BATCH):
-            pick = order[low : low + BATCH]
+            pick, step = order[low : low + BATCH], step + 1
             sizes = np.array([len(rows[i]) for i in pick])
             idx, doc = np.concatenate([rows[i] for i in pick]), np.repeat(np.arange(len(pick)), sizes)
+            own, at = np.unique(idx, return_inverse=True)
             s, y = np.bincount(doc, w[idx], len(pick)), grades[pick]
-            up = np.concatenate([np.ones((len(pick), 1)), 1 / (1 + np.exp(np.clip(bars[None] - s[:, None], -50, 50))), np.zeros((len(pick), 1))], axis=1)
-            top, low_ = up[np.arange(len(pick)), y], up[np.arange(len(pick)), y + 1]
-            # d log(top - low) / d score, as top and low are sigmoids of score minus their thresholds
-            g = 1 - top - low_
-            grad = np.bincount(idx, g[doc], len(keys)) / len(pick) - PULL * w
-            seen += grad**2
-            w += STEP * grad / np.sqrt(seen)
-            gap = np.maximum(top - low_, 1e-9)
-            bar_grad = np.array([(np.where(y == k + 1, -top * (1 - top) / gap, 0) + np.where(y == k, low_ * (1 - low_) / gap, 0)).mean() for k in range(n_grades - 1)])
+            g, bar_grad = gradients(s, y, bars)
+            grad = np.bincount(at, g[doc], len(own)) / len(pick) - PULL * np.minimum(step - last[own], 100) * w[own]
+            seen[own] += grad**2
+            w[own] += STEP * grad / np.sqrt(seen[own])
+            last[own] = step
             bar_seen += bar_grad**2
             bars = np.maximum.accumulate(bars + STEP * bar_grad / np.sqrt(bar_seen))
     return OrdinalModel(keys, w, bars)
 
 
+def gradients(score: np.ndarray, y: np.ndarray, bars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of log P(grade = y): by each text's score, and by each threshold (the mean over the texts)."""
+    up = np.concatenate([np.ones((len(y), 1)), 1 / (1 + np.exp(np.clip(bars[None] - score[:, None], -50, 50))), np.zeros((len(y), 1))], axis=1)
+    top, low = up[np.arange(len(y)), y], up[np.arange(len(y)), y + 1]
+    # top and low are sigmoids of the score minus their thresholds
+    gap = np.maximum(top - low, 1e-9)
+    bar = [(np.where(y == k + 1, -top * (1 - top) / gap, 0) + np.where(y == k, low * (1 - low) / gap, 0)).mean() for k in range(len(bars))]
+    return 1 - top - low, np.array(bar)
+
+
 def train(docs: DataFrame, ratings: DataFrame, n_grades: int, sample: int = SAMPLE) -> OrdinalModel:
     """ratings: doc_id, grade (0 to n_grades - 1; null: left out). Fits on at most `sample` rated documents.
 
-    Features in few of these texts are left out before anything reaches the driver.
+    These are the ones of the least hashes of doc_id (ties: the smaller id); of a document's repeated ratings the least
+    counts, and rows that share a rated id are each a text of the sample. Null texts are empty; long ones are read
+    whole. Without ratings the model has no weights and even shares.
     """
     rated = ratings.filter("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     rated = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("_id"), "grade")
@@ -113,9 +125,7 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int, sample: int = SAMP
                 yield pa.RecordBatch.from_arrays([batch.column(0)[rows], batch.column(1)[rows], got], names=["doc_id", "grade", "features"])
 
     found = written(rows.select("doc_id", "grade", "text").mapInArrow(run, "doc_id long, grade int, features array<long>"), "quality-features")
-    n = found.count()
-    often = found.select(F.explode("features").alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= min(MIN_TEXTS, max(1, n // 20)))
-    often = often.orderBy(F.desc("n"), "key").limit(MAX_FEATURES).select("key").toArrow()
+    often = found.select(F.explode("features").alias("key")).distinct().toArrow()
     keys = np.sort(often.column("key").to_numpy().view(np.uint64))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,14 +162,15 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def classified(docs: DataFrame, model: OrdinalModel, keep: float = KEEP) -> DataFrame:
-    """doc_id, expected_grade (0 to the top grade), p_top, keep (p_top >= `keep`), one row an input row.
+    """doc_id, expected_grade (0 to the top grade), p_top, keep (p_top >= `keep`, a tie stays), one row an input row.
 
-    A null or empty text is scored as one without words; ids may be null or repeated.
+    A null or empty text is scored as one without words, a long one as a whole; ids may be null or repeated, repeated
+    rows get equal results, other columns are not read. An empty table gives an empty result.
     """
     got = docs.select("doc_id", rated(F.col("text"), model).alias("_r"))
     return got.select("doc_id", "_r.expected_grade", "_r.p_top", (F.col("_r.p_top") >= keep).alias("keep"))
 
 
 def selected(docs: DataFrame, model: OrdinalModel, keep: float = KEEP) -> DataFrame:
-    """The rows of `docs`, all columns, that are kept."""
+    """The rows of `docs`, all columns, that are kept; as in `classified`. No column may be called __rated."""
     return docs.withColumn("__rated", rated(F.col("text"), model)).filter(F.col("__rated.p_top") >= keep).drop("__rated")
