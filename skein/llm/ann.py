@@ -4,7 +4,8 @@ Centroids come from halving a bounded sample again and again at the median, so l
 centroids, searched in memory, finds the lists of a vector: those whose distance is within a ratio of the nearest
 one's. Vectors near a boundary go to several lists; the ratio of a query's lists is set on the sample, so that its own
 nearest neighbours are found with TARGET. Lists are packed into shards of bounded size (a large list into several),
-each query goes once to every shard that holds some of its lists, and distances are computed in double precision.
+each query goes once to every shard that holds some of its lists, where only these lists' rows are measured, in double
+precision.
 """
 
 from __future__ import annotations
@@ -21,13 +22,16 @@ from pyspark.sql import functions as F
 from .common import written
 from .vectors import dimension, matrix, usable
 
-#: Bounds of the fit: sampled vectors, lists. Rows of a list aimed at, of a shard, and queries of a shard's block.
-SAMPLE, MAX_LISTS, LIST_ROWS, SHARD_ROWS, BLOCK_QUERIES = 20_000, 16_384, 128, 8192, 4096
+#: Bounds of the fit: sampled vectors, lists. Beyond LIST_ROWS * MAX_LISTS rows (2 million) lists grow longer.
+SAMPLE, MAX_LISTS = 131_072, 16_384
+#: Rows of a list aimed at, of a shard, and queries of a shard's block.
+LIST_ROWS, SHARD_ROWS, BLOCK_QUERIES = 128, 8192, 4096
 #: Lists that a vector may be in, and how much farther than the nearest such a list may be.
-REPLICAS, SPREAD = 2, 1.1
+REPLICAS, SPREAD = 4, 1.15
 #: Neighbours of a node in the graph, random links beside them, and width of the search for a vector's own lists.
 NEIGHBOURS, LONG_LINKS, WIDTH = 24, 8, 32
-TARGET, CALIBRATION = 0.985, 256
+#: Share of the sample's nearest neighbours that the ratio has to reach, and queries it is measured with.
+TARGET, CALIBRATION = 0.98, 512
 
 
 def halved(x: np.ndarray, ids: np.ndarray, lists: int, rng: np.random.Generator) -> list[np.ndarray]:
@@ -99,20 +103,19 @@ def fitted(sample: np.ndarray, n: int, k: int) -> Index:
     graph = np.concatenate([np.concatenate(near), rng.integers(0, c, (c, LONG_LINKS))], axis=1)
     index = Index(centroids, graph, np.unique(rng.integers(0, c, 16)), 1.0, min(c, WIDTH))
     # where do the sample's own neighbours lie?
-    own = [set(x.tolist()) for x in index.lists(sample, SPREAD, WIDTH, REPLICAS)]
     ask = rng.choice(len(sample), min(CALIBRATION, len(sample)), replace=False)
     size = (sample**2).sum(axis=1)
     d = size[None] - 2 * sample[ask] @ sample.T
     d[np.arange(len(ask)), ask] = np.inf
     want = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
+    met = np.unique(want)
+    own = dict(zip(met.tolist(), index.lists(sample[met], SPREAD, WIDTH, REPLICAS), strict=True))
     ids, dist = index.search(sample[ask], c)
-    need, rank = [], []
+    need = []
     for row in range(len(ask)):
-        place = {int(x): p for p, x in enumerate(ids[row])}
-        for y in want[row]:
-            p = min(place.get(x, c - 1) for x in own[y])
-            need.append(math.sqrt(dist[row, p] / max(dist[row, 0], 1e-12)))
-            rank.append(p)
+        place = np.full(c, c - 1)
+        place[ids[row][ids[row] >= 0]] = np.flatnonzero(ids[row] >= 0)
+        need += [math.sqrt(dist[row, place[own[y]].min()] / max(dist[row, 0], 1e-12)) for y in want[row].tolist()]
     if need:
         index.ratio = float(np.quantile(need, TARGET)) + 1e-6
         within = (dist <= index.ratio**2 * dist[:, :1]).sum(axis=1)
@@ -120,60 +123,88 @@ def fitted(sample: np.ndarray, n: int, k: int) -> Index:
     return index
 
 
+def probed_share(index: Index, asked: np.ndarray) -> float:
+    """Mean share of all lists that the queries `asked` go to."""
+    return float(np.mean([len(x) for x in index.lists(asked, index.ratio, index.width, index.width)])) / len(index.centroids)
+
+
+def _copy_rank(x: np.ndarray, order_id: np.ndarray) -> np.ndarray:
+    """0 for the least id among equal rows, 1 for the next, and so on."""
+    key = np.ascontiguousarray(x + 0.0).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel()
+    _, same = np.unique(key, return_inverse=True)
+    order = np.lexsort((order_id, same))
+    first = np.flatnonzero(np.concatenate([[True], same[order][1:] != same[order][:-1]]))
+    out = np.empty(len(x), np.int64)
+    out[order] = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
+    return out
+
+
 def block_neighbours(base: pa.Table, asked: pa.Table, dim: int, k: int) -> pa.Table:
-    """base: rid, id, list, embedding; asked: rid, id, lists, embedding. The k nearest rows in the lists of each query."""
+    """base: rid, id, list, embedding; asked: rid, id, lists, embedding. The k nearest rows in the lists of each query.
+
+    Of equal rows only the k + 1 of the least ids can be among a query's k nearest others; the rest isn't measured.
+    """
     kinds = {"query_rid": pa.int64(), "query_id": pa.int64(), "rid": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}
+    none = pa.table({c: pa.array([], t) for c, t in kinds.items()})
     if not base.num_rows or not asked.num_rows:
-        return pa.table({c: pa.array([], t) for c, t in kinds.items()})
+        return none
     rid, lists = base.column("rid").to_numpy(), base.column("list").to_numpy()
-    names, local = np.unique(lists, return_inverse=True)
     _, one, back = np.unique(rid, return_index=True, return_inverse=True)
-    x, ids, rid = matrix(base.column("embedding").combine_chunks().take(pa.array(one)), dim), base.column("id").take(pa.array(one)), rid[one]
+    x, ids, rid = matrix(base.column("embedding").combine_chunks().take(pa.array(one)), dim), base.column("id").combine_chunks().take(pa.array(one)), rid[one]
     order_id = ids.fill_null(2**63 - 1).to_numpy()
-    member = np.zeros((len(names), len(one)), bool)
-    member[local, back] = True
-    norm = (x**2).sum(axis=1)
-    q, q_rid = matrix(asked.column("embedding"), dim), asked.column("rid").to_numpy()
-    q_lists = asked.column("lists").to_pylist()
-    who, what, score = [], [], []
-    for low in range(0, len(q), 128):
-        own = q[low : low + 128]
-        mask = np.zeros((len(own), len(names)), np.float32)
-        for row, wanted in enumerate(q_lists[low : low + 128]):
-            at = np.searchsorted(names, wanted)
-            at = at[at < len(names)]
-            mask[row, at[np.isin(names[at], wanted)]] = 1
-        d = norm[None] - 2 * own @ x.T + (own**2).sum(axis=1, keepdims=True)
-        d[(mask @ member.astype(np.float32)) == 0] = np.inf
-        d[rid[None] == q_rid[low : low + 128, None]] = np.inf
-        take = min(k, d.shape[1])
-        edge = np.partition(d, take - 1, axis=1)[:, take - 1]
-        slack = 1e-9 * (norm.max() + (own**2).sum(axis=1))
-        for row in range(len(own)):
-            found = np.flatnonzero(np.isfinite(d[row]) & (d[row] <= edge[row] + slack[row]))
-            exact = np.sqrt(((x[found] - own[row]) ** 2).sum(axis=1))
-            best = np.lexsort((order_id[found], exact))[:k]
-            who.append(np.full(len(best), low + row))
-            what.append(found[best])
-            score.append(exact[best])
-    who, what = np.concatenate(who), np.concatenate(what)
+    stays = _copy_rank(x, order_id)[back] <= k
+    back, lists = back[stays], lists[stays]
+    by_list = np.argsort(lists, kind="stable")
+    names, low = np.unique(lists[by_list], return_index=True)
+    members = dict(zip(names.tolist(), np.split(back[by_list], low[1:]), strict=True))
+    norm, q, q_rid = (x**2).sum(axis=1), matrix(asked.column("embedding"), dim), asked.column("rid").to_numpy()
+    q_norm = (q**2).sum(axis=1)
+    slack = 1e-9 * (norm.max() + q_norm)
+    wanted = asked.column("lists").combine_chunks()
+    who_asks = np.repeat(np.arange(len(q)), np.diff(wanted.offsets.to_numpy()))
+    asked_lists = wanted.flatten().to_numpy()
+    by_list = np.argsort(asked_lists, kind="stable")
+    names, low = np.unique(asked_lists[by_list], return_index=True)
+    who, what = [], []
+    for name, queries in zip(names.tolist(), np.split(who_asks[by_list], low[1:]), strict=True):
+        rows = members.get(name)
+        if rows is None:
+            continue
+        for some in np.array_split(queries, math.ceil(len(queries) * len(rows) / (1 << 21))):
+            d = norm[rows][None] - 2 * q[some] @ x[rows].T + q_norm[some][:, None]
+            d[rid[rows][None] == q_rid[some][:, None]] = np.inf
+            take = min(k, d.shape[1])
+            edge = np.partition(d, take - 1, axis=1)[:, take - 1]
+            i, j = np.nonzero((d <= (edge + slack[some])[:, None]) & np.isfinite(d))
+            who.append(some[i])
+            what.append(rows[j])
+    if not who:
+        return none
+    pairs = np.unique(np.concatenate(who) * np.int64(len(x)) + np.concatenate(what))
+    who, what = pairs // len(x), pairs % len(x)
+    exact = np.concatenate([np.sqrt(((x[what[a : a + 65536]] - q[who[a : a + 65536]]) ** 2).sum(axis=1)) for a in range(0, len(who), 65536)])
+    order = np.lexsort((order_id[what], exact, who))
+    first = np.flatnonzero(np.concatenate([[True], who[order][1:] != who[order][:-1]]))
+    rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+    best = order[rank < k]
+    who, what, exact = who[best], what[best], exact[best]
     query_id = asked.column("id").combine_chunks()
-    columns = [q_rid[who], query_id.take(pa.array(who)), rid[what], ids.take(pa.array(what)), np.concatenate(score)]
-    columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else pa.array(c) for c in columns]
+    columns = [pa.array(q_rid[who]), query_id.take(pa.array(who)), pa.array(rid[what]), ids.take(pa.array(what)), pa.array(exact)]
     return pa.table(dict(zip(kinds, columns, strict=True)))
 
 
-def neighbours(rows: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
+def neighbours(rows: DataFrame, every: int = 100, k: int = 10, dim: int | None = None) -> DataFrame:
     """rows: vec_id long, embedding (array of numbers); other columns are not read. Queries: vec_id divisible by `every`.
 
     Returns query_id, rank (from 1), vec_id, score (Euclidean distance in double precision): the k nearest rows found
-    other than the query's own row, ties to the smaller vec_id (null last), all if fewer. Vectors that are null, empty,
-    zero, not finite or shorter than the longest take no part. A repeated row is a candidate of its own, and asks on
-    its own. An empty table gives an empty result.
+    other than the query's own row, ties to the smaller vec_id (null last), all if fewer. dim: the vectors' length;
+    without it, the one that most usable vectors have (of ties the greater). Vectors that are null, empty, zero, not
+    finite or of another length take no part. A repeated row is a candidate of its own, and asks on its own. An empty
+    table gives an empty result.
     """
     spark = rows.sparkSession
     rows = rows.select("vec_id", "embedding")
-    dim = dimension(rows)
+    dim = dim or dimension(rows)
     good = rows.filter(usable() & (F.size("embedding") == max(1, dim))).withColumn("rid", F.monotonically_increasing_id())
     good = written(good, "ann-vectors")
     n = good.count()

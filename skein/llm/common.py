@@ -9,9 +9,9 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from skein.scratch import scratch_dir, written
+from skein.scratch import forget, scratch_dir, written
 
-__all__ = ["parts", "scratch_dir", "shipped", "tuned", "written"]
+__all__ = ["forget", "parts", "scratch_dir", "shipped", "tuned", "written"]
 
 
 def shipped(spark: SparkSession) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 
 def _star_step(e: DataFrame) -> DataFrame:
@@ -28,7 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct(), "edges")
     mark = None
     while True:
-        now = written(_star_step(now), "stars")
+        old, now = now, written(_star_step(now), "stars")
+        forget(old)
         was, mark = mark, tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if mark == was or not mark[0]:
             break

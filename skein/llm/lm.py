@@ -25,8 +25,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import written
@@ -207,7 +207,7 @@ class Model:
     @staticmethod
     def started(mass: np.ndarray, fit: Fit) -> Model:
         rng, n = np.random.default_rng(5), len(mass)
-        first = lambda: (rng.normal(size=(n, fit.size)) * fit.start / math.sqrt(fit.size)).astype(np.float32)
+        first = lambda: rng.standard_normal((n, fit.size), np.float32) * np.float32(fit.start / math.sqrt(fit.size))
         return Model(first(), first(), np.log(mass / mass.sum()).astype(np.float32), np.zeros((2, n), np.float32), np.full((3, n), 1e-6, np.float32))
 
     def packed(self) -> bytes:
@@ -232,7 +232,7 @@ class Model:
 
     def norms(self, low: int, high: int) -> np.ndarray:
         """log Z of the buckets low to high."""
-        s = self.r[low:high] @ self.q.T
+        s = self.r[low:high].astype(np.float32) @ self.q.T
         s += self.b
         top = s.max(axis=1, keepdims=True)
         s -= top
@@ -352,7 +352,7 @@ def _round(texts: DataFrame, model: Model, buckets: Buckets, fit: Fit, k: int) -
         width = -(-width // 16)
         models = models.repartition(width).mapInArrow(averaged, "model binary")
     rows = models.collect()
-    start.unpersist()
+    start.destroy()
     return Model.unpacked(bytes(rows[0]["model"]), n, fit.size) if rows else model
 
 
@@ -367,21 +367,17 @@ def trained(texts: DataFrame, n_tokens: int, buckets: Buckets, fit: Fit) -> Mode
     return model
 
 
-def normalisers(docs: DataFrame, model: Model) -> np.ndarray:
-    """log Z of every bucket, by blocks dealt to tasks."""
-    spark, n = docs.sparkSession, len(model.b)
-    if n <= 4 * NORM_ROWS:
-        return model.norms(0, n)
-    shared = spark.sparkContext.broadcast((model.r, model.q, model.b))
+def normalisers(spark: SparkSession, vectors: Broadcast, n: int) -> np.ndarray:
+    """log Z of every bucket, by blocks dealt to tasks. vectors: r, q, b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = Model(*shared.value, np.zeros(0), np.zeros(0))
+        r, q, b = vectors.value
+        whole = Model(r, q.astype(np.float32), b, np.zeros(0), np.zeros(0))
         for batch in batches:
             for k in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([whole.norms(k * NORM_ROWS, (k + 1) * NORM_ROWS).tolist()], pa.list_(pa.float64()))], names=["k", "z"])
 
     rows = spark.range(math.ceil(n / NORM_ROWS)).mapInArrow(run, "k long, z array<double>").collect()
-    shared.unpersist()
     return np.concatenate([np.array(z) for _, z in sorted((r["k"], r["z"]) for r in rows)])
 
 
@@ -402,10 +398,14 @@ def scored(docs: DataFrame, fit: Fit = Fit(), head_words: int = HEAD_WORDS) -> D
     buckets = bucketed(head, counts, fit.buckets)
     model = trained(learn, head.tokens, buckets, fit)
     unit = head.tokens + 0.5 * (head.types + 1)
-    shared = docs.sparkSession.sparkContext.broadcast((head, buckets, model.r, model.q, model.b, normalisers(docs, model)))
+    spark = docs.sparkSession
+    vectors = spark.sparkContext.broadcast((model.r.astype(np.float16), model.q.astype(np.float16), model.b))
+    model = None
+    shared = spark.sparkContext.broadcast((head, buckets, normalisers(spark, vectors, len(buckets.mass))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, buckets, r, q, b, norm = shared.value
+        (head, buckets, norm), (r, q, b) = shared.value, vectors.value
+        r, q = r.astype(np.float32), q.astype(np.float32)
         ln10 = np.log(10.0)
         for batch in batches:
             for rows, body, at in chunks(batch.column(3)):

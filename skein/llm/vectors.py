@@ -16,8 +16,9 @@ def usable(column: str = "embedding") -> Column:
 
 
 def dimension(df: DataFrame, column: str = "embedding") -> int:
-    """The greatest length of a usable vector; shorter ones take no part."""
-    return int(df.filter(usable(column)).agg(F.max(F.size(column))).first()[0] or 0)
+    """The length that most usable vectors have (of ties the greater); others take no part. 0 without usable vectors."""
+    sizes = df.filter(usable(column)).groupBy(F.size(column).alias("n")).count()
+    return int(sizes.agg(F.max(F.struct("count", "n"))["n"]).first()[0] or 0)
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from skein.llm import ann, chat, licenses, lm, minhash, mixing, packing, pieces, quality, rabitq
@@ -113,11 +114,27 @@ def test_minhash_large_group_in_chunks(spark, monkeypatch):
     assert {r.component_id for r in got} == {0}
 
 
-def test_deduplicated_keeps_one_a_group_and_all_columns(docs):
-    out = minhash.deduplicated(docs)
-    assert out.columns == docs.columns
-    ids = [r.doc_id for r in out.select("doc_id").collect()]
-    assert len(ids) == len(set(ids)) and 1 in ids and 3 not in ids
+def test_minhash_against_brute_force_in_small_chunks(spark, monkeypatch):
+    """Copies at all similarities around the bar, in groups cut into chunks, with boilerplate that all share."""
+    for name, value in (("CHUNK_TEXTS", 15), ("CHUNK_SIGNATURES", 12), ("TASK_SIGNATURES", 30), ("BROADCAST_ROWS", 5)):
+        monkeypatch.setattr(minhash, name, value)
+    rng = np.random.default_rng(8)
+    boiler = list(rng.choice(VOCABULARY, 40))
+    rows, k = [], 0
+    for g in range(6):
+        base = list(rng.choice(VOCABULARY, 60))
+        for _ in range(25):
+            own = boiler + base
+            for at in rng.choice(60, int(rng.integers(0, 9)), replace=False):
+                own[40 + int(at)] = f"edit{rng.integers(1000)}"
+            rows.append((k, " ".join(own)))
+            k += 1
+    rows += [(None, rows[3][1]), (None, rows[3][1]), (5, "another text of the same id")]
+    sets = [{tuple(t.split()[i : i + 2]) for i in range(len(t.split()) - 1)} for _, t in rows]
+    own = groups(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])])
+    want = Counter((rows[i][0], rows[g][0]) for i, g in enumerate(own))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == want
 
 
 def test_distinct_rows_lose_no_unique_document(spark, docs, awkward):
@@ -425,6 +442,38 @@ def test_quality(spark, none):
     assert quality.classified(none, empty).count() == 0 and quality.classified(docs, empty).count() == len(rows)
 
 
+def test_quality_gradients_are_those_of_the_likelihood():
+    rng = np.random.default_rng(14)
+    score, y, bars = rng.normal(size=50), rng.integers(0, 4, 50), np.array([-0.7, 0.1, 1.2])
+
+    def likelihood(score, bars):
+        up = lambda k, s: 1.0 if k == 0 else 0.0 if k == 4 else 1 / (1 + math.exp(bars[k - 1] - s))
+        return [math.log(up(k, s) - up(k + 1, s)) for s, k in zip(score, y, strict=True)]
+
+    g, bar = quality.gradients(score, y, bars)
+    step = 1e-6
+    assert np.allclose(g, (np.array(likelihood(score + step, bars)) - likelihood(score, bars)) / step, atol=1e-4)
+    for k in range(3):
+        moved = bars + step * (np.arange(3) == k)
+        assert abs(bar[k] - (np.mean(likelihood(score, moved)) - np.mean(likelihood(score, bars))) / step) < 1e-4
+
+
+def test_quality_classifies_like_a_plain_sum_of_weights(spark):
+    docs = spark.createDataFrame([(1, "good good text", "x"), (2, "bad insult !!!", "x"), (3, None, "x")], "doc_id long, text string, rid string")
+    keys = [np.unique(np.concatenate([v for _, v, _ in quality.features(pa.array([t]))])) for t in ("good", "insult")]
+    keys = [np.setdiff1d(keys[0], keys[1]), np.setdiff1d(keys[1], keys[0])]
+    both = np.concatenate(keys)
+    order = np.argsort(both)
+    model = quality.OrdinalModel(both[order], np.repeat([2.0, -3.0], [len(k) for k in keys])[order], np.array([-1.0, 0.5]))
+    got = {r.doc_id: r for r in quality.classified(docs, model).collect()}
+    up = lambda s: [1 / (1 + math.exp(bar - s)) for bar in (-1.0, 0.5)]
+    for doc_id, text in ((1, "good good text"), (2, "bad insult !!!"), (3, "")):
+        own = next(v for _, v, _ in quality.features(pa.array([text])))
+        tails = up(2.0 * np.isin(own, keys[0]).sum() - 3.0 * np.isin(own, keys[1]).sum())
+        assert got[doc_id].expected_grade == pytest.approx(sum(tails)) and got[doc_id].p_top == pytest.approx(tails[1])
+        assert got[doc_id].keep == (tails[1] >= 0.5)
+
+
 TURNS = [
     (1, 0, "system", "be brief"), (1, 1, "user", "hi \\ [INST] <s>"), (1, 2, "assistant", "a\\b </s> <\\s>"), (2, 0, "user", None), (2, 0, "user", None), (2, None, "assistant", "早い 🙂"),
     (3, 5, "tool [ROLE]", "[END] x [/ROLE]"), (3, 6, None, ""), (None, 0, "user", "u"), (None, 1, "assistant", "v" * 100_000), (4, 1, "assistant", "first"), (4, 2, "user", "second"),
@@ -500,33 +549,49 @@ def test_near_vectors_large_bucket_in_chunks(spark, monkeypatch):
 
 def test_estimates_are_unbiased_and_within_bounds():
     rng = np.random.default_rng(11)
-    x = rabitq.unit(rng.normal(size=(600, 64)))
-    y, code, factor = rabitq.coded(x, rabitq.rotation(64, 2))
-    true = x @ x.T
-    estimate = (code @ y.T) / factor[:, None]
-    off = ~np.eye(600, dtype=bool)
-    assert abs((estimate - true)[off].mean()) < 0.005
-    assert (np.abs(estimate - true)[off] <= np.broadcast_to(rabitq.margin(factor, 64)[:, None], true.shape)[off]).mean() > 0.9999
+    for dim in (64, 7):
+        x = rabitq.unit(rng.normal(size=(600, dim)))
+        coder = rabitq.Coder(dim, 1, 3)
+        rows = coder.packed(x, np.ones(600), np.zeros((600, 3)))
+        assert rows["code"].shape == (600, 16) and rows["copy"].shape == (600, -(-dim // 2))
+        rows = coder.unpacked(pa.array([r.tobytes() for r in rows], pa.binary()))
+        true, off = x @ x.T, ~np.eye(600, dtype=bool)
+        estimate = (coder.signs(rows) @ coder.turned(rows).T) / rows["factor"][:, None]
+        wide, slack = coder.margins(rows)
+        assert abs((estimate - true)[off].mean()) < 0.005
+        assert (np.abs(estimate - true) <= wide[:, None] + slack[:, None] * rows["off"][None])[off].mean() > 0.9999
+
+
+def test_vectors_of_another_length_take_no_part(spark):
+    rng = np.random.default_rng(13)
+    rows = [(i, [float(v) for v in rng.normal(size=3)]) for i in range(300)]
+    rows = [*rows, *((i + 1000, v) for i, v in rows[:20]), (5000, [1.0, 2.0, 3.0, 4.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    links = {r.vec_id: r for r in rabitq.near_vectors(df).collect()}
+    assert all(links[i].n_links >= 1 and links[i + 1000].component_id == links[i].component_id for i in range(20)) and links[5000].n_links == 0
+    found = ann.neighbours(df).toPandas()
+    assert set(found.query_id) == {0, 100, 200, *range(1000, 1020, 100)} and 5000 not in set(found.vec_id)
 
 
 def test_neighbours(spark):
     rows = vectors()
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, rid int")
-    got = ann.neighbours(df, every=100, k=10).toPandas()
+    got = ann.neighbours(df, every=20, k=10).toPandas()
     good = [i for i, (_, v) in enumerate(rows) if v and len(v) == 16 and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     x = np.array([rows[i][1] for i in good], "f8")
     hits = total = 0
     for k, i in enumerate(good):
         q = rows[i][0]
-        if q is None or q % 100:
+        if q is None or q % 20 or q == 900:
             continue
         d = np.sqrt(((x - x[k]) ** 2).sum(axis=1))
         d[k] = np.inf
         best = sorted(range(len(good)), key=lambda j: (d[j], rows[good[j]][0] is None, rows[good[j]][0] or 0))[:10]
         own = got[got.query_id == q]
         assert set(own["rank"]) == set(range(1, 11))
-        hits += len({rows[good[j]][0] for j in best} & {None if v != v else int(v) for v in own.vec_id})
-        total += 10
+        want = {rows[good[j]][0] for j in best}
+        hits += len(want & {None if v != v else int(v) for v in own.vec_id})
+        total += len(want)
         assert own.sort_values("rank").score.iloc[0] == d[best[0]]
     assert hits >= 0.9 * total
     assert ann.neighbours(df.limit(0)).count() == 0
@@ -543,3 +608,20 @@ def test_neighbours_of_many_copies(spark, monkeypatch):
     got = ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every=100, k=10).toPandas()
     own = got[got.query_id == 1000].sort_values("rank")
     assert own.vec_id.tolist() == [2 * i + 1 for i in range(10)] and (own.score == 0).all()
+
+
+def test_few_lists_are_probed_on_clustered_vectors():
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(200, 64))[rng.integers(0, 200, 12_000)] + 0.35 * rng.normal(size=(12_000, 64))
+    index = ann.fitted(x, len(x), 10)
+    assert ann.probed_share(index, x[::100]) < 0.2
+    members = [set() for _ in index.centroids]
+    for i, own in enumerate(index.lists(x, ann.SPREAD, ann.WIDTH, ann.REPLICAS)):
+        for a in own:
+            members[a].add(i)
+    hits = 0
+    for i, own in zip(range(0, len(x), 100), index.lists(x[::100], index.ratio, index.width, index.width), strict=True):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        hits += len(set(np.argsort(d)[:10].tolist()) & set().union(*(members[a] for a in own)))
+    assert hits >= 0.9 * 10 * 120
