@@ -82,12 +82,15 @@ class Index:
             new = self.graph[ids[rows, at]]
         return ids, np.maximum(dist + (x**2).sum(axis=1, keepdims=True), 0)
 
-    def lists(self, x: np.ndarray, ratio: float, width: int, most: int) -> Iterator[np.ndarray]:
-        """Lists of each row: those within `ratio` times the least distance, nearest first."""
+    def lists(self, x: np.ndarray, ratio: float, width: int, most: int, sizes: np.ndarray | None = None, rows: int = 0) -> Iterator[np.ndarray]:
+        """Lists of each row: those within `ratio` times the least distance, nearest first, and as many as hold `rows` rows by `sizes`."""
         for low in range(0, len(x), 512):
             ids, dist = self.search(x[low : low + 512], width)
             for own, d in zip(ids, dist, strict=True):
-                yield own[: min(most, int((d <= ratio**2 * d[0] + 1e-12).sum()))]
+                n = min(most, int((d <= ratio**2 * d[0] + 1e-12).sum()))
+                if sizes is not None:
+                    n = max(n, min(len(own), int(np.searchsorted(np.cumsum(sizes[own]), rows)) + 1))
+                yield own[:n]
 
 
 def fitted(sample: np.ndarray, n: int, k: int) -> Index:
@@ -100,7 +103,11 @@ def fitted(sample: np.ndarray, n: int, k: int) -> Index:
     for low in range(0, c, 256):
         d = norm[None] - 2 * centroids[low : low + 256] @ centroids.T
         near.append(np.argsort(d, axis=1, kind="stable")[:, : min(c, NEIGHBOURS + 1)])
-    graph = np.concatenate([np.concatenate(near), rng.integers(0, c, (c, LONG_LINKS))], axis=1)
+    graph = np.sort(np.concatenate([np.concatenate(near), rng.integers(0, c, (c, LONG_LINKS))], axis=1), axis=1)
+    again = np.zeros(graph.shape, bool)
+    again[:, 1:] = graph[:, 1:] == graph[:, :-1]
+    # a second link to the same node becomes one to the node itself, which the search has seen when it follows links
+    graph = np.where(again, np.arange(c)[:, None], graph)
     index = Index(centroids, graph, np.unique(rng.integers(0, c, 16)), 1.0, min(c, WIDTH))
     # where do the sample's own neighbours lie?
     ask = rng.choice(len(sample), min(CALIBRATION, len(sample)), replace=False)
@@ -213,21 +220,23 @@ def neighbours(rows: DataFrame, every: int = 100, k: int = 10, dim: int | None =
     sample = good.select("embedding").orderBy(F.xxhash64("rid"), "rid").limit(SAMPLE).toArrow()
     index = fitted(matrix(sample.column("embedding"), dim), n, k)
     shared = spark.sparkContext.broadcast(index)
+    lengths = np.zeros(0, np.int64)
     kind = dict(rows.dtypes)["embedding"]
 
     def listed(batches: Iterator[pa.RecordBatch], asking: bool) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        ratio, width, most = (index.ratio, index.width, index.width) if asking else (SPREAD, WIDTH, REPLICAS)
+        how = (index.ratio, index.width, index.width, lengths, REPLICAS * (k + 1)) if asking else (SPREAD, WIDTH, REPLICAS)
         for batch in batches:
-            lists = [x.tolist() for x in index.lists(matrix(batch.column(2), dim), ratio, width, most)]
+            lists = [x.tolist() for x in index.lists(matrix(batch.column(2), dim), *how)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), pa.array(lists, pa.list_(pa.int32()))], names=["rid", "id", "embedding", "lists"])
 
     schema = f"rid long, id long, embedding {kind}, lists array<int>"
     parts_ = good.select("rid", F.col("vec_id").alias("id"), "embedding")
     placed = written(parts_.mapInArrow(lambda b: listed(b, False), schema), "ann-placed")
     sizes = placed.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("n")).collect()
-    plan, shard, room = [], 0, SHARD_ROWS
+    plan, shard, room, lengths = [], 0, SHARD_ROWS, np.zeros(len(index.centroids), np.int64)
     for name, size in sorted((r["list"], r["n"]) for r in sizes):
+        lengths[name] = size
         if size > room:
             shard, room = shard + 1, SHARD_ROWS
         blocks = math.ceil(size / SHARD_ROWS)
