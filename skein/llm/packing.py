@@ -1,7 +1,7 @@
 """Best-fit packing of tokenised documents into sequences by a grouping genetic algorithm on islands.
 
 Pieces are dealt at random to shards of bounded size. Each shard is evolved on several islands from different seeds;
-between the rounds an island gets its neighbour's elite. A crossover injects well-filled bins of one parent whole into
+between the rounds an island gets its neighbour's elite, until a shard needs no more bins than its total does. A crossover injects well-filled bins of one parent whole into
 the other, drops the bins that hold an injected piece already, and best-fits the pieces so displaced. Bins that stay
 poorly filled are dealt to new shards and packed again.
 """
@@ -24,7 +24,9 @@ from .words import chunks
 
 CAPACITY = 4096
 END_ID = 1
-SHARD_PIECES, ISLANDS, POPULATION, GENERATIONS, ELITE = 8192, 2, 4, 6, 1
+#: Pieces of a shard, islands it is evolved on, rounds (between two of them elites migrate), and of a round on an island:
+#: packings kept, generations, and packings that migrate.
+SHARD_PIECES, ISLANDS, ROUNDS, POPULATION, GENERATIONS, ELITE = 8192, 3, 4, 6, 12, 2
 #: Bins filled below this share go to the next level; levels at most.
 WELL_FILLED, LEVELS = 0.98, 3
 
@@ -36,7 +38,7 @@ def tokenised(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Data
         words = encoder(tokenizer)
         for batch in batches:
             for rows, body, at in chunks(batch.column(1)):
-                ids, first = words.texts([body[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)])
+                ids, first = words.chunk(body, at)
                 doc, piece, start, length, crc = [], [], [], [], []
                 for k in range(len(at) - 1):
                     own = np.append(ids[first[k] : first[k + 1]], np.uint32(END_ID)).astype("<u4")
@@ -100,14 +102,17 @@ def crossover(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, capacity: int, rn
     return renumbered(best_fit(child, sizes, lost[np.argsort(-sizes[lost], kind="stable")], capacity))
 
 
-def evolved(sizes: np.ndarray, population: list[np.ndarray], seed: int, capacity: int) -> list[np.ndarray]:
-    """`population` filled up to POPULATION and evolved, best first; ends once the bins are as few as the total allows."""
+def evolved(sizes: np.ndarray, population: list[np.ndarray], seed: tuple[int, ...], capacity: int, stats: list[int] | None = None) -> list[np.ndarray]:
+    """`population` filled up to POPULATION and evolved, best first; ends once the bins are as few as the total allows.
+
+    The first packing is best fit by falling size; others bend the sizes that order the pieces. stats: crossovers run.
+    """
     rng, bound = np.random.default_rng(seed), math.ceil(sizes.sum() / capacity)
     score = lambda x: fitness(x, sizes, capacity)
     while len(population) < POPULATION:
         if any(score(x)[0] <= bound for x in population):
             break
-        bent = sizes * (1 + (0.1 * rng.random(len(sizes)) if population or seed % ISLANDS else 0))
+        bent = sizes * (1 + (0.15 * rng.random(len(sizes)) if population else 0))
         population.append(renumbered(best_fit(np.full(len(sizes), -1), sizes, np.argsort(-bent, kind="stable"), capacity)))
     population.sort(key=score)
     for _ in range(GENERATIONS):
@@ -115,16 +120,20 @@ def evolved(sizes: np.ndarray, population: list[np.ndarray], seed: int, capacity
             break
         i, j = sorted(rng.choice(len(population), 2, replace=False))
         children = [crossover(population[i], population[j], sizes, capacity, rng), crossover(population[j], population[i], sizes, capacity, rng)]
-        population = sorted([*population, *children], key=score)[:POPULATION]
+        if stats is not None:
+            stats[0] += 2
+        # equal packings would fill the island with one another's copies
+        distinct = {score(x): x for x in [*children, *reversed(population)]}
+        population = sorted(distinct.values(), key=score)[:POPULATION]
     return population
 
 
-def _round(rows: Iterator[pa.RecordBatch], capacity: int, last: bool) -> Iterator[pa.RecordBatch]:
-    """Rows: shard, island, sizes, elites (arrays of bins). Gives shard, island, n_bins, elites; the last round: the best one."""
+def _round(rows: Iterator[pa.RecordBatch], capacity: int, k: int) -> Iterator[pa.RecordBatch]:
+    """Round k. Rows: shard, island, sizes, elites (arrays of bins). Gives shard, island, n_bins, elites; the last round: the best one."""
     for batch in rows:
         for shard, island, sizes, elites in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
             sizes = np.array(sizes, np.int64)
-            best = evolved(sizes, [np.array(x, np.int32) for x in elites], shard * ISLANDS + island, capacity)[: 1 if last else ELITE]
+            best = evolved(sizes, [np.array(x, np.int32) for x in elites], (shard, island, k), capacity)[: 1 if k == ROUNDS - 1 else ELITE]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([shard], pa.int64()), pa.array([island], pa.int32()), pa.array([fitness(best[0], sizes, capacity)[0]], pa.int32()), pa.array([[x.tolist() for x in best]], pa.list_(pa.list_(pa.int32())))],
                 names=["shard", "island", "n_bins", "elites"],
@@ -141,17 +150,24 @@ def _packed_once(pieces: DataFrame, n: int, capacity: int) -> DataFrame:
     width = min(parts(pieces.sparkSession), shards * ISLANDS)
     schema = "shard long, island int, n_bins int, elites array<array<int>>"
     each = dealt.select("shard", F.explode(F.array(*[F.lit(k) for k in range(ISLANDS)])).alias("island"), F.col("items.length").alias("sizes"))
-    empty = F.array().cast("array<array<int>>").alias("elites")
-    first = each.repartition(width, "shard", "island").select("shard", "island", "sizes", empty).mapInArrow(lambda x: _round(x, capacity, False), schema)
-    first = written(first, "pack-elites")
-    guests = first.select("shard", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("elites").alias("guests"))
-    again = each.join(first, ["shard", "island"]).join(guests, ["shard", "island"])
-    again = again.select("shard", "island", "sizes", F.concat("elites", "guests").alias("elites")).mapInArrow(lambda x: _round(x, capacity, True), schema)
-    best = again.groupBy("shard").agg(F.min_by(F.col("elites")[0], F.struct("n_bins", "island")).alias("bins"))
+    now = each.repartition(width, "shard", "island").select("shard", "island", "sizes", F.array().cast("array<array<int>>").alias("elites"))
+    for k in range(ROUNDS):
+        done = written(now.mapInArrow(lambda x, k=k: _round(x, capacity, k), schema), "pack-elites")
+        # shards that have a packing into as few bins as their total allows rest
+        least = done.groupBy("shard").agg(F.min("n_bins").alias("n_bins"))
+        goal = dealt.select("shard", F.ceil(F.expr("aggregate(items.length, 0L, (a, b) -> a + b)") / capacity).alias("goal"))
+        open_ = least.join(goal, "shard").filter("n_bins > goal").select("shard")
+        rest = done.join(open_, "shard", "left_anti") if k < ROUNDS - 1 else done
+        best = rest.select("shard", "island", "n_bins", F.col("elites")[0].alias("bins"))
+        found = best if k == 0 else found.unionByName(best)
+        if k == ROUNDS - 1 or open_.isEmpty():
+            break
+        guests = done.select("shard", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("elites").alias("guests"))
+        again = each.join(open_, "shard", "left_semi").join(done, ["shard", "island"]).join(guests, ["shard", "island"])
+        now = again.select("shard", "island", "sizes", F.concat("elites", "guests").alias("elites"))
+    best = found.groupBy("shard").agg(F.min_by("bins", F.struct("n_bins", "island")).alias("bins"))
     both = dealt.join(best, "shard").select("shard", F.posexplode(F.arrays_zip("items", "bins")))
     rows = both.select("shard", F.col("col.bins").cast("long").alias("bin"), "pos", "col.items.*")
-
-
     bin_ = Window.partitionBy("shard", "bin")
     before = F.sum("length").over(bin_.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")
     return rows.withColumn("offset", before).withColumn("load", F.sum("length").over(bin_)).drop("pos")
@@ -185,5 +201,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def packed_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """docs: doc_id, text; other columns are not read."""
+    """docs: doc_id, text; other columns are not read. One row a piece, as in `pack`.
+
+    A null or empty text is one piece of the end id alone. Texts of any length are cut at the capacity only. Ids may be
+    null or repeated: each row is a document of its own. An empty table gives an empty result.
+    """
     return pack(written(tokenised(docs, tokenizer, capacity), "pieces"), capacity)

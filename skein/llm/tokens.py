@@ -17,6 +17,8 @@ import regex
 import tiktoken
 from tokenizers import Tokenizer
 
+from .words import split
+
 #: Stands for the end of a word in the fast encoder; no UTF-8 text holds this byte.
 WORD_END = b"\xff"
 CACHE_WORDS = 200_000
@@ -58,7 +60,7 @@ class WordEncoder(dict):
 
     def clear(self) -> None:
         super().clear()
-        self.ids, self.at = array("I"), array("q", [0])
+        self.ids, self.at, self.by_hash = array("I"), array("q", [0]), {}
 
     def encoded(self, word: bytes) -> list[int]:
         if self.fast is not None:
@@ -76,16 +78,32 @@ class WordEncoder(dict):
         self[word] = n = len(self.at) - 2
         return n
 
-    def texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row (uint32), and each text's first and, last, their number."""
+    def chunk(self, body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a chunk of texts (bytes, offsets) in a row (uint32), and each text's first and, last, their number.
+
+        Words are told apart by 64-bit hashes, so that each distinct word of the chunk is looked up once.
+        """
         if len(self) > CACHE_WORDS:
             self.clear()
+        if b"<|" in body.tobytes():
+            return self.texts([body[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)])
+        words = split(body, at)
+        found, first, same = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        place = np.fromiter((self.by_hash.get(h, -1) for h in found.tolist()), np.int64, len(found))
+        for k in np.flatnonzero(place < 0).tolist():
+            place[k] = self.by_hash[int(found[k])] = self[words.word(int(first[k]))]
+        return self._joined(place[same], words.counts())
+
+    def texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As `chunk`, word by word."""
         places, counts = [], []
         for text in texts:
             words = (text if b"<|" in text else text.lower()).split()
             places.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
             counts.append(len(words))
-        word = np.concatenate(places) if places else np.zeros(0, np.int64)
+        return self._joined(np.concatenate(places) if places else np.zeros(0, np.int64), np.array(counts, np.int64))
+
+    def _joined(self, word: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at, ids = np.array(self.at, np.int64), np.array(self.ids, np.uint32)
         size = at[word + 1] - at[word]
         until = np.concatenate([[0], np.cumsum(size)])

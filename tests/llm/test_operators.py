@@ -269,6 +269,31 @@ def test_packing_over_shards(spark, monkeypatch):
     assert load.max() <= 4096 and len(load) <= 1.05 * math.ceil(sizes.sum() / 4096)
 
 
+def test_packing_saves_bins_against_best_fit(spark):
+    """Sizes of a quarter to a half of the capacity, where best fit by falling size leaves gaps; also as sum of all gaps."""
+    rng = np.random.default_rng(16)
+    sizes = rng.integers(1025, 2049, 2000)
+    plain = packing.best_fit(np.full(2000, -1), sizes, np.argsort(-sizes, kind="stable"), 4096)
+    rows = [(i, 0, 0, int(n), 0) for i, n in enumerate(sizes)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")).toPandas()
+    assert sorted(got.doc_id) == list(range(2000)) and got.groupby("sequence_id").length.sum().max() <= 4096
+    assert got.sequence_id.nunique() < plain.max() + 1
+
+
+def test_chunks_of_words_have_the_library_ids():
+    from tokenizers import Tokenizer
+
+    from skein.llm.tokens import WordEncoder
+
+    library, words_ = Tokenizer.from_file(tokenizer_path()), WordEncoder(tokenizer_path())
+    texts = ["Don't STOP naïve ÉTÉ 日本語", "", "a  b\n\tc", "x" * 3000, "🙂 it's 12345", "again again"]
+    for some in (texts, [*texts, "<|endoftext|> <|EndOfText|>"]):
+        body = [t.encode() for t in some]
+        at = np.concatenate([[0], np.cumsum([len(b) for b in body])])
+        ids, first = words_.chunk(np.frombuffer(b"".join(body), np.uint8), at)
+        assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [library.encode(t, add_special_tokens=False).ids for t in some]
+
+
 def test_crossover_keeps_every_piece():
     rng = np.random.default_rng(5)
     sizes = rng.integers(1, 3000, 300)
