@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
-from skein.functions.prose import positions, snippets
-from skein.operators import digests, reads, records, search, threads
+from skein.functions.prose import snippets
+from skein.operators import chunking, digests, reads, records, search, threads
+from skein.operators import positions as stances
 
 Embed = Callable[[str], list[float]]
 
@@ -76,9 +77,10 @@ class Engine:
             lists = self.table("centroids", corpus)
             if "cluster_id" in lists.columns:
                 chunks = search.probed(chunks, lists, self._query(query))
-        out = self._hits(chunks, self._query(query), limit, diversify and group_by is None, group_by, snippet)
-        if collapse_versions and group_by is None:
-            out = search.newest_revisions(out)
+        thin = collapse_versions and group_by is None
+        out = self._hits(chunks, self._query(query), max(4 * limit, 20) if thin else limit, diversify and group_by is None, group_by, snippet)
+        if thin:
+            out = search.newest_revisions(out).orderBy("place").limit(limit)
         return out.orderBy(F.desc("chunk_date"), "file", "chunk_idx") if sort == "date" and group_by is None else out
 
     def find_related(self, corpus: str, file: str, chunk_idx: int, limit: int = 10, **facets) -> DataFrame:
@@ -90,13 +92,14 @@ class Engine:
     def search_corpora(self, corpora: list[str], query: str, limit: int = 10, **facets) -> DataFrame:
         names = list(dict.fromkeys(corpora))[: search.CORPORA_MOST]
         chunks = search.facets(self.table("chunks").filter(F.col("corpus").isin(*names)), **facets)
-        models = self.table("corpora").select("corpus", "model")
+        order = F.array_position(F.array(*[F.lit(x) for x in names]), F.col("corpus"))
+        models = self.table("corpora").filter(F.col("corpus").isin(*names)).select("corpus", "model", order.alias("place")).limit(search.CORPORA_MOST)
         hits = search.collapsed(search.scan(chunks.drop("model"), self._query(query)), ("corpus", "file", "chunk_idx")).join(F.broadcast(models), "corpus")
-        return search.merged_corpora(hits.withColumn("id", F.concat_ws("#", "file", "chunk_idx")).select("corpus", "model", "score", "id", "title"), limit)
+        return search.merged_corpora(hits.withColumn("id", F.concat_ws("#", "file", "chunk_idx")).select("corpus", "model", "score", "id", "title", "place"), limit)
 
     def search_rfc_text(self, query: str, limit: int = 10) -> DataFrame:
         c = self.table("chunks", "rfc")
-        hits = search.top(search.collapsed(search.scan(c, self._query(query))), 100)
+        hits = search.top(search.collapsed(search.scan(c, self._query(query))), 200)
         cites = self.table("rfc_refs").groupBy(F.col("dst").alias("doc")).agg(F.count("*").alias("citations"))
         rows = hits.withColumn("doc", F.regexp_extract("file", r"([^/]+?)(?:\.txt)?$", 1)).join(cites, "doc", "left").withColumn("citations", F.coalesce("citations", F.lit(0)))
         return search.documents_ranked(rows, search.title_overlap(query, F.col("title"))).limit(limit)
@@ -132,9 +135,28 @@ class Engine:
             return reads.outline(c).orderBy("first")
         return reads.section_runs(c.filter(F.col("section") == section).select("file", "chunk_idx", "section", "text"))
 
-    def get_draft(self, corpus: str, name: str) -> DataFrame:
-        drafts = self.table("drafts", corpus).filter(F.col("draft") == name)
-        return reads.newest_revision(drafts)
+    def get_draft(self, corpus: str, name: str, section: str | None = None, start_line: int | None = None, max_lines: int = 400, outline: bool = False) -> DataFrame:
+        """The newest revision: its path, its outline, a section with its subsections, or a window of lines."""
+        newest = reads.newest_revision(self.table("drafts", corpus).filter(F.col("draft") == name))
+        if section is None and start_line is None and not outline:
+            return newest
+        files = self.table("files", corpus).withColumnRenamed("relpath", "file")
+        own = files.join(F.broadcast(newest.select(F.col("path").alias("file")).limit(1)), "file", "left_semi").select("file", "text")
+        if outline:
+            return reads.headings(own).orderBy("line")
+        if section is not None:
+            return reads.draft_section(own, section)
+        return reads.line_window(own, start_line, start_line + max_lines - 1).orderBy("line")
+
+    def matched_passage(self, rfc: str, section: str | None, chunk_idx: int) -> DataFrame:
+        c = self.table("chunks", "rfc").filter((F.regexp_extract("file", r"([^/]+?)(?:\.txt)?$", 1) == rfc) & (F.col("sub_idx") == 0))
+        hit = c.filter(F.col("section").eqNullSafe(F.lit(section)) & (F.col("chunk_idx") == chunk_idx)).select("file", "chunk_idx", "section")
+        return reads.matched_passage(c, hit)
+
+    def grep_rfc_corpus(self, pattern: str, regex: bool = False, case_sensitive: bool = False) -> tuple[DataFrame, DataFrame]:
+        """Sections of documents that match, joined over their chunks, and the totals over everything."""
+        wanted = ("" if case_sensitive else "(?i)") + pattern if regex else reads.literal(pattern, not case_sensitive, loose_spaces=True)
+        return reads.section_scan(self.table("chunks", "rfc").filter("sub_idx = 0").select("file", "chunk_idx", "section", "text"), wanted)
 
     def get_issue(self, corpus: str, number: int, repo: str | None = None) -> DataFrame:
         """The issue, or one row for each repository that has the number: the caller must choose."""
@@ -144,6 +166,7 @@ class Engine:
     def grep_corpus(self, corpus: str, pattern: str, regex: bool = False, case_sensitive: bool = False, file_pattern: str | None = None, limit: int = 50, files_only: bool = False, max_per_file: int | None = None) -> DataFrame:
         files = self.table("files", corpus).withColumnRenamed("relpath", "file")
         files = files.filter(search.like(F.col("file"), file_pattern)) if file_pattern else files
+        files = files.filter(~reads.is_derived(F.col("file"), file_pattern))
         wanted = ("(?m)" if case_sensitive else "(?mi)") + pattern if regex else reads.literal(pattern, not case_sensitive)
         if files_only:
             return reads.lines(files).filter(F.col("line_text").rlike(wanted)).groupBy("file").agg(F.count("*").alias("hits")).orderBy("file")
@@ -185,9 +208,19 @@ class Engine:
         edges = threads.linked(found, m.select(F.col("message_id").alias("id"), F.col("archived_at").alias("url"))).select(F.col("id").alias("src"), F.col("target").alias("dst"), "url")
         return records.both_directions(edges, F.lit(message_id))
 
-    def tally_positions(self, corpus: str, thread: str) -> DataFrame:
+    def tally_positions(self, corpus: str, thread: str) -> dict[str, DataFrame]:
+        """Summary (counts null where coverage is too low), positions by message, poll choices, last votes and chairs' declarations.
+
+        In threads of issues and pull requests a number sign at the start of a line names an issue and is no vote.
+        """
         m = self.table("messages", corpus).filter(F.col("thread") == thread)
-        return m.select("message_id", "sender", positions(F.col("body")).alias("p")).select("message_id", "sender", "p.*")
+        m = m.withColumn("idx", F.row_number().over(Window.orderBy("date", "message_id"))) if "idx" not in m.columns else m
+        own = stances.classified(m.select("thread", "idx", "sender", "body"), bare_hash=not thread.startswith(("issues/", "pulls/")))
+        out = {"summary": stances.tally(own), "positions": own.orderBy("idx"), "poll": stances.poll(own).orderBy("place"), "votes": stances.votes(own).orderBy("sender")}
+        if "people" in self.tables and "role" in self.tables["people"].columns:
+            roles = self.table("people", corpus).select(F.col("name").alias("sender"), "role")
+            out["chairs"] = stances.chair_statements(m.select("thread", "idx", "sender", "body"), roles).orderBy("idx")
+        return out
 
     # derived tables
 
@@ -205,7 +238,8 @@ class Engine:
             rows = rows.withColumn("last", F.col("updated")).withColumn("label", F.array_join("labels", ","))
             return digests.sectioned(digests.matching(rows, **filters), "repo", [F.desc(F.col("state") == "open"), F.desc("updated"), F.asc("number")], limit)
         rows = digests.matching(rows, **filters)
-        return rows.orderBy(F.desc("last"), "thread").limit(limit) if kind == "threads" else rows.limit(limit)
+        order = [F.desc("last"), "thread"] if kind == "threads" else rows.columns[:3]
+        return rows.orderBy(*order).limit(limit)
 
     def list_labels(self, corpus: str) -> DataFrame:
         tags = digests.subject_tags(self.table("messages", corpus)).select(F.col("tag").alias("label"), "n", F.lit("subject").alias("source"))

@@ -25,9 +25,10 @@ def is_reply(text: Column) -> Column:
 
 
 def sender_name(text: Column) -> Column:
-    """The name before the address, without quotes, else the address."""
+    """The name before the address, without quotes, else the address's local part, else the whole text, else `(unknown)`."""
     name = F.regexp_replace(F.regexp_extract(text, r"^\s*\"?([^\"<]*?)\"?\s*<", 1), r"^\s+|\s+$", "")
-    return F.when(name == "", F.regexp_replace(text, r"[<>\s]", "")).otherwise(name)
+    local, bare = F.regexp_extract(text, r"^[\s<]*([^\s<>@]+)@[^\s<>]+>?\s*$", 1), F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.when(name != "", name).when(local != "", local).when(bare != "", bare).otherwise("(unknown)")
 
 
 def draft_name(text: Column) -> Column:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 #: Window of activity, least messages and rows of the most active threads, withheld coverage.
 ACTIVE_DAYS, ACTIVE_LEAST, ACTIVE_ROWS = 31, 2, 5
-COVERAGE_LEAST, COVERAGE_MESSAGES = 25.0, 5
 GROUNDING_MESSAGES, GROUNDING_PEOPLE = 20, 8
 #: Kinds of events that follow from a procedure and are folded to counts.
 MECHANICAL = ("draft", "issue opened", "issue closed")
@@ -97,11 +96,15 @@ def grounding(threads: DataFrame) -> DataFrame:
     return threads.filter(wide).orderBy(F.desc("msgs"), F.desc("participants"), "thread").limit(1)
 
 
-def verdicts(reviews: DataFrame, order: tuple[str, ...]) -> DataFrame:
-    """Each reviewer once, under the strongest verdict (unknown ones after all). reviews: pull, reviewer, verdict."""
+#: Verdicts of reviews by weight; others don't count, and none at all is a comment.
+VERDICTS = ("CHANGES_REQUESTED", "APPROVED", "DISMISSED", "COMMENTED")
+
+
+def verdicts(reviews: DataFrame, order: tuple[str, ...] = VERDICTS) -> DataFrame:
+    """Each reviewer once, under the strongest verdict; unknown verdicts are skipped. reviews: pull, reviewer, verdict (null: the last of `order`)."""
+    known = reviews.withColumn("verdict", F.upper(F.coalesce(F.when(F.col("verdict") != "", F.col("verdict")), F.lit(order[-1])))).filter(F.col("verdict").isin(*order))
     rank = F.array_position(F.array(*[F.lit(v) for v in order]), F.col("verdict"))
-    rank = F.when(F.coalesce(rank, F.lit(0)) == 0, len(order) + 1).otherwise(rank)
-    best = reviews.groupBy("pull", "reviewer").agg(F.min_by("verdict", F.struct(rank, "verdict")).alias("verdict"))
+    best = known.groupBy("pull", "reviewer").agg(F.min_by("verdict", rank).alias("verdict"))
     return best.groupBy("pull", "verdict").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("reviewer")), ", ").alias("reviewers"))
 
 
@@ -111,15 +114,6 @@ def closes(text: Column, own: Column) -> Column:
     return F.array_remove(F.array_distinct(F.transform(found, lambda x: x.cast("long"))), own)
 
 
-def coverage(positions: DataFrame) -> DataFrame:
-    """V4, V5: positions of each thread; withheld (null) where too small a share takes any. positions: thread, label."""
-    some = F.col("label") != "none"
-    out = positions.groupBy("thread").agg(F.count("*").alias("msgs"), F.count_if(some).alias("taken"), F.count_if(F.col("label") == "support").alias("support"), F.count_if(F.col("label") == "oppose").alias("oppose"))
-    share = 100.0 * F.col("taken") / F.col("msgs")
-    hide = (F.col("msgs") >= COVERAGE_MESSAGES) & (share < COVERAGE_LEAST)
-    return out.withColumn("coverage", F.round(share, 6)).withColumn("withheld", hide).withColumn("support", F.when(~hide, F.col("support"))).withColumn("oppose", F.when(~hide, F.col("oppose")))
-
-
 def milestone_status(today: Column) -> Column:
     """M6."""
     state, due = F.col("state"), F.col("due")

@@ -134,7 +134,122 @@ def context_lines(df: DataFrame, hits: DataFrame, around: int) -> DataFrame:
     return rows.join(near, (rows["file"] == F.col("_f")) & (rows["line"] == F.col("_l")), "left_semi")
 
 
-def excluded(files: DataFrame) -> DataFrame:
-    """Files by why they are not scanned. files: relpath, binary."""
-    kind = F.element_at(F.split("relpath", "/"), 1)
-    return files.agg(F.count("*").alias("files"), F.count_if("binary").alias("binary"), F.count_if(~F.col("binary") & kind.isin("digests", "raw")).alias("derived"))
+#: Folders that hold a second copy of what has files of its own.
+DERIVED = ("raw/", "github/")
+
+
+def is_derived(relpath: Column, file_pattern: str | None = None) -> Column:
+    """A file of a derived folder, in any case of letters, unless the pattern asks for such a folder."""
+    if file_pattern and file_pattern.lower().startswith(DERIVED):
+        return F.lit(False)
+    return F.lower(relpath).startswith(DERIVED[0]) | F.lower(relpath).startswith(DERIVED[1])
+
+
+def excluded(files: DataFrame, file_pattern: str | None = None) -> DataFrame:
+    """Files scanned and, by why, those not. files: relpath, binary."""
+    derived = ~F.col("binary") & is_derived(F.col("relpath"), file_pattern)
+    return files.agg(F.count("*").alias("files"), F.count_if("binary").alias("binary"), F.count_if(derived).alias("derived"), F.count_if(~F.col("binary") & ~derived).alias("scanned"))
+
+
+#: Fixed caps of a scan over joined sections: sections shown a document, excerpts a section, lines around a match.
+SECTIONS_SHOWN, EXCERPTS_SHOWN, AROUND = 3, 2, 2
+
+
+def phrase_hits(df: DataFrame, pattern: str, text: str = "text") -> DataFrame:
+    """How often a pattern stands in whole texts, across line ends; rows without a hit go. Adds hits and first_line."""
+    found = df.withColumn("hits", F.regexp_count(text, F.lit(pattern))).filter("hits > 0")
+    before = F.substring(F.col(text), F.lit(1), F.regexp_instr(F.col(text), F.lit(pattern)) - 1)
+    return found.withColumn("first_line", F.size(F.split(before, "\n", -1)))
+
+
+def excerpts(df: DataFrame, pattern: str, around: int = AROUND, most: int = EXCERPTS_SHOWN, keys: tuple[str, ...] = ("file",), text: str = "text") -> DataFrame:
+    """The first matches of each text, which may run over line ends: place, first and last line of each, the text between and `around` lines before and after."""
+    places = F.regexp_extract_all(F.col(text), F.lit(f"({pattern})"), F.lit(0))
+    rows = df.withColumn("_all", places).filter(F.size("_all") > 0).withColumn("matches", F.size("_all"))
+    gaps = F.split(F.col(text), pattern, -1)
+    feeds = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    # the line a match begins on: line feeds in all gaps up to it and in the matches before it
+    zipped = F.arrays_zip(F.transform(F.slice(gaps, F.lit(1), F.size("_all")), feeds).alias("gap"), F.transform("_all", feeds).alias("own"), F.col("_all").alias("match"))
+    rows = rows.withColumn("_z", zipped).select("*", F.posexplode(F.slice("_z", 1, most)).alias("_k", "_m"))
+    first = F.expr("aggregate(slice(_z, 1, _k), 0, (a, x) -> a + x.gap + x.own) + _m.gap + 1")
+    rows = rows.withColumn("place", F.col("_k") + 1).withColumn("first_line", first).withColumn("last_line", F.col("first_line") + F.col("_m.own"))
+    low = F.greatest(F.lit(1), F.col("first_line") - around)
+    shown = F.array_join(F.slice(F.split(F.col(text), "\n", -1), low, F.col("last_line") + around - low + 1), "\n")
+    return rows.select(*keys, "place", "matches", "first_line", "last_line", F.col("_m.match").alias("match"), shown.alias("excerpt"))
+
+
+def section_scan(chunks: DataFrame, pattern: str, per_file: int = SECTIONS_SHOWN, per_section: int = EXCERPTS_SHOWN) -> tuple[DataFrame, DataFrame]:
+    """Scan of texts joined over the chunks of a section, so that a match may cross a chunk's end.
+
+    chunks: file, chunk_idx, section, text. The first result: file, section, first, hits, in_file (the true total of the file)
+    and shown, for the first sections of each file; the second: totals over everything, from all sections.
+    """
+    hits = phrase_hits(section_runs(chunks), pattern)
+    total = hits.groupBy("file").agg(F.sum("hits").alias("in_file"), F.count("*").alias("sections"))
+    place = F.row_number().over(Window.partitionBy("file").orderBy("first"))
+    shown = hits.withColumn("place", place).filter(F.col("place") <= per_file).join(total, "file")
+    shown = shown.select("file", "section", "first", "place", "hits", "in_file", F.least("hits", F.lit(per_section)).alias("shown"), "text")
+    return shown, total.agg(F.count("*").alias("files_hit"), F.sum("sections").alias("sections_hit"), F.sum("in_file").alias("hits"))
+
+
+def bounded(df: DataFrame, seconds: float) -> tuple[str, list | None]:
+    """(status, rows) of a small result within a time budget: `COMPLETE` and its rows, or `INCOMPLETE` and None, never a partial count.
+
+    The job runs under a tag of its own that is cancelled when the time is over.
+    """
+    from concurrent.futures import ThreadPoolExecutor, TimeoutError  # noqa: A004
+    from uuid import uuid4
+
+    spark, tag = df.sparkSession, f"scan-{uuid4().hex}"
+
+    def run() -> list:
+        spark.addTag(tag)
+        return df.collect()
+
+    pool = ThreadPoolExecutor(1)
+    job = pool.submit(run)
+    try:
+        return "COMPLETE", job.result(timeout=seconds)
+    except TimeoutError:
+        spark.interruptTag(tag)
+        return "INCOMPLETE", None
+    finally:
+        pool.shutdown(wait=False, cancel_futures=True)
+
+
+# Fixed forms of a draft's headings, and of leaders in a table of contents.
+HEADING = r"^(?:(Appendix|Annex)\s+)?([0-9]+(?:\.[0-9]+)*|[A-Z]\.[0-9]+(?:\.[0-9]+)*|[A-Z])\.\s+(\S.*?)\s*$"
+LEADER = r"\.{4,}"
+
+
+def headings(files: DataFrame) -> DataFrame:
+    """File, line, section, title, last_line: headings at the start of a line between blank lines.
+
+    A single letter needs the word before it, and a title with a dot leader is one of a table of contents. Neighbours are
+    read from the file's own array of lines, so no window is needed.
+    """
+    rows = files.select("file", F.split("text", "\n", -1).alias("_l")).withColumn("last_line", F.size("_l"))
+    rows = rows.select("file", "last_line", "_l", F.posexplode("_l").alias("_k", "_x")).filter(F.col("_x").rlike(HEADING))
+    blank = lambda k: F.coalesce(F.get("_l", k).rlike(r"^\s*$"), F.lit(True))
+    word, label, title = (F.regexp_extract("_x", HEADING, g) for g in (1, 2, 3))
+    rows = rows.filter(blank(F.col("_k") - 1) & blank(F.col("_k") + 1) & ~title.rlike(LEADER) & (~label.rlike("^[A-Z]$") | (word != "")))
+    return rows.select("file", (F.col("_k") + 1).alias("line"), label.alias("section"), title.alias("title"), "last_line")
+
+
+def draft_section(files: DataFrame, section: str) -> DataFrame:
+    """File, start, end and the text of a section with its subsections."""
+    span = section_span(headings(files), section)
+    return files.join(span, "file").select("file", "start", "end", F.array_join(F.slice(F.split("text", "\n", -1), F.col("start"), F.col("end") - F.col("start") + 1), "\n").alias("text"))
+
+
+def chunk_spans(chunks: DataFrame) -> DataFrame:
+    """File, chunk_idx, start_line, end_line, title of whole chunks that have lines."""
+    return chunks.filter("sub_idx = 0 AND start_line IS NOT NULL").select("file", "chunk_idx", "start_line", "end_line", "title")
+
+
+def matched_passage(chunks: DataFrame, hits: DataFrame) -> DataFrame:
+    """From the matched chunk to the end of its section. chunks: file, chunk_idx, section, text; hits: file, chunk_idx, section."""
+    h = hits.select(F.col("file").alias("_f"), F.col("section").alias("_s"), F.col("chunk_idx").alias("hit"))
+    rows = chunks.join(h, (F.col("file") == F.col("_f")) & F.col("section").eqNullSafe(F.col("_s")) & (F.col("chunk_idx") >= F.col("hit")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_idx", "text"))), lambda x: x["text"]), "\n")
+    return rows.groupBy("file", "section", "hit").agg(F.count("*").alias("chunks"), text.alias("text"))

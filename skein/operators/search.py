@@ -108,17 +108,23 @@ DRAFT = r"^drafts/(draft-.*?)-(\d{2})(?:\.txt)?$"
 
 def newest_revisions(hits: DataFrame) -> DataFrame:
     """Q17: of each draft only the newest matching revision; other files pass."""
-    stem, rev = F.regexp_extract("file", DRAFT, 1), F.regexp_extract("file", DRAFT, 2)
-    newest = F.max(rev).over(Window.partitionBy(stem))
-    return hits.withColumn("_newest", (stem == "") | (rev == newest)).filter("_newest").drop("_newest")
+    cols = hits.columns
+    rows = hits.withColumn("_stem", F.regexp_extract("file", DRAFT, 1)).withColumn("_rev", F.regexp_extract("file", DRAFT, 2))
+    drafts = rows.filter("_stem <> ''")
+    newest = drafts.groupBy("_stem").agg(F.max("_rev").alias("_rev"))
+    return rows.filter("_stem = ''").select(*cols).unionByName(drafts.join(newest, ["_stem", "_rev"], "left_semi").select(*cols))
 
 
 def merged_corpora(hits: DataFrame, k: int) -> DataFrame:
-    """Q18: per-corpus top k, by score within one model, models interleaved by rank. hits: corpus, model, score, id."""
+    """Q18: per-corpus top k, by score within one model, models interleaved by rank, in the order in which they first come.
+
+    hits: corpus, model, score, id, and place (of the corpus among those asked for).
+    """
     own = F.row_number().over(Window.partitionBy("corpus").orderBy(F.desc("score"), "id"))
     best = hits.withColumn("_own", own).filter(F.col("_own") <= k).drop("_own")
     rank = F.row_number().over(Window.partitionBy("model").orderBy(F.desc("score"), "corpus", "id"))
-    return best.withColumn("rank", rank).orderBy("rank", "model").limit(k)
+    models = best.groupBy("model").agg(F.min("place").alias("_seen"))
+    return best.join(F.broadcast(models), "model").withColumn("rank", rank).orderBy("rank", "_seen", "model").limit(k).drop("_seen")
 
 
 def title_overlap(query: str, title: Column) -> Column:
@@ -138,13 +144,23 @@ def documents_ranked(hits: DataFrame, overlap: Column) -> DataFrame:
     return got.select("doc", score.alias("score")).orderBy(F.desc("score"), "doc")
 
 
-def fused(lists: list[DataFrame], closed: Column | None = None) -> DataFrame:
-    """Q27: reciprocal ranks from 0 on, summed. lists: id, score."""
-    ranked = [x.select("id", (1.0 / (RRF_K + F.row_number().over(Window.orderBy(F.desc("score"), "id")) - 1)).alias("part")) for x in lists]
+#: A concluded group's factor, what a query that is a group's acronym adds, and ranks of each list that count.
+CLOSED_FACTOR, PINNED, FUSED_MOST = 0.6, 1.0, 10_000
+
+
+def fused(lists: list[DataFrame], closed: Column | None = None, pinned: Column | None = None) -> DataFrame:
+    """Q27: reciprocal ranks from 0 on, summed; closed ones weigh less, and a pinned one comes first. lists: id, score (FUSED_MOST rows a list, best first).
+
+    closed and pinned: conditions on `id`. A list's best rows are found by a top-k, so the ranks run over a bounded number.
+    """
+    best = lambda x: x.select("id", "score").orderBy(F.desc("score"), "id").limit(FUSED_MOST)
+    ranked = [best(x).select("id", (1.0 / (RRF_K + F.row_number().over(Window.orderBy(F.desc("score"), "id")) - 1)).alias("part")) for x in lists]
     union = ranked[0]
     for x in ranked[1:]:
         union = union.unionByName(x)
-    return union.groupBy("id").agg(F.sum("part").alias("score"))
+    score = F.col("score") * (F.when(closed, CLOSED_FACTOR).otherwise(1.0) if closed is not None else 1.0)
+    score = score + (F.when(pinned, PINNED).otherwise(0.0) if pinned is not None else 0.0)
+    return union.groupBy("id").agg(F.sum("part").alias("score")).withColumn("score", score)
 
 
 def recentred(centroids: DataFrame, query: DataFrame) -> DataFrame:

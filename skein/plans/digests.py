@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.operators import digests as D
 from skein.operators import people as P
+from skein.operators import positions as V
 from skein.operators import threads as T
 from skein.operators import topics as K
 from skein.session import table
@@ -104,19 +105,23 @@ def pulls_totals(spark: SparkSession, sf: str) -> DataFrame:
     return D.pull_totals(issues(spark, sf).withColumn("state", F.when(F.col("number") % 50 != 0, F.col("state"))))
 
 
-@query("""WITH r AS (SELECT l_orderkey AS pull, l_suppkey AS reviewer, l_returnflag AS verdict, CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 3 END AS k FROM lineitem), b AS (SELECT pull, reviewer, arg_min(verdict, k) AS verdict FROM r GROUP BY 1, 2)
+@query("""WITH v AS (SELECT l_orderkey AS pull, l_suppkey AS reviewer, CASE l_returnflag WHEN 'R' THEN 'changes_requested' WHEN 'A' THEN 'APPROVED' ELSE CASE WHEN l_linestatus = 'O' THEN 'PENDING' END END AS verdict FROM lineitem),
+r AS (SELECT pull, reviewer, upper(coalesce(verdict, 'COMMENTED')) AS verdict, list_position(['CHANGES_REQUESTED', 'APPROVED', 'DISMISSED', 'COMMENTED'], upper(coalesce(verdict, 'COMMENTED'))) AS k FROM v WHERE verdict IS DISTINCT FROM 'PENDING'), b AS (SELECT pull, reviewer, arg_min(verdict, k) AS verdict FROM r GROUP BY 1, 2)
 SELECT pull, verdict, count(*) AS n, string_agg(reviewer::VARCHAR, ', ' ORDER BY reviewer) AS reviewers FROM b GROUP BY 1, 2""")
 def review_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    return D.verdicts(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("pull"), F.col("l_suppkey").alias("reviewer"), F.col("l_returnflag").alias("verdict")), ("R", "A")).join(
-        table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("pull")).distinct(), "pull", "left_semi")
+    """A verdict that is none of the known ones (PENDING) names nobody."""
+    verdict = F.when(F.col("l_returnflag") == "R", "changes_requested").when(F.col("l_returnflag") == "A", "APPROVED").when(F.col("l_linestatus") == "O", "PENDING")
+    return D.verdicts(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("pull"), F.col("l_suppkey").alias("reviewer"), verdict.alias("verdict")))
 
 
-@query(f"""WITH {MESSAGES}, p AS (SELECT thread, CASE WHEN regexp_matches(body, '(?i)\\bis the\\b') THEN 'support' WHEN regexp_matches(body, '(?i)\\bof the\\b') THEN 'oppose' ELSE 'none' END AS label FROM messages),
-c AS (SELECT thread, count(*) AS msgs, count_if(label <> 'none') AS taken, count_if(label = 'support') AS s, count_if(label = 'oppose') AS o FROM p GROUP BY 1)
-SELECT thread, msgs, taken, CASE WHEN NOT w THEN s END AS support, CASE WHEN NOT w THEN o END AS oppose, round(100.0 * taken / msgs, 6) AS coverage, w AS withheld FROM (SELECT *, msgs >= 5 AND 100.0 * taken / msgs < 25 AS w FROM c)""")
+@query(f"""WITH {MESSAGES}, p AS (SELECT thread, CASE WHEN regexp_matches(body, '(?i)\\bis the\\b') THEN 'support' WHEN regexp_matches(body, '(?i)\\bof the\\b') THEN 'oppose' ELSE 'no-position' END AS label, CASE WHEN length(body) % 2 = 0 THEN 'high' ELSE 'low' END AS confidence FROM messages),
+c AS (SELECT thread, count(*) AS msgs, count_if(label = 'no-position') AS no_position, count_if(label = 'support' AND confidence = 'high') AS sh, count_if(label = 'support' AND confidence = 'low') AS sl, count_if(label = 'oppose') AS o FROM p GROUP BY 1)
+SELECT thread, msgs, no_position, CASE WHEN NOT w THEN sh END AS support_high, CASE WHEN NOT w THEN sl END AS support_low, CASE WHEN NOT w THEN o END AS oppose, coverage, w AS withheld FROM (SELECT *, msgs >= 5 AND coverage < 25 AS w FROM (SELECT *, (100 * (msgs - no_position) // msgs)::INT AS coverage FROM c))""")
 def coverage_withheld(spark: SparkSession, sf: str) -> DataFrame:
-    label = F.when(F.col("body").rlike(r"(?i)\bis the\b"), "support").when(F.col("body").rlike(r"(?i)\bof the\b"), "oppose").otherwise("none")
-    return D.coverage(messages(spark, sf).select("thread", label.alias("label")))
+    label = F.when(F.col("body").rlike(r"(?i)\bis the\b"), "support").when(F.col("body").rlike(r"(?i)\bof the\b"), "oppose").otherwise("no-position")
+    rows = messages(spark, sf).select("thread", label.alias("label"), F.when(F.length("body") % 2 == 0, "high").otherwise("low").alias("confidence"))
+    out = V.tally(rows).withColumn("oppose", F.col("oppose_high") + F.col("oppose_low"))
+    return out.select("thread", "msgs", "no_position", "support_high", "support_low", "oppose", "coverage", "withheld")
 
 
 @query(f"""WITH m AS (SELECT o_orderkey, o_orderdate::DATE AS due, CASE o_orderstatus WHEN 'F' THEN 'dropped' WHEN 'P' THEN 'review' ELSE 'active' END AS state, CASE WHEN o_orderkey % 4 = 0 THEN 'done' END AS resolved FROM orders)
@@ -218,13 +223,15 @@ def agenda_eligibility(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", D.agenda_eligibility().alias("what"))
 
 
-@query("""WITH d AS (SELECT doc_id, string_split(lower(regexp_replace(text, '[^A-Za-z0-9-]+', ' ', 'g')), ' ') AS w, source AS cluster FROM documents WHERE text IS NOT NULL), t AS (SELECT doc_id, cluster, unnest(w) AS term FROM d),
-o AS (SELECT * FROM t WHERE regexp_full_match(term, '[a-z][a-z0-9][a-z0-9-]+')), tf AS (SELECT cluster, term, count(*) AS tf FROM o GROUP BY 1, 2), df AS (SELECT term, count(DISTINCT doc_id) AS df FROM o GROUP BY 1), n AS (SELECT count(*) AS n FROM d),
+STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(set(K.STOPWORDS)))
+
+
+@query(f"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z][a-z0-9][a-z0-9-]+') AS w, source AS cluster FROM documents WHERE text IS NOT NULL),
+o AS (SELECT * FROM (SELECT doc_id, cluster, unnest(w) AS term FROM d) WHERE term NOT IN ({STOP})), tf AS (SELECT cluster, term, count(*) AS tf FROM o GROUP BY 1, 2), df AS (SELECT term, count(DISTINCT doc_id) AS df FROM o GROUP BY 1), n AS (SELECT count(*) AS n FROM d),
 r AS (SELECT cluster, term, tf * ln(n / df) AS s, row_number() OVER (PARTITION BY cluster ORDER BY round(tf * ln(n / df), 9) DESC, term) AS place FROM tf JOIN df USING (term), n WHERE df < n) SELECT cluster, term, place, round(s, 5) AS score FROM r WHERE place <= 6""")
 def tfidf_labels(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").filter("text IS NOT NULL").select(F.col("doc_id").alias("doc"), F.col("source").alias("cluster"), F.regexp_replace("text", r"[^A-Za-z0-9-]+", " ").alias("text"))
-    tokens = d.select("doc", "cluster", F.explode(F.split(F.lower("text"), " ")).alias("term")).filter(F.col("term").rlike("^[a-z][a-z0-9][a-z0-9-]+$"))
-    return K.cluster_labels(tokens, d).withColumn("score", F.round("score", 5))
+    d = table(spark, sf, "documents").filter("text IS NOT NULL").select(F.col("doc_id").alias("doc"), F.col("source").alias("cluster"), "text")
+    return K.cluster_labels(K.term_counts(d), d).withColumn("score", F.round("score", 5))
 
 
 @query("""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), m AS (SELECT label, list(x ORDER BY d) AS c FROM (SELECT label, d, avg(v[d]) AS x FROM e, range(1, 65) r(d) GROUP BY 1, 2) GROUP BY label),

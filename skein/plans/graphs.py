@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as X
 from skein.functions.prose import elided_quotes as elided
-from skein.functions.prose import positions, snippets
+from skein.functions.prose import snippets
+from skein.functions.stances import positions
+from skein.operators import positions as V
 from skein.operators import threads as T
 from skein.operators.people import name_keys
+from skein.scratch import written
 from skein.session import table
 from skein.tables import MESSAGES, messages
 
@@ -33,13 +36,14 @@ def reply_descendants(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS parent, l_orderkey // 2 + 1 AS child FROM lineitem WHERE l_linenumber = 1 AND l_orderkey <> l_orderkey // 2 + 1),
-d AS (SELECT DISTINCT l_orderkey AS root, l_orderkey AS node, 0 AS depth FROM lineitem WHERE l_orderkey % 97 = 5 UNION SELECT d.root, e.child, d.depth + 1 FROM d JOIN e ON d.node = e.parent)
+d AS (SELECT DISTINCT parent AS root, parent AS node, 0 AS depth FROM e WHERE parent NOT IN (SELECT child FROM e) UNION SELECT d.root, e.child, d.depth + 1 FROM d JOIN e ON d.node = e.parent)
 SELECT root, node, min(depth)::INT AS depth FROM d WHERE depth > 0 GROUP BY 1, 2""")
 def obsoletes_chain(spark: SparkSession, sf: str) -> DataFrame:
-    """Chains from the records whose key leaves 5 modulo 97, as in the SQL; not yet from those that nothing obsoletes."""
+    """Chains from the records that nothing obsoletes any more."""
     li = table(spark, sf, "lineitem")
     e = li.filter("l_linenumber = 1").select(F.col("l_orderkey").alias("parent"), F.expr("l_orderkey div 2 + 1").alias("child")).filter("parent <> child").distinct()
-    return T.descendants(e, li.filter("l_orderkey % 97 = 5").select(F.col("l_orderkey").alias("node")).distinct())
+    e = written(e, "edges")
+    return T.descendants(e, e.select(F.col("parent").alias("node")).join(e.select(F.col("child").alias("node")), "node", "left_anti").distinct())
 
 
 @query(f"""WITH {MESSAGES} SELECT thread, count(*) AS msgs, count(DISTINCT sender) AS participants, min(idx) AS first, max(idx) AS last FROM messages GROUP BY 1""")

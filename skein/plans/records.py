@@ -42,12 +42,12 @@ def milestone_query(spark: SparkSession, sf: str) -> DataFrame:
     return records.milestones(rows, g, F.lit("1997-01-01").cast("date")).select("milestone", "acronym", "due", "total")
 
 
-@query("""SELECT l.l_orderkey AS id, l_linenumber AS n, o_custkey AS team, c_name AS team_name, s_name AS result_name, p_name AS person_name FROM lineitem l LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 3 > 0) ON o_orderkey = l_orderkey LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN part ON p_partkey = l_partkey""")
+@query("""SELECT l.l_orderkey AS id, l_linenumber AS n, o_custkey AS team, c_name AS team_name, s_name AS result_name, p_name AS person_name FROM lineitem l LEFT JOIN orders ON o_orderkey = l_orderkey LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN part ON p_partkey = l_partkey""")
 def review_joins(spark: SparkSession, sf: str) -> DataFrame:
     li, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
     a = li.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), F.col("l_orderkey").alias("request"), F.col("l_suppkey").alias("result"), F.col("l_partkey").alias("reviewer"), F.col("l_shipdate").alias("assigned_on"), F.lit("").alias("reviewed_rev"))
     pick = lambda t, uri, **cols: table(spark, sf, t).select(F.col(uri).alias("uri"), *(F.col(v).alias(k) for k, v in cols.items()))
-    requests = o.filter("o_orderkey % 3 > 0").select(F.col("o_orderkey").alias("uri"), F.col("o_custkey").alias("team"))
+    requests = o.select(F.col("o_orderkey").alias("uri"), F.col("o_custkey").alias("team"))
     emails = table(spark, sf, "part").select(F.col("p_partkey").alias("uri"), F.col("p_partkey").alias("person"))
     out = records.review_record(a, requests, pick("customer", "c_custkey", team_name="c_name"), pick("supplier", "s_suppkey", result_name="s_name"), emails, pick("part", "p_partkey", person_name="p_name"))
     return out.select("id", "n", "team", "team_name", "result_name", "person_name")
@@ -103,7 +103,7 @@ def issue_details(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("""SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'jane doe' WHEN 1 THEN 'Jane Doe' ELSE 'x@example.org' END AS name, c_custkey % 3 = 2 OR c_custkey % 5 = 0 AS role, lower(c_mktsegment) AS org, lower('topic-' || c_mktsegment) AS slug FROM customer""")
+@query("""SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'jane doe' WHEN 1 THEN 'Jane Doe' ELSE 'x' END AS name, c_custkey % 3 = 2 OR c_custkey % 5 = 0 AS role, lower(c_mktsegment) AS org, lower('topic-' || c_mktsegment) AS slug FROM customer""")
 def sender_details(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("c_custkey")
     sender = F.when(k % 3 == 0, "jane doe <j@example.org>").when(k % 3 == 1, '"Jane Doe" <j@example.org>').otherwise("<x@example.org>")

@@ -107,12 +107,13 @@ def generic_themes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""WITH a AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS r FROM part WHERE p_name LIKE '%ring%'),
 b AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_size DESC, p_partkey) - 1 AS r FROM part WHERE p_size > 20),
-u AS (SELECT * FROM a UNION ALL SELECT * FROM b) SELECT id, round(sum(1.0 / (60 + r)), 6) AS score FROM u GROUP BY id""")
+a2 AS (SELECT * FROM a WHERE r < 10000), b2 AS (SELECT * FROM b WHERE r < 10000), u AS (SELECT * FROM a2 UNION ALL SELECT * FROM b2),
+s AS (SELECT id, sum(1.0 / (60 + r)) * CASE WHEN id % 4 = 0 THEN 0.6 ELSE 1.0 END + CASE WHEN id = 42 THEN 1.0 ELSE 0.0 END AS s FROM u GROUP BY id) SELECT id, round(s, 6) AS score FROM s""")
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part")
     a = p.filter(p.p_name.contains("ring")).select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("score"))
     b = p.filter("p_size > 20").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("score"))
-    return S.fused([a, b]).withColumn("score", F.round("score", 6))
+    return S.fused([a, b], closed=F.col("id") % 4 == 0, pinned=F.col("id") == 42).withColumn("score", F.round("score", 6))
 
 
 @query(f"""{SCORED}, ranked AS (SELECT file AS doc, score, row_number() OVER (PARTITION BY file ORDER BY score DESC) AS r, count(*) OVER (PARTITION BY file) AS cites FROM best)
@@ -124,12 +125,12 @@ def doc_rank_top3(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""{SCORED}, own AS (SELECT *, row_number() OVER (PARTITION BY corpus ORDER BY score DESC, vec_id) AS o FROM best),
-ranked AS (SELECT corpus, CASE WHEN corpus < 'c2' THEN 'm0' ELSE 'm1' END AS model, vec_id, score FROM own WHERE o <= 20),
-final AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY score DESC, corpus, vec_id) AS rank FROM ranked)
-SELECT corpus, model, vec_id AS id, round(score, 6) AS score, rank FROM final ORDER BY rank, model LIMIT 20""")
+ranked AS (SELECT corpus, CASE WHEN corpus < 'c2' THEN 'm0' ELSE 'm1' END AS model, vec_id, score, list_position(['c3', 'c0', 'c2', 'c1'], corpus) AS place FROM own WHERE o <= 20),
+final AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY score DESC, corpus, vec_id) AS rank, min(place) OVER (PARTITION BY model) AS seen FROM ranked)
+SELECT corpus, model, vec_id AS id, round(score, 6) AS score, rank FROM final ORDER BY rank, seen, model LIMIT 20""")
 def round_robin_merge(spark: SparkSession, sf: str) -> DataFrame:
     c = chunks(spark, sf)
-    hits = S.collapsed(S.scan(c, _query(c))).select("corpus", F.when(F.col("corpus") < "c2", "m0").otherwise("m1").alias("model"), F.col("vec_id").alias("id"), "score")
+    hits = S.collapsed(S.scan(c, _query(c))).select("corpus", F.when(F.col("corpus") < "c2", "m0").otherwise("m1").alias("model"), F.col("vec_id").alias("id"), "score", F.array_position(F.array(*[F.lit(x) for x in ("c3", "c0", "c2", "c1")]), F.col("corpus")).alias("place"))
     return _rounded(S.merged_corpora(hits, 20), "corpus", "model", "id", "score", "rank")
 
 

@@ -39,11 +39,11 @@ def chunk_titles(spark: SparkSession, sf: str) -> DataFrame:
     return C.windowed_chunks(table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", "text")).select("doc_id", "sub_idx", "title", "start_line")
 
 
-@query("""WITH h AS (SELECT doc_id, lang, sha256(text) AS chunk_hash FROM documents), s AS (SELECT lang, chunk_hash, min(doc_id) AS first FROM h WHERE doc_id % 2 = 0 GROUP BY 1, 2)
+@query("""WITH h AS (SELECT doc_id, lang, sha256(text) AS chunk_hash FROM documents), s AS (SELECT lang, chunk_hash, min(doc_id) AS first FROM h SEMI JOIN labels USING (doc_id) GROUP BY 1, 2)
 SELECT h.doc_id, s.first AS vec_of FROM h LEFT JOIN s USING (lang, chunk_hash)""")
 def chunk_hash_reuse(spark: SparkSession, sf: str) -> DataFrame:
     h = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("file"), F.sha2("text", 256).alias("chunk_hash"))
-    stored = h.filter("doc_id % 2 = 0").select("file", "chunk_hash", F.col("doc_id").alias("chunk_idx"), F.col("doc_id").alias("embedding"))
+    stored = h.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi").select("file", "chunk_hash", F.col("doc_id").alias("chunk_idx"), F.col("doc_id").alias("embedding"))
     return C.reused(h, stored).select("doc_id", F.col("embedding").alias("vec_of"))
 
 
@@ -53,16 +53,17 @@ def exact_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return d.groupBy(F.sha2("text", 256).alias("text_hash")).agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
 
 
-PLAN = """n AS (SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 5 <> 0), o AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 3 <> 0),
-plan AS (SELECT coalesce(n.doc_id, o.doc_id)::VARCHAR AS relpath, CASE WHEN o.doc_id IS NULL THEN 'new' WHEN n.doc_id IS NULL THEN 'orphan' WHEN n.h = o.h THEN 'unchanged' ELSE 'changed' END AS action FROM n FULL JOIN o USING (doc_id))"""
+PLAN = """n AS (SELECT lang || '/' || doc_id AS f, sha256(text) AS h FROM documents), o AS (SELECT CASE WHEN quality = 0 THEN 'old' ELSE lang END || '/' || doc_id AS f, sha256(CASE WHEN toxic = 1 THEN text || '!' ELSE text END) AS h FROM documents JOIN labels USING (doc_id)),
+plan AS (SELECT coalesce(n.f, o.f) AS relpath, CASE WHEN o.f IS NULL THEN 'new' WHEN n.f IS NULL THEN 'orphan' WHEN n.h = o.h THEN 'unchanged' ELSE 'changed' END AS action FROM n FULL JOIN o USING (f))"""
 
 
 def _plan(spark: SparkSession, sf: str) -> DataFrame:
+    """The older state: the labelled documents, those of low quality under another name, toxic ones with another text."""
     d = table(spark, sf, "documents")
-    text = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    new = d.filter("doc_id % 5 <> 0").select(F.col("doc_id").cast("string").alias("relpath"), F.sha2(text, 256).alias("sha256"))
-    old = d.filter("doc_id % 3 <> 0").select(F.col("doc_id").cast("string").alias("relpath"), F.sha2("text", 256).alias("sha256"))
-    return C.build_plan(new, old)
+    new = d.select(F.concat_ws("/", "lang", F.col("doc_id").cast("string")).alias("relpath"), F.sha2("text", 256).alias("sha256"))
+    old = d.join(table(spark, sf, "labels"), "doc_id")
+    text, kind = F.when(F.col("toxic") == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")), F.when(F.col("quality") == 0, "old").otherwise(F.col("lang"))
+    return C.build_plan(new, old.select(F.concat_ws("/", kind, F.col("doc_id").cast("string")).alias("relpath"), F.sha2(text, 256).alias("sha256")))
 
 
 @query(f"WITH {PLAN} SELECT * FROM plan")
@@ -100,10 +101,10 @@ def section_spans(spark: SparkSession, sf: str) -> DataFrame:
     return C.section_spans(_ranges(spark, sf))
 
 
-@query("""SELECT count_if(a.q = e.q) AS matched, count_if(a.q <> e.q) AS differing, count_if(a.q IS NULL) AS absent FROM (SELECT doc_id, quality AS q FROM labels) e LEFT JOIN (SELECT doc_id, toxic AS q FROM labels WHERE doc_id % 3 <> 0) a USING (doc_id)""")
+@query("""SELECT count_if(a.q = e.q) AS matched, count_if(a.q <> e.q) AS differing, count_if(a.q IS NULL) AS absent FROM (SELECT doc_id, (n_chars % 2)::INT AS q FROM documents) e LEFT JOIN (SELECT doc_id, quality::INT AS q FROM labels) a USING (doc_id)""")
 def digest_reconcile(spark: SparkSession, sf: str) -> DataFrame:
-    x = table(spark, sf, "labels")
-    return C.reconciled(x.select(F.col("doc_id").alias("doc"), F.col("quality").alias("digest")), x.filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("doc"), F.col("toxic").alias("digest")))
+    want = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), (F.col("n_chars") % 2).cast("int").alias("digest"))
+    return C.reconciled(want, table(spark, sf, "labels").select(F.col("doc_id").alias("doc"), F.col("quality").cast("int").alias("digest")))
 
 
 def _sections(spark: SparkSession, sf: str) -> DataFrame:
@@ -190,8 +191,7 @@ def grep_capped_hits(spark: SparkSession, sf: str) -> DataFrame:
     return R.grep(_files(spark, sf), R.literal("license"), per_file=2).select("file", "line", "in_file")
 
 
-@query(f"""{GREP}, c AS (SELECT doc_id, k AS chunk_idx, k * 5 + 1 AS low, k * 5 + 5 AS high FROM documents, range(0, 400) r(k) WHERE text IS NOT NULL)
-SELECT h.doc_id AS file, line, chunk_idx FROM hits h LEFT JOIN c ON h.doc_id = c.doc_id AND line BETWEEN low AND high""")
+@query(f"""{GREP} SELECT doc_id AS file, line, ((line - 1) // 5)::BIGINT AS chunk_idx FROM hits""")
 def grep_line_to_chunk(spark: SparkSession, sf: str) -> DataFrame:
     f = _files(spark, sf)
     pattern = R.literal("license")
@@ -206,17 +206,25 @@ def grep_context(spark: SparkSession, sf: str) -> DataFrame:
     return R.context_lines(f, hits, 1).select("file", "line")
 
 
-@query(f"WITH {LINES} SELECT lang, count(DISTINCT doc_id) AS files, count(*) AS hits FROM lines WHERE regexp_matches(line_text, '(?i)gnu[ \\t\\n]+general') GROUP BY 1")
+@query(r"""WITH h AS (SELECT doc_id, text, len(regexp_extract_all(text, '(?i)general\s+public'))::INT AS hits FROM documents WHERE text IS NOT NULL)
+SELECT doc_id AS file, hits, len(string_split(regexp_extract(text, '(?is)^(.*?)general\s+public', 1), chr(10)))::INT AS first_line FROM h WHERE hits > 0""")
 def phrase_scan(spark: SparkSession, sf: str) -> DataFrame:
-    hits = R.lines(_files(spark, sf)).filter(F.col("line_text").rlike(R.literal("GNU general", loose_spaces=True)))
-    return hits.groupBy("lang").agg(F.count_distinct("file").alias("files"), F.count("*").alias("hits"))
+    """Whole texts, so a phrase may run over a line end."""
+    return R.phrase_hits(_files(spark, sf), R.literal("general public", loose_spaces=True)).select("file", "hits", "first_line")
 
 
-@query("""WITH f AS (SELECT CASE doc_id % 4 WHEN 0 THEN 'digests/' WHEN 1 THEN 'raw/' ELSE 'threads/' END || doc_id AS relpath, doc_id % 9 = 0 AS b FROM documents)
-SELECT count(*) AS files, count_if(b) AS "binary", count_if(NOT b AND (relpath LIKE 'digests/%' OR relpath LIKE 'raw/%')) AS derived FROM f""")
+@query(r"""WITH m AS (SELECT doc_id, regexp_extract_all(text, '(?i)general\s+public') AS m, regexp_split_to_array(text, '(?i)general\s+public') AS g FROM documents WHERE text IS NOT NULL),
+k AS (SELECT doc_id, m, g, i FROM m, range(1, 3) r(i) WHERE i <= len(m)), f AS (SELECT doc_id, m, i, length(array_to_string(g[1:i], '') || array_to_string(m[1:i - 1], '')) - length(replace(array_to_string(g[1:i], '') || array_to_string(m[1:i - 1], ''), chr(10), '')) + 1 AS first_line FROM k)
+SELECT doc_id AS file, i::INT AS place, len(m)::INT AS matches, first_line::INT AS first_line, (first_line + length(m[i]) - length(replace(m[i], chr(10), '')))::INT AS last_line FROM f""")
+def grep_excerpts(spark: SparkSession, sf: str) -> DataFrame:
+    return R.excerpts(_files(spark, sf), R.literal("general public", loose_spaces=True)).select("file", "place", "matches", "first_line", "last_line")
+
+
+@query("""WITH f AS (SELECT CASE doc_id % 5 WHEN 0 THEN 'digests/' WHEN 1 THEN 'raw/' WHEN 2 THEN 'GitHub/' ELSE 'threads/raw/' END || doc_id AS relpath, doc_id % 9 = 0 AS b FROM documents),
+s AS (SELECT *, NOT b AND (relpath ILIKE 'raw/%' OR relpath ILIKE 'github/%') AS d FROM f) SELECT count(*) AS files, count_if(b) AS "binary", count_if(d) AS derived, count_if(NOT b AND NOT d) AS scanned FROM s""")
 def scan_exclusions(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
-    kind = F.when(F.col("doc_id") % 4 == 0, "digests/").when(F.col("doc_id") % 4 == 1, "raw/").otherwise("threads/")
+    d, k = table(spark, sf, "documents"), F.col("doc_id") % 5
+    kind = F.when(k == 0, "digests/").when(k == 1, "raw/").when(k == 2, "GitHub/").otherwise("threads/raw/")
     return R.excluded(d.select(F.concat(kind, "doc_id").alias("relpath"), (F.col("doc_id") % 9 == 0).alias("binary")))
 
 

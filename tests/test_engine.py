@@ -73,7 +73,9 @@ def test_threads(engine):
     assert [r.message_id for r in engine.find_replies("c", "<a>").collect()] == ["<b>"]
     assert engine.find_citations("c", "draft-x-y").collect()[0].id == "<a>"
     assert [(r.src, r.dst, r.direction) for r in engine.find_message_citations("c", "<b>").collect()] == [("<a>", "<b>", "in")]
-    assert {r.sender: r.label for r in engine.tally_positions("c", "t1").collect()} == {"Jane": "support", "Bob": "oppose"}
+    tally = engine.tally_positions("c", "t1")
+    assert {r.sender: r.label for r in tally["positions"].collect()} == {"Jane": "support", "Bob": "oppose"}
+    assert [(r.msgs, r.support_high, r.oppose_high, r.withheld) for r in tally["summary"].collect()] == [(2, 1, 1, False)]
 
 
 def test_digests(engine):
