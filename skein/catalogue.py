@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.plans import digests, graphs, records, search, texts  # noqa: F401
+from skein.plans import corpus, digests, graphs, records, search, texts  # noqa: F401
 from skein.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

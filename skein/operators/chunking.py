@@ -119,3 +119,120 @@ def reconciled(expected: DataFrame, actual: DataFrame) -> DataFrame:
     both = expected.join(actual.select("doc", F.col("digest").alias("_got")), "doc", "left")
     got, want = F.col("_got"), F.col("digest")
     return both.agg(F.count_if(got == want).alias("matched"), F.count_if(got != want).alias("differing"), F.count_if(got.isNull()).alias("absent"))
+
+
+def feeds(text: Column) -> Column:
+    """Line feeds in a text."""
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
+def section_chunks(sections: DataFrame) -> DataFrame:
+    """Fragments of each section that share its chunk_idx. sections: file, chunk_idx, title, body, start_line.
+
+    Adds sub_idx, text, embed_text, start_line, end_line. Fragment 0 has the whole text and all its lines, and embeds
+    the first window only; others have their window and its lines. Titles of sections in several fragments say which.
+    An empty section is one fragment.
+    """
+    parts = F.greatest(F.lit(1), window_count(F.length("body")))
+    rows = sections.withColumn("_n", parts).withColumn("sub_idx", F.explode(F.expr("sequence(0, _n - 1)"))).withColumn("_low", F.col("sub_idx") * (WINDOW - OVERLAP))
+    rows = rows.withColumn("embed_text", F.substring(F.col("body"), F.col("_low") + 1, F.lit(WINDOW)))
+    first, end = F.col("sub_idx") == 0, F.when(F.col("sub_idx") == 0, F.length("body")).otherwise(F.col("_low") + F.length("embed_text"))
+    title = F.when(F.col("_n") > 1, F.concat("title", F.lit(" (part "), F.col("sub_idx") + 1, F.lit("/"), F.col("_n"), F.lit(")"))).otherwise(F.col("title"))
+    last = F.col("start_line") + feeds(F.substring(F.col("body"), F.lit(1), F.greatest(end - 1, F.lit(0))))
+    start = F.col("start_line") + feeds(F.substring(F.col("body"), F.lit(1), F.col("_low")))
+    rows = rows.withColumn("text", F.when(first, F.col("body")).otherwise(F.col("embed_text"))).withColumn("title", title).withColumn("end_line", last)
+    return rows.withColumn("start_line", start).drop("_n", "_low", "body")
+
+
+# Header lines of issue files, of charters, of legacy records.
+ISSUE_LABELS, ISSUE_URL, ISSUE_STATE = r"(?m)^\*\*Labels:\*\*\s*(.+?)\s*$", r"(?m)^\*\*URL:\*\*\s*(\S+)", r"(?m)^\*\*State:\*\*\s*(\S+)"
+ISSUE_DUPLICATE, ISSUE_RATIONALE = r"(?m)^\*\*Duplicate of:\*\*\s*#?([0-9]+)", r"(?ms)^\*\*Closing rationale:\*\*\s*\n+(.+?)(?:\n\n##|\z)"
+CHARTER_TITLE, CHARTER_STATE, CHARTER_AREA = r"(?m)^# (.+)$", r"(?m)^State:\s*(\S+)", r"(?m)^Area:.*\((\S+)\)\s*$"
+CHARTER_KIND, CHARTER_SOURCE, RECORD_ISSUE, RECORD_DATE = r"(?m)^Type:\s*(Working|Research) Group", r"(?m)^Source:\s*(\S+)", r"(?m)^Issue #([0-9]+):\s*(.+)$", r"(?m)^Date:\s*(.+)$"
+
+
+def _found(text: Column, pattern: str, group: int = 1) -> Column:
+    """A group of the first match; null without one."""
+    got = F.regexp_extract(text, pattern, group)
+    return F.when(got != "", got)
+
+
+def issue_header(text: Column) -> Column:
+    """Struct of labels (lower case, joined by commas), url, duplicate_of, rationale and state; null where a line is missing."""
+    each = F.filter(F.transform(F.split(_found(text, ISSUE_LABELS), ","), lambda x: F.lower(stripped(x))), lambda x: x != "")
+    labels = F.when(F.size(each) > 0, F.array_join(each, ","))
+    return F.struct(
+        labels.alias("labels"), _found(text, ISSUE_URL).alias("url"), _found(text, ISSUE_DUPLICATE).cast("long").alias("duplicate_of"),
+        stripped(_found(text, ISSUE_RATIONALE)).alias("rationale"), F.lower(_found(text, ISSUE_STATE)).alias("state"),
+    )
+
+
+def chunker_of(relpath: Column) -> Column:
+    """Which chunker a file goes to."""
+    low = F.lower(relpath)
+    kind = F.when(low.startswith("threads/"), "thread").when(low.startswith("issues/"), "thread").when(low.startswith("charters/"), "charter")
+    return F.coalesce(F.when(low.endswith(".md"), kind), F.lit("window"))
+
+
+def citation_url(relpath: Column, text: Column, base: str) -> Column:
+    """C14: the page of a draft below `base`, the source line of a charter; null for all other files, whose address isn't sure."""
+    from skein.functions.text import draft_name
+
+    low, name = F.lower(relpath), draft_name(F.element_at(F.split(relpath, "/"), -1))
+    draft = F.when(name.startswith("draft-"), F.concat(F.lit(base.rstrip("/") + "/"), name, F.lit("/")))
+    charter = (low == "charter.txt") | low.endswith("/charter.txt")
+    return F.when(low.startswith("drafts/") & low.endswith(".txt"), draft).when(charter, _found(text, CHARTER_SOURCE))
+
+
+def charter_chunks(df: DataFrame) -> DataFrame:
+    """Windows of charters, each with the group's title, state, labels (area, type) and source. df: file, text."""
+    area, kind = F.concat(F.lit("area:"), F.lower(_found(F.col("text"), CHARTER_AREA))), F.when(_found(F.col("text"), CHARTER_KIND) == "Working", "type:wg").when(_found(F.col("text"), CHARTER_KIND) == "Research", "type:rg")
+    labels = F.concat_ws(",", area, kind)
+    rows = windowed_chunks(df)
+    rows = rows.withColumn("title", F.coalesce(F.substring(_found(F.col("text"), CHARTER_TITLE), 1, TITLE_CHARS), F.col("title")))
+    return rows.withColumn("state", F.lower(_found(F.col("text"), CHARTER_STATE))).withColumn("labels", F.when(labels != "", labels)).withColumn("url", _found(F.col("text"), CHARTER_SOURCE))
+
+
+def issue_records(df: DataFrame) -> DataFrame:
+    """Records of a legacy dump as chunks titled by their issue, with its date."""
+    rows = record_chunks(df)
+    number = _found(F.col("part"), RECORD_ISSUE)
+    title = F.when(number.isNotNull(), F.concat(F.lit("#"), number, F.lit(": "), stripped(_found(F.col("part"), RECORD_ISSUE, 2)))).otherwise(F.concat(F.lit("record "), "chunk_idx"))
+    return rows.withColumn("title", title).withColumn("chunk_date", iso_date(_found(F.col("part"), RECORD_DATE)))
+
+
+def embedded(chunks: DataFrame, embed, batch: int = 512) -> DataFrame:
+    """`embedding` of chunks that have none, by an injected function of a list of texts, so many at a time."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    fields = ", ".join(f"`{c}` {t}" for c, t in chunks.dtypes)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for low in range(0, len(f), batch):
+                part = f.iloc[low : low + batch].copy()
+                todo = part["embedding"].isna()
+                if todo.any():
+                    vectors = iter(embed(part.loc[todo, "embed_text"].tolist()))
+                    part["embedding"] = [next(vectors) if t else v for t, v in zip(todo, part["embedding"], strict=True)]
+                yield part
+
+    return chunks.mapInPandas(run, fields)
+
+
+def rebuilt(files: DataFrame, stored_files: DataFrame, stored_chunks: DataFrame, chunker, embed) -> tuple[DataFrame, DataFrame]:
+    """The chunk and file tables of the next version of an index.
+
+    files: relpath, sha256, text; stored_files: relpath, sha256; stored_chunks: file, chunk_idx, sub_idx, embed_text,
+    chunk_hash, embedding, ...; chunker: DataFrame of (file, text) to chunks without the last two. Unchanged files keep
+    their chunks, orphans go, all others are chunked anew and embed only texts that no stored chunk of the file has.
+    """
+    plan = build_plan(files.select("relpath", "sha256"), stored_files)
+    keep = plan.filter("action = 'unchanged'").select(F.col("relpath").alias("file"))
+    todo = plan.filter("action IN ('new', 'changed')").select("relpath")
+    fresh = chunker(files.join(todo, "relpath", "left_semi").select(F.col("relpath").alias("file"), "text")).withColumn("chunk_hash", F.sha2("embed_text", 256))
+    fresh = embedded(reused(fresh, stored_chunks.select("file", "chunk_hash", "chunk_idx", "embedding")), embed)
+    chunks = stored_chunks.join(keep, "file", "left_semi").unionByName(fresh.select(stored_chunks.columns))
+    return chunks, stamped(files.select("relpath", "sha256"), chunks)

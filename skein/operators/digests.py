@@ -109,7 +109,7 @@ def verdicts(reviews: DataFrame, order: tuple[str, ...] = VERDICTS) -> DataFrame
 
 
 def closes(text: Column, own: Column) -> Column:
-    """Numbers of issues that a text closes, in order, once, without its own."""
+    """Numbers of issues that a text (title, then body) closes, in order, once, without its own."""
     found = F.regexp_extract_all(F.lower(text), F.lit(r"(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?):?\s+#([0-9]+)"), F.lit(1))
     return F.array_remove(F.array_distinct(F.transform(found, lambda x: x.cast("long"))), own)
 
@@ -204,3 +204,75 @@ def closing_rationale(state: Column, comments: Column) -> Column:
 def first_seen(author: Column, commenters: Column) -> Column:
     """Participants in the order of their first word."""
     return F.array_distinct(F.concat(F.array(author), commenters))
+
+
+# Subjects that announce a revision, a call for adoption, a last call; names of meetings.
+ANNOUNCED = r"(?i)^I-D Action:\s*(draft-[A-Za-z0-9._-]+?)-([0-9]+)\.txt$"
+ADOPTION, LAST_CALL = r"(?i)call\s+for\s+adoption", r"(?i)WG\s*Last\s*Call|Working\s*Group\s*Last\s*Call|WGLC"
+
+
+def publications(threads: DataFrame) -> DataFrame:
+    """An event for each announced revision. threads: thread, subject (without list tags), first."""
+    subject = F.regexp_replace("subject", r"^\s+|\s+$", "")
+    name, rev = F.regexp_extract(subject, ANNOUNCED, 1), F.regexp_extract(subject, ANNOUNCED, 2)
+    return threads.filter((name != "") & F.col("first").isNotNull()).select(F.col("first").alias("when"), F.lit("draft-published").alias("kind"), F.concat(F.lit("`"), name, F.lit("-"), rev, F.lit("` published")).alias("title"), F.lit(None).cast("string").alias("detail"), "thread")
+
+
+def procedural(threads: DataFrame) -> DataFrame:
+    """Threads that begin a call for adoption, else a last call. threads: thread, subject, first, msgs, participants."""
+    subject = F.regexp_replace("subject", r"^\s+|\s+$", "")
+    kind = F.when(subject.rlike(ADOPTION), "adoption-call").when(subject.rlike(LAST_CALL), "wglc")
+    lead = F.when(kind == "adoption-call", 'Call for adoption thread starts: "').otherwise('WG Last Call thread: "')
+    detail = F.concat(F.col("msgs").cast("string"), F.lit(" messages, "), F.col("participants").cast("string"), F.lit(" participants"))
+    return threads.filter(kind.isNotNull() & F.col("first").isNotNull()).select(F.col("first").alias("when"), kind.alias("kind"), F.concat(lead, subject, F.lit('"')).alias("title"), detail.alias("detail"), "thread")
+
+
+def meeting_label(code: Column) -> Column:
+    """`ietf124` or `interim2025abc09` as a short name; other codes as they are."""
+    number, year, n = F.regexp_extract(code, r"(?i)^ietf([0-9]+)$", 1), F.regexp_extract(code, r"(?i)^interim([0-9]{4})\w*?([0-9]+)$", 1), F.regexp_extract(code, r"(?i)^interim([0-9]{4})\w*?([0-9]+)$", 2)
+    return F.when(number != "", F.concat(F.lit("IETF "), number, F.lit(" meeting"))).when(year != "", F.concat(F.lit("Interim "), year, F.lit(" #"), n)).otherwise(code)
+
+
+def sessions(minutes: DataFrame, slides: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """An event for each session: minutes date it, slides of dated sessions are counted, transcripts join by code.
+
+    minutes: code, date (null: undated, no session); slides: code; transcripts: path, code (or null), when, label (or
+    null). Transcripts without a dated session make one of their own for each time; slides alone make none.
+    """
+    dated = minutes.filter("date IS NOT NULL").groupBy("code").agg(F.min("date").alias("date"))
+    decks = slides.groupBy("code").agg(F.count("*").alias("slides"))
+    spoken = transcripts.filter("when IS NOT NULL")
+    joined = spoken.join(dated, "code", "left_semi").groupBy("code").agg(F.sort_array(F.collect_list("path")).alias("transcripts"))
+    known = dated.join(decks, "code", "left").join(joined, "code", "left").select(F.col("date").cast("timestamp").alias("when"), meeting_label(F.col("code")).alias("title"), "code", F.coalesce("slides", F.lit(0)).alias("slides"), "transcripts")
+    alone = spoken.join(dated, "code", "left_anti").groupBy("when").agg(F.min_by("label", "path").alias("label"), F.sort_array(F.collect_list("path")).alias("transcripts"))
+    own = F.coalesce("label", F.concat(F.lit("session ("), F.date_format("when", "yyyy-MM-dd HH:mm"), F.lit(" UTC)")))
+    orphans = alone.select("when", own.alias("title"), F.lit(None).cast("string").alias("code"), F.lit(0).cast("long").alias("slides"), "transcripts")
+    return known.withColumn("slides", F.col("slides").cast("long")).unionByName(orphans).withColumn("kind", F.lit("meeting"))
+
+
+def issue_events(issues: DataFrame) -> DataFrame:
+    """Opened and closed events of issues (not of pull requests). issues: repo, number, title, author, state, created, closed, updated."""
+    number, title = F.col("number").cast("string"), F.regexp_replace("title", r"^\s+|\s+$", "")
+    said = lambda what: F.concat(F.lit("Issue #"), number, F.lit(f' {what}: "'), title, F.lit('"'))
+    opened = issues.filter("created IS NOT NULL").select(F.col("created").alias("when"), F.lit("issue-opened").alias("kind"), said("opened").alias("title"), F.concat(F.lit("by "), "author", F.lit(" ("), "repo", F.lit(")")).alias("detail"))
+    end = F.coalesce("closed", "updated")
+    closed = issues.filter((F.lower("state") == "closed") & end.isNotNull()).select(end.alias("when"), F.lit("issue-closed").alias("kind"), said("closed").alias("title"), F.concat(F.lit("("), "repo", F.lit(")")).alias("detail"))
+    return opened.unionByName(closed)
+
+
+def event_table(parts: list[DataFrame]) -> DataFrame:
+    """All events as one table (when, kind, title, detail), to be written by year and kind."""
+    cols = ["when", "kind", "title", "detail"]
+    full = [p.select(*(F.col(c) if c in p.columns else F.lit(None).cast("string").alias(c) for c in cols)) for p in parts]
+    return timeline(full)
+
+
+def people_note(people: DataFrame, matching_rows: Column, limit: int) -> DataFrame:
+    """Total, matched, shown, and people without organisation or domain, over the unfiltered table. people: org, domain."""
+    matched = F.count_if(matching_rows)
+    return people.agg(F.count("*").alias("total"), matched.alias("matched"), F.least(matched, F.lit(limit)).alias("shown"), F.count_if(F.col("org").isNull()).alias("no_org"), F.count_if(F.col("domain").isNull()).alias("no_domain"))
+
+
+def recent_open(issues: DataFrame, limit: int) -> DataFrame:
+    """The newest open issues: repo, number, title, updated."""
+    return issues.filter("state = 'open'").orderBy(F.desc("updated"), "repo", "number").limit(limit).select("repo", "number", "title", "updated")

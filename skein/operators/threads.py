@@ -154,3 +154,61 @@ def facet_tags(rfcs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
 def strip_quotes(body: Column) -> Column:
     """V3: without quoted lines."""
     return F.regexp_replace(body, r"(?m)^\s*>.*\n?", "")
+
+
+def assembled(messages: DataFrame) -> DataFrame:
+    """Conversations: message_id, parent_id, thread (the id of its first root) and place (by date, undated last).
+
+    messages: corpus, message_id, subject, date (timestamp or null), in_reply_to, references, path. Copies of a message
+    are one. Roots of one subject are joined as `subject_clusters` says, and hang below the first. Roots without a subject,
+    and messages that only reply to one another, belong to no conversation.
+    """
+    m = written(with_parents(deduplicated(messages)), "thread-messages")
+    roots = m.filter("parent_id IS NULL").select(F.col("message_id").alias("node"))
+    below = descendants(m.filter("parent_id IS NOT NULL").select(F.col("parent_id").alias("parent"), F.col("message_id").alias("child")), roots)
+    below = below.select("root", "node").unionByName(roots.select(F.col("node").alias("root"), "node"))
+    last = below.join(m.select(F.col("message_id").alias("node"), "date"), "node").groupBy("root").agg(F.max("date").alias("last"))
+    key = F.lower(X.subject(F.col("subject")))
+    heads = m.join(last, m["message_id"] == last["root"]).filter(key != "").select("corpus", key.alias("key"), F.col("message_id").alias("id"), "subject", "date", "last")
+    owner = written(subject_clusters(heads), "thread-owners")
+    rows = below.join(owner, below["root"] == owner["id"]).select("node", "root", "thread").join(m, F.col("node") == F.col("message_id"))
+    parent = F.coalesce("parent_id", F.when(F.col("thread") != F.col("root"), F.col("thread")))
+    place = F.row_number().over(Window.partitionBy("thread").orderBy(F.col("date").asc_nulls_last(), "message_id"))
+    return rows.select("message_id", parent.alias("parent_id"), "thread", "corpus", "subject", "date").withColumn("place", place)
+
+
+def slugs(threads: DataFrame) -> DataFrame:
+    """A name for each thread of its first day and subject; equal names are numbered from the second on. threads: thread, subject, first (date or null)."""
+    bare = F.coalesce(F.when(X.subject(F.col("subject")) != "", X.subject(F.col("subject"))), F.lit("no-subject"))
+    day = F.coalesce(F.date_format("first", "yyyy-MM-dd"), F.lit("undated"))
+    rows = threads.withColumn("slug", F.concat_ws("-", day, F.when(X.slug(bare) != "", X.slug(bare))))
+    n = F.row_number().over(Window.partitionBy("slug").orderBy("first", "thread"))
+    return rows.withColumn("_n", n).withColumn("slug", F.when(F.col("_n") > 1, F.concat_ws("-", "slug", "_n")).otherwise(F.col("slug"))).drop("_n")
+
+
+def tagged_participants(messages: DataFrame, people: DataFrame) -> DataFrame:
+    """Senders of each thread by number of messages, then name, with role and affiliation. people: sender, role, affiliation (one row a sender)."""
+    return participants(messages).join(people, "sender", "left").select("thread", "rank", "sender", "n", "role", "affiliation")
+
+
+#: Longest name that counts as a citation, and what is shown around one.
+NAME_MOST, SHOWN_BEFORE, SHOWN_AFTER = 60, 40, 80
+
+
+def cited_sections(files: DataFrame) -> DataFrame:
+    """Draft, file, chunk_idx: which message of a file names which draft, each once. files: file, text.
+
+    Texts are split at message headers first, so a name's place is the section it was found in: the last header at or
+    before it, with 0 for what stands before the first.
+    """
+    from skein.operators.chunking import message_chunks
+
+    parts = message_chunks(files.select("file", "text"))
+    own = F.regexp_replace("part", r"(?m)^\s*>.*$", "")
+    names = parts.select("file", "chunk_idx", F.explode(F.regexp_extract_all(F.lower(own), F.lit(X.DRAFT_NAME), F.lit(0))).alias("raw"))
+    return names.filter(F.length("raw") <= NAME_MOST).select(X.draft_name(F.col("raw")).alias("draft"), "file", "chunk_idx").distinct()
+
+
+def citation_totals(cited: DataFrame) -> DataFrame:
+    """Places and files of each draft, and the first of them."""
+    return cited.groupBy("draft").agg(F.count("*").alias("places"), F.count_distinct("file").alias("files"), F.min(F.struct("file", "chunk_idx")).alias("_f")).select("draft", "places", "files", F.col("_f.file").alias("file"), F.col("_f.chunk_idx").alias("chunk_idx"))
