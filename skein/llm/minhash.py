@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import forget, written
 from .graph import components
-from .words import BASE, SPACE, chunks, distinct, mixed, shingles, split
+from .words import BASE, chunks, distinct, mixed, shingles, split
 
 #: A pair at similarity s shares no band with probability (1 - s**ROWS)**BANDS: 6.6e-6 at 0.8.
 BANDS, ROWS = 30, 5
@@ -35,6 +35,8 @@ BATCH, MISS = 25, 1e-6
 TASK_SHINGLES, CHUNK_TEXTS, CHUNK_SHINGLES = 300_000, 1000, 500_000
 #: Signatures of a task, and of a chunk of a large bucket.
 TASK_SIGNATURES, CHUNK_SIGNATURES = 20_000, 4096
+#: Shingles of words that a task keeps for the next comparison.
+KEPT_SHINGLES = 300_000
 #: Keys of groups and texts are broadcast up to so many (about 24 bytes each), else joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -227,19 +229,19 @@ def _flat(root: np.ndarray) -> np.ndarray:
 
 
 class WordSets:
-    """Sets of shingles as words, for the last texts asked for."""
+    """Sets of shingles as the words themselves, for the last texts asked for."""
 
     def __init__(self, texts: list[bytes], size: int) -> None:
-        self.texts, self.size, self.known = texts, size, {}
+        self.texts, self.size, self.known, self.room = texts, size, {}, KEPT_SHINGLES
 
     def of(self, i: int) -> set:
         if i not in self.known:
-            if len(self.known) > 64:
-                self.known.clear()
-            body = np.frombuffer(self.texts[i], np.uint8)
-            words = split(body, np.array([0, len(body)]), SPACE)
-            own = [words.word(k) for k in range(len(words.start))]
-            self.known[i] = {tuple(own[k : k + self.size]) for k in range(max(1, len(own) - self.size + 1))}
+            words = self.texts[i].lower().split()
+            own = set(zip(*(words[k:] for k in range(self.size)), strict=False)) or {tuple(words)}
+            self.room -= len(own)
+            if self.room < 0:
+                self.known, self.room = {}, KEPT_SHINGLES - len(own)
+            self.known[i] = own
         return self.known[i]
 
     def linked(self, i: int, j: int, percent: int) -> bool:
@@ -341,9 +343,8 @@ def links(docs: DataFrame, cand: DataFrame, rows: int, total: int, size: int, pe
         stars = check(stars.withColumn("task", F.xxhash64("cluster", "part")))
         hubs = sizes.filter("chunks > 1")
         hubs = hubs.select(F.col("least").alias("hub")).unionByName(hubs.select(F.col("most").alias("hub")))
-        tied = components(stars)
-        near = tied.join(tied.join(hubs, F.col("node") == F.col("hub"), "left_semi").select("component").distinct(), "component", "left_semi")
-        near = near.select(F.col("node").alias("cls")).unionByName(hubs.select(F.col("hub").alias("cls"))).distinct()
+        # a row that links with a hub needs no more: links of this round always have a hub on one side
+        near = stars.select(F.col("u").alias("cls")).unionByName(stars.select(F.col("v").alias("cls"))).unionByName(hubs.select(F.col("hub").alias("cls"))).distinct()
         alone = written(cand.join(sizes.filter("chunks > 1"), "cluster").select("cluster", "cls", "n").join(near, "cls", "left_anti"), "minhash-alone")
         crowd = alone.groupBy("cluster").agg(big.alias("ca"))
         large = large.join(crowd, "cluster").join(alone.select("cls", F.lit(1).alias("asks")), "cls", "left").fillna(0, ["asks"])
