@@ -7,7 +7,7 @@
    Members whose pair is dropped are compared in the same way with all others of their bucket. Pairs that stay are
    survivors; a bucket gives a spanning forest of them, so rows stay linear in its size. Only signatures are shuffled.
 3. The components of the survivors are the clusters within which all links lie; only their texts are fetched, each
-   once. A large cluster is cut into chunks that are compared with two hubs first; the texts that link with neither
+   once. A large cluster is cut into chunks that are compared with one hub first; the texts that don't link with it
    meet all others, chunk by chunk. Survivors, most similar first, are checked on the full sets and then on the words
    themselves, unless earlier links connect them already.
 4. Components of the confirmed links give the groups.
@@ -327,7 +327,7 @@ def links(docs: DataFrame, cand: DataFrame, rows: int, total: int, size: int, pe
     texts = docs.select(text_hash().alias("_h"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     texts = written(texts.join(key, F.col("_h") == F.col("_th")).select("cls", "cluster", "n", "text").dropDuplicates(["cls"]), "minhash-texts")
     big = F.greatest(F.ceil(F.count("*") / CHUNK_TEXTS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int")
-    sizes = cand.groupBy("cluster").agg(big.alias("chunks"), F.min("cls").alias("least"), F.max("cls").alias("most"))
+    sizes = cand.groupBy("cluster").agg(big.alias("chunks"), F.min("cls").alias("hub"))
     sizes = written(sizes, "minhash-clusters")
     few = F.broadcast(sizes) if rows <= BROADCAST_ROWS else sizes
     texts = texts.join(few, "cluster")
@@ -336,15 +336,13 @@ def links(docs: DataFrame, cand: DataFrame, rows: int, total: int, size: int, pe
     found = check(texts.filter("chunks = 1").withColumn("task", F.pmod(F.xxhash64("cluster"), F.lit(tasks))).withColumn("asks", F.lit(1)))
     large = texts.filter("chunks > 1")
     if not sizes.filter("chunks > 1").isEmpty():
-        hub = (F.col("cls") == F.col("least")) | (F.col("cls") == F.col("most"))
+        hub = F.col("cls") == F.col("hub")
         part = F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")
         every = F.sequence(F.lit(0), F.col("chunks") - 1)
         stars = large.withColumn("asks", F.when(hub, 1).otherwise(0)).withColumn("part", F.explode(F.when(hub, every).otherwise(F.array(part))))
         stars = check(stars.withColumn("task", F.xxhash64("cluster", "part")))
-        hubs = sizes.filter("chunks > 1")
-        hubs = hubs.select(F.col("least").alias("hub")).unionByName(hubs.select(F.col("most").alias("hub")))
-        # a row that links with a hub needs no more: links of this round always have a hub on one side
-        near = stars.select(F.col("u").alias("cls")).unionByName(stars.select(F.col("v").alias("cls"))).unionByName(hubs.select(F.col("hub").alias("cls"))).distinct()
+        # what links with the hub is one group already; all other rows may link with anything
+        near = stars.select(F.col("u").alias("cls")).unionByName(stars.select(F.col("v").alias("cls"))).unionByName(sizes.select(F.col("hub").alias("cls"))).distinct()
         alone = written(cand.join(sizes.filter("chunks > 1"), "cluster").select("cluster", "cls", "n").join(near, "cls", "left_anti"), "minhash-alone")
         crowd = alone.groupBy("cluster").agg(big.alias("ca"))
         large = large.join(crowd, "cluster").join(alone.select("cls", F.lit(1).alias("asks")), "cls", "left").fillna(0, ["asks"])
