@@ -141,3 +141,117 @@ def test_grep_line_to_chunk_beyond_400_chunks(spark, tmp_path):
     got = sorted(tuple(r) for r in catalogue.QUERIES["grep_line_to_chunk"](spark, str(tmp_path)).select("file", "line", "chunk_idx").collect())
     want = [(i, k, (k - 1) // 5) for i, t in rows for k, line in enumerate((t or "").split("\n"), 1) if "license" in line]
     assert got == sorted(want)
+
+
+def test_records_of_json_sources(spark, tmp_path):
+    from skein.sources import records
+
+    (tmp_path / "rfcs.json").write_text(json.dumps({"RFC200": {"title": "New", "obsoletes": ["RFC100"], "keywords": ["x"]}, "RFC100": {"title": "Old"}}))
+    (tmp_path / "refs.json").write_text(json.dumps({"200": {"normative": ["100"], "informative": ["RFC0300"]}}))
+    (tmp_path / "tags.json").write_text(json.dumps({"area": {"web": {"rfcs": ["RFC200", "RFC100"]}}}))
+    got = records.read_rfc_index(spark, str(tmp_path))
+    assert {r.name: r.obsoletes for r in got["rfcs"].collect()} == {"RFC200": ["RFC100"], "RFC100": None}
+    assert {(r.src, r.dst, r.normative) for r in got["refs"].collect()} == {("RFC200", "RFC100", True), ("RFC200", "RFC300", False)}
+    assert {(r.collection, r.tag, r.name) for r in got["tags"].collect()} == {("area", "web", "RFC200"), ("area", "web", "RFC100")}
+    (tmp_path / "attendance.json").write_text(json.dumps([{"name": "Jane", "person": "p/1"}, {"name": "Bob"}]))
+    assert {(r.name, r.person) for r in records.read_json(spark, str(tmp_path / "attendance.json"), "attendance").collect()} == {("Jane", "p/1"), ("Bob", None)}
+
+
+def test_meeting_files(spark, tmp_path):
+    from skein.operators import digests
+    from skein.sources import records
+
+    files = {"meetings/ietf1/minutes.md": "# M\nDate: 2024-01-02\nx", "meetings/ietf2/minutes.md": "no date", "meetings/ietf1/slides/a.pdf.txt": "s", "meetings/ietf1/transcripts/2024-01-02-1000.md": "# T", "meetings/_orphans/transcripts/2024-03-01-0930.md": "# Hall", "meetings/ietf1/polls.md": "p", "x.txt": "y"}
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    got = records.meeting_files(records.read_files(spark, str(tmp_path)))
+    assert {(r.code, str(r.date)) for r in got["minutes"].collect()} == {("ietf1", "2024-01-02"), ("ietf2", "None")}
+    rows = {r.title: (str(r.when), r.slides, r.transcripts) for r in digests.sessions(got["minutes"], got["slides"], got["transcripts"]).collect()}
+    assert rows == {"IETF 1 meeting": ("2024-01-02 00:00:00", 1, ["meetings/ietf1/transcripts/2024-01-02-1000.md"]), "Hall": ("2024-03-01 09:30:00", 0, ["meetings/_orphans/transcripts/2024-03-01-0930.md"])}
+    assert got["polls"].count() == 1
+
+
+def test_leases_and_pointers(spark, tmp_path):
+    from skein.sources import control
+
+    store = control.Store(spark, str(tmp_path / "s"))
+    assert control.acquire(store, "a", 10, now=100) and not control.acquire(store, "b", 10, now=105) and control.acquire(store, "a", 10, now=106)
+    assert control.acquire(store, "b", 10, now=117) and control.holds(store, "b", now=118) and not control.holds(store, "a", now=118)
+    control.release(store, "a")
+    assert control.holds(store, "b", now=118)
+    assert [control.acquire_slot(store, o, 10, 2, now=1) for o in "xyz"] == [0, 1, None]
+    assert control.write_if_changed(store, "f", "1") and not control.write_if_changed(store, "f", "1") and control.write_if_changed(store, "f", "2")
+    root = str(tmp_path / "v")
+    for k in (1, 2, 3):
+        assert control.publish(spark, root, {"t": spark.range(k)}, {"model": "m"}, "me") == k
+    assert control.pointer(control.Store(spark, root)) == 3 and versions.versions(spark, root) == [2, 3]
+    assert control.query_text("BAAI/bge-small-en-v1.5", "q").endswith("passages: q") and control.query_text("bge-small-zh", "q") == "q"
+
+
+def test_dumps_and_thread_files(spark):
+    from skein.sources import records
+
+    i = spark.createDataFrame([("r", 2, "b", "open", ["Bug"], None), ("r", 1, "a", "open", ["bug", "wontfix"], "x"), ("s", 3, "c", "closed", None, "y")], "repo string, number long, title string, state string, labels array<string>, body string")
+    assert [r.text for r in records.issue_dump(i, ["BUG"], ["wontfix"]).collect()] == ["Issue #2: b\nState: open\n\n"]
+    m = spark.createDataFrame([("t", "s", "Hi", 1, "2024-01-01", "Jane", None, "one"), ("t", "s", "Re: Hi", 2, "2024-01-02", "Bob", 1, "two")], "thread string, slug string, subject string, place int, date string, sender string, parent_place int, body string").withColumn("date", F.to_timestamp("date"))
+    (row,) = records.thread_files(m).collect()
+    assert row.relpath == "threads/s.md" and row.text.startswith("# Hi\n\n**Span:** 2024-01-01 → 2024-01-02\n**Messages:** 2\n\n## Messages\n\n### [1] 2024-01-01 00:00 — Jane\n\none\n\n### [2] 2024-01-02 00:00 — Bob (reply to [1])\n\ntwo")
+
+
+def test_threads_merge_by_subject(spark):
+    rows = [
+        ("c", "a", "[x] Plan", "2024-01-01", None, [], "1"), ("c", "b", "Re: Plan", "2024-01-20", "a", [], "2"), ("c", "c", "RE: plan", "2024-02-20", "gone", [], "3"), ("c", "d", "Plan", "2024-02-21", None, [], "4"),
+        ("c", "e", "Re: Plan", "2025-01-01", None, ["nope"], "5"), ("c", "f", "x", "2024-01-01", "g", [], "6"), ("c", "g", "x", "2024-01-01", "f", [], "7"), ("c", "h", "", "2024-01-01", None, [], "8"), ("c", "b", "Re: Plan", "2024-01-20", None, [], "0"),
+    ]
+    m = spark.createDataFrame(rows, "corpus string, message_id string, subject string, date string, in_reply_to string, references array<string>, path string").withColumn("date", F.to_timestamp("date"))
+    got = {r.message_id: (r.parent_id, r.thread, r.place) for r in threads.assembled(m).collect()}
+    assert got == {"a": (None, "a", 1), "b": ("a", "a", 2), "c": ("a", "a", 3), "d": (None, "d", 1), "e": (None, "e", 1)}
+
+
+def test_index_rebuild(spark):
+    asked = []
+
+    def embed(texts):
+        asked.extend(texts)
+        return [[float(len(t))] for t in texts]
+
+    def chunker(df):
+        return chunking.windows(df, window=4, overlap=0).select("file", F.lit(0).alias("chunk_idx"), "sub_idx", F.col("window").alias("embed_text"))
+
+    files = lambda rows: spark.createDataFrame(rows, "relpath string, text string").withColumn("sha256", F.sha2("text", 256))
+    none = spark.createDataFrame([], "file string, chunk_idx int, sub_idx int, embed_text string, chunk_hash string, embedding array<double>")
+    one, stamps = chunking.rebuilt(files([("a", "aaaabbbb"), ("b", "cccc"), ("d", "x")]), files([]).select("relpath", "sha256"), none, chunker, embed)
+    one = spark.createDataFrame(one.collect(), one.schema)
+    assert {(r.file, r.embed_text, r.embedding[0]) for r in one.collect()} == {("a", "aaaa", 4.0), ("a", "bbbb", 4.0), ("b", "cccc", 4.0), ("d", "x", 1.0)}
+    known = one.withColumn("embedding", F.array(F.lit(9.0)))
+    two, stamps = chunking.rebuilt(files([("a", "aaaadddd"), ("b", "cccc")]), spark.createDataFrame(stamps.collect(), stamps.schema), known, chunker, embed)
+    assert {(r.file, r.embed_text, r.embedding[0]) for r in two.collect()} == {("a", "aaaa", 9.0), ("a", "dddd", 4.0), ("b", "cccc", 9.0)}
+    assert stamps.filter("sha256 IS NULL").count() == 0
+
+
+def test_bounded_scan(spark):
+    import time
+
+    from skein.operators import reads
+
+    assert reads.bounded(spark.range(3), 60)[0] == "COMPLETE"
+
+    def slow(frames):
+        time.sleep(8)
+        yield from frames
+
+    assert reads.bounded(spark.range(1).mapInPandas(slow, "id long"), 1) == ("INCOMPLETE", None)
+
+
+def test_registry_order(spark):
+    mail_ = spark.createDataFrame([("c", 1, "jane@x.org", "jane doe"), ("c", 2, "bob@x.org", "bob roe"), ("c", 3, "jane@y.org", "jane doe")], "corpus string, seq long, email string, key string")
+    github = spark.createDataFrame([("bob", None, "", False), ("Jane-Doe", None, "", False), ("Jo-Levy", None, "", False)], "login string, email string, key string, named boolean")
+    facts = spark.createDataFrame([(1, "Chair", "jane@y.org", "x"), (2, "New One", "n@x.org", "new one"), (3, "New One", None, "new one")], "fact long, name string, email string, key string")
+    seen = spark.createDataFrame([("m1", "bob roe"), ("m2", "nobody")], "meeting string, key string")
+    got = people.registry(mail_, github, facts, facts, seen)
+    who = {r.email: r.person for r in got["persons"].collect()}
+    assert who["jane@x.org"] == who["jane@y.org"] != who["bob@x.org"]
+    assert {r.login: r.person for r in got["links"].collect()} == {"bob": who["bob@x.org"], "Jane-Doe": who["jane@x.org"]}
+    assert {(r.fact, r.person, r.known, r.group) for r in got["roles"].collect()} == {(1, who["jane@x.org"], True, None), (2, None, False, 2), (3, None, False, 2)}
+    assert {(r.person, r.meetings) for r in got["meetings"].collect()} == {(who["bob@x.org"], 1)}
