@@ -50,9 +50,15 @@ def read_rfc_index(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {"rfcs": rfcs, "refs": edges, "tags": tags.select("collection", "tag", F.explode("_t.rfcs").alias("name"))}
 
 
-def read_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """Relpath and text of the files below a folder, each whole; bytes that are no UTF-8 become replacement marks."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+def read_files(spark: SparkSession, root: str, pattern: str = "*", hidden: tuple[str, ...] = ("meetings/_orphans",)) -> DataFrame:
+    """Relpath and text of the files below a folder, each whole; bytes that are no UTF-8 become replacement marks.
+
+    hidden: folders that a listing leaves out, as their names begin with an underscore; those that exist are read too.
+    """
+    path = lambda x: spark._jvm.org.apache.hadoop.fs.Path(x)
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    more = [f"{root.rstrip('/')}/{h}" for h in hidden if fs.exists(path(f"{root.rstrip('/')}/{h}"))]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load([root, *more])
     folder = root.rstrip("/") + "/"
     relpath = F.substr("path", F.instr("path", folder) + F.lit(len(folder)))
     return files.select(relpath.alias("relpath"), F.decode("content", "UTF-8").alias("text"), F.contains("content", F.unhex(F.lit("00"))).alias("binary"))
