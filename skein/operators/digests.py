@@ -1,11 +1,13 @@
-"""Derived tables, timelines, groups and meetings."""
+"""Derived tables, timelines, groups and meetings."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Window of activity, least messages and rows of the most active threads, withheld coverage.
+from .ranks import placed
+
+#: Window of activity, least messages and rows of the most active threads.
 ACTIVE_DAYS, ACTIVE_LEAST, ACTIVE_ROWS = 31, 2, 5
 GROUNDING_MESSAGES, GROUNDING_PEOPLE = 20, 8
 #: Kinds of events that follow from a procedure and are folded to counts.
@@ -15,7 +17,7 @@ MECHANICAL = ("draft", "issue opened", "issue closed")
 def ordered_issues(issues: DataFrame) -> DataFrame:
     """Open ones first, then the newest update; place from 1."""
     order = [F.desc(F.col("state") == "open"), F.desc("updated"), F.asc("number")]
-    return issues.withColumn("place", F.row_number().over(Window.partitionBy("repo").orderBy(*order)))
+    return placed(issues, ["repo"], order)
 
 
 def sectioned(df: DataFrame, section: str, order: list[Column], limit: int) -> DataFrame:
@@ -177,7 +179,7 @@ def group_records(groups: DataFrame, areas: DataFrame, charters: DataFrame) -> D
     """M1: two left joins on addresses."""
     a = areas.select(F.col("uri").alias("parent"), F.col("name").alias("area"))
     c = charters.select(F.col("group").alias("uri"), F.max("rev").over(Window.partitionBy("group")).alias("rev")).distinct()
-    return groups.join(F.broadcast(a), "parent", "left").join(c, "uri", "left")
+    return groups.join(a, "parent", "left").join(c, "uri", "left")
 
 
 def artefacts(rows: DataFrame, kinds: tuple[str, ...]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import running
+
 #: Fixed caps: lines and characters of a window, matches shown a file and in all, characters of a shown line.
 WINDOW_LINES, WINDOW_CHARS, PER_FILE, IN_ALL, LINE_CHARS = 5000, 40_000, 20, 200, 400
 
@@ -58,10 +60,9 @@ def line_window(df: DataFrame, first: int, last: int, most_chars: int = WINDOW_C
     return rows.filter(F.col("used") <= most_chars)
 
 
-def budgeted(df: DataFrame, order: list[Column], size: Column, most: int) -> DataFrame:
-    """Rows in order while the sum of their sizes stays within a budget (Q23)."""
-    used = F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("used", used).filter(F.col("used") <= most)
+def budgeted(df: DataFrame, order: list[Column], size: Column, most: int, keys: list[str] | None = None) -> DataFrame:
+    """Rows in order while the sum of their sizes stays within a budget (Q23); with `keys`, a budget for each."""
+    return running(df, keys or [], order, size, "used").filter(F.col("used") <= most)
 
 
 def section_label(text: Column) -> Column:

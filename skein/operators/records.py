@@ -48,7 +48,7 @@ def outbound(refs: DataFrame, name: str) -> DataFrame:
 def milestones(rows: DataFrame, groups: DataFrame, today: Column, status: str | None = "open", group: str | None = None, due_before=None, due_after=None, closed: bool = False, limit: int = 50) -> DataFrame:
     """M7: milestones beside their groups by due date (none last), with the number of all before the limit."""
     g = groups.select(F.col("uri").alias("group"), "acronym", F.col("state").alias("group_state"))
-    out = rows.join(F.broadcast(g), "group").withColumn("status", milestone_status(today))
+    out = rows.join(g, "group").withColumn("status", milestone_status(today))
     if not closed:
         out = out.filter(F.col("group_state") == "active")
     if status:
@@ -59,8 +59,8 @@ def milestones(rows: DataFrame, groups: DataFrame, today: Column, status: str |
         out = out.filter(F.col("due") < due_before)
     if due_after is not None:
         out = out.filter(F.col("due") > due_after)
-    out = out.withColumn("total", F.count("*").over(Window.partitionBy()))
-    return out.orderBy(F.col("due").asc_nulls_last(), "acronym", "milestone").limit(limit)
+    total = out.agg(F.count("*").alias("total"))
+    return out.orderBy(F.col("due").asc_nulls_last(), "acronym", "milestone").limit(limit).crossJoin(F.broadcast(total)).orderBy(F.col("due").asc_nulls_last(), "acronym", "milestone")
 
 
 def review_record(assignments: DataFrame, requests: DataFrame, teams: DataFrame, results: DataFrame, emails: DataFrame, persons: DataFrame) -> DataFrame:

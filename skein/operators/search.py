@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.vectors import dot, mean_vectors, normalised
+from skein.operators.ranks import placed
 
 #: Fixed values of the ranking: balance of relevance and novelty, its pool, probed lists, fusion constant, floors.
 MMR_LAMBDA, MMR_POOL, PROBES, RRF_K = 0.7, 50, 20, 60
@@ -124,7 +125,7 @@ def merged_corpora(hits: DataFrame, k: int) -> DataFrame:
     best = hits.withColumn("_own", own).filter(F.col("_own") <= k).drop("_own")
     rank = F.row_number().over(Window.partitionBy("model").orderBy(F.desc("score"), "corpus", "id"))
     models = best.groupBy("model").agg(F.min("place").alias("_seen"))
-    return best.join(F.broadcast(models), "model").withColumn("rank", rank).orderBy("rank", "_seen", "model").limit(k).drop("_seen")
+    return best.join(models, "model").withColumn("rank", rank).orderBy("rank", "_seen", "model").limit(k).drop("_seen")
 
 
 def title_overlap(query: str, title: Column) -> Column:
@@ -144,17 +145,13 @@ def documents_ranked(hits: DataFrame, overlap: Column) -> DataFrame:
     return got.select("doc", score.alias("score")).orderBy(F.desc("score"), "doc")
 
 
-#: A concluded group's factor, what a query that is a group's acronym adds, and ranks of each list that count.
-CLOSED_FACTOR, PINNED, FUSED_MOST = 0.6, 1.0, 10_000
+#: A concluded group's factor, and what a query that is a group's acronym adds.
+CLOSED_FACTOR, PINNED = 0.6, 1.0
 
 
 def fused(lists: list[DataFrame], closed: Column | None = None, pinned: Column | None = None) -> DataFrame:
-    """Q27: reciprocal ranks from 0 on, summed; closed ones weigh less, and a pinned one comes first. lists: id, score (FUSED_MOST rows a list, best first).
-
-    closed and pinned: conditions on `id`. A list's best rows are found by a top-k, so the ranks run over a bounded number.
-    """
-    best = lambda x: x.select("id", "score").orderBy(F.desc("score"), "id").limit(FUSED_MOST)
-    ranked = [best(x).select("id", (1.0 / (RRF_K + F.row_number().over(Window.orderBy(F.desc("score"), "id")) - 1)).alias("part")) for x in lists]
+    """Q27: reciprocal ranks from 0 on, summed; closed ones weigh less, and a pinned one comes first. lists: id, score. closed and pinned: conditions on `id`."""
+    ranked = [placed(x.select("id", "score"), [], [F.desc("score"), F.asc("id")], "_rank").select("id", (1.0 / (RRF_K + F.col("_rank") - 1)).alias("part")) for x in lists]
     union = ranked[0]
     for x in ranked[1:]:
         union = union.unionByName(x)
@@ -177,12 +174,38 @@ def routed(centroids: DataFrame, query: DataFrame, floor: float = ROUTE_FLOOR) -
     return best.withColumn("confident", F.max("score").over(Window.partitionBy()) >= floor)
 
 
+#: Themes of a block when all are compared with all.
+THEME_BLOCK = 2000
+
+
 def generic_themes(themes: DataFrame) -> DataFrame:
-    """Q33: themes near a theme of most other corpora. themes: corpus, theme, embedding."""
+    """Q33: themes near a theme of most other corpora. themes: corpus, theme, embedding (of equal lengths).
+
+    Themes are dealt to blocks, and each pair of blocks is one product of matrices in one task, which gives the best
+    score of each theme with each other corpus; so no task and no broadcast grows with the number of themes.
+    """
     mean = mean_vectors(themes, [], out="_mean")
     unit = themes.crossJoin(F.broadcast(mean)).select("corpus", "theme", normalised(F.zip_with("embedding", "_mean", lambda x, m: x - m)).alias("v"))
-    other = unit.select(F.col("corpus").alias("other"), F.col("v").alias("w"))
-    near = unit.join(F.broadcast(other), F.col("corpus") != F.col("other")).groupBy("corpus", "theme", "other").agg(F.max(dot(F.col("v"), F.col("w"))).alias("s"))
+    blocks = max(1, -(-themes.count() // THEME_BLOCK))
+    own = unit.withColumn("a", F.pmod(F.xxhash64("corpus", "theme"), F.lit(blocks)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left, right = own.withColumn("b", every), own.select(F.col("corpus").alias("other"), F.col("v").alias("w"), F.col("a").alias("d"), every.alias("c"))
+
+    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        out = pd.DataFrame({"corpus": [], "theme": [], "other": [], "s": []})
+        if not len(x) or not len(y):
+            return out
+        names, at = np.unique(y["other"].to_numpy(), return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        score = np.maximum.reduceat((np.stack(x["v"]) @ np.stack(y["w"]).T)[:, order], np.searchsorted(at[order], np.arange(len(names))), axis=1)
+        rows = pd.DataFrame({"corpus": np.repeat(x["corpus"].to_numpy(), len(names)), "theme": np.repeat(x["theme"].to_numpy(), len(names)), "other": np.tile(names, len(x)), "s": score.ravel()})
+        return rows[rows["corpus"] != rows["other"]]
+
+    kind = dict(themes.dtypes)
+    near = left.groupBy("a", "b").cogroup(right.groupBy("c", "d")).applyInPandas(best, f"corpus {kind['corpus']}, theme {kind['theme']}, other {kind['corpus']}, s double")
+    near = near.groupBy("corpus", "theme", "other").agg(F.max("s").alias("s"))
     share = near.groupBy("corpus", "theme").agg(F.avg(F.when(F.col("s") >= GENERIC_COSINE, 1.0).otherwise(0.0)).alias("share"), F.count("*").alias("others"))
     return share.withColumn("generic", (F.col("share") >= GENERIC_SHARE) & (F.col("others") + 1 >= GENERIC_LEAST)).drop("others")
 

@@ -139,7 +139,7 @@ def _milestones(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT o_orderkey AS milestone, n_name AS acronym, o_orderdate::DATE AS due FROM orders JOIN nation ON o_custkey % 25 = n_nationkey WHERE o_orderstatus <> 'F' AND o_orderdate::DATE < DATE '1996-01-01' ORDER BY due, acronym, milestone LIMIT 30""")
 def milestone_list(spark: SparkSession, sf: str) -> DataFrame:
     g = table(spark, sf, "nation").select(F.col("n_nationkey").alias("group"), F.col("n_name").alias("acronym"))
-    rows = _milestones(spark, sf).filter("state <> 'dropped' AND due < DATE '1996-01-01'").join(F.broadcast(g), "group")
+    rows = _milestones(spark, sf).filter("state <> 'dropped' AND due < DATE '1996-01-01'").join(g, "group")
     return rows.orderBy(F.col("due").asc_nulls_last(), "acronym", "milestone").limit(30).select("milestone", "acronym", "due")
 
 

@@ -145,10 +145,8 @@ def line_window(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""WITH u AS (SELECT doc_id, n_chars, sum(n_chars) OVER (PARTITION BY lang ORDER BY doc_id)::BIGINT AS used FROM documents) SELECT doc_id, used FROM u WHERE used <= 40000""")
 def running_budget(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    used = F.sum("n_chars").over(Window.partitionBy("lang").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    return table(spark, sf, "documents").select("doc_id", used.alias("used")).filter("used <= 40000")
+    d = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    return R.budgeted(d, [F.asc("doc_id")], F.col("n_chars"), 40_000, ["lang"]).select("doc_id", "used")
 
 
 @query("""WITH h AS (SELECT l_orderkey AS file, l_linenumber * 10 AS line, CASE WHEN l_quantity < 25 THEN '7' || CASE WHEN l_linenumber % 2 = 0 THEN '.2' ELSE '' END ELSE '8' END AS section FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity) = 1),

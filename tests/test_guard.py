@@ -1,7 +1,12 @@
 """Nothing outside the optional subpackage imports it, but for the guarded entry."""
 
+import sys
 from pathlib import Path
 
+import pytest
+
+import skein
+
 ROOT = Path(__file__).resolve().parents[1]
 
 
@@ -11,12 +16,17 @@ def test_core_stands_alone():
             assert "skein.llm" not in path.read_text() and "from .llm" not in path.read_text(), path
 
 
-def test_entry_without_subpackage(monkeypatch):
-    import importlib.util
-
+@pytest.mark.parametrize("gone", ["skein.llm", "skein.llm.queries", "corpus_pipeline"])
+def test_entry_without_subpackage(monkeypatch, gone):
+    """Also where only something that the subpackage needs is not installed, as its import fails alike."""
     import __spark_entry__
     from skein import catalogue
 
-    real = importlib.util.find_spec
-    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name.startswith(("skein.llm", "corpus_pipeline")) else real(name, *a))
-    assert set(__spark_entry__.queries()) == set(catalogue.QUERIES) and set(__spark_entry__.oracle_sql()) == set(catalogue.ORACLES)
+    for name in [m for m in sys.modules if m == "skein.llm" or m.startswith("skein.llm.") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    if gone.startswith("skein.llm") and hasattr(skein, "llm"):
+        monkeypatch.delattr(skein, "llm")
+    monkeypatch.setitem(sys.modules, gone, None)
+    known, oracles = __spark_entry__.queries(), __spark_entry__.oracle_sql()
+    assert set(catalogue.QUERIES) <= set(known) and set(catalogue.ORACLES) <= set(oracles) and "pipeline" not in known
+    assert (set(known) == set(catalogue.QUERIES)) == gone.startswith("skein.llm")
