@@ -103,7 +103,8 @@ def formatted(conversations: DataFrame, template: Template = Template()) -> Data
 
     Turns stand in the order of turn, role and text (nulls first), so repeated turns have a defined order. A null role
     or text is the empty one; a null conv_id is a conversation of its own. After a role out of order the machine goes
-    on from that role. Rows of a conversation stream through one task in order, of which only the state is kept.
+    on from that role. Rows of a conversation stream through one task in order, of which only the state is kept, so
+    texts and conversations may be of any length. An empty table gives an empty result.
     """
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartition(parts(conversations.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
@@ -128,6 +129,8 @@ def read_back(segments: DataFrame, template: Template = Template()) -> DataFrame
     """What `formatted` gave (in its partitions and order), parsed again: one row a conversation.
 
     conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, valid (all turns in order, and a proper end).
+    A conversation without text of an assistant has 0 loss_chars and the digest of nothing. An empty table gives an
+    empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

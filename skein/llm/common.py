@@ -14,6 +14,10 @@ from skein.scratch import forget, scratch_dir, written
 __all__ = ["forget", "parts", "scratch_dir", "shipped", "tuned", "written"]
 
 
+#: Rows of an Arrow batch at most.
+BATCH_ROWS = 512
+
+
 def shipped(spark: SparkSession) -> None:
     """Sends the package to Python workers that wouldn't find it: those not started in its folder or with it on PYTHONPATH."""
     root = Path(__file__).resolve().parents[2]
@@ -27,10 +31,11 @@ def shipped(spark: SparkSession) -> None:
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Arrow batches small enough for very long texts in a small Python worker."""
+    """Arrow batches small enough for very long texts in a small Python worker, for this session; a smaller bound stays."""
     shipped(spark)
-    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "512"), ("spark.sql.session.timeZone", "UTC")):
-        spark.conf.set(key, value)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
     return spark
 
 

@@ -103,7 +103,8 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """docs: doc_id, text; other columns are not read. Returns doc_id, n_words, n_tokens, one row an input row.
 
     Words are A-Z lower-cased runs of bytes outside 0x20 and 0x09-0x0D; tokens are the pieces that a greedy longest
-    match cuts each word into. A null or empty text has none. Ids may be null or repeated.
+    match cuts each word into. A null or empty text has none. Texts of any length are read whole, in slices. Ids may be
+    null or repeated, repeated rows get equal results, and an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
