@@ -110,10 +110,26 @@ def verdicts(reviews: DataFrame, order: tuple[str, ...] = VERDICTS) -> DataFrame
     return best.groupBy("pull", "verdict").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("reviewer")), ", ").alias("reviewers"))
 
 
-def closes(text: Column, own: Column) -> Column:
-    """Numbers of issues that a text (title, then body) closes, in order, once, without its own."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?):?\s+#([0-9]+)"), F.lit(1))
-    return F.array_remove(F.array_distinct(F.transform(found, lambda x: x.cast("long"))), own)
+#: A word that closes, and an issue: an address, a repository with a number, or a number alone.
+CLOSING = r"(?i)\b(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)\s*:?\s+"
+CLOSED = r"(?:(?:https?://)?(?:www\.)?github\.com/([^/\s]+/[^/\s]+)/(?:issues|pulls?)/([0-9]+)|([\w.-]+/[\w.-]+)#([0-9]+)|#([0-9]+))\b"
+
+
+def closes(title: Column, body: Column, own: Column, repo: Column) -> Column:
+    """Numbers of issues that a pull request closes, in its title, then in its body, in order, once, without its own.
+
+    A reference to a repository counts only if that is `repo` (owner/name, in any case); null repo: such ones never do.
+    """
+    text = F.concat_ws("\n", title, body)
+    found = F.regexp_extract_all(text, F.lit(CLOSING + CLOSED), F.lit(0))
+    part = lambda x, g: F.regexp_extract(x, CLOSING + CLOSED, g)
+
+    def number(x: Column) -> Column:
+        named = F.concat(part(x, 1), part(x, 3))
+        here = (named == "") | F.coalesce(F.lower(named) == F.lower(repo), F.lit(False))
+        return F.when(here, F.concat(part(x, 2), part(x, 4), part(x, 5)).cast("long"))
+
+    return F.array_remove(F.array_distinct(F.filter(F.transform(found, number), lambda n: n.isNotNull())), own)
 
 
 def milestone_status(today: Column) -> Column:
@@ -163,9 +179,22 @@ def merged_feed(stored: DataFrame, incoming: DataFrame, key: str = "id") -> Data
     return stored.join(incoming.select(key).distinct(), key, "left_anti").unionByName(incoming)
 
 
+def refreshed_feed(stored: DataFrame, watermark, incoming: DataFrame | None, key: str = "id", time: str = "time") -> tuple[DataFrame, DataFrame]:
+    """M5: the merged feed and its next watermark (the newest time, to the second), to be stored together; a failed fetch (None) changes neither."""
+    if incoming is None:
+        return stored, stored.sparkSession.range(1).select(F.lit(watermark).alias("watermark"))
+    newest = F.max(F.date_trunc("second", F.col(time).cast("timestamp")))
+    return merged_feed(stored, incoming, key), incoming.agg(F.greatest(newest, F.lit(watermark).cast("timestamp")).alias("watermark"))
+
+
 def agenda_eligibility() -> Column:
-    """Precedence of what a document is."""
-    return F.when(F.col("published"), "published").when(F.col("state").isin("dead", "repl"), "dead").when(F.col("in_review"), "in-review").when(F.col("expired"), "dead").otherwise("active")
+    """What a document is for an agenda, in strict precedence. Columns: state, iesg, stream (texts or null), number (null unless published), lapsed (its expiry is past)."""
+    low = lambda c: F.coalesce(F.lower(F.regexp_replace(c, r"^\s+|\s+$", "")), F.lit(""))
+    state, iesg, stream = low("state"), low("iesg"), low("stream")
+    published = F.col("number").isNotNull() | (state == "rfc")
+    dead = state.isin("expired", "replaced", "repl") | (iesg == "dead") | (stream == "dead")
+    out = F.when(published, "published").when(dead, "dead").when(((iesg != "") & (iesg != "i-d exists")) | (stream == "sub-pub"), "in-iesg")
+    return out.when(F.coalesce("lapsed", F.lit(False)), "dead").when((iesg == "i-d exists") | (state == "active"), "in-wg").otherwise("unknown")
 
 
 def reconciled_drafts(live: DataFrame, cached: DataFrame) -> DataFrame:

@@ -77,6 +77,24 @@ def coverage_of(revisions: Column, newest: Column, failed: Column) -> Column:
     return F.when(failed, F.lit(None).cast("boolean")).otherwise(F.coalesce(F.array_contains(revisions, newest), F.lit(False)))
 
 
+def examined(reviews: DataFrame, positions: DataFrame, documents: DataFrame) -> DataFrame:
+    """For each document, which half of its record has looked at the current revision.
+
+    reviews: doc, rev (null or empty: none named), done (whether a review came of it); positions: doc, rev, pos (a recuse
+    is no look); documents: doc, rev, reachable (false: the source did not answer, so nothing is known). Returns doc, rev,
+    reviews, ballot (newest revision examined by each; null: none), unproductive (assignments without a review), and
+    current: true, false (something was examined, but not this revision), or null where nothing was or nothing is known.
+    """
+    number = lambda c: F.when(F.col(c).rlike("^[0-9]+$"), F.col(c).cast("int"))
+    r = reviews.withColumn("_n", F.when(F.col("done"), number("rev"))).groupBy("doc").agg(F.max("_n").alias("reviews"), F.collect_set("_n").alias("_a"), F.count_if(~F.col("done")).alias("unproductive"))
+    p = positions.withColumn("_n", F.when(F.lower("pos") != "recuse", number("rev"))).groupBy("doc").agg(F.max("_n").alias("ballot"), F.collect_set("_n").alias("_b"))
+    out = documents.join(r, "doc", "left").join(p, "doc", "left").withColumn("_now", number("rev"))
+    none = F.array().cast("array<int>")
+    seen = F.array_union(F.coalesce("_a", none), F.coalesce("_b", none))
+    current = F.when(F.col("reachable") & F.col("_now").isNotNull() & (F.size(seen) > 0), F.array_contains(seen, F.col("_now")))
+    return out.select("doc", "rev", "reviews", "ballot", F.coalesce("unproductive", F.lit(0)).cast("long").alias("unproductive"), current.alias("current"))
+
+
 def upcoming(meetings: DataFrame, now: Column) -> DataFrame:
     """Meetings not over yet in the zone of their venue. meetings: first (date), days, zone."""
     today = F.to_date(F.from_utc_timestamp(now, F.col("zone")))

@@ -98,6 +98,20 @@ def mmr(pool: DataFrame, k: int, group: str = "query", lam: float = MMR_LAMBDA)
     return pool.groupBy(group).applyInPandas(choose, f"{group} {kinds[group]}, id {kinds['id']}, score double, place int")
 
 
+def with_vectors(pool: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Q10: vectors fetched for a pool (group, id, score): the groups that have one for every row, to be diversified, and all others as they are."""
+    got = pool.join(vectors.select("id", "embedding"), "id", "left")
+    whole = got.groupBy("group").agg(F.bool_and(F.col("embedding").isNotNull()).alias("_whole"))
+    got = got.join(whole, "group")
+    return got.filter("_whole").drop("_whole"), got.filter("NOT _whole").drop("_whole", "embedding")
+
+
+def probe_count(meta: dict[str, str], default: int = 20) -> int:
+    """Q9: lists to probe: what the index's own metadata says, at least 1."""
+    text = str(meta.get("nprobe", "")).strip()
+    return max(1, int(text)) if text.lstrip("-").isdigit() else default
+
+
 def by_file(hits: DataFrame) -> DataFrame:
     """Q16: the best hit of each file and the number of hits; order: best score, hits, file."""
     got = hits.groupBy("file").agg(F.max_by("chunk_idx", F.struct("score", -F.col("chunk_idx"))).alias("chunk_idx"), F.max("score").alias("score"), F.count("*").alias("hits"))

@@ -122,8 +122,9 @@ def links(pages: DataFrame, pattern: str = X.URL) -> DataFrame:
 
 
 def linked(found: DataFrame, dimension: DataFrame) -> DataFrame:
-    """Addresses resolved to ids (last wins), null if they lead outside; self-links go. dimension: id, url."""
-    target = dimension.groupBy(X.canonical_url(F.col("url")).alias("url")).agg(F.max("id").alias("target"))
+    """Addresses resolved to ids, null if they lead outside; self-links go. dimension: id, url, and `seq`: the last of an address's rows wins (without seq, the greatest id)."""
+    last = F.max_by("id", F.struct("seq", "id")) if "seq" in dimension.columns else F.max("id")
+    target = dimension.groupBy(X.canonical_url(F.col("url")).alias("url")).agg(last.alias("target"))
     return found.join(target, "url", "left").filter(F.col("target").isNull() | (F.col("target") != F.col("id")))
 
 

@@ -90,6 +90,38 @@ def kmeans(x, k: int):
     return c, (x @ c.T).argmax(axis=1)
 
 
+#: Subjects of notices that machines write.
+NOTICE = r"(?i)^\s*(?:i-d action|protocol action|document action|wg action|new version notification|publication has been requested|the ietf datatracker)\b"
+
+
+def discussions(docs: DataFrame) -> DataFrame:
+    """K8: documents that people wrote. docs: title, ..."""
+    return docs.filter(~F.coalesce(F.col("title").rlike(NOTICE), F.lit(False)))
+
+
+def topic_table(clusters: DataFrame, docs: DataFrame) -> DataFrame:
+    """Corpus, cluster, size, terms, label, exemplars, last_active and centroid of each topic, for reading and for routing.
+
+    clusters: corpus, id, cluster; docs: corpus, id, title, text, embedding, last_active (of `discussions`).
+    """
+    from skein.functions.vectors import mean_vectors
+
+    rows = docs.join(clusters, ["corpus", "id"])
+    own = F.struct("corpus", "cluster").alias("cluster")
+    text = rows.select(F.struct("corpus", "id").alias("doc"), own, F.concat_ws(" ", "text", "title").alias("text"), "corpus")
+    n = text.groupBy("corpus").agg(F.count("*").alias("_docs"))
+    counts = term_counts(text.select("doc", "cluster", "text"))
+    tf = counts.groupBy("cluster", "term").agg(F.sum("n").alias("tf"), F.count("*").alias("_d")).withColumn("corpus", F.col("cluster.corpus"))
+    df = tf.groupBy("corpus", "term").agg(F.sum("_d").alias("df"))
+    scored = tf.join(df, ["corpus", "term"]).join(n, "corpus").filter("df < _docs").withColumn("score", F.col("tf") * F.log(F.col("_docs") / F.col("df")))
+    place = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc(F.round("score", 9)), "term"))
+    best = scored.withColumn("_p", place).filter(F.col("_p") <= TERMS).groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("_p", "term"))).alias("_t")).select("cluster", F.col("_t.term").alias("terms"))
+    centre = mean_vectors(rows.select(own, "embedding"), ["cluster"])
+    near = exemplars(rows.select(own, "title", "embedding"), centre).groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("place", "title"))).alias("_e")).select("cluster", F.col("_e.title").alias("exemplars"))
+    out = rows.groupBy(own).agg(F.count("*").alias("size"), F.max("last_active").alias("last_active")).join(best, "cluster", "left").join(near, "cluster", "left").join(centre.withColumnRenamed("mean", "centroid"), "cluster")
+    return out.select("cluster.*", "size", "terms", F.array_join(F.slice("terms", 1, 3), ", ").alias("label"), "exemplars", "last_active", "centroid")
+
+
 def clustered(rows: DataFrame) -> DataFrame:
     """K8: corpus, id, cluster (numbered by size); a corpus of fewer than LEAST_DOCS has none. rows: corpus, id, embedding.
 

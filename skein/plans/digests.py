@@ -215,11 +215,14 @@ def meeting_artefacts(spark: SparkSession, sf: str) -> DataFrame:
     return D.artefacts(table(spark, sf, "events").select(F.col("user_id").alias("meeting"), F.col("event_type").alias("kind")), ("click", "error"))
 
 
-@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'published' WHEN o_orderstatus = 'F' THEN 'dead' WHEN o_orderkey % 3 = 0 THEN 'in-review' WHEN o_orderdate < DATE '1995-01-01' THEN 'dead' ELSE 'active' END AS what FROM orders""")
+@query("""WITH d AS (SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'RFC' WHEN 1 THEN ' Expired ' WHEN 2 THEN 'Active' WHEN 3 THEN NULL ELSE 'Replaced' END AS state, CASE o_custkey % 4 WHEN 0 THEN 'I-D Exists' WHEN 1 THEN 'IESG Evaluation' WHEN 2 THEN 'Dead' END AS iesg,
+CASE o_custkey % 7 WHEN 0 THEN 'sub-pub' WHEN 1 THEN 'dead' END AS stream, CASE WHEN o_orderkey % 13 = 0 THEN '9000' END AS number, o_orderstatus = 'F' AS lapsed FROM orders), n AS (SELECT id, lower(trim(coalesce(state, ''))) AS ds, lower(coalesce(iesg, '')) AS ie, coalesce(stream, '') AS st, number, lapsed FROM d)
+SELECT id, CASE WHEN number IS NOT NULL OR ds = 'rfc' THEN 'published' WHEN ds IN ('expired', 'replaced', 'repl') OR ie = 'dead' OR st = 'dead' THEN 'dead' WHEN (ie <> '' AND ie <> 'i-d exists') OR st = 'sub-pub' THEN 'in-iesg' WHEN lapsed THEN 'dead' WHEN ie = 'i-d exists' OR ds = 'active' THEN 'in-wg' ELSE 'unknown' END AS what FROM n""")
 def agenda_eligibility(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders")
-    k = F.col("o_orderkey")
-    rows = o.select(k.alias("id"), (k % 7 == 0).alias("published"), F.when(F.col("o_orderstatus") == "F", "dead").otherwise("live").alias("state"), (k % 3 == 0).alias("in_review"), (F.col("o_orderdate") < F.lit("1995-01-01").cast("timestamp")).alias("expired"))
+    o, k, c = table(spark, sf, "orders"), F.col("o_orderkey"), F.col("o_custkey")
+    state = F.when(k % 5 == 0, "RFC").when(k % 5 == 1, " Expired ").when(k % 5 == 2, "Active").when(k % 5 == 4, "Replaced")
+    iesg, stream = F.when(c % 4 == 0, "I-D Exists").when(c % 4 == 1, "IESG Evaluation").when(c % 4 == 2, "Dead"), F.when(c % 7 == 0, "sub-pub").when(c % 7 == 1, "dead")
+    rows = o.select(k.alias("id"), state.alias("state"), iesg.alias("iesg"), stream.alias("stream"), F.when(k % 13 == 0, "9000").alias("number"), (F.col("o_orderstatus") == "F").alias("lapsed"))
     return rows.select("id", D.agenda_eligibility().alias("what"))
 
 
@@ -303,3 +306,13 @@ def overlapping_corpus(spark: SparkSession, sf: str) -> DataFrame:
 def latency_histogram(spark: SparkSession, sf: str) -> DataFrame:
     bucket = F.least(F.lit(12), F.greatest(F.lit(0), F.floor(F.col("value") / 10) + 1)).cast("int")
     return table(spark, sf, "events").filter("value IS NOT NULL").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query()
+def topic_records(spark: SparkSession, sf: str) -> DataFrame:
+    """K8 over the topic map: no SQL, as its clusters are iterative."""
+    e = table(spark, sf, "embeddings").select((F.col("label") % 3).alias("corpus"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.concat_ws(" ", "lang", "source").alias("title"), F.lit("2024").alias("last_active"))
+    docs = K.discussions(e.join(d, "id"))
+    out = K.topic_table(K.clustered(docs.select("corpus", "id", "embedding")), docs)
+    return out.drop("centroid")

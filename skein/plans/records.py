@@ -84,12 +84,24 @@ def section_labels(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), R.section_label(raw).alias("label"))
 
 
-@query("""SELECT o_orderkey AS id, [o_custkey, o_custkey + 1] AS closes FROM orders WHERE o_custkey <> o_orderkey AND o_custkey + 1 <> o_orderkey""")
+@query("""SELECT o_orderkey AS id, list_filter([o_custkey, o_custkey + 1, 9000000077, 9000000099], lambda x: x <> o_orderkey) AS closes FROM orders""")
 def closed_issues(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").filter("o_custkey <> o_orderkey AND o_custkey + 1 <> o_orderkey")
-    n = F.col("o_custkey")
-    text = F.concat(F.lit("Fixes #"), n, F.lit(" and closes: #"), n + 1, F.lit(", resolves #"), "o_orderkey", F.lit(", fix #"), n)
-    return o.select(F.col("o_orderkey").alias("id"), D.closes(text, F.col("o_orderkey")).alias("closes"))
+    o, n = table(spark, sf, "orders"), F.col("o_custkey")
+    body = F.concat(F.lit("It closes: #"), n + 1, F.lit(", resolves #"), "o_orderkey", F.lit(", fix #"), n, F.lit(", closed other/repo#5, Resolved Me/Repo#9000000077; fixes https://github.com/me/repo/issues/9000000099 and https://github.com/me/repo2/issues/4, prefix #8, fixes the parser"))
+    return o.select(F.col("o_orderkey").alias("id"), D.closes(F.concat(F.lit("Fixes #"), n), body, F.col("o_orderkey"), F.lit("me/repo")).alias("closes"))
+
+
+@query("""WITH r AS (SELECT l_suppkey AS doc, CASE WHEN l_linenumber < 6 THEN '0' || l_linenumber ELSE '' END AS rev, l_returnflag <> 'N' AS done FROM lineitem), p AS (SELECT o_custkey % 100 AS doc, '0' || o_orderkey % 7 AS rev, CASE WHEN o_orderstatus = 'F' THEN 'Recuse' ELSE 'Yes' END AS pos FROM orders),
+d AS (SELECT s_suppkey AS doc, CASE WHEN s_suppkey % 6 = 0 THEN 'x' ELSE '0' || s_suppkey % 9 END AS rev, s_suppkey % 11 > 0 AS reachable FROM supplier),
+rr AS (SELECT doc, max(CASE WHEN done AND rev <> '' THEN rev::INT END) AS reviews, list(CASE WHEN done AND rev <> '' THEN rev::INT END) AS a, count_if(NOT done) AS unproductive FROM r GROUP BY 1), pp AS (SELECT doc, max(CASE WHEN pos = 'Yes' THEN rev::INT END) AS ballot, list(CASE WHEN pos = 'Yes' THEN rev::INT END) AS b FROM p GROUP BY 1),
+j AS (SELECT d.doc, d.rev, reviews, ballot, coalesce(unproductive, 0) AS unproductive, reachable, try_cast(d.rev AS INT) AS now, list_filter(list_concat(coalesce(a, []), coalesce(b, [])), lambda x: x IS NOT NULL) AS seen FROM d LEFT JOIN rr USING (doc) LEFT JOIN pp USING (doc))
+SELECT doc, rev, reviews, ballot, unproductive, CASE WHEN reachable AND now IS NOT NULL AND len(seen) > 0 THEN list_contains(seen, now) END AS current FROM j""")
+def examined_revisions(spark: SparkSession, sf: str) -> DataFrame:
+    li, o, s = table(spark, sf, "lineitem"), table(spark, sf, "orders"), table(spark, sf, "supplier")
+    reviews = li.select(F.col("l_suppkey").alias("doc"), F.when(F.col("l_linenumber") < 6, F.concat(F.lit("0"), "l_linenumber")).otherwise("").alias("rev"), (F.col("l_returnflag") != "N").alias("done"))
+    positions = o.select((F.col("o_custkey") % 100).alias("doc"), F.concat(F.lit("0"), F.col("o_orderkey") % 7).alias("rev"), F.when(F.col("o_orderstatus") == "F", "Recuse").otherwise("Yes").alias("pos"))
+    k = F.col("s_suppkey")
+    return records.examined(reviews, positions, s.select(k.alias("doc"), F.when(k % 6 == 0, "x").otherwise(F.concat(F.lit("0"), k % 9)).alias("rev"), (k % 11 > 0).alias("reachable")))
 
 
 @query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey + 1 END AS duplicate_of, CASE WHEN o_orderstatus = 'F' THEN 'last' END AS rationale, CASE WHEN o_custkey = 7 THEN [7, 3] ELSE [o_custkey, 7, 3] END AS people FROM orders WHERE o_custkey <> 3 AND o_custkey + 1 <> o_orderkey""")
