@@ -7,10 +7,9 @@
 3. Candidates share the bucket of a cross-polytope hash (the greatest coordinate after a rotation) in one of several
    tables, whose number follows from MISS, the chance to miss a pair at the threshold. Buckets are dealt to tasks by
    size, large ones in pairs of chunks. Only codes, factors and copies are shuffled: a pair whose bound is below the
-   threshold is dropped, and a bucket names the vectors that have a pair left.
+   threshold is dropped, a pair that met in an earlier table too, and a bucket names the vectors that have a pair left.
 4. Vectors are fetched for those buckets' named members only, and their pairs computed again in double precision.
-   A pair counts in the first table in which it meets. Tasks give counts and a spanning tree of each bucket's links,
-   never the pairs.
+   Tasks give counts and a spanning tree of each bucket's links, never the pairs.
 """
 
 from __future__ import annotations
@@ -76,16 +75,16 @@ def table_keys(x: np.ndarray, hashes: int, tables: int) -> np.ndarray:
 
 
 class Coder:
-    """Packs unit vectors: code (signs of the turned, padded vector), factor, copy of 4 bits a component, buckets, weight m."""
+    """Packs unit vectors: code (signs of the turned, padded vector), factor, copy of 4 bits a component, buckets."""
 
     def __init__(self, dim: int, hashes: int, tables: int) -> None:
         self.dim, self.bits = dim, max(LEAST_BITS, 64 * math.ceil(dim / 64))
         self.turn = rotation(self.bits, 2)[:dim].astype(np.float32)
         widest = hashes * math.log2(2 * dim)
         key = next(k for bits, k in ((8, "u1"), (16, "<u2"), (32, "<u4"), (64, "<u8")) if widest <= bits)
-        self.kind = np.dtype([("m", "<i8"), ("factor", "<f4"), ("scale", "<f4"), ("off", "<f4"), ("code", "u1", self.bits // 8), ("copy", "u1", -(-dim // 2)), ("keys", key, (tables,))])
+        self.kind = np.dtype([("factor", "<f4"), ("scale", "<f4"), ("off", "<f4"), ("code", "u1", self.bits // 8), ("copy", "u1", -(-dim // 2)), ("keys", key, (tables,))])
 
-    def packed(self, x: np.ndarray, m: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    def packed(self, x: np.ndarray, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(x), self.kind)
         y = x.astype(np.float32) @ self.turn
         out["code"] = np.packbits(y >= 0, axis=1)
@@ -95,7 +94,7 @@ class Coder:
         out["scale"], out["off"] = scale, np.sqrt((((level - 7.5) * scale[:, None] - x) ** 2).sum(axis=1))
         if self.dim % 2:
             level = np.concatenate([level, np.zeros((len(x), 1), np.uint8)], axis=1)
-        out["copy"], out["m"], out["keys"] = (level[:, ::2] << 4) | level[:, 1::2], m, keys
+        out["copy"], out["keys"] = (level[:, ::2] << 4) | level[:, 1::2], keys
         return out
 
     def unpacked(self, column: pa.Array) -> np.ndarray:
@@ -117,7 +116,7 @@ class Coder:
 
 
 class Bucketed:
-    """Rows of a task by bucket, with the pairs whose estimate may reach the threshold."""
+    """Rows of a task by bucket, with the pairs whose estimate may reach the threshold and that met in no earlier table."""
 
     def __init__(self, table: pa.Table, coder: Coder, threshold: float) -> None:
         table = table.combine_chunks()
@@ -146,6 +145,9 @@ class Bucketed:
                 p, q = p[stay], q[stay]
                 one, two = (np.einsum("ij,ij->i", self.code[x], self.turned[y]) / f[x] + self.wide[x] + self.slack[x] * off[y] for x, y in ((p, q), (q, p)))
                 stay = np.maximum(one, two) >= self.threshold
+                p, q = p[stay], q[stay]
+                met = (self.rows["keys"][p] == self.rows["keys"][q]) & (np.arange(self.rows["keys"].shape[1]) < self.place[p][:, None])
+                stay = ~met.any(axis=1)
                 yield p[stay], q[stay]
 
     def blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -158,7 +160,17 @@ class Bucketed:
             bound += self.slack[rows][:, None] * off[rows][None]
             mask = bound >= self.threshold
             mask |= mask.T
-            yield rows, mask & self._apart(rows[:, None], rows[None])
+            mask &= self._apart(rows[:, None], rows[None])
+            keys, before = self.rows["keys"][rows], int(self.place[rows[0]])
+            if mask.mean() > 0.02:
+                for t in range(before):
+                    mask &= keys[:, t][:, None] != keys[:, t][None]
+            else:
+                i, j = np.nonzero(mask)
+                stay = ~(keys[i, :before] == keys[j, :before]).any(axis=1)
+                mask[:] = False
+                mask[i[stay], j[stay]] = True
+            yield rows, mask
 
 
 def named_rows(table: pa.Table, coder: Coder, threshold: float) -> pa.Table:
@@ -184,28 +196,23 @@ def _forest(mask: np.ndarray) -> np.ndarray:
 
 
 def bucket_links(table: pa.Table, coder: Coder, threshold: float) -> pa.Table:
-    """table: as above, with embedding. Gives a, b, n: counts of links (b null) and a spanning forest of them."""
+    """table: as above, with m (vectors of the class) and embedding. Gives a, b, n: counts of links (b null) and a spanning forest of them."""
     b = Bucketed(table, coder, threshold)
-    keys, m, cls, place = b.rows["keys"], b.rows["m"], b.cls, b.place
+    m, cls = b.table.column("m").to_numpy(), b.cls
     x = unit(matrix(b.table.column("embedding"), coder.dim))
     counts, links = np.zeros(len(cls), np.int64), []
     for p, q in b.pairs():
-        met = (keys[p] == keys[q]) & (np.arange(keys.shape[1]) < place[p][:, None])
-        stay = ~met.any(axis=1) & (np.einsum("ij,ij->i", x[p], x[q]) >= threshold)
+        stay = np.einsum("ij,ij->i", x[p], x[q]) >= threshold
         p, q = p[stay], q[stay]
         np.add.at(counts, p, m[q])
         np.add.at(counts, q, m[p])
         links += zip(cls[p].tolist(), cls[q].tolist(), strict=True)
     for rows, mask in b.blocks():
-        first = int(place[rows[0]])
         if mask.mean() > 0.02:
             mask &= x[rows] @ x[rows].T >= threshold
-            for t in range(first):
-                mask &= keys[rows, t][:, None] != keys[rows, t][None]
         else:
             i, j = np.nonzero(mask)
             stay = np.einsum("ij,ij->i", x[rows[i]], x[rows[j]]) >= threshold
-            stay &= ~(keys[rows[i], :first] == keys[rows[j], :first]).any(axis=1)
             mask[:] = False
             mask[i[stay], j[stay]] = True
         mask &= mask.T
@@ -255,7 +262,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.9, dim: int | None = None
         for batch in batches:
             x = unit(matrix(batch.column(2), dim))
             keys = table_keys(x, hashes, tables)
-            codes = [r.tobytes() for r in coder.packed(x, batch.column(1).to_numpy(), keys)]
+            codes = [r.tobytes() for r in coder.packed(x, keys)]
             keys = keys + (np.arange(tables, dtype=np.int64) << PLACE_BITS)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), tables).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(codes, pa.binary()), lists], names=["cls", "m", "embedding", "code", "keys"])
@@ -266,8 +273,8 @@ def near_vectors(rows: DataFrame, threshold: float = 0.9, dim: int | None = None
     named = _dealt(met, sizes, TASK_CODES).select("task", "key", "own", "cls", "code").groupBy("task").applyInArrow(lambda t: named_rows(t, coder, threshold), "key long, cls long")
     named = written(named.distinct(), "rabitq-named")
     left = written(named.groupBy("key").agg(F.count("*").alias("size")), "rabitq-left")
-    again = _dealt(named.join(reps.select("cls", "code", "embedding"), "cls").select("key", "cls", "code", "embedding"), left, TASK_ROWS)
-    found = again.select("task", "key", "own", "cls", "code", "embedding").groupBy("task").applyInArrow(lambda t: bucket_links(t, coder, threshold), "a long, b long, n long")
+    again = _dealt(named.join(reps.select("cls", "code", "m", "embedding"), "cls").select("key", "cls", "code", "m", "embedding"), left, TASK_ROWS)
+    found = again.select("task", "key", "own", "cls", "code", "m", "embedding").groupBy("task").applyInArrow(lambda t: bucket_links(t, coder, threshold), "a long, b long, n long")
     found = written(found, "rabitq-links")
     degree = found.filter("b is null").groupBy("a").agg(F.sum("n").alias("n"))
     groups = components(found.filter("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v")))

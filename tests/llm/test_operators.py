@@ -577,7 +577,7 @@ def test_estimates_are_unbiased_and_within_bounds():
     for dim in (64, 7):
         x = rabitq.unit(rng.normal(size=(600, dim)))
         coder = rabitq.Coder(dim, 1, 3)
-        rows = coder.packed(x, np.ones(600), np.zeros((600, 3)))
+        rows = coder.packed(x, np.zeros((600, 3)))
         assert rows["code"].shape == (600, 16) and rows["copy"].shape == (600, -(-dim // 2))
         rows = coder.unpacked(pa.array([r.tobytes() for r in rows], pa.binary()))
         true, off = x @ x.T, ~np.eye(600, dtype=bool)
