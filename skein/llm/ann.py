@@ -111,10 +111,14 @@ def fitted(sample: np.ndarray, n: int, k: int) -> Index:
     index = Index(centroids, graph, np.unique(rng.integers(0, c, 16)), 1.0, min(c, WIDTH))
     # where do the sample's own neighbours lie?
     ask = rng.choice(len(sample), min(CALIBRATION, len(sample)), replace=False)
-    size = (sample**2).sum(axis=1)
-    d = size[None] - 2 * sample[ask] @ sample.T
-    d[np.arange(len(ask)), ask] = np.inf
-    want = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
+    size, want = (sample**2).sum(axis=1), []
+    for low in range(0, len(ask), 64):
+        own = ask[low : low + 64]
+        d = size[None] - 2 * sample[own] @ sample.T
+        d[np.arange(len(own)), own] = np.inf
+        take = min(k, len(sample) - 1)
+        want.append(np.argpartition(d, max(0, take - 1), axis=1)[:, :take])
+    want = np.concatenate(want)
     met = np.unique(want)
     own = dict(zip(met.tolist(), index.lists(sample[met], SPREAD, WIDTH, REPLICAS), strict=True))
     ids, dist = index.search(sample[ask], c)
