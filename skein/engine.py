@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
-from skein.functions.prose import snippets
+from skein.functions.prose import addresses, snippets
 from skein.operators import chunking, digests, reads, records, search, threads
 from skein.operators import positions as stances
 
@@ -51,9 +51,27 @@ class Engine:
         return search.routed(c.join(F.broadcast(model), "model"), self._query(query)).orderBy(F.desc("score"), "corpus").limit(limit)
 
     def find_efforts(self, query: str, limit: int = 15) -> DataFrame:
+        """Efforts by words, fused with the groups whose charters are near the query, if there are charter vectors; a one-word query that is an acronym comes first."""
         e = self.table("efforts")
-        score = sum((search.term_score(F.col("acronym"), F.col("name"), F.col("about"), t) for t in query.lower().split()), F.lit(0))
-        return e.withColumn("score", score).filter("score > 0").orderBy(F.desc("score"), "acronym").limit(limit)
+        terms = [search.clean_word(t) for t in query.lower().split() if search.clean_word(t)]
+        score = sum((search.term_score(F.col("acronym"), F.col("name"), F.col("about"), t) for t in terms), F.lit(0))
+        words = e.withColumn("score", score).filter("score > 0")
+        lists = [words.select(F.col("acronym").alias("id"), F.col("score").cast("double").alias("score"))]
+        if "charters" in self.tables and self.embed is not None:
+            near = self._charters_near(query).join(e.select("acronym").distinct(), "acronym", "left_semi")
+            lists.append(near.select(F.col("acronym").alias("id"), "score"))
+        state = F.col("state") if "state" in e.columns else F.lit(None).cast("string")
+        closed = e.filter(state.isin(*search.CLOSED_STATES)).select(F.col("acronym").alias("id")).distinct().withColumn("_closed", F.lit(True))
+        pinned = F.lit(len(terms) == 1) & (F.regexp_replace(F.lower("id"), "[^a-z0-9]", "") == (terms[0] if len(terms) == 1 else ""))
+        got = search.fused(lists).join(closed, "id", "left")
+        got = got.withColumn("score", F.col("score") * F.when(F.col("_closed"), search.CLOSED_FACTOR).otherwise(1.0) + F.when(pinned, search.PINNED).otherwise(0.0))
+        return e.join(got.select(F.col("id").alias("acronym"), "score"), "acronym").orderBy(F.desc("score"), "acronym").limit(limit)
+
+    def _charters_near(self, query: str) -> DataFrame:
+        """Groups by their best charter window, those above the floor and near the best only."""
+        best = search.scan(self.table("charters"), self._query(query)).groupBy("acronym").agg(F.max("score").alias("score"))
+        top = best.agg(F.max("score").alias("_top"))
+        return best.crossJoin(F.broadcast(top)).filter((F.col("score") >= search.CHARTER_FLOOR) & (F.col("score") >= F.col("_top") - search.CHARTER_WINDOW)).drop("_top")
 
     def _hits(self, chunks: DataFrame, query: DataFrame, limit: int, diversify: bool, group_by: str | None, snippet: bool) -> DataFrame:
         """Ranks keys and vectors only; texts are joined to the few that are left."""
@@ -253,7 +271,12 @@ class Engine:
     # groups, drafts, meetings, records
 
     def search_groups(self, query: str, limit: int = 15, **filters) -> DataFrame:
+        """By charter vectors if there are any and one is near enough, else by words."""
         g = search.group_filter(self.table("groups"), **filters)
+        if "charters" in self.tables and self.embed is not None:
+            near = g.join(self._charters_near(query), "acronym")
+            if not near.isEmpty():
+                return near.orderBy(F.desc("score"), "acronym").limit(limit)
         q = query.lower()
         score = F.when(F.lower("acronym") == q, 100).otherwise(0) + 10 * search.occurrences(F.lower("name"), q) + search.occurrences(F.lower("description"), q)
         return g.withColumn("score", score).filter("score > 0").orderBy(F.desc("score"), "acronym").limit(limit)
@@ -279,8 +302,38 @@ class Engine:
         return digests.artefacts(self.table("meeting_files", corpus), kinds).orderBy("meeting")
 
     def read_minutes(self, corpus: str, meeting: str | None = None) -> DataFrame:
-        rows = self.table("meeting_files", corpus).filter("kind = 'minutes'")
-        return rows.filter(F.col("meeting") == meeting) if meeting else rows.orderBy(F.desc("date"), "meeting").limit(1)
+        """Minutes of a meeting (the newest without one), with the polls of its sessions."""
+        files = self.table("meeting_files", corpus)
+        rows = files.filter("kind = 'minutes'")
+        rows = rows.filter(F.col("meeting") == meeting) if meeting else rows.orderBy(F.desc("date"), "meeting").limit(1)
+        return files.filter("kind IN ('minutes', 'polls')").join(rows.select("meeting").distinct(), "meeting", "left_semi").orderBy("meeting", "kind")
+
+    def draft_authors(self, corpus: str, name: str) -> DataFrame:
+        """Authors that the newest revision of a draft names in its addresses: place, name, organisation, email."""
+        newest = reads.newest_revision(self.table("drafts", corpus).filter(F.col("draft") == name)).select(F.col("path").alias("relpath"))
+        text = self.table("files", corpus).join(F.broadcast(newest.limit(1)), "relpath", "left_semi")
+        return text.select(F.posexplode(addresses(F.col("text"))).alias("_k", "a")).select((F.col("_k") + 1).alias("place"), "a.*")
+
+    def document_authors(self, document: str) -> DataFrame:
+        """Recorded authors of a document in their order, with the names of known persons."""
+        rows = self.table("authorship").filter(F.col("document") == document)
+        people = self.table("persons").select(F.col("uri").alias("person"), "name")
+        return rows.join(people, "person", "left").orderBy("order")
+
+    def get_reviews(self, document: str) -> dict[str, DataFrame]:
+        """Review assignments, ballot positions, and whether either has looked at the current revision."""
+        reviews, positions = self.table("reviews").filter(F.col("doc") == document), self.table("positions").filter(F.col("doc") == document)
+        current = self.table("draft_states").filter(F.col("doc") == document).select("doc", "rev", F.lit(True).alias("reachable"))
+        return {"reviews": reviews.orderBy("assigned_on"), "positions": positions.orderBy("balloter"), "examined": records.examined(reviews.select("doc", "rev", "done"), positions.select("doc", "rev", "pos"), current)}
+
+    def upcoming_meetings(self, now) -> DataFrame:
+        return records.upcoming(self.table("meetings"), F.lit(now).cast("timestamp"))
+
+    def session_log(self, limit: int = 200, since=None) -> DataFrame:
+        """The newest entries of the log, oldest first. log: when, ..."""
+        rows = self.table("log")
+        rows = rows.filter(F.col("when") >= F.lit(since)) if since is not None else rows
+        return rows.orderBy(F.desc("when")).limit(limit).orderBy("when")
 
     def suggest_repos(self) -> DataFrame:
         return records.repositories(self.table("repos"))

@@ -102,3 +102,30 @@ def test_records(engine, spark):
     m = spark.createDataFrame([("2024-05-01", 5, "Asia/Tokyo"), ("2024-04-01", None, "UTC")], "first string, days int, zone string").withColumn("first", F.to_date("first"))
     assert records.upcoming(m, F.lit("2024-05-05 10:00:00").cast("timestamp")).count() == 1
     assert records.upcoming(m, F.lit("2024-05-05 20:00:00").cast("timestamp")).count() == 0
+
+
+def test_documents_and_meetings(spark):
+    text = "1.  Intro\n\nfirst words\n\n1.1.  More\n\nmore words\n\n2.  Next\n\nrest\n\nAuthors' Addresses\n\nJane Doe\nExample Org\nEmail: jane@example.org\n"
+    tables = {
+        "drafts": spark.createDataFrame([("c", "draft-x", "00", "drafts/draft-x-00.txt"), ("c", "draft-x", "01", "drafts/draft-x-01.txt")], "corpus string, draft string, rev string, path string"),
+        "files": spark.createDataFrame([("c", "drafts/draft-x-00.txt", "old"), ("c", "drafts/draft-x-01.txt", text)], "corpus string, relpath string, text string"),
+        "meeting_files": spark.createDataFrame([("c", "m1", "minutes", "2024-01-01", "a"), ("c", "m2", "minutes", "2024-02-01", "b"), ("c", "m2", "polls", None, "p"), ("c", "m2", "slides", None, "s")], "corpus string, meeting string, kind string, date string, text string"),
+        "reviews": spark.createDataFrame([("d", "00", True, "2024-01-01"), ("d", "", False, "2024-01-02")], "doc string, rev string, done boolean, assigned_on string"),
+        "positions": spark.createDataFrame([("d", "02", "Recuse", "b")], "doc string, rev string, pos string, balloter string"),
+        "draft_states": spark.createDataFrame([("d", "02")], "doc string, rev string"),
+        "efforts": spark.createDataFrame([("tls", "Transport Layer Security", "crypto", "active"), ("quic", "QUIC transport", "fast", "conclude"), ("bravo", "Other", "none", "active")], "acronym string, name string, about string, state string"),
+        "charters": spark.createDataFrame([("bravo", vector("bravo")), ("tls", vector("charlie"))], "acronym string, embedding array<double>"),
+        "groups": spark.createDataFrame([("bravo", "Other", "x", "active", "a", "A", "wg")], "acronym string, name string, description string, state string, area string, area_name string, kind string"),
+    }
+    engine = Engine(spark, tables, vector)
+    assert [(r.section, r.line) for r in engine.get_draft("c", "draft-x", outline=True).collect()] == [("1", 1), ("1.1", 5), ("2", 9)]
+    assert engine.get_draft("c", "draft-x", section="1").collect()[0].text == "1.  Intro\n\nfirst words\n\n1.1.  More\n\nmore words\n"
+    assert [r.line_text for r in engine.get_draft("c", "draft-x", start_line=3, max_lines=1).collect()] == ["first words"]
+    assert [(r.place, r.name, r.organisation) for r in engine.draft_authors("c", "draft-x").collect()] == [(1, "Jane Doe", "Example Org")]
+    assert [r.kind for r in engine.read_minutes("c").collect()] == ["minutes", "polls"] and engine.read_minutes("c", "m1").count() == 1
+    (row,) = engine.get_reviews("d")["examined"].collect()
+    assert (row.reviews, row.ballot, row.unproductive, row.current) == (0, None, 1, False)
+    assert [r.acronym for r in engine.find_efforts("transport").collect()][:2] == ["tls", "quic"]
+    assert engine.find_efforts("quic").collect()[0].acronym == "quic"
+    assert engine.find_efforts("bravo banana").collect()[0].acronym == "bravo"
+    assert engine.search_groups("bravo").collect()[0].acronym == "bravo"
