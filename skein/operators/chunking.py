@@ -236,3 +236,61 @@ def rebuilt(files: DataFrame, stored_files: DataFrame, stored_chunks: DataFrame,
     fresh = embedded(reused(fresh, stored_chunks.select("file", "chunk_hash", "chunk_idx", "embedding")), embed)
     chunks = stored_chunks.join(keep, "file", "left_semi").unionByName(fresh.select(stored_chunks.columns))
     return chunks, stamped(files.select("relpath", "sha256"), chunks)
+
+
+#: A message's header line: number, date, sender, role, annotation and parent.
+MESSAGE_LINE = r"^### \[([0-9]+)\] +(\d{4}-\d{2}-\d{2}(?: \d{2}:\d{2})?|undated) +— +(.*?)(?: +\(((?!reply to \[)[^()]*)\))?(?: +_\([^)]*\)_)?(?: +\(reply to \[([0-9]+)\]\))?\s*$"
+
+
+def message_header(part: Column) -> Column:
+    """Struct of number, date (ISO text in UTC or null), sender, role and parent (number or null) of a message chunk; all null without a header."""
+    line = F.regexp_extract(part, r"^([^\n]*)", 1)
+    group = lambda k: _found(line, MESSAGE_LINE, k)
+    day = F.when(F.length(group(2)) == 10, F.concat(group(2), F.lit(" 00:00"))).otherwise(group(2))
+    return F.struct(group(1).cast("int").alias("number"), iso_date(day).alias("date"), group(3).alias("sender"), group(4).alias("role"), group(5).cast("int").alias("parent"))
+
+
+def thread_chunks(files: DataFrame) -> DataFrame:
+    """Messages of thread and issue files with what their headers and the file's header say.
+
+    files: file, text. Returns file, chunk_idx, title (the header line), body, start_line, chunk_date, sender, role,
+    parent, url (the message's permalink, else the issue's), labels, state, duplicate_of, rationale.
+    """
+    head = files.withColumn("h", issue_header(F.col("text")))
+    # characters before each part, from the lengths of the parts before it
+    parts = head.select("*", F.split("text", MESSAGE_HEADER).alias("_all")).select("*", F.posexplode("_all").alias("_k", "part"))
+    before = F.expr("aggregate(slice(_all, 1, _k), 0, (a, x) -> a + length(x) - length(replace(x, '\n', '')))")
+    m = parts.withColumn("m", message_header(F.col("part"))).withColumn("start_line", before + 1).filter(stripped(F.col("part")) != "")
+    permalink = _found(F.col("part"), r"(?m)^_Archived-At:_\s*(\S+)")
+    title = F.regexp_replace(F.regexp_extract("part", r"^([^\n]*)", 1), "^#+ ", "")
+    return m.select(
+        "file", F.coalesce("m.number", F.lit(0)).alias("chunk_idx"), F.substring(title, 1, TITLE_CHARS).alias("title"), F.col("part").alias("body"), "start_line", F.col("m.date").alias("chunk_date"), "m.sender", "m.role", "m.parent",
+        F.coalesce(permalink, "h.url").alias("url"), "h.labels", "h.state", "h.duplicate_of", "h.rationale",
+    )
+
+
+def reply_graph(files: DataFrame) -> DataFrame:
+    """File, parent, child (numbers of messages) as the header lines say."""
+    return thread_chunks(files).filter("parent IS NOT NULL").select("file", "parent", F.col("chunk_idx").alias("child"))
+
+
+def with_hashes(chunks: DataFrame) -> DataFrame:
+    """Hashes of the rows that have none yet."""
+    return chunks.withColumn("chunk_hash", F.coalesce("chunk_hash", F.sha2("embed_text", 256)))
+
+
+def document_vectors(chunks: DataFrame, most_chars: int = 4000) -> DataFrame:
+    """File, title (the first chunk's), text (the first characters, in order), last_active, embedding (the mean of its fragments, of length 1).
+
+    chunks: file, chunk_idx, sub_idx, title, text, chunk_date, embedding. Only chunks that begin within the first
+    characters are collected, found from the running length of a file's own chunks.
+    """
+    from skein.functions.vectors import mean_vectors, normalised
+
+    whole = chunks.filter("sub_idx = 0")
+    until = F.sum(F.length("text") + 1).over(Window.partitionBy("file").orderBy("chunk_idx").rowsBetween(Window.unboundedPreceding, -1))
+    lead = whole.withColumn("_at", F.coalesce(until, F.lit(0))).filter(F.col("_at") < most_chars)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_idx", "text"))), lambda x: x["text"]), "\n")
+    facts = whole.groupBy("file").agg(F.min_by("title", "chunk_idx").alias("title"), F.max("chunk_date").alias("last_active"))
+    vectors = mean_vectors(chunks, ["file"]).select("file", normalised(F.col("mean")).alias("embedding"))
+    return facts.join(lead.groupBy("file").agg(F.substring(text, 1, most_chars).alias("text")), "file").join(vectors, "file")

@@ -307,3 +307,17 @@ def people_note(people: DataFrame, matching_rows: Column, limit: int) -> DataFra
 def recent_open(issues: DataFrame, limit: int) -> DataFrame:
     """The newest open issues: repo, number, title, updated."""
     return issues.filter("state = 'open'").orderBy(F.desc("updated"), "repo", "number").limit(limit).select("repo", "number", "title", "updated")
+
+
+def ballot_events(positions: DataFrame, cutoff: Column | None = None) -> DataFrame:
+    """An event for each position, from `cutoff` on. positions: doc, balloter, pos, time, rev."""
+    rows = positions.filter(F.col("time") >= cutoff) if cutoff is not None else positions
+    title = F.concat("balloter", F.lit(": "), "pos", F.when(F.coalesce("rev", F.lit("")) != "", F.concat(F.lit(" on -"), "rev")).otherwise(""))
+    return rows.select(F.col("time").alias("when"), F.lit("ballot").alias("kind"), title.alias("title"), F.col("doc").alias("detail"))
+
+
+def meeting_times(sessions_: DataFrame) -> DataFrame:
+    """Start and end in UTC, and length in minutes, of sessions given in the local time of their venue. sessions: code, local (text `yyyy-MM-dd HH:mm`), zone, duration (`h:mm` or `hh:mm:ss`)."""
+    hours, minutes = F.regexp_extract("duration", r"^(\d+):(\d{2})", 1).cast("int"), F.regexp_extract("duration", r"^(\d+):(\d{2})", 2).cast("int")
+    rows = sessions_.withColumn("minutes", hours * 60 + minutes).withColumn("start", F.to_utc_timestamp(F.try_to_timestamp("local", F.lit("yyyy-MM-dd HH:mm")), F.coalesce("zone", F.lit("UTC"))))
+    return rows.withColumn("end", F.timestamp_seconds(F.unix_timestamp("start") + F.col("minutes") * 60))

@@ -306,3 +306,44 @@ def credited_facts(spark: SparkSession, sf: str) -> DataFrame:
     s, o, c = F.col("s_suppkey"), F.col("o_orderkey"), F.col("o_custkey")
     persons = table(spark, sf, "supplier").select(s.alias("person"), _said("m", s).alias("email"), _said("n", s % 50).alias("key"))
     return P.credited(persons, table(spark, sf, "orders").select(o.alias("fact"), _said("x", o).alias("name"), _said("m", c).alias("email"), F.when(o % 4 == 0, "").otherwise(_said("n", c % 70)).alias("key")))
+
+
+THREAD_FILE = """t AS (SELECT doc_id AS file, doc_id % 3 AS k, lang, source FROM documents)"""
+
+
+def _thread_files(spark: SparkSession, sf: str) -> DataFrame:
+    d, k = table(spark, sf, "documents"), F.col("doc_id")
+    text = _said(
+        "# Topic ", k, "\n**Labels:** ", F.upper("lang"), "\n\n## Messages\n\n### [1] 2024-05-0", k % 9 + 1, " 10:3", k % 10, " — Jane Doe (Chair)\n\n_Archived-At:_ https://m.example/", k, "\n\nhello\n",
+        F.when(k % 3 == 0, "").otherwise(_said("### [2] undated — ", F.col("source"), " _(opened issue)_ (reply to [1])\nno header: ### [3]\n")), F.when(k % 3 == 2, "### [7] 2024-06-01 — Bob (reply to [2])\n\nbye").otherwise(""),
+    )
+    return d.select(k.alias("file"), text.alias("text"))
+
+
+@query(f"""WITH {THREAD_FILE} SELECT file, 0 AS chunk_idx, NULL AS chunk_date, NULL AS sender, NULL AS role, NULL AS parent, 1 AS start_line, lower(lang) AS labels, NULL AS url FROM t
+UNION ALL SELECT file, 1, '2024-05-0' || (file % 9 + 1) || 'T10:3' || file % 10 || ':00Z', 'Jane Doe', 'Chair', NULL, 6, lower(lang), 'https://m.example/' || file FROM t
+UNION ALL SELECT file, 2, NULL, source, NULL, 1, 11, lower(lang), NULL FROM t WHERE k > 0 UNION ALL SELECT file, 7, '2024-06-01T00:00:00Z', 'Bob', NULL, 2, 13, lower(lang), NULL FROM t WHERE k = 2""")
+def thread_file_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return C.thread_chunks(_thread_files(spark, sf)).select("file", "chunk_idx", "chunk_date", "sender", "role", "parent", "start_line", "labels", "url")
+
+
+@query(f"WITH {THREAD_FILE} SELECT file, 1 AS parent, 2 AS child FROM t WHERE k > 0 UNION ALL SELECT file, 2, 7 FROM t WHERE k = 2")
+def reply_graph(spark: SparkSession, sf: str) -> DataFrame:
+    return C.reply_graph(_thread_files(spark, sf))
+
+
+@query(f"""WITH c AS (SELECT conv_id AS file, turn AS chunk_idx, role AS title, coalesce(text, '') AS text, lpad(turn::VARCHAR, 4, '0') AS d FROM conversations),
+f AS (SELECT file, arg_min(title, chunk_idx) AS title, max(d) AS last_active, substr(string_agg(text, {NL} ORDER BY chunk_idx), 1, 300) AS text FROM c GROUP BY file)
+SELECT file, title, last_active, sha256(text) AS text_hash FROM f""")
+def document_heads(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "conversations")
+    rows = c.select(F.col("conv_id").alias("file"), F.col("turn").alias("chunk_idx"), F.lit(0).alias("sub_idx"), F.col("role").alias("title"), F.coalesce("text", F.lit("")).alias("text"), F.lpad(F.col("turn").cast("string"), 4, "0").alias("chunk_date"), F.array(F.lit(1.0), F.col("turn").cast("double")).alias("embedding"))
+    return C.document_vectors(rows, 300).select("file", "title", "last_active", F.sha2("text", 256).alias("text_hash"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS code, o_orderdate::TIMESTAMP + to_hours((o_orderkey % 24)::INT) AS s, o_orderkey % 4 AS h FROM orders) SELECT code, s AS start, (h * 60 + 30)::INT AS minutes, s + to_minutes((h * 60 + 30)::INT) AS "end" FROM o""")
+def session_times(spark: SparkSession, sf: str) -> DataFrame:
+    o, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    start = F.col("o_orderdate").cast("timestamp") + F.make_interval(hours=(k % 24).cast("int"))
+    local = F.date_format(F.from_utc_timestamp(start, "Asia/Tokyo"), "yyyy-MM-dd HH:mm")
+    return D.meeting_times(o.select(k.alias("code"), local.alias("local"), F.lit("Asia/Tokyo").alias("zone"), F.concat((k % 4).cast("string"), F.lit(":30")).alias("duration"))).select("code", "start", "minutes", "end")
