@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import shutil
+import sys
 import tempfile
 from pathlib import Path
 
+import pyarrow as pa
+
 from pyspark.sql import SparkSession
 
 from skein.scratch import forget, scratch_dir, written
 
-__all__ = ["forget", "parts", "scratch_dir", "shipped", "tuned", "written"]
+__all__ = ["forget", "parts", "scratch_dir", "shipped", "trimmed", "tuned", "written"]
 
 
 #: Rows of an Arrow batch at most.
@@ -39,5 +44,13 @@ def tuned(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def trimmed() -> None:
+    """Gives memory that a fit on the driver no longer needs back to the system, as other stages need it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

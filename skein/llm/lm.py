@@ -29,7 +29,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import trimmed, written
 from .words import Words, chunks, split
 
 #: Stands for the end of a text. Buckets: 0 words never seen, 1 the end, then words of their own, then shared ones.
@@ -401,6 +401,7 @@ def scored(docs: DataFrame, fit: Fit = Fit(), head_words: int = HEAD_WORDS) -> D
     spark = docs.sparkSession
     vectors = spark.sparkContext.broadcast((model.r.astype(np.float16), model.q.astype(np.float16), model.b))
     model = None
+    trimmed()
     shared = spark.sparkContext.broadcast((head, buckets, normalisers(spark, vectors, len(buckets.mass))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import trimmed, written
 from .words import SPACE, chunks, distinct, mixed, split
 
 #: Bound of the fit: labelled texts (those of the least hash of doc_id). All their features have a weight.
@@ -94,7 +94,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, keys: np.ndarray, n_grades:
             last[own] = step
             bar_seen += bar_grad**2
             bars = np.maximum.accumulate(bars + STEP * bar_grad / np.sqrt(bar_seen))
-    return OrdinalModel(keys, w, bars)
+    return OrdinalModel(keys, w.astype(np.float32), bars)
 
 
 def gradients(score: np.ndarray, y: np.ndarray, bars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,8 +138,12 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int, sample: int = SAMP
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.binary())], names=["doc_id", "grade", "places"])
 
     got = found.mapInArrow(placed, "doc_id long, grade int, places binary").toArrow()
-    got = got.take(np.argsort(got.column("doc_id").to_numpy(), kind="stable"))
-    return fit([np.frombuffer(x.as_py(), np.int32) for x in got.column("places")], got.column("grade").to_numpy().astype(np.int64), keys, n_grades)
+    order, grades = np.argsort(got.column("doc_id").to_numpy(), kind="stable"), got.column("grade").to_numpy().astype(np.int64)
+    places = [np.frombuffer(x.as_py(), np.int32) for x in got.column("places")]
+    model = fit([places[i] for i in order], grades[order], keys, n_grades)
+    got = often = places = None
+    trimmed()
+    return model
 
 
 def rated(text: Column, model: OrdinalModel) -> Column:
