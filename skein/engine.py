@@ -206,7 +206,9 @@ class Engine:
 
     def read_topic(self, corpus: str, query: str, limit: int = 20, include_replies: bool = False, **facets) -> DataFrame:
         """Messages nearest the query in the order of time, with the newest of their replies."""
-        found = self.search_corpus(corpus, query, limit=limit, diversify=False, snippet=False, sort="date", file_pattern="threads/%", **facets)
+        found = self.search_corpus(corpus, query, limit=max(3 * limit, 60), diversify=False, snippet=False, sort="date", **facets)
+        kind = F.element_at(F.split("file", "/"), 1)
+        found = found.filter(kind.isin("threads", "issues")).orderBy(F.desc("chunk_date"), "file", "chunk_idx").limit(limit)
         matched = found.select(F.col("url").alias("id"), F.col("chunk_date").alias("when"))
         if not include_replies:
             return matched.withColumn("matched", F.lit(True)).orderBy("when", "id")
