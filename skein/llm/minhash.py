@@ -8,8 +8,8 @@
    survivors; a bucket gives a spanning forest of them, so rows stay linear in its size. Only signatures are shuffled.
 3. The components of the survivors are the clusters within which all links lie; only their texts are fetched, each
    once. A large cluster is cut into chunks that are compared with one hub first; the texts that don't link with it
-   meet all others, chunk by chunk. Survivors, most similar first, are checked on the full sets and then on the words
-   themselves, unless earlier links connect them already.
+   meet all others, chunk by chunk. Survivors are checked on the full sets, a row with all others at once, and then on the
+   words themselves, unless earlier links connect them already.
 4. Components of the confirmed links give the groups.
 """
 
@@ -35,6 +35,8 @@ BATCH, MISS = 25, 1e-6
 TASK_SHINGLES, CHUNK_TEXTS, CHUNK_SHINGLES = 300_000, 1000, 500_000
 #: Signatures of a task, and of a chunk of a large bucket.
 TASK_SIGNATURES, CHUNK_SIGNATURES = 20_000, 4096
+#: Pairs of a row up to which sets are compared one by one.
+FEW_PAIRS = 4
 #: Shingles of words that a task keeps for the next comparison.
 KEPT_SHINGLES = 300_000
 #: Keys of groups and texts are broadcast up to so many (about 24 bytes each), else joined by a shuffle.
@@ -215,19 +217,6 @@ def clusters(reps: DataFrame, percent: int) -> DataFrame:
     return near
 
 
-def _find(root: np.ndarray, i: int) -> int:
-    while root[i] != i:
-        root[i] = root[root[i]]
-        i = root[i]
-    return i
-
-
-def _flat(root: np.ndarray) -> np.ndarray:
-    while (root[root] != root).any():
-        root[:] = root[root]
-    return root
-
-
 class WordSets:
     """Sets of shingles as the words themselves, for the last texts asked for."""
 
@@ -250,43 +239,47 @@ class WordSets:
         return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+class Overlaps:
+    """Sizes of intersections of a text's set with those of others, from lists of the texts that have a shingle."""
+
+    def __init__(self, values: np.ndarray, first: np.ndarray) -> None:
+        self.first, self.m = first, len(first) - 1
+        _, self.ids, self.many = np.unique(values, return_inverse=True, return_counts=True)
+        self.texts = np.repeat(np.arange(self.m), np.diff(first))[np.argsort(self.ids, kind="stable")]
+        self.start = np.concatenate([[0], np.cumsum(self.many)])
+
+    def of(self, i: int, j: np.ndarray) -> np.ndarray:
+        own = self.ids[self.first[i] : self.first[i + 1]]
+        if len(j) <= FEW_PAIRS:
+            return np.array([len(np.intersect1d(own, self.ids[self.first[k] : self.first[k + 1]], assume_unique=True)) for k in j])
+        own = own[self.many[own] > 1]
+        many = self.many[own]
+        until = np.cumsum(many)
+        at = np.arange(until[-1] if len(until) else 0) + np.repeat(self.start[own] - (until - many), many)
+        return np.bincount(self.texts[at], minlength=self.m)[j]
+
+
 def verified(sig: np.ndarray, values: np.ndarray, first: np.ndarray, asks: np.ndarray, words: WordSets, percent: int) -> list[tuple[int, int]]:
     """Links that join groups, as indices, of pairs in which a row asks."""
-    m, n = len(sig), np.diff(first)
+    n, links, sets = np.diff(first), [], None
     bars = least_matches(percent / 100)
-    root, links, found = np.arange(m), [], []
     order = np.argsort(n, kind="stable")
-    sig, size, asks = sig[order], n[order], asks[order]
+    sig, size, asks, label = sig[order], n[order], asks[order], np.arange(len(sig))
     asking = np.flatnonzero(asks)
-    for i in range(m - 1):
+    for i in range(len(sig) - 1):
         end = int(np.searchsorted(size, size[i] * 100 // percent, "right"))
-        if asks[i]:
-            j, hits = survivors(sig[i], sig[i + 1 : end], bars)
-            j = j + i + 1
-        else:
-            near = asking[np.searchsorted(asking, i + 1) : np.searchsorted(asking, end)]
-            j, hits = survivors(sig[i], sig[near], bars)
-            j = near[j]
-        if len(j):
-            found.append(np.stack([np.full(len(j), i), j, hits]).astype(np.int32))
-    if not found:
-        return links
-    pairs = np.concatenate(found, axis=1)
-    pairs = pairs[:, np.argsort(-pairs[2], kind="stable")]
-    while pairs.shape[1]:
-        for i, j in pairs[:2, :512].T:
-            if _find(root, i) == _find(root, j):
-                continue
-            a, b = order[i], order[j]
-            both = np.concatenate([values[first[a] : first[a + 1]], values[first[b] : first[b + 1]]])
-            both.sort(kind="stable")
-            same = int((both[1:] == both[:-1]).sum())
-            if 100 * same >= percent * (len(both) - same) and words.linked(int(a), int(b), percent):
-                links.append((int(a), int(b)))
-                root[_find(root, i)] = _find(root, j)
-        flat = _flat(root)
-        pairs = pairs[:, 512:]
-        pairs = pairs[:, flat[pairs[0]] != flat[pairs[1]]]
+        near = np.arange(i + 1, end) if asks[i] else asking[np.searchsorted(asking, i + 1) : np.searchsorted(asking, end)]
+        near = near[label[near] != label[i]]
+        j, _ = survivors(sig[i], sig[near], bars)
+        j = near[j]
+        if not len(j):
+            continue
+        sets = sets or Overlaps(values, first)
+        both = sets.of(order[i], order[j])
+        for k in j[100 * both >= percent * (size[i] + size[j] - both)].tolist():
+            if label[k] != label[i] and words.linked(int(order[i]), int(order[k]), percent):
+                links.append((int(order[i]), int(order[k])))
+                label[label == label[k]] = label[i]
     return links
 
 
