@@ -321,3 +321,31 @@ def meeting_times(sessions_: DataFrame) -> DataFrame:
     hours, minutes = F.regexp_extract("duration", r"^(\d+):(\d{2})", 1).cast("int"), F.regexp_extract("duration", r"^(\d+):(\d{2})", 2).cast("int")
     rows = sessions_.withColumn("minutes", hours * 60 + minutes).withColumn("start", F.to_utc_timestamp(F.try_to_timestamp("local", F.lit("yyyy-MM-dd HH:mm")), F.coalesce("zone", F.lit("UTC"))))
     return rows.withColumn("end", F.timestamp_seconds(F.unix_timestamp("start") + F.col("minutes") * 60))
+
+
+def ceilings(issues: DataFrame) -> DataFrame:
+    """The greatest number and the number of issues of each repository."""
+    return issues.groupBy("repo").agg(F.max("number").alias("ceiling"), F.count("*").alias("n"))
+
+
+def overlapping(tokens: DataFrame, corpus: Column, most: int = 1) -> DataFrame:
+    """The corpora that share most tokens with one. tokens: corpus, token."""
+    each = tokens.distinct()
+    own = each.filter(F.col("corpus") == corpus).select("token")
+    return each.filter(F.col("corpus") != corpus).join(own, "token", "left_semi").groupBy("corpus").agg(F.count("*").alias("shared")).orderBy(F.desc("shared"), "corpus").limit(most)
+
+
+def histogram(rows: DataFrame, column: str, width: float, most: int) -> DataFrame:
+    """Counts by buckets of equal width from 1 on; 0 holds what is below 0 and `most` all that is above."""
+    bucket = F.least(F.lit(most), F.greatest(F.lit(0), F.floor(F.col(column) / width) + 1)).cast("int")
+    return rows.filter(F.col(column).isNotNull()).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def thread_sizes(threads: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Messages of the threads asked for; null for unknown ones. threads: thread, msgs; wanted: thread."""
+    return wanted.select("thread").distinct().join(threads.select("thread", "msgs"), "thread", "left")
+
+
+def first_rows(events: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """The newest rows of a timeline, and the kinds that occur in all of it."""
+    return events.orderBy(F.desc("when"), "kind", "title").limit(limit), events.select("kind").distinct()

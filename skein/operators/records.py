@@ -128,3 +128,8 @@ def themes(topics: DataFrame, most: int = 6) -> DataFrame:
 def both_directions(edges: DataFrame, node: Column) -> DataFrame:
     """Edges that start or end at a node."""
     return edges.filter(F.col("src") == node).withColumn("direction", F.lit("out")).unionByName(edges.filter(F.col("dst") == node).withColumn("direction", F.lit("in")))
+
+
+def revision_spread(reviews: DataFrame) -> DataFrame:
+    """How many looked at which revision. reviews: rev."""
+    return reviews.groupBy("rev").agg(F.count("*").alias("n"))

@@ -267,3 +267,18 @@ def group_filter(df: DataFrame, state: str | None = None, area: str | None = Non
 def empty_reasons(df: DataFrame, filters: dict[str, Column]) -> DataFrame:
     """Q39: rows that each filter alone would keep, so an empty result can name the one that excludes everything."""
     return df.agg(F.count("*").alias("total"), *(F.count_if(c).alias(name) for name, c in filters.items()))
+
+
+#: What a hit has, whatever table it comes from.
+HIT = {
+    "corpus": "string", "file": "string", "chunk_idx": "int", "title": "string", "text": "string", "score": "double", "url": "string", "chunk_date": "string",
+    "labels": "string", "state": "string", "duplicate_of": "long", "rationale": "string", "start_line": "int", "end_line": "int",
+}
+
+
+def as_hits(rows: DataFrame, rationale_chars: int = 400) -> DataFrame:
+    """Q12, Q20: rows as hits: the columns of HIT, null where a table has none, and the closing rationale on one line, cut to a length."""
+    cols = [(F.col(c) if c in rows.columns else F.lit(None)).cast(kind).alias(c) for c, kind in HIT.items()]
+    flat = F.regexp_replace(F.regexp_replace("rationale", r"\s+", " "), r"^ | $", "")
+    cut = F.when(F.length(flat) > rationale_chars, F.concat(F.substring(flat, 1, rationale_chars - 1), F.lit("…"))).otherwise(flat)
+    return rows.select(*cols).withColumn("rationale", cut)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skein.operators import digests as D
 from skein.operators import people as P
 from skein.operators import positions as V
+from skein.operators import records
 from skein.operators import threads as T
 from skein.operators import topics as K
 from skein.session import table
@@ -182,7 +183,7 @@ def latest_per_balloter(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT l_linenumber AS rev, count(*) AS n FROM lineitem GROUP BY 1")
 def revision_spread(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").groupBy(F.col("l_linenumber").alias("rev")).agg(F.count("*").alias("n"))
+    return records.revision_spread(table(spark, sf, "lineitem").select(F.col("l_linenumber").alias("rev")))
 
 
 @query("""SELECT DISTINCT d.doc_id::VARCHAR AS name, CASE WHEN l.doc_id IS NULL THEN 'revived' ELSE 'advanced' END AS change FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL OR l.quality = 0""")
@@ -200,7 +201,7 @@ def feed_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {ISSUES} SELECT repo, max(number) AS ceiling, count(*) AS n FROM issues GROUP BY 1")
 def repo_ceiling(spark: SparkSession, sf: str) -> DataFrame:
-    return issues(spark, sf).groupBy("repo").agg(F.max("number").alias("ceiling"), F.count("*").alias("n"))
+    return D.ceilings(issues(spark, sf))
 
 
 @query("""SELECT s_suppkey AS uri, n_name AS area, max(l_linenumber) AS rev FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_nationkey % 2 = 0 LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1, 2""")
@@ -298,14 +299,12 @@ def leadership_order(spark: SparkSession, sf: str) -> DataFrame:
 SELECT corpus, shared FROM s ORDER BY shared DESC, corpus LIMIT 1""")
 def overlapping_corpus(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer").select(F.col("c_nationkey").alias("corpus"), F.concat("c_mktsegment", F.col("c_custkey") % 3).alias("token")).distinct()
-    own = c.filter("corpus = 3").select("token")
-    return c.filter("corpus <> 3").join(own, "token", "left_semi").groupBy("corpus").agg(F.count("*").alias("shared")).orderBy(F.desc("shared"), "corpus").limit(1)
+    return D.overlapping(c, F.lit(3))
 
 
 @query("""SELECT least(12, greatest(0, floor(value / 10) + 1))::INT AS bucket, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1""")
 def latency_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    bucket = F.least(F.lit(12), F.greatest(F.lit(0), F.floor(F.col("value") / 10) + 1)).cast("int")
-    return table(spark, sf, "events").filter("value IS NOT NULL").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    return D.histogram(table(spark, sf, "events"), "value", 10, 12)
 
 
 @query()

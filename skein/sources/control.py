@@ -128,3 +128,22 @@ def corpus_kind(group: Column, mailing_list: Column, author: Column, github: Col
 def query_text(model: str, query: str) -> str:
     """A query as its model wants it; texts that are indexed never get the instruction."""
     return (INSTRUCTION if INSTRUCTED.search(model) else "") + query
+
+
+def install(spark: SparkSession, seed: str, root: str, digests: dict[str, str], owner: str) -> int:
+    """Publishes the tables of a seed folder as a version of its own, if each one's digest is the one expected; else nothing changes.
+
+    digests: table name to digest, as `table_digest` gives it.
+    """
+    tables = {name: spark.read.parquet(f"{seed}/{name}") for name in digests}
+    wrong = [name for name, df in tables.items() if table_digest(df) != digests[name]]
+    if wrong:
+        raise ValueError(f"the seed's tables differ from what was announced: {', '.join(sorted(wrong))}")
+    return publish(spark, root, tables, {"seed": seed}, owner)
+
+
+def table_digest(df: DataFrame) -> str:
+    """A digest of a table's rows in any order: sums of two hashes and the number of rows, which need no sort."""
+    a, b = F.xxhash64(*df.columns), F.xxhash64(F.lit(1), *df.columns)
+    row = df.agg(F.count("*"), F.bit_xor(a), F.sum(F.shiftright(b, 20))).first()
+    return hashlib.sha256(repr(tuple(row)).encode()).hexdigest()

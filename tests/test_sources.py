@@ -255,3 +255,16 @@ def test_registry_order(spark):
     assert {r.login: r.person for r in got["links"].collect()} == {"bob": who["bob@x.org"], "Jane-Doe": who["jane@x.org"]}
     assert {(r.fact, r.person, r.known, r.group) for r in got["roles"].collect()} == {(1, who["jane@x.org"], True, None), (2, None, False, 2), (3, None, False, 2)}
     assert {(r.person, r.meetings) for r in got["meetings"].collect()} == {(who["bob@x.org"], 1)}
+
+
+def test_seeds_and_hits(spark, tmp_path):
+    from skein.sources import control
+
+    seed, root = str(tmp_path / "seed"), str(tmp_path / "root")
+    spark.range(5).write.parquet(f"{seed}/t")
+    digest = control.table_digest(spark.range(5).orderBy(F.desc("id")))
+    with pytest.raises(ValueError):
+        control.install(spark, seed, root, {"t": "other"}, "me")
+    assert control.pointer(control.Store(spark, root)) is None and control.install(spark, seed, root, {"t": digest}, "me") == 1
+    rows = search.as_hits(spark.createDataFrame([("f", 1.5, " by A\n\n> yes ")], "file string, score double, rationale string")).collect()
+    assert (rows[0].file, rows[0].score, rows[0].rationale, rows[0].url) == ("f", 1.5, "by A > yes", None)
