@@ -40,7 +40,8 @@ def terms(text: Column) -> Column:
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """doc, cluster, term, n: each document's terms once, so frequencies of both kinds come from one table. docs: doc, cluster, text."""
-    return docs.select("doc", "cluster", F.explode(terms(F.col("text"))).alias("term")).groupBy("doc", "cluster", "term").agg(F.count("*").alias("n"))
+    words = docs.select("doc", "cluster", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term"))
+    return words.filter(~F.col("term").isin(STOPWORDS)).groupBy("doc", "cluster", "term").agg(F.count("*").alias("n"))
 
 
 def cluster_labels(counts: DataFrame, docs: DataFrame, terms: int = TERMS) -> DataFrame:
