@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, licenses, lm, minhash, mixing, packing, pieces, quality, rabitq
+from . import ann, audit, chat, licenses, lm, minhash, mixing, packing, pieces, quality, rabitq, whitening, windows
 from .common import tuned
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -111,3 +111,58 @@ def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(_read(spark, sf_dir, "documents"))
+
+
+@query
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.deduplicated(_read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+ORACLES["op12_filter_audit"] = r"""
+WITH texts AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), firsts AS (
+    SELECT text, min(doc_id) AS least FROM texts GROUP BY text
+), said AS (
+    SELECT doc_id, max((coalesce(quality, 0) = 1)::INT) AS good, max((coalesce(toxic, 0) = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), failing AS (
+    SELECT t.part, coalesce(s.good, 0) AS good, coalesce(s.toxic, 0) AS toxic,
+        (len(t.words) < 200)::INT + 2 * (100 * len(list_distinct(t.words)) < 50 * len(t.words))::INT
+        + 4 * (100 * (length(t.text) - length(regexp_replace(t.text, '[A-Z]', '', 'g'))) > 2 * length(t.text))::INT
+        + 8 * regexp_matches(t.text, '[#$%&*|]')::INT + 16 * coalesce(t.doc_id > f.least, f.least IS NOT NULL)::INT AS mask
+    FROM texts t JOIN firsts f ON f.text = t.text LEFT JOIN said s ON s.doc_id = t.doc_id
+), cells AS (
+    SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failing GROUP BY part, mask
+), filters AS (
+    SELECT substr('ABCDE', i + 1, 1) AS name, i, (1 << i)::INT AS bit FROM range(5) r(i)
+), orders AS (
+    SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+    FROM filters a, filters b, filters c, filters d, filters e
+    WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31
+), steps AS (
+    SELECT filter_order, s::INT AS step, bits[s] AS bit, coalesce(list_sum(bits[1:s - 1]), 0)::INT AS before FROM orders, range(1, 6) r(s)
+), counted AS (
+    SELECT part, filter_order, step, any_value(bit) AS bit,
+        sum(CASE WHEN mask & (bit | before) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+        sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN n ELSE 0 END)::BIGINT AS removed,
+        sum(CASE WHEN mask & before > 0 AND mask & bit > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+        sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+        sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+        sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+    FROM cells, steps GROUP BY part, filter_order, step
+)
+SELECT * EXCLUDE (bit), sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM counted
+"""
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whitened(_read(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS long)"))
