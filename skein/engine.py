@@ -25,8 +25,9 @@ DIGESTS = {
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], embed: Embed | None = None) -> None:
-        self.spark, self.tables, self.embed = spark, tables, embed
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], embed: Embed | None = None, meta: dict[str, str] | None = None) -> None:
+        """meta: what the index says of itself, such as the number of lists to probe."""
+        self.spark, self.tables, self.embed, self.probes = spark, tables, embed, search.probe_count(meta or {})
 
     def table(self, name: str, corpus: str | None = None) -> DataFrame:
         if name not in self.tables:
@@ -73,54 +74,65 @@ class Engine:
         top = best.agg(F.max("score").alias("_top"))
         return best.crossJoin(F.broadcast(top)).filter((F.col("score") >= search.CHARTER_FLOOR) & (F.col("score") >= F.col("_top") - search.CHARTER_WINDOW)).drop("_top")
 
-    def _hits(self, chunks: DataFrame, query: DataFrame, limit: int, diversify: bool, group_by: str | None, snippet: bool) -> DataFrame:
-        """Ranks keys and vectors only; texts are joined to the few that are left."""
-        key = ["corpus", "file", "chunk_idx"]
-        ranked = search.collapsed(search.scan(chunks.select(*key, "sub_idx", "embedding"), query), tuple(key))
-        if group_by == "file":
-            return search.by_file(search.top(ranked, max(4 * limit, 20), *key)).limit(limit)
-        if diversify:
-            ids = F.concat_ws("\x1f", *key)
-            pool = search.top(ranked, search.MMR_POOL, *key).withColumn("id", ids).withColumn("query", F.lit(0)).select("query", "id", "score", "embedding")
-            chosen = search.mmr(pool, limit).select(*(F.split("id", "\x1f")[i].alias(k) for i, k in enumerate(key)), "score", "place")
-            ranked = chosen.withColumn("chunk_idx", F.col("chunk_idx").cast("int"))
-        else:
-            ranked = search.top(ranked, limit, *key).withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), *key))).drop("embedding", "sub_idx")
-        shown = chunks.filter("sub_idx = 0").drop("embedding", "sub_idx", "score").join(F.broadcast(ranked), key)
+    def _hits(self, chunks: DataFrame, ranked: DataFrame, limit: int, diversify: bool, group_by: str | None, collapse_versions: bool, snippet: bool) -> DataFrame:
+        """Ranks keys and vectors only; texts are joined to the few that are left. Enough are fetched that thinning leaves `limit`."""
+        by_file = group_by == "file"
+        hits = search.best_hits(ranked, search.over_fetch(limit) if by_file or collapse_versions else limit, diversify and not by_file)
+        hits = search.newest_revisions(hits, ("corpus",)) if collapse_versions else hits
+        if by_file:
+            return search.by_file(hits).limit(limit)
+        shown = chunks.filter("sub_idx = 0").drop("embedding", "sub_idx", "score").join(F.broadcast(hits.orderBy("place").limit(limit)), ["corpus", "file", "chunk_idx"])
         return (shown.withColumn("text", snippets(F.col("text"))) if snippet else shown).orderBy("place")
 
+    def _probed(self, corpus: str, chunks: DataFrame, query: DataFrame) -> DataFrame:
+        """Only the chunks of the lists nearest the query, where the index has lists."""
+        lists = self.tables.get("centroids")
+        if lists is None or "cluster_id" not in lists.columns or "cluster_id" not in chunks.columns:
+            return chunks
+        return search.probed(chunks, lists.filter(F.col("corpus") == corpus), query, self.probes)
+
     def search_corpus(self, corpus: str, query: str, limit: int = 10, group_by: str | None = None, sort: str | None = None, collapse_versions: bool = True, diversify: bool = True, snippet: bool = True, **facets) -> DataFrame:
+        limit, asked = search.clamped(limit), self._query(query)
         chunks = search.facets(self.table("chunks", corpus), dated=sort == "date", **facets)
-        if not facets and sort is None and "centroids" in self.tables and "cluster_id" in chunks.columns:
-            lists = self.table("centroids", corpus)
-            if "cluster_id" in lists.columns:
-                chunks = search.probed(chunks, lists, self._query(query))
-        thin = collapse_versions and group_by is None
-        out = self._hits(chunks, self._query(query), max(4 * limit, 20) if thin else limit, diversify and group_by is None, group_by, snippet)
-        if thin:
-            out = search.newest_revisions(out).orderBy("place").limit(limit)
+        near = chunks if facets or sort else self._probed(corpus, chunks, asked)
+        key = ("corpus", "file", "chunk_idx")
+        ranked = search.collapsed(search.scan(near.select(*key, "sub_idx", "embedding"), asked), key)
+        out = self._hits(chunks, ranked, limit, diversify, group_by, collapse_versions, snippet)
         return out.orderBy(F.desc("chunk_date"), "file", "chunk_idx") if sort == "date" and group_by is None else out
 
-    def find_related(self, corpus: str, file: str, chunk_idx: int, limit: int = 10, **facets) -> DataFrame:
-        c = self.table("chunks", corpus)
+    def find_related(self, corpus: str, file: str, chunk_idx: int, limit: int = 10, group_by: str | None = None, diversify: bool = True, collapse_versions: bool = True, snippet: bool = True, **facets) -> DataFrame:
+        """Chunks nearest one chunk, which itself is left out; facets hold for the others only."""
+        limit, c = search.clamped(limit), self.table("chunks", corpus)
         seed = (F.col("file") == file) & (F.col("chunk_idx") == chunk_idx)
-        ranked = search.related(c.filter(seed).unionByName(search.facets(c.filter(~seed), **facets)), seed)
-        return search.top(search.collapsed(ranked), limit).drop("embedding")
-
-    def search_corpora(self, corpora: list[str], query: str, limit: int = 10, **facets) -> DataFrame:
-        names = list(dict.fromkeys(corpora))[: search.CORPORA_MOST]
+        rest = search.facets(c.filter(~seed), **facets)
+        key = ("corpus", "file", "chunk_idx")
+        ranked = search.collapsed(search.related(c.filter(seed).unionByName(rest).select(*key, "sub_idx", "embedding"), seed), key)
+        return self._hits(rest, ranked, limit, diversify, group_by, collapse_versions, snippet)
+
+    def search_corpora(self, corpora: list[str], query: str, limit: int = 10, collapse_versions: bool = True, **facets) -> DataFrame:
+        """The best hits of several corpora, each ranked by itself (with novelty, newest revisions only), then merged."""
+        limit, names = search.clamped(limit), list(dict.fromkeys(corpora))[: search.CORPORA_MOST]
         chunks = search.facets(self.table("chunks").filter(F.col("corpus").isin(*names)), **facets)
         order = F.array_position(F.array(*[F.lit(x) for x in names]), F.col("corpus"))
         models = self.table("corpora").filter(F.col("corpus").isin(*names)).select("corpus", "model", order.alias("place")).limit(search.CORPORA_MOST)
-        hits = search.collapsed(search.scan(chunks.drop("model"), self._query(query)), ("corpus", "file", "chunk_idx")).join(F.broadcast(models), "corpus")
-        return search.merged_corpora(hits.withColumn("id", F.concat_ws("#", "file", "chunk_idx")).select("corpus", "model", "score", "id", "title", "place"), limit)
-
-    def search_rfc_text(self, query: str, limit: int = 10) -> DataFrame:
+        key = ("corpus", "file", "chunk_idx")
+        ranked = search.collapsed(search.scan(chunks.select(*key, "sub_idx", "embedding"), self._query(query)), key)
+        hits = search.best_hits(ranked, search.over_fetch(limit) if collapse_versions else limit, True, by_corpus=True)
+        hits = (search.newest_revisions(hits, ("corpus",)) if collapse_versions else hits).withColumnRenamed("place", "own").join(F.broadcast(models), "corpus")
+        merged = search.merged_corpora(hits.withColumn("id", F.concat_ws("#", "file", "chunk_idx")), limit)
+        titles = chunks.filter("sub_idx = 0").select(*key, "title")
+        return titles.join(F.broadcast(merged), list(key)).select("corpus", "model", "score", "id", "title", "rank", "place").orderBy("rank", "place")
+
+    def search_rfc_text(self, query: str, limit: int = 10, rfc: str | None = None, sections: int = 3) -> dict[str, DataFrame]:
+        """Documents by their best sections among 200 chunks, and those sections as far as the reply's budget goes. rfc: within one document."""
         c = self.table("chunks", "rfc")
-        hits = search.top(search.collapsed(search.scan(c, self._query(query))), 200)
+        c = c.filter(F.regexp_extract("file", r"([^/]+?)(?:\.txt)?$", 1) == rfc) if rfc else c
+        key = ("file", "chunk_idx")
+        hits = search.top(search.collapsed(search.scan(c, self._query(query)), key), search.RETRIEVED).withColumn("doc", F.regexp_extract("file", r"([^/]+?)(?:\.txt)?$", 1))
         cites = self.table("rfc_refs").groupBy(F.col("dst").alias("doc")).agg(F.count("*").alias("citations"))
-        rows = hits.withColumn("doc", F.regexp_extract("file", r"([^/]+?)(?:\.txt)?$", 1)).join(cites, "doc", "left").withColumn("citations", F.coalesce("citations", F.lit(0)))
-        return search.documents_ranked(rows, search.title_overlap(query, F.col("title"))).limit(limit)
+        rows = hits.join(cites, "doc", "left").withColumn("citations", F.coalesce("citations", F.lit(0)))
+        documents = search.documents_ranked(rows, search.title_overlap(query, F.col("title"))).limit(max(1, min(search.DOCUMENTS_MOST, limit)))
+        return {"documents": documents, "sections": search.shown_sections(hits, documents, sections)}
 
     # reads
 

@@ -54,7 +54,38 @@ def collapsed(df: DataFrame, keys: tuple[str, ...] = ("file", "chunk_idx")) -> D
 
 
 def top(df: DataFrame, k: int, *ties: str) -> DataFrame:
-    return df.orderBy(F.desc("score"), *(ties or ("file", "chunk_idx"))).limit(min(RESULTS_MOST, max(RESULTS_LEAST, k)))
+    """The first k; what a caller may ask for at most is the facade's matter (`clamped`)."""
+    return df.orderBy(F.desc("score"), *(ties or ("file", "chunk_idx"))).limit(k)
+
+
+def clamped(limit: int) -> int:
+    return min(RESULTS_MOST, max(RESULTS_LEAST, limit))
+
+
+def over_fetch(limit: int) -> int:
+    """Q14: hits to fetch where some will be thinned out, so that `limit` are left."""
+    return max(4 * limit, 20)
+
+
+def best_hits(ranked: DataFrame, n: int, diversify: bool, by_corpus: bool = False) -> DataFrame:
+    """Q3, Q5: corpus, file, chunk_idx, score and place of the first n hits (of each corpus, or of all).
+
+    ranked: these columns without place, sub_idx, embedding. Diversified, the pool's rows are chosen by relevance and
+    novelty; what n wants beyond the pool follows by relevance.
+    """
+    key = ["corpus", "file", "chunk_idx"]
+    group = F.col("corpus") if by_corpus else F.lit("")
+    order = [F.desc("score"), *key]
+    if by_corpus:
+        rows = ranked.withColumn("place", F.row_number().over(Window.partitionBy("corpus").orderBy(*order))).filter(F.col("place") <= n)
+    else:
+        rows = top(ranked, n, *key).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    if not diversify:
+        return rows.select(*key, "score", "place")
+    pool = rows.filter(F.col("place") <= MMR_POOL).select(group.alias("query"), F.to_json(F.struct(*key)).alias("id"), "score", "embedding")
+    kinds = ", ".join(f"{c} {t}" for c, t in ranked.select(*key).dtypes)
+    chosen = mmr(pool, n).select(F.from_json("id", kinds).alias("k"), "score", "place").select("k.*", "score", "place")
+    return chosen.unionByName(rows.filter(F.col("place") > MMR_POOL).select(*key, "score", "place"))
 
 
 def probed(df: DataFrame, centroids: DataFrame, query: DataFrame, probes: int = PROBES, filtered: bool = False) -> DataFrame:
@@ -121,13 +152,13 @@ def by_file(hits: DataFrame) -> DataFrame:
 DRAFT = r"^drafts/(draft-.*?)-(\d{2})(?:\.txt)?$"
 
 
-def newest_revisions(hits: DataFrame) -> DataFrame:
-    """Q17: of each draft only the newest matching revision; other files pass."""
+def newest_revisions(hits: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Q17: of each draft (and values of the keys) only the newest matching revision; other files pass."""
     cols = hits.columns
     rows = hits.withColumn("_stem", F.regexp_extract("file", DRAFT, 1)).withColumn("_rev", F.regexp_extract("file", DRAFT, 2))
     drafts = rows.filter("_stem <> ''")
-    newest = drafts.groupBy("_stem").agg(F.max("_rev").alias("_rev"))
-    return rows.filter("_stem = ''").select(*cols).unionByName(drafts.join(newest, ["_stem", "_rev"], "left_semi").select(*cols))
+    newest = drafts.groupBy(*keys, "_stem").agg(F.max("_rev").alias("_rev"))
+    return rows.filter("_stem = ''").select(*cols).unionByName(drafts.join(newest, [*keys, "_stem", "_rev"], "left_semi").select(*cols))
 
 
 def merged_corpora(hits: DataFrame, k: int) -> DataFrame:
@@ -159,6 +190,28 @@ def documents_ranked(hits: DataFrame, overlap: Column) -> DataFrame:
     return got.select("doc", score.alias("score")).orderBy(F.desc("score"), "doc")
 
 
+#: Chunks fetched, documents and sections shown at most, and characters of a section and of all of them.
+RETRIEVED, DOCUMENTS_MOST, SECTIONS_MOST, SECTION_CHARS, REPLY_CHARS = 200, 50, 10, 320, 40_000
+
+
+def shown_sections(hits: DataFrame, documents: DataFrame, most: int = TOP_SECTIONS, chars: int = SECTION_CHARS, budget: int = REPLY_CHARS) -> DataFrame:
+    """Q23: the best hit of each document's first sections, in the documents' order; `shown` until the budget of characters is used up.
+
+    hits: doc, section (may be missing), chunk_idx, score, title, text, of at most RETRIEVED rows; documents: doc, score.
+    The first section is always shown; once one does not fit, none after it is.
+    """
+    rank = F.row_number().over(Window.orderBy(F.desc("score"), "doc"))
+    order = documents.select("doc", rank.alias("rank"))
+    rows = hits.withColumn("section", F.col("section") if "section" in hits.columns else F.lit(None).cast("string")).join(F.broadcast(order), "doc")
+    best = F.row_number().over(Window.partitionBy("doc", "section").orderBy(F.desc("score"), "chunk_idx"))
+    place = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("score"), "chunk_idx"))
+    rows = rows.withColumn("_b", best).filter("_b = 1").withColumn("place", place).filter(F.col("place") <= max(1, min(SECTIONS_MOST, most)))
+    rows = rows.withColumn("text", F.substring(F.regexp_replace(F.regexp_replace("text", r"\s+", " "), "^ ", ""), 1, chars))
+    used = F.sum(F.length("text") + F.length(F.coalesce("title", F.lit("")))).over(Window.orderBy("rank", "place"))
+    out = rows.withColumn("shown", (used <= budget) | ((F.col("rank") == 1) & (F.col("place") == 1)))
+    return out.select("rank", "place", "doc", "section", "title", "chunk_idx", "score", "text", "shown").orderBy("rank", "place")
+
+
 #: A concluded group's factor, and what a query that is a group's acronym adds.
 CLOSED_FACTOR, PINNED = 0.6, 1.0
 

@@ -58,6 +58,53 @@ def test_related_routing_and_merge(engine):
     assert engine.find_efforts("tra quic").collect()[0].acronym == "quic"
 
 
+def revisions(spark, drafts: int, corpora: tuple[str, ...] = ("c",)):
+    """Ten revisions of each draft, all alike but for a little."""
+    rows = []
+    for c in corpora:
+        for d in range(drafts):
+            for r in range(10):
+                v = vector("alpha " * 3 + ("bravo " * (d % 7)))
+                v[3] += 1e-4 * d + 1e-6 * r
+                rows.append((c, f"drafts/draft-{d}-{r:02d}.txt", 0, 0, f"draft {d}", f"text {d} {r}", v, "2024-01-01", f"https://e.org/{d}/{r}", "1"))
+    return spark.createDataFrame(rows, "corpus string, file string, chunk_idx int, sub_idx int, title string, text string, embedding array<double>, chunk_date string, url string, section string")
+
+
+def test_limits_are_reached_after_thinning(spark):
+    """Fetching for thinning is not bounded by what a caller may ask for, and what a caller asks for is."""
+    few = Engine(spark, {"chunks": revisions(spark, 30)}, vector)
+    for diversify in (True, False):
+        got = few.search_corpus("c", "alpha", limit=30, diversify=diversify).collect()
+        # 120 rows are fetched, of which each draft keeps the newest: so there are 12 drafts at least
+        assert 12 <= len(got) <= 30 and len({r.title for r in got}) == len(got)
+        assert [r.place for r in got] == sorted(r.place for r in got)
+    every = Engine(spark, {"chunks": revisions(spark, 40).filter("file LIKE '%-09.txt'").unionByName(revisions(spark, 120).filter("file LIKE '%-08.txt'").withColumn("file", F.concat(F.lit("x"), "file")))}, vector)
+    assert every.search_corpus("c", "alpha", limit=100).count() == 100 == every.search_corpus("c", "alpha", limit=1000, collapse_versions=False).count()
+    assert len({r.place for r in every.search_corpus("c", "alpha", limit=100).collect()}) == 100
+    assert every.search_corpus("c", "alpha", limit=-5).count() == 1
+    related = every.find_related("c", "drafts/draft-0-09.txt", 0, limit=100).collect()
+    assert len(related) == 100 and all(r.file != "drafts/draft-0-09.txt" for r in related)
+    old = few.find_related("c", "drafts/draft-1-03.txt", 0, limit=40)
+    assert old.groupBy("title").count().filter("count > 1").isEmpty()
+    assert few.find_related("c", "drafts/draft-1-03.txt", 0, limit=5, group_by="file").collect()[0].hits == 1
+
+
+def test_documents_rank_two_hundred_chunks(spark):
+    c = revisions(spark, 30, ("rfc",)).withColumn("section", F.substring("file", -6, 2))
+    engine = Engine(spark, {"chunks": c, "rfc_refs": spark.createDataFrame([("a", "draft-3-04")], "src string, dst string")}, vector)
+    got = engine.search_rfc_text("alpha", limit=50)
+    assert got["documents"].count() == 50 and got["sections"].filter("shown").count() == 50
+    one = engine.search_rfc_text("alpha", rfc="draft-3-04")
+    assert [r.doc for r in one["documents"].collect()] == ["draft-3-04"]
+
+
+def test_merge_keeps_newest_revisions_of_each_corpus(spark):
+    engine = Engine(spark, {"chunks": revisions(spark, 3, ("c", "d")), "corpora": spark.createDataFrame([("c", "m1"), ("d", "m2")], "corpus string, model string")}, vector)
+    got = engine.search_corpora(["d", "c"], "alpha", limit=6).collect()
+    assert [r.corpus for r in got] == ["d", "c"] * 3 and all(r.id.endswith("-09.txt#0") for r in got)
+    assert engine.search_corpora(["c", "d"], "alpha", limit=40, collapse_versions=False).count() == 40
+
+
 def test_reads(engine):
     assert engine.list_files("c", "THREADS/%").count() == 2
     assert engine.get_chunk_text("c", "threads/one.md", 1, 9).count() == 2
