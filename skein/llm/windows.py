@@ -1,10 +1,10 @@
 """Removes passages that stand in an earlier document too: all windows of some words, counted exactly.
 
-Consecutive windows whose least word group (the minimiser, by hash) is the same travel as one string of their words, a
-super-k-mer, to the bucket of that minimiser; equal windows have equal minimisers, so each bucket can sort its windows
-alone. A window that the same block of texts holds in an earlier document is settled there and doesn't travel, so a
-passage of a million copies is sent once a block. The windows of buckets that would still be large travel singly, dealt by
-the whole window.
+Consecutive windows whose least word group (the minimiser, by hash) is the same are one string of their words, a
+super-k-mer, and travel to the bucket of that minimiser; equal windows have equal minimisers, so each bucket can sort its
+windows alone. A block of texts sends each bucket one compressed parcel of strings. A window that the same block holds in an
+earlier document is settled there and doesn't travel, so a passage of a million copies is sent once a block. Minimisers
+that would make a bucket large send their windows singly, dealt by the whole window.
 """
 
 from __future__ import annotations
@@ -17,18 +17,32 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import forget, written
 from .words import BASE, Words, mixed, raw
 
 WINDOW, GROUP = 13, 3
-#: Texts of a block, or super-k-mers of a bucket task: their windows are compared at once. A longer text is a block alone.
+#: Texts of a block: their windows are compared at once. A longer text is a block alone.
 BLOCK_BYTES = 8 << 20
 #: Words a super-k-mer may have, so that one endless repetition isn't one row.
 LONGEST = 2048
+#: Windows of a bucket, about; one of over BUCKET_MOST times as many is sorted in parts.
+BUCKET_WINDOWS, BUCKET_MOST = 1 << 18, 4
 #: A cell (minimisers with the same leading bits) is large if it holds over LARGE windows, and over a HEAVIEST-th of all:
 #: so at most HEAVIEST are, whatever the input. Cells for each partition of the input.
 LARGE, HEAVIEST, CELLS = 1 << 16, 1 << 20, 1 << 12
+CODEC, LEVEL = "zstd", 3
+
+
+@dataclass
+class Settings:
+    size: int = WINDOW
+    group: int = GROUP
+    block: int = BLOCK_BYTES
+    longest: int = LONGEST
+    bucket: int = BUCKET_WINDOWS
+    large: int = LARGE
 
 
 @dataclass
@@ -75,9 +89,8 @@ def rolled(values: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def minimisers(block: Block, start: np.ndarray, size: int, group: int) -> np.ndarray:
-    """The least hash of the word groups of each window."""
-    h = block.hashes()
+def minimisers(h: np.ndarray, start: np.ndarray, size: int, group: int) -> np.ndarray:
+    """The least hash of the word groups of each window. h: of each word."""
     if not len(start):
         return np.zeros(0, np.uint64)
     grams = rolled(h, np.arange(len(h) - group + 1), group)
@@ -87,33 +100,38 @@ def minimisers(block: Block, start: np.ndarray, size: int, group: int) -> np.nda
     return out
 
 
-def equal_windows(ids: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
-    """A number for each window, equal just where all its words are."""
+def repeated(ids: np.ndarray, start: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows that have an equal among the others: their places, and a number that is equal just where all words are, ascending."""
     key = rolled(ids, start, size)
-    order = np.argsort(key, kind="stable")
-    new = np.ones(len(key), bool)
-    new[1:] = key[order][1:] != key[order][:-1]
-    group = np.cumsum(new) - 1
-    lead = start[order][np.flatnonzero(new)][group]
-    same = np.ones(len(key), bool)
+    order = np.argsort(key)
+    key = key[order]
+    same = np.zeros(len(key) + 1, bool)
+    same[1:-1] = key[1:] == key[:-1]
+    some = same[1:] | same[:-1]
+    at, group = order[some], np.cumsum(~same[:-1])[some]
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    lead = np.repeat(at[first], np.diff(np.append(first, len(at))))
+    equal = np.ones(len(at), bool)
     for k in range(size):
-        same &= ids[start[order] + k] == ids[lead + k]
-    out = np.empty(len(key), np.int64)
-    out[order] = group
-    if not same.all():  # equal hashes of different windows: told apart by their words
+        equal &= ids[start[at] + k] == ids[start[lead] + k]
+    if not equal.all():  # equal hashes of different windows: told apart by their words
         seen: dict[tuple, int] = {}
-        for i in np.flatnonzero(np.isin(group, group[~same])):
-            at = order[i]
-            out[at] = seen.setdefault((int(group[i]), *ids[start[at] : start[at] + size].tolist()), int(group[-1]) + 1 + len(seen))
-        out = np.unique(out, return_inverse=True)[1]
-    return out
+        for i in np.flatnonzero(np.isin(group, group[~equal])):
+            group[i] = seen.setdefault(tuple(ids[start[at[i]] : start[at[i]] + size].tolist()), len(key) + 1 + len(seen))
+        order = np.argsort(group, kind="stable")
+        at, group = at[order], group[order]
+    return at, group
 
 
-def earlier(same: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Which windows stand in a document of a smaller number too. same: number of each window; doc: of its document."""
-    least = np.full(int(same.max(initial=-1)) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, same, doc)
-    return doc > least[same]
+def earlier(ids: np.ndarray, start: np.ndarray, size: int, place: np.ndarray) -> np.ndarray:
+    """Which windows stand in a document of an earlier place too. place: of each window's document."""
+    out = np.zeros(len(start), bool)
+    at, group = repeated(ids, start, size)
+    if len(at):
+        first = np.flatnonzero(np.diff(group, prepend=-1))
+        least = np.repeat(np.minimum.reduceat(place[at], first), np.diff(np.append(first, len(at))))
+        out[at] = place[at] > least
+    return out
 
 
 def runs(start: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,89 +180,124 @@ def ranks(ids: pa.Array) -> np.ndarray:
     return np.where(null, len(known), place)
 
 
-def travelling(table: pa.Table, size: int, group: int, shift: int, large: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """table: doc_id, twin, text of a block. Rows doc_id, twin, start, n, bucket, packed.
+def parcels(rows: pa.RecordBatch, bucket: np.ndarray, windows: np.ndarray) -> pa.RecordBatch:
+    """rows in one compressed string for each bucket: bucket, windows, size (bytes when unpacked), parcel."""
+    order = np.argsort(bucket, kind="stable")
+    rows, bucket = rows.take(pa.array(order)), bucket[order]
+    total = np.concatenate([[0], np.cumsum(windows[order])])
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    codec, sizes, out = pa.Codec(CODEC, LEVEL), [], []
+    for low, high in zip(first, [*first[1:], len(bucket)], strict=True):
+        body = rows.slice(low, high - low).serialize()
+        sizes.append(body.size)
+        out.append(codec.compress(body, asbytes=True))
+    ends = np.append(first[1:], len(bucket)).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int64)), pa.array(total[ends] - total[first]), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], names=["bucket", "windows", "size", "parcel"])
+
+
+def unpacked(size: int, parcel: bytes, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.ipc.read_record_batch(pa.Codec(CODEC).decompress(parcel, decompressed_size=size), schema)
+
+
+def schema_of(kind: pa.DataType) -> pa.Schema:
+    return pa.schema([("doc_id", kind), ("twin", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("packed", pa.string())])
+
 
-    With a null packed: n windows from word `start` on that stand in an earlier document of this block. Else: n windows whose
-    words are packed.
+def travelling(table: pa.Table, large: np.ndarray, cell_shift: int, buckets: int, s: Settings) -> Iterator[pa.RecordBatch]:
+    """table: doc_id, twin, text of a block; buckets: a power of 2. Parcels of rows doc_id, twin, start, n, packed.
+
+    n windows from word `start` on, with their words in `packed`; or in one parcel with windows of -1, of any bucket and
+    without words, those that stand in an earlier document of this block.
     """
-    block = Block.of(table.column(2))
-    start = block.starts(size)
+    block = Block.of(table.column("text"))
+    start = block.starts(s.size)
     if not len(start):
         return
     doc = np.searchsorted(block.doc, start, "right") - 1
-    late = earlier(equal_windows(block.ids, start, size), ranks(table.column(0))[doc])
-    least = minimisers(block, start, size, group)
+    late = earlier(block.ids, start, s.size, ranks(table.column("doc_id"))[doc])
+    hashes = block.hashes()
+    least = minimisers(hashes, start, s.size, s.group)
+    own = [table.column(k).combine_chunks() for k in ("doc_id", "twin")]
+    schema = schema_of(own[0].type)
+
+    def rows(at: np.ndarray, n: np.ndarray, packed: pa.Array) -> pa.RecordBatch:
+        documents = pa.array(doc[at])
+        place = (start[at] - block.doc[doc[at]]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([*(c.take(documents) for c in own), pa.array(place), pa.array(n.astype(np.int32)), packed.cast(pa.string())], schema=schema)
 
-    def rows(at: np.ndarray, n: np.ndarray, bucket: np.ndarray, packed: pa.Array) -> pa.RecordBatch:
-        own = pa.array(doc[at])
-        place = start[at] - block.doc[doc[at]]
-        columns = [table.column(k).combine_chunks().take(own) for k in (0, 1)]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(place), pa.array(n), pa.array(bucket.view(np.int64)), packed], names=["doc_id", "twin", "start", "n", "bucket", "packed"])
+    def dealt(h: np.ndarray) -> np.ndarray:
+        return (mixed(h) & np.uint64(buckets - 1)).astype(np.int64)
 
     gone = np.flatnonzero(late)
     first, n = runs(start[gone], doc[gone])
-    at = gone[first]
-    if len(at):
-        twin = table.column(1).to_numpy().astype(np.int64).view(np.uint64)
-        yield rows(at, n, mixed(twin[doc[at]]), pa.nulls(len(at), pa.string()))
-    many = ~late & np.isin(least >> shift, large) if len(large) else np.zeros(len(start), bool)
+    if len(gone):
+        any_ = dealt(np.full(len(first), int(least[0]), np.uint64))
+        yield parcels(rows(gone[first], n, pa.nulls(len(first), pa.string())), any_, np.full(len(first), -1)).set_column(1, "windows", pa.array([-1]))
+    many = ~late & np.isin(least >> np.uint64(cell_shift), large) if len(large) else np.zeros(len(start), bool)
     alone = np.flatnonzero(many)
-    if len(alone):
-        hashes = block.hashes()
-        for low in range(0, len(alone), 1 << 16):
-            own = alone[low : low + (1 << 16)]
-            yield rows(own, np.ones(len(own), np.int64), rolled(hashes, start[own], size), strings(block, start[own], np.full(len(own), size)).cast(pa.string()))
+    for low in range(0, len(alone), 1 << 17):
+        at = alone[low : low + (1 << 17)]
+        one = np.ones(len(at), np.int64)
+        yield parcels(rows(at, one, strings(block, start[at], s.size * one)), dealt(rolled(hashes, start[at], s.size)), one)
     some = np.flatnonzero(~late & ~many)
-    first, n = runs(start[some], doc[some], least[some], (start[some] - block.doc[doc[some]]) // LONGEST)
-    for low in range(0, len(first), 1 << 16):
-        own, many_ = some[first[low : low + (1 << 16)]], n[low : low + (1 << 16)]
-        yield rows(own, many_, least[own], strings(block, start[own], many_ + size - 1).cast(pa.string()))
+    first, n = runs(start[some], doc[some], least[some], (start[some] - block.doc[doc[some]]) // s.longest)
+    if len(some):
+        at = some[first]
+        yield parcels(rows(at, n, strings(block, start[at], n + s.size - 1)), dealt(least[at]), n)
+
+
+def judged(table: pa.Table, size: int) -> pa.RecordBatch:
+    """table: all travelling rows that may hold equal windows: doc_id, twin, start, n of those that stand in an earlier document."""
+    block = Block.of(table.column("packed"))
+    start = block.starts(size)
+    row = np.searchsorted(block.doc, start, "right") - 1
+    late = np.flatnonzero(earlier(block.ids, start, size, ranks(table.column("doc_id"))[row]))
+    at = table.column("start").to_numpy()[row[late]] + start[late] - block.doc[row[late]]
+    first, n = runs(at, row[late])
+    own = pa.array(row[late][first])
+    return pa.RecordBatch.from_arrays([*(table.column(k).combine_chunks().take(own) for k in ("doc_id", "twin")), pa.array(at[first]), pa.array(n)], names=["doc_id", "twin", "start", "n"])
+
+
+def picked(rows: pa.RecordBatch, size: int, part: int, parts: int) -> pa.RecordBatch:
+    """The windows of a part, by their hashes, as rows of their own."""
+    block = Block.of(rows.column(4))
+    start = block.starts(size)
+    start = start[rolled(block.hashes(), start, size) % np.uint64(parts) == part]
+    row = np.searchsorted(block.doc, start, "right") - 1
+    one = np.ones(len(start), np.int32)
+    place = rows.column(2).to_numpy()[row] + (start - block.doc[row]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([*(rows.column(k).take(pa.array(row)) for k in (0, 1)), pa.array(place), pa.array(one), strings(block, start, size * one.astype(np.int64)).cast(pa.string())], schema=rows.schema)
 
 
-def settled(batches: Iterator[pa.RecordBatch], size: int, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Rows of `travelling` by bucket and document: doc_id, twin, start, n of windows that stand in an earlier document.
+def settled(batches: Iterator[pa.RecordBatch], kind: pa.DataType, s: Settings) -> Iterator[pa.RecordBatch]:
+    """Parcels of `travelling` by bucket: doc_id, twin, start, n of windows that stand in an earlier document.
 
-    A bucket larger than `limit` is taken in pieces; of a piece, each different window is kept once for the next.
+    Only a bucket's parcels are held; if they have many windows, these are unpacked and judged a part at a time.
     """
-    names = ["doc_id", "twin", "start", "n"]
-    held = old = None
-
-    def judged(table: pa.Table, more: bool) -> tuple[pa.RecordBatch, pa.Table | None]:
-        block = Block.of(table.column("packed"))
-        start = block.starts(size)
-        row = np.searchsorted(block.doc, start, "right") - 1
-        same = equal_windows(block.ids, start, size)
-        place = ranks(table.column("doc_id"))[row]
-        new = table.column("n").to_numpy()[row] > 0
-        late = np.flatnonzero(earlier(same, place) & new)
-        at = table.column("start").to_numpy()[row[late]] + start[late] - block.doc[row[late]]
-        first, n = runs(at, row[late])
-        own = pa.array(row[late][first])
-        found = pa.RecordBatch.from_arrays([*(table.column(k).combine_chunks().take(own) for k in names[:2]), pa.array(at[first]), pa.array(n)], names=names)
-        if not more:
-            return found, None
-        _, kept = np.unique(same, return_index=True)
-        own = pa.array(row[kept])
-        columns = [table.column(k).combine_chunks().take(own) for k in names[:2]]
-        zero = pa.array(np.zeros(len(kept), np.int64))
-        return found, pa.table([*columns, zero, zero, table.column("bucket").combine_chunks().take(own), strings(block, start[kept], np.full(len(kept), size)).cast(pa.string())], names=table.column_names)
+    schema, held, now = schema_of(kind), [], None
+
+    def done() -> Iterator[pa.RecordBatch]:
+        total = sum(w for w, _, _ in held)
+        if total <= BUCKET_MOST * s.bucket:
+            if held:
+                yield judged(pa.Table.from_batches([unpacked(size, p, schema) for _, size, p in held]), s.size)
+            return
+        parts = -(-total // s.bucket)
+        for part in range(parts):
+            yield judged(pa.Table.from_batches([picked(unpacked(size, p, schema), s.size, part, parts) for _, size, p in held]), s.size)
 
     for batch in batches:
-        yield batch.filter(batch.column(5).is_null()).select(names)
-        part = pa.Table.from_batches([batch.filter(batch.column(5).is_valid())])
-        held = part if held is None else pa.concat_tables([held, part])
-        if held.column("packed").nbytes < limit:
-            continue
-        bucket = held.column("bucket").to_numpy()
-        cut = int(np.searchsorted(bucket, bucket[-1]))
-        whole = pa.concat_tables([x for x in (old, held.slice(0, cut or len(bucket))) if x is not None])
-        found, old = judged(whole, not cut)
-        yield found
-        held = held.slice(cut) if cut else None
-    last = [x for x in (old, held) if x is not None]
-    if held is not None and len(held):
-        yield judged(pa.concat_tables(last), False)[0]
+        for bucket, windows, size, parcel in zip(*(batch.column(k) for k in range(4)), strict=True):
+            windows, size, parcel = windows.as_py(), size.as_py(), parcel.as_buffer()
+            if windows < 0:
+                out = unpacked(size, parcel, schema)
+                yield pa.RecordBatch.from_arrays([out.column(0), out.column(1), out.column(2).cast(pa.int64()), out.column(3).cast(pa.int64())], names=["doc_id", "twin", "start", "n"])
+                continue
+            if bucket.as_py() != now:
+                yield from done()
+                held, now = [], bucket.as_py()
+            held.append((windows, size, parcel))
+    yield from done()
 
 
 def kept_words(table: pa.Table, size: int) -> pa.RecordBatch:
@@ -262,8 +315,8 @@ def kept_words(table: pa.Table, size: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([table.column(0).combine_chunks(), pa.array(words), pa.array(words - np.diff(count)), text.cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
 
-def deduplicated(docs: DataFrame, size: int = WINDOW, group: int = GROUP, large: int = LARGE) -> DataFrame:
-    """docs: doc_id long, text; other columns are not read. Removes each word of a window (`size` words in a row, as they stand)
+def deduplicated(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """docs: doc_id, text; other columns are not read. Removes each word of a window (WINDOW words in a row, as they stand)
     that also starts in a document with a smaller doc_id; what is judged is the input.
 
     Returns doc_id, n_words, n_removed, kept_text (the words left, joined by a space) and kept_sha256, a row for each input
@@ -271,37 +324,39 @@ def deduplicated(docs: DataFrame, size: int = WINDOW, group: int = GROUP, large:
     do those shared by rows of one doc_id. Rows without an id come after all others and share windows among themselves
     freely. An empty table gives an empty result.
     """
+    s = settings or Settings()
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType
+    arrow = to_arrow_type(kind)
     twin = F.xxhash64(F.col("doc_id").isNull(), "text")
     rows = docs.select("doc_id", twin.alias("twin"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = rows.filter(F.length("text") >= 2 * size - 1)
-    bits = max(6, (docs.rdd.getNumPartitions() * CELLS - 1).bit_length())
-    shift = np.uint64(64 - bits)
+    texts = rows.filter(F.length("text") >= 2 * s.size - 1)
+    shift = 64 - max(6, (docs.rdd.getNumPartitions() * CELLS - 1).bit_length())
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in blocks(batches):
+        for table in blocks(batches, s.block):
             block = Block.of(table.column(2))
-            cell, n = np.unique(minimisers(block, block.starts(size), size, group) >> shift, return_counts=True)
+            cell, n = np.unique(minimisers(block.hashes(), block.starts(s.size), s.size, s.group) >> np.uint64(shift), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(n.astype(np.int64))], names=["cell", "n"])
 
     cells = written(texts.mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "window-cells")
     total = cells.agg(F.sum("n")).first()[0] or 0
-    heavy = np.array([r.cell for r in cells.filter(F.col("n") > max(large, total // HEAVIEST)).select("cell").collect()], np.uint64)
+    large = cells.filter(F.col("n") > max(s.large, total // HEAVIEST)).select("cell").toArrow()
+    sent = spark.sparkContext.broadcast(large.column(0).to_numpy().astype(np.uint64))
     forget(cells)
-    sent = docs.sparkSession.sparkContext.broadcast(heavy)
+    buckets = 1 << max(0, (total // s.bucket)).bit_length()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in blocks(batches):
-            yield from travelling(table, size, group, shift, sent.value)
+        for table in blocks(batches, s.block):
+            yield from travelling(table, sent.value, shift, buckets, s)
 
-    kind = dict(docs.dtypes)["doc_id"]
-    moved = texts.mapInArrow(packed, f"doc_id {kind}, twin long, start long, n long, bucket long, packed string")
-    dealt = moved.repartition("bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_last())
-    found = dealt.mapInArrow(lambda b: settled(b, size), f"doc_id {kind}, twin long, start long, n long")
+    moved = texts.mapInArrow(packed, "bucket long, windows long, size long, parcel binary")
+    name = kind.simpleString()
+    found = moved.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: settled(b, arrow, s), f"doc_id {name}, twin long, start long, n long")
     ranges = found.groupBy(F.coalesce("doc_id", F.lit(0)).alias("id"), "twin").agg(F.collect_set(F.struct("start", "n")).alias("ranges"))
     joined = rows.withColumn("id", F.coalesce("doc_id", F.lit(0))).join(ranges, ["id", "twin"], "left").select("doc_id", "text", "ranges")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in blocks(batches, column=1):
-            yield kept_words(table, size)
+        for table in blocks(batches, s.block, column=1):
+            yield kept_words(table, s.size)
 
-    return joined.mapInArrow(cut, f"doc_id {kind}, n_words long, n_removed long, kept_text string").withColumn("kept_sha256", F.sha2("kept_text", 256))
+    return joined.mapInArrow(cut, f"doc_id {name}, n_words long, n_removed long, kept_text string").withColumn("kept_sha256", F.sha2("kept_text", 256))

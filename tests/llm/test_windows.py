@@ -37,7 +37,7 @@ def plain(rows, size=13):
 
 
 def got(df, **settings):
-    return Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in windows.deduplicated(df, **settings).collect())
+    return Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in windows.deduplicated(df, windows.Settings(**settings)).collect())
 
 
 @pytest.fixture(scope="module")
@@ -74,32 +74,32 @@ def test_large_cells_travel_singly(docs, want):
     assert got(docs, large=1) == want
 
 
-def test_small_blocks_and_pieces(docs, want, monkeypatch):
-    """Every text a block, every bucket in pieces; nothing may be lost between them."""
-    monkeypatch.setattr(windows, "LONGEST", 20)
-    for name, at in (("blocks", "limit"), ("settled", "limit")):
-        f = getattr(windows, name)
-        monkeypatch.setattr(windows, name, lambda b, *a, _f=f, _at=at, **k: _f(b, *a, **{_at: 200} | k))
-    assert got(docs) == want
-    assert got(docs, large=1) == want
+def test_small_blocks_buckets_and_parts(docs, want):
+    """Every text a block, every bucket in parts; nothing may be lost between them."""
+    assert got(docs, block=200, longest=20, bucket=1 << 12) == want
+    assert got(docs, block=5000, bucket=50) == want
+    assert got(docs, block=200, bucket=50, large=1) == want
 
 
 def test_equal_hashes_of_different_windows(monkeypatch):
     monkeypatch.setattr(windows, "rolled", lambda values, start, size: np.zeros(len(start), np.uint64))
     ids = np.array([1, 2, 3, 1, 2, 3, 1, 2, 2])
-    same = windows.equal_windows(ids, np.arange(7), 3)
-    assert [[int(a == b) for b in same] for a in same] == [[int((ids[i : i + 3] == ids[j : j + 3]).all()) for j in range(7)] for i in range(7)]
+    at, group = windows.repeated(ids, np.arange(7), 3)
+    same = {(int(a), int(b)) for a, g in zip(at, group, strict=True) for b, h in zip(at, group, strict=True) if g == h}
+    assert {(i, j) for i in range(7) for j in range(7) if i != j and (ids[i : i + 3] == ids[j : j + 3]).all()} == {(i, j) for i, j in same if i != j}
+    assert windows.earlier(ids, np.arange(7), 3, np.array([5, 5, 5, 4, 6, 6, 6])).tolist() == [True, False, False, False, True, True, False]
 
 
 def test_consecutive_windows_travel_together(rows):
-    block = windows.Block.of(pa.array([t for _, t in rows]))
-    start = block.starts(13)
-    assert len(start) == sum(max(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) - 12, 0) for _, t in rows)
+    """Parcels hold whole super-k-mers: every window once, a few thousand strings for twenty thousand windows."""
     long = next(t for i, t in rows if i == 40)
     table = pa.table({"doc_id": pa.array([1]), "twin": pa.array([1]), "text": pa.array([long])})
-    sent = pa.Table.from_batches(windows.travelling(table, 13, 3, np.uint64(50), np.zeros(0, np.uint64)))
-    assert sum(sent["n"].to_pylist()) == 20_000 - 12 and len(sent) < 4500
-    assert all(len(p.split(" ")) == n + 12 for p, n in zip(sent["packed"].to_pylist(), sent["n"].to_pylist(), strict=True))
+    (batch,) = windows.travelling(table, np.zeros(0, np.uint64), 50, 16, windows.Settings())
+    assert len(batch) == 16 and sum(batch["windows"].to_pylist()) == 20_000 - 12
+    sent = pa.Table.from_batches([windows.unpacked(r["size"], r["parcel"], windows.schema_of(pa.int64())) for r in batch.to_pylist()])
+    assert len(sent) < 4500 and sorted(s + k for s, n in zip(sent["start"].to_pylist(), sent["n"].to_pylist(), strict=True) for k in range(n)) == list(range(20_000 - 12))
+    words = long.split()
+    assert all(p == " ".join(words[s : s + n + 12]) for p, s, n in zip(sent["packed"].to_pylist(), sent["start"].to_pylist(), sent["n"].to_pylist(), strict=True))
 
 
 def test_query_equals_plain(spark):
