@@ -168,10 +168,10 @@ def within(points: DataFrame, intervals: DataFrame, keys: list[str]) -> DataFram
 
 def ballot_positions(events: DataFrame) -> DataFrame:
     """Of the newest ballot the newest event of each balloter; `norecord` is none. events: doc, ballot, balloter, pos, time."""
-    newest = F.max(F.struct("time", "ballot")).over(Window.partitionBy("doc"))["ballot"]
-    rows = events.filter("pos <> 'norecord'").withColumn("_newest", newest).filter("ballot = _newest").drop("_newest")
+    rows = events.filter("pos <> 'norecord'")
+    newest = rows.groupBy("doc").agg(F.max_by("ballot", F.struct("time", "ballot")).alias("ballot"))
     n = F.row_number().over(Window.partitionBy("doc", "balloter").orderBy(F.desc("time"), F.desc("pos")))
-    return rows.withColumn("_n", n).filter("_n = 1").drop("_n")
+    return rows.join(newest, ["doc", "ballot"]).withColumn("_n", n).filter("_n = 1").select(*events.columns)
 
 
 def merged_feed(stored: DataFrame, incoming: DataFrame, key: str = "id") -> DataFrame:
@@ -207,7 +207,7 @@ def reconciled_drafts(live: DataFrame, cached: DataFrame) -> DataFrame:
 def group_records(groups: DataFrame, areas: DataFrame, charters: DataFrame) -> DataFrame:
     """M1: two left joins on addresses."""
     a = areas.select(F.col("uri").alias("parent"), F.col("name").alias("area"))
-    c = charters.select(F.col("group").alias("uri"), F.max("rev").over(Window.partitionBy("group")).alias("rev")).distinct()
+    c = charters.groupBy(F.col("group").alias("uri")).agg(F.max("rev").alias("rev"))
     return groups.join(a, "parent", "left").join(c, "uri", "left")
 
 

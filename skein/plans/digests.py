@@ -47,13 +47,13 @@ def threads_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 EVENTS = """tl AS (SELECT updated AS "when", 'issue ' || CASE WHEN state = 'open' THEN 'opened' ELSE 'closed' END AS kind, repo || '#' || number AS title FROM issues
-UNION ALL SELECT ts::DATE, 'meeting', event_type || '-' || event_id FROM events WHERE event_type = 'purchase' UNION ALL SELECT l_shipdate::DATE, 'draft', 'd' || l_partkey || '-' || l_orderkey || '-' || l_linenumber FROM lineitem WHERE l_quantity > 49)"""
+UNION ALL SELECT ts::DATE, 'meeting', event_type || '-' || event_id FROM events UNION ALL SELECT l_shipdate::DATE, 'draft', 'd' || l_partkey || '-' || l_orderkey || '-' || l_linenumber FROM lineitem)"""
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
     i = issues(spark, sf).select(F.col("updated").alias("when"), F.concat(F.lit("issue "), F.when(F.col("state") == "open", "opened").otherwise("closed")).alias("kind"), F.concat("repo", F.lit("#"), "number").alias("title"))
-    e = table(spark, sf, "events").filter("event_type = 'purchase'").select(F.col("ts").cast("date").alias("when"), F.lit("meeting").alias("kind"), F.concat_ws("-", "event_type", "event_id").alias("title"))
-    li = table(spark, sf, "lineitem").filter("l_quantity > 49").select(F.col("l_shipdate").cast("date").alias("when"), F.lit("draft").alias("kind"), F.concat(F.lit("d"), F.concat_ws("-", "l_partkey", "l_orderkey", "l_linenumber")).alias("title"))
+    e = table(spark, sf, "events").select(F.col("ts").cast("date").alias("when"), F.lit("meeting").alias("kind"), F.concat_ws("-", "event_type", "event_id").alias("title"))
+    li = table(spark, sf, "lineitem").select(F.col("l_shipdate").cast("date").alias("when"), F.lit("draft").alias("kind"), F.concat(F.lit("d"), F.concat_ws("-", "l_partkey", "l_orderkey", "l_linenumber")).alias("title"))
     return D.timeline([i, e, li])
 
 
@@ -204,11 +204,14 @@ def repo_ceiling(spark: SparkSession, sf: str) -> DataFrame:
     return D.ceilings(issues(spark, sf))
 
 
-@query("""SELECT s_suppkey AS uri, n_name AS area, max(l_linenumber) AS rev FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_nationkey % 2 = 0 LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1, 2""")
+@query("""SELECT s_suppkey AS uri, n_name AS area, max(l_linenumber) AS rev FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND s_acctbal >= 0
+LEFT JOIN (SELECT CASE WHEN l_quantity < 40 THEN l_suppkey END AS g, l_linenumber FROM lineitem) ON g = s_suppkey GROUP BY 1, 2""")
 def group_records(spark: SparkSession, sf: str) -> DataFrame:
-    g = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("uri"), F.col("s_nationkey").alias("parent"))
-    a = table(spark, sf, "nation").filter("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("uri"), F.col("n_name").alias("name"))
-    return D.group_records(g, a, table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("group"), F.col("l_linenumber").alias("rev"))).select("uri", "area", "rev")
+    """Groups in debt have no area; charters of large quantities no group."""
+    g = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("uri"), F.when(F.col("s_acctbal") >= 0, F.col("s_nationkey")).alias("parent"))
+    a = table(spark, sf, "nation").select(F.col("n_nationkey").alias("uri"), F.col("n_name").alias("name"))
+    c = table(spark, sf, "lineitem").select(F.when(F.col("l_quantity") < 40, F.col("l_suppkey")).alias("group"), F.col("l_linenumber").alias("rev"))
+    return D.group_records(g, a, c).select("uri", "area", "rev")
 
 
 @query("""SELECT user_id AS meeting, count_if(event_type = 'click') AS click, count_if(event_type = 'error') AS error FROM events GROUP BY 1""")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import time
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,46 +38,79 @@ class Store:
         finally:
             stream.close()
 
-    def create(self, name: str, text: str, replace: bool = False) -> bool:
-        """Whether the file was written; without `replace`, only where there was none."""
-        from py4j.protocol import Py4JJavaError
+    def create(self, name: str, text: str) -> None:
+        stream = self.fs.create(self._path(name), True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+
+    def create_once(self, name: str, text: str) -> bool:
+        """Whether this call made the file, with its whole text at once; of several at the same time just one does.
 
+        The text is written aside and then moved to its name: by a hard link on a local disk, else by the store's rename,
+        which must not replace a file (as HDFS's doesn't).
+        """
+        aside = f".{name}-{uuid4().hex}"
+        self.create(aside, text)
         try:
-            stream = self.fs.create(self._path(name), replace)
-        except Py4JJavaError:
-            if replace:
-                raise
+            if self.fs.getUri().getScheme() == "file":
+                here = self.fs.resolvePath(self._path("")).toUri().getPath()
+                os.link(f"{here}/{aside}", f"{here}/{name}")
+                return True
+            return self.fs.rename(self._path(aside), self._path(name))
+        except FileExistsError:
             return False
-        stream.write(bytearray(text.encode()))
-        stream.close()
-        return True
+        finally:
+            self.fs.delete(self._path(aside), False)
 
     def delete(self, name: str) -> None:
         self.fs.delete(self._path(name), False)
 
+    def numbers(self, name: str) -> list[int]:
+        """The numbers of all files `name-<number>`, ascending."""
+        found = self.fs.globStatus(self._path(f"{name}-*")) or []
+        return sorted(int(x) for f in found if (x := f.getPath().getName()[len(name) + 1 :]).isdigit())
+
+    def cell(self, name: str) -> tuple[int, str | None]:
+        """The newest value of a name and its number; (0, None) if there never was one."""
+        for number in reversed(self.numbers(name)):
+            if (text := self.read(f"{name}-{number}")) is not None:
+                return number, text
+        return 0, None
+
+    def swap(self, name: str, number: int, text: str) -> bool:
+        """Compare and set: whether the value became `text`; only if it is still the one of that number."""
+        if not self.create_once(f"{name}-{number + 1}", text):
+            return False
+        if self.numbers(name)[-1] > number + 1:  # made from a number so old that its successors are gone already
+            self.delete(f"{name}-{number + 1}")
+            return False
+        for old in self.numbers(name):
+            if old < number:
+                self.delete(f"{name}-{old}")
+        return True
+
 
 def acquire(store: Store, owner: str, seconds: float, now: float | None = None, name: str = LEASE) -> bool:
-    """Whether `owner` holds the lease now: free, run out, or its own already."""
+    """Whether `owner` holds the lease now: free, run out, or its own already. Of several that read the same state, one gets it."""
     clock = time.time() if now is None else now
-    record = store.read(name)
+    number, record = store.cell(name)
     if record is not None:
         held = json.loads(record)
         if held["expires_at"] > clock and held["owner"] != owner:
             return False
-        store.delete(name)
-    # of several that found it free, the one whose file comes into being holds it
-    return store.create(name, json.dumps({"owner": owner, "acquired_at": clock, "expires_at": clock + seconds}))
+    return store.swap(name, number, json.dumps({"owner": owner, "acquired_at": clock, "expires_at": clock + seconds}))
 
 
 def holds(store: Store, owner: str, now: float | None = None, name: str = LEASE) -> bool:
-    record = store.read(name)
+    record = store.cell(name)[1]
     return record is not None and json.loads(record)["owner"] == owner and json.loads(record)["expires_at"] > (time.time() if now is None else now)
 
 
 def release(store: Store, owner: str, name: str = LEASE) -> None:
-    record = store.read(name)
+    """Ends the owner's own lease; that of another stays."""
+    number, record = store.cell(name)
     if record is not None and json.loads(record)["owner"] == owner:
-        store.delete(name)
+        store.swap(name, number, json.dumps(json.loads(record) | {"expires_at": 0}))
 
 
 def acquire_slot(store: Store, owner: str, seconds: float, most: int, now: float | None = None) -> int | None:
@@ -84,21 +119,20 @@ def acquire_slot(store: Store, owner: str, seconds: float, most: int, now: float
 
 
 def pointer(store: Store) -> int | None:
-    got = store.read(POINTER)
+    got = store.cell(POINTER)[1]
     return int(got) if got else None
 
 
 def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], meta: dict[str, str], owner: str, seconds: float = 3600, retain: int = 2) -> int:
-    """Stage a version, make sure that the lease still holds and nobody else moved the pointer, move it, drop old versions."""
+    """Stage a version, make sure that the lease still holds, move the pointer unless somebody else moved it, drop old versions."""
     store = Store(spark, root)
     if not acquire(store, owner, seconds):
         raise RuntimeError("another writer holds the lease")
     try:
-        was = pointer(store)
+        was, _ = store.cell(POINTER)
         number = versions.publish(spark, root, tables, meta, retain=0)
-        if not holds(store, owner) or pointer(store) != was:
+        if not holds(store, owner) or not store.swap(POINTER, was, str(number)):
             raise RuntimeError("the lease was lost while staging")
-        store.create(POINTER, str(number), replace=True)
         for old in [v for v in versions.versions(spark, root) if v <= number][:-retain]:
             store.fs.delete(store._path(str(old)), True)
         return number
@@ -111,7 +145,8 @@ def write_if_changed(store: Store, name: str, text: str) -> bool:
     old = store.read(name)
     if old is not None and hashlib.sha256(old.encode()).digest() == hashlib.sha256(text.encode()).digest():
         return False
-    return store.create(name, text, replace=True)
+    store.create(name, text)
+    return True
 
 
 def freshness(built: Column, now: Column, least_hours: float) -> Column:

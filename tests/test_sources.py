@@ -189,6 +189,47 @@ def test_leases_and_pointers(spark, tmp_path):
     assert control.query_text("BAAI/bge-small-en-v1.5", "q").endswith("passages: q") and control.query_text("bge-small-zh", "q") == "q"
 
 
+def test_one_of_interleaved_owners_holds_a_lease(spark, tmp_path, monkeypatch):
+    """Every owner reads the state before any of them writes; also a state so old that its successors are gone."""
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    from skein.sources import control
+
+    store, gate, read = control.Store(spark, str(tmp_path / "s")), Barrier(4), control.Store.cell
+
+    def together(self, name):
+        got = read(self, name)
+        gate.wait()
+        return got
+
+    for now in (0, 100, 200, 300, 400):  # free at first, then run out
+        with monkeypatch.context() as m, ThreadPoolExecutor(4) as pool:
+            m.setattr(control.Store, "cell", together)
+            won = [o for o, ok in zip("abcd", pool.map(lambda o: control.acquire(store, o, 10, now=now), "abcd"), strict=True) if ok]
+        assert len(won) == 1 and control.holds(store, won[0], now=now + 1)
+    assert not store.swap(control.LEASE, 1, "{}") and not store.swap(control.LEASE, 4, "{}") and control.holds(store, won[0], now=401)
+    assert store.numbers(control.LEASE) == [4, 5]
+
+
+def test_a_pointer_moved_meanwhile_stays(spark, tmp_path, monkeypatch):
+    from skein.sources import control
+
+    root = str(tmp_path / "v")
+    control.publish(spark, root, {"t": spark.range(1)}, {"model": "m"}, "me")
+    stage = versions.publish
+
+    def slow(*a, **k):
+        control.Store(spark, root).swap(control.POINTER, 1, "77")
+        return stage(*a, **k)
+
+    monkeypatch.setattr(versions, "publish", slow)
+    with pytest.raises(RuntimeError):
+        control.publish(spark, root, {"t": spark.range(2)}, {"model": "m"}, "me")
+    assert control.pointer(control.Store(spark, root)) == 77
+    assert control.acquire(control.Store(spark, root), "another", 10)
+
+
 def test_dumps_and_thread_files(spark):
     from skein.sources import records
 
