@@ -16,7 +16,7 @@ from pyspark.sql import SparkSession
 
 from skein.scratch import forget, scratch_dir, written
 
-__all__ = ["forget", "parts", "scratch_dir", "shipped", "trimmed", "tuned", "written"]
+__all__ = ["forget", "parts", "released", "scratch_dir", "shipped", "trimmed", "tuned", "written"]
 
 
 #: Rows of an Arrow batch at most.
@@ -52,5 +52,11 @@ def trimmed() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more; else they stay until the driver's heap fills."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import forget, written
+from .common import forget, released, written
 from .words import BASE, Words, mixed, raw
 
-WINDOW, GROUP = 13, 3
+WINDOW, GROUP = 13, 2
 #: Texts of a block: their windows are compared at once. A longer text is a block alone.
 BLOCK_BYTES = 8 << 20
 #: Words a super-k-mer may have, so that one endless repetition isn't one row.
@@ -30,8 +30,8 @@ LONGEST = 2048
 #: Windows of a bucket, about; one of over BUCKET_MOST times as many is sorted in parts.
 BUCKET_WINDOWS, BUCKET_MOST = 1 << 18, 4
 #: A cell (minimisers with the same leading bits) is large if it holds over LARGE windows, and over a HEAVIEST-th of all:
-#: so at most HEAVIEST are, whatever the input. Cells for each partition of the input.
-LARGE, HEAVIEST, CELLS = 1 << 16, 1 << 20, 1 << 12
+#: so at most HEAVIEST are, whatever the input. Cells for each partition of the input, and bits of their number at least.
+LARGE, HEAVIEST, CELLS, CELL_BITS = 1 << 16, 1 << 20, 1 << 12, 17
 CODEC, LEVEL = "zstd", 3
 
 
@@ -327,10 +327,12 @@ def deduplicated(docs: DataFrame, settings: Settings | None = None) -> DataFrame
     s = settings or Settings()
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType
     arrow = to_arrow_type(kind)
-    twin = F.xxhash64(F.col("doc_id").isNull(), "text")
+    # rows of one doc_id are told apart by their text; where there are none, nothing travels for it
+    alone = docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    twin = F.lit(0).cast("long") if alone else F.xxhash64(F.col("doc_id").isNull(), "text")
     rows = docs.select("doc_id", twin.alias("twin"), F.coalesce("text", F.lit("")).alias("text"))
     texts = rows.filter(F.length("text") >= 2 * s.size - 1)
-    shift = 64 - max(6, (docs.rdd.getNumPartitions() * CELLS - 1).bit_length())
+    shift = 64 - max(CELL_BITS, (docs.rdd.getNumPartitions() * CELLS - 1).bit_length())
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in blocks(batches, s.block):
@@ -352,6 +354,8 @@ def deduplicated(docs: DataFrame, settings: Settings | None = None) -> DataFrame
     moved = texts.mapInArrow(packed, "bucket long, windows long, size long, parcel binary")
     name = kind.simpleString()
     found = moved.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: settled(b, arrow, s), f"doc_id {name}, twin long, start long, n long")
+    found = written(found, "window-ranges")
+    released(spark)
     ranges = found.groupBy(F.coalesce("doc_id", F.lit(0)).alias("id"), "twin").agg(F.collect_set(F.struct("start", "n")).alias("ranges"))
     joined = rows.withColumn("id", F.coalesce("doc_id", F.lit(0))).join(ranges, ["id", "twin"], "left").select("doc_id", "text", "ranges")
 
