@@ -66,6 +66,27 @@ def domain_within(domain: Column, wanted: str) -> Column:
     return (d == wanted) | d.endswith("." + wanted)
 
 
+#: Fixed forms of what a paginated document prints at the foot and the head of its pages.
+PAGE_FOOT = r"[^\n]{0,100}\[\s*Page\s+[0-9ivxlcdmIVXLCDM]+\s*\][ \t\r]*"
+PAGE_MONTH = "January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept?|Oct|Nov|Dec"
+PAGE_HEAD = rf"(?=[^\n]{{1,100}}$)[^\n]*[ \t][ \t]+(?:{PAGE_MONTH})[ \t]+[0-9]{{4}}[ \t\r]*"
+PAGE_BREAK = rf"(?m)^(?:(?:\f*(?:{PAGE_FOOT}|{PAGE_HEAD})|[ \t]*\f[ \t\f]*)(?:\n|\z)(?:[ \t\f]*\n)*|\f+)+"
+
+
+def unpaged(text: Column) -> Column:
+    """Without the feet and heads of pages; a sentence that a page broke is one line again, and the common indent is gone.
+
+    A break becomes a mark first: between a line that ends no sentence and one that begins small it is a space, elsewhere
+    nothing. Lines keep their order and their indents relative to each other, as figures need them.
+    """
+    marked = F.regexp_replace(text, PAGE_BREAK, "\f")
+    joined = F.regexp_replace(marked, r"([^\s.:!?;])[ \t\r]*\n\f[ \t]*(?=[\p{Ll},;])", "$1 ")
+    lines = F.split(F.replace(joined, F.lit("\f"), F.lit("")), "\n", -1)
+    indent = F.array_min(F.transform(F.filter(lines, lambda x: F.trim(x) != ""), lambda x: F.length(x) - F.length(F.ltrim(x))))
+    even = F.transform(lines, lambda x: F.regexp_replace(F.substr(x, F.coalesce(indent, F.lit(0)) + 1), r"\s+$", ""))
+    return F.regexp_replace(F.array_join(even, "\n"), r"^\n+|\n+$", "")
+
+
 def html_text(html: Column) -> Column:
     """Text of a page: without scripts, styles, comments and tags, entities of the common kinds resolved, spaces folded."""
     bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " ")

@@ -92,7 +92,9 @@ def probed(df: DataFrame, centroids: DataFrame, query: DataFrame, probes: int =
     """Q8: rows of the nearest lists; everything when a facet is set. centroids: cluster_id, embedding."""
     if filtered:
         return df
-    near = scan(centroids, query).orderBy(F.desc("score"), "cluster_id").limit(max(1, probes)).select("cluster_id")
+    near = scan(centroids, query).orderBy(F.desc("score"), "cluster_id").limit(max(1, probes))
+    # a condition on this side lets Spark prune the folders of a store that is laid out by list
+    near = near.filter(F.col("score") >= -float("inf")).select("cluster_id")
     return df.join(F.broadcast(near), "cluster_id", "left_semi")
 
 

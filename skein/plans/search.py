@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from skein.functions.vectors import dequantised, dot, mean_vectors, normalised, quantised
 from skein.operators import search as S
+from skein.scratch import place
 from skein.session import table
+from skein.sources import ivf
 from skein.tables import CHUNKS, chunks
 
 from .registry import query
@@ -78,6 +80,18 @@ def ivf_probe(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(S.top(S.scan(near, _query(c)), 20, "vec_id"), "vec_id", "score")
 
 
+@query(f"""WITH {CHUNKS}, {CENTROIDS}, asked AS (SELECT vec_id AS query_id, embedding AS q FROM chunks WHERE vec_id % 50 = 0),
+near AS (SELECT * FROM (SELECT query_id, q, label, row_number() OVER (PARTITION BY query_id ORDER BY list_dot_product(embedding, q) DESC, label) AS n FROM centroids, asked) WHERE n <= 3),
+hits AS (SELECT query_id, vec_id AS id, list_dot_product(embedding, q) AS score FROM chunks JOIN near USING (label)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM hits) SELECT query_id, rank, id, round(score, 6) AS score FROM ranked WHERE rank <= 10""")
+def ivf_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Stores all vectors by list, then reads the three nearest lists of every fiftieth vector."""
+    c, path = chunks(spark, sf).withColumn("cluster_id", F.col("label").cast("int")), place(spark, "ivf")
+    ivf.store(c.select("cluster_id", F.col("vec_id").alias("id"), "embedding"), _centroids(c), path)
+    asked = c.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q"))
+    return _rounded(ivf.probed(spark, path, asked, probes=3, k=10), "query_id", "rank", "id", "score")
+
+
 @query()
 def mmr_diversify(spark: SparkSession, sf: str) -> DataFrame:
     """Greedy choice is sequential: no SQL. One group for each corpus."""

@@ -20,14 +20,20 @@ def scratch_dir(spark: SparkSession) -> str:
     return (named or LOCAL_CHECKPOINTS).rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: cuts lineage, survives the loss of executors, and is computed once."""
-    spark = df.sparkSession
+def place(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted like all others."""
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     if not _MADE:
         atexit.register(_at_exit)
     _MADE.add(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a Parquet table in the shared folder: cuts lineage, survives the loss of executors, and is computed once."""
+    spark = df.sparkSession
+    path = place(spark, name)
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
