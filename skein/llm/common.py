@@ -8,6 +8,7 @@ import os
 import shutil
 import sys
 import tempfile
+import time
 from pathlib import Path
 
 import pyarrow as pa
@@ -53,8 +54,12 @@ def trimmed() -> None:
 
 
 def released(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more; else they stay until the driver's heap fills."""
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more; else they stay until the driver's heap fills.
+
+    Handles of the JVM's objects are dropped by a thread of their own, so they get a moment before the JVM looks.
+    """
     gc.collect()
+    time.sleep(0.5)
     spark.sparkContext._jvm.System.gc()
 
 

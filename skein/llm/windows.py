@@ -351,10 +351,10 @@ def deduplicated(docs: DataFrame, settings: Settings | None = None) -> DataFrame
         for table in blocks(batches, s.block):
             yield from travelling(table, sent.value, shift, buckets, s)
 
-    moved = texts.mapInArrow(packed, "bucket long, windows long, size long, parcel binary")
     name = kind.simpleString()
-    found = moved.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: settled(b, arrow, s), f"doc_id {name}, twin long, start long, n long")
-    found = written(found, "window-ranges")
+    moved = texts.mapInArrow(packed, "bucket long, windows long, size long, parcel binary").repartition("bucket").sortWithinPartitions("bucket")
+    found = written(moved.mapInArrow(lambda b: settled(b, arrow, s), f"doc_id {name}, twin long, start long, n long"), "window-ranges")
+    del moved
     released(spark)
     ranges = found.groupBy(F.coalesce("doc_id", F.lit(0)).alias("id"), "twin").agg(F.collect_set(F.struct("start", "n")).alias("ranges"))
     joined = rows.withColumn("id", F.coalesce("doc_id", F.lit(0))).join(ranges, ["id", "twin"], "left").select("doc_id", "text", "ranges")
