@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from skein.operators import chunking as C
 from skein.operators import reads as R
+from skein.scratch import place
 from skein.session import table
+from skein.sources import chunk_store
 
 from .registry import query
 
@@ -71,6 +73,28 @@ def incremental_plan(spark: SparkSession, sf: str) -> DataFrame:
     return _plan(spark, sf)
 
 
+def _lengths(texts: list[str]) -> list[list[float]]:
+    """Stands for a model."""
+    return [[float(len(t))] for t in texts]
+
+
+def _chunked(files: DataFrame) -> DataFrame:
+    return C.windows(files).select("file", F.lit(0).alias("chunk_idx"), "sub_idx", F.col("window").alias("embed_text"))
+
+
+@query(f"WITH {WINDOWS} SELECT lang || '/' || doc_id AS file, sub_idx, sha256(w) AS chunk_hash, length(w)::DOUBLE AS vector FROM windows JOIN documents USING (doc_id)")
+def index_update(spark: SparkSession, sf: str) -> DataFrame:
+    """An index of the older state of `incremental_plan`, brought up to date: equal to one of all documents as they are."""
+    d, path = table(spark, sf, "documents"), place(spark, "chunk-index")
+    name = lambda kind: F.concat_ws("/", kind, F.col("doc_id").cast("string")).alias("relpath")
+    old = d.join(table(spark, sf, "labels").dropDuplicates(["doc_id"]), "doc_id")
+    text = F.when(F.col("toxic") == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    old = old.select(name(F.when(F.col("quality") == 0, "old").otherwise(F.col("lang"))), text.alias("text"))
+    for files in (old, d.select(name(F.col("lang")), "text")):
+        chunk_store.update(spark, path, files.withColumn("sha256", F.sha2("text", 256)), _chunked, _lengths, buckets=16)
+    return chunk_store.chunks(spark, path).select("file", "sub_idx", "chunk_hash", F.col("embedding")[0].alias("vector"))
+
+
 @query(f"WITH {PLAN} SELECT relpath FROM plan WHERE action = 'orphan'")
 def orphan_prune(spark: SparkSession, sf: str) -> DataFrame:
     return _plan(spark, sf).filter("action = 'orphan'").select("relpath")
