@@ -8,16 +8,15 @@ import os
 import shutil
 import sys
 import tempfile
-import time
 from pathlib import Path
 
 import pyarrow as pa
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from skein.scratch import forget, scratch_dir, written
 
-__all__ = ["forget", "parts", "released", "scratch_dir", "shipped", "trimmed", "tuned", "written"]
+__all__ = ["drained", "forget", "parts", "scratch_dir", "shipped", "trimmed", "tuned", "written"]
 
 
 #: Rows of an Arrow batch at most.
@@ -53,14 +52,19 @@ def trimmed() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def released(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more; else they stay until the driver's heap fills.
+#: Deletes a query's shuffle files when it ends; they cost nothing where nobody runs the same plan again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    Handles of the JVM's objects are dropped by a thread of their own, so they get a moment before the JVM looks.
-    """
-    gc.collect()
-    time.sleep(0.5)
-    spark.sparkContext._jvm.System.gc()
+
+def drained(df: DataFrame, name: str) -> DataFrame:
+    """As `written`, for a plan that isn't run again: what it shuffled is gone from the disks before the next plan shuffles."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        return written(df, name)
+    finally:
+        conf.set(CLEANUP, before)
 
 
 def parts(spark: SparkSession) -> int:

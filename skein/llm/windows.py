@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import forget, released, written
+from .common import drained, forget, written
 from .words import BASE, Words, mixed, raw
 
 WINDOW, GROUP = 13, 2
@@ -353,9 +353,7 @@ def deduplicated(docs: DataFrame, settings: Settings | None = None) -> DataFrame
 
     name = kind.simpleString()
     moved = texts.mapInArrow(packed, "bucket long, windows long, size long, parcel binary").repartition("bucket").sortWithinPartitions("bucket")
-    found = written(moved.mapInArrow(lambda b: settled(b, arrow, s), f"doc_id {name}, twin long, start long, n long"), "window-ranges")
-    del moved
-    released(spark)
+    found = drained(moved.mapInArrow(lambda b: settled(b, arrow, s), f"doc_id {name}, twin long, start long, n long"), "window-ranges")
     ranges = found.groupBy(F.coalesce("doc_id", F.lit(0)).alias("id"), "twin").agg(F.collect_set(F.struct("start", "n")).alias("ranges"))
     joined = rows.withColumn("id", F.coalesce("doc_id", F.lit(0))).join(ranges, ["id", "twin"], "left").select("doc_id", "text", "ranges")
 
