@@ -312,9 +312,10 @@ def latency_histogram(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def topic_records(spark: SparkSession, sf: str) -> DataFrame:
-    """K8 over the topic map: no SQL, as its clusters are iterative."""
-    e = table(spark, sf, "embeddings").select((F.col("label") % 3).alias("corpus"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    """K8 over the topic map: no SQL, as its clusters are iterative. Vectors are dealt to all documents in turn."""
+    e, n = table(spark, sf, "embeddings"), table(spark, sf, "embeddings").agg(F.count("*").alias("_n"))
+    e = e.select(F.col("vec_id").alias("_v"), (F.col("label") % 3).alias("corpus"), F.col("embedding").cast("array<double>").alias("embedding"))
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.concat_ws(" ", "lang", "source").alias("title"), F.lit("2024").alias("last_active"))
-    docs = K.discussions(e.join(d, "id"))
+    docs = K.discussions(d.crossJoin(F.broadcast(n)).join(e, F.col("id") % F.col("_n") == F.col("_v")).drop("_n", "_v"))
     out = K.topic_table(K.clustered(docs.select("corpus", "id", "embedding")), docs)
     return out.drop("centroid")
