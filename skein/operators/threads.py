@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from itertools import count
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from skein.functions import text as X
+from skein.operators.ranks import ahead, dealt, highest, joined, placed
 from skein.scratch import written
 
 #: Longest silence that a subject bridges, matches and replies of a topic.
@@ -66,36 +69,91 @@ def _doubled(edges: DataFrame, found: DataFrame) -> DataFrame:
         jumps, length = written(jumps.join(below, F.col("child") == F.col("_via")).select("parent", F.col("_child").alias("child")), "jumps"), length * 2
 
 
+def _settled(clusters: list[list]) -> None:
+    """Of open clusters, oldest first, those go that a newer one outlives: whatever they may take, it takes first."""
+    while len(clusters) > 1 and clusters[-2][1] <= clusters[-1][1]:
+        del clusters[-2]
+
+
+def _scanned(t: pa.Table, gap: int, schema: pa.Schema) -> pa.Table:
+    """One range of a subject's dated roots, from the range alone and the last date of all before it.
+
+    Rows (kind 0) with the cluster they found or join; or, if that is of an earlier range, with the number of their chain.
+    Then the clusters still open at the end (kind 1), oldest first, and the chains (kind 2).
+    """
+    rows = sorted(t.select(["d", "id", "z", "reply"]).to_pylist(), key=lambda r: (r["d"], r["id"]))
+    latest, open_, chains, out = t["_before"][0].as_py(), [], [], []
+    for r in rows:
+        founds = not r["reply"] or latest is None or r["d"] - latest > gap
+        latest = r["z"] if latest is None else max(latest, r["z"])
+        while not founds and open_ and r["d"] - open_[-1][1] > gap:
+            open_.pop()
+        if founds or open_:
+            if founds:
+                open_.append([r["id"], r["z"]])
+            open_[-1][1] = max(open_[-1][1], r["z"])
+            out.append({"kind": 0, "id": r["id"], "owner": open_[-1][0], "n": None, "d": r["d"], "z": r["z"]})
+            _settled(open_)
+        else:
+            # a chain joins one earlier cluster: that lives at least as long as what the chain has brought it
+            if not chains or r["d"] - chains[-1]["z"] > gap:
+                chains.append({"kind": 2, "id": r["id"], "owner": None, "n": len(chains), "d": r["d"], "z": r["z"]})
+            chains[-1]["z"] = max(chains[-1]["z"], r["z"])
+            out.append({"kind": 0, "id": r["id"], "owner": None, "n": len(chains) - 1, "d": r["d"], "z": r["z"]})
+    out += [{"kind": 1, "id": c, "owner": c, "n": k, "d": None, "z": z} for k, (c, z) in enumerate(open_)] + chains
+    place = {c: t[c][0].as_py() for c in ("corpus", "key", "_p")}
+    return pa.Table.from_pylist([place | r for r in out], schema=schema)
+
+
+def _resolved(t: pa.Table, gap: int, schema: pa.Schema) -> pa.Table:
+    """The clusters that a subject's chains join, range after range. t: kinds 1 and 2 of `_scanned`."""
+    open_, out = [], []
+    for r in sorted(t.to_pylist(), key=lambda r: (r["_p"], -r["kind"], r["n"])):
+        if r["kind"] == 2:
+            while r["d"] - open_[-1][1] > gap:  # one is always open: else the chain's first row had founded a cluster
+                open_.pop()
+            open_[-1][1] = max(open_[-1][1], r["z"])
+            out.append({c: r[c] for c in ("corpus", "key", "_p", "n")} | {"into": open_[-1][0]})
+        else:
+            open_.append([r["id"], r["z"]])
+        _settled(open_)
+    return pa.Table.from_pylist(out, schema=schema)
+
+
 def subject_clusters(roots: DataFrame) -> DataFrame:
-    """T4: roots of one subject joined to conversations. roots: corpus, key, id, subject, date (timestamp or null), last.
+    """T4: roots of one subject joined to conversations: id, thread. roots: corpus, key, id, subject, date (timestamp or null), last.
 
     Only a root with a reply prefix joins an earlier conversation, the newest whose last message is at most MERGE_DAYS
-    before it; without dates the newest. The choice is greedy and in order, so each subject runs through one task.
+    before it; without dates the newest. `last` is not before `date`.
+
+    Whether a root founds a conversation depends on the last date of all roots before it only, so it is known at once.
+    Ranges of a subject's time are then scanned side by side; what a scan can't say, which older conversation a root joins, it
+    leaves as a few chains, which a second pass over the ranges' ends resolves. So a subject with half of all roots takes
+    as many tasks as it fills.
     """
-    gap = pd.Timedelta(days=MERGE_DAYS)
-    replying = X.is_reply(F.col("subject")).alias("_reply")
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["date", "id"], kind="stable", na_position="last")
-        clusters: list[list] = []
-        owner = []
-        for row in pdf.itertuples(index=False):
-            target = None
-            if row._5:
-                for c in reversed(clusters):
-                    if pd.isna(row.date) or pd.isna(c[1]) or row.date - c[1] <= gap:
-                        target = c
-                        break
-            if target is None:
-                target = [row.id, row.last]
-                clusters.append(target)
-            elif not pd.isna(row.last) and (pd.isna(target[1]) or row.last > target[1]):
-                target[1] = row.last
-            owner.append(target[0])
-        return pd.DataFrame({"id": pdf["id"], "thread": owner})
-
-    kind = dict(roots.dtypes)["id"]
-    return roots.select("corpus", "key", "id", "date", "last", replying).groupBy("corpus", "key").applyInPandas(assign, f"id {kind}, thread {kind}")
+    gap, keys = MERGE_DAYS * 86_400_000_000, ["corpus", "key"]
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    rows = roots.select(*keys, "id", micros("date").alias("d"), F.greatest(micros("date"), micros("last")).alias("z"), X.is_reply(F.col("subject")).alias("reply"))
+    dated = dealt(rows.filter("d IS NOT NULL"), keys, [F.col("d"), F.col("id")], "subject-roots")
+    kinds = dict(roots.dtypes)
+    schema = f"corpus {kinds['corpus']}, key {kinds['key']}, _p int, kind int, id {kinds['id']}, owner {kinds['id']}, n int, d long, z long"
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    scanned = joined(dated, ahead(dated, keys, "z"), keys).groupBy(*keys, "_p").applyInArrow(lambda t: _scanned(t, gap, arrow), schema)
+    scanned = written(scanned, "subject-scan")
+    joins = f"corpus {kinds['corpus']}, key {kinds['key']}, _p int, n int, into {kinds['id']}"
+    into_schema = to_arrow_schema(_parse_datatype_string(joins))
+    chains = scanned.filter("kind = 2").select(*keys).distinct()
+    ends = scanned.filter("kind > 0").join(chains, keys, "left_semi")
+    into = ends.groupBy(*keys).applyInArrow(lambda t: _resolved(t, gap, into_schema), joins)
+    found = scanned.filter("kind = 0")
+    out = found.filter("owner IS NOT NULL").select("id", F.col("owner").alias("thread")).unionByName(found.filter("owner IS NULL").join(into, [*keys, "_p", "n"]).select("id", F.col("into").alias("thread")))
+    # those without a date come last: they join the newest conversation, whatever its dates
+    undated = rows.filter("d IS NULL").select(*keys, "id", "reply")
+    newest = found.filter("id = owner").groupBy(*keys).agg(F.max_by("id", F.struct("d", "id")).alias("_base"))
+    first = undated.groupBy(*keys).agg(F.min("id").alias("_first"))
+    undated = undated.join(newest, keys, "left").join(first, keys).withColumn("_founds", ~F.col("reply") | (F.col("_base").isNull() & (F.col("id") == F.col("_first"))))
+    undated = highest(undated.withColumn("_own", F.when(F.col("_founds"), F.col("id"))), keys, [F.col("id")], "_own", "_before_it")
+    return out.unionByName(undated.select("id", F.coalesce("_own", "_before_it", "_base").alias("thread")))
 
 
 def summary(messages: DataFrame) -> DataFrame:
@@ -174,8 +232,8 @@ def assembled(messages: DataFrame) -> DataFrame:
     owner = written(subject_clusters(heads), "thread-owners")
     rows = below.join(owner, below["root"] == owner["id"]).select("node", "root", "thread").join(m, F.col("node") == F.col("message_id"))
     parent = F.coalesce("parent_id", F.when(F.col("thread") != F.col("root"), F.col("thread")))
-    place = F.row_number().over(Window.partitionBy("thread").orderBy(F.col("date").asc_nulls_last(), "message_id"))
-    return rows.select("message_id", parent.alias("parent_id"), "thread", "corpus", "subject", "date").withColumn("place", place)
+    out = rows.select("message_id", parent.alias("parent_id"), "thread", "corpus", "subject", "date")
+    return placed(out, ["thread"], [F.col("date").asc_nulls_last(), F.col("message_id").asc()])
 
 
 def slugs(threads: DataFrame) -> DataFrame:
