@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as X
 from skein.functions.prose import addresses, snippets
-from skein.operators import chunking, digests, reads, records, search, threads
+from skein.operators import chunking, digests, reads, records, scans, search, threads
 from skein.operators import positions as stances
 
 Embed = Callable[[str], list[float]]
@@ -194,13 +194,30 @@ class Engine:
         return rows.filter(F.col("repo") == repo) if repo else rows.orderBy("repo")
 
     def grep_corpus(self, corpus: str, pattern: str, regex: bool = False, case_sensitive: bool = False, file_pattern: str | None = None, limit: int = 50, files_only: bool = False, max_per_file: int | None = None) -> DataFrame:
-        files = self.table("files", corpus).withColumnRenamed("relpath", "file")
-        files = files.filter(search.like(F.col("file"), file_pattern)) if file_pattern else files
-        files = files.filter(~reads.is_derived(F.col("file"), file_pattern))
-        wanted = ("(?m)" if case_sensitive else "(?mi)") + pattern if regex else reads.literal(pattern, not case_sensitive)
+        files, wanted = self._scanned_files(corpus, file_pattern), self._pattern(pattern, regex, case_sensitive)
         if files_only:
             return reads.lines(files).filter(F.col("line_text").rlike(wanted)).groupBy("file").agg(F.count("*").alias("hits")).orderBy("file")
-        return reads.grep(files.select("file", "text"), wanted, max_per_file or limit, limit)
+        return reads.grep(files, wanted, max_per_file or limit, limit)
+
+    def grep_report(self, corpus: str, pattern: str, regex: bool = False, case_sensitive: bool = False, file_pattern: str | None = None, limit: int = 50, context: int = 0, max_per_file: int | None = None) -> dict[str, DataFrame]:
+        """A scan with what its numbers are of: the hits, the lines around them, and files and lines scanned and hit."""
+        files = self._scanned_files(corpus, file_pattern)
+        wanted = self._pattern(pattern, regex, case_sensitive)
+        hits = reads.grep(files, wanted, max_per_file or limit, limit)
+        return {"hits": hits, "lines": reads.context_lines(files, hits, max(0, min(context, reads.CONTEXT_MOST))).orderBy("file", "line"), "totals": reads.grep_totals(files, wanted)}
+
+    def grep_bounded(self, corpus: str, pattern: str, seconds: float = scans.BUDGET, case_sensitive: bool = False, file_pattern: str | None = None, limit: int = 50, max_per_file: int | None = None) -> tuple[str, dict[str, int], DataFrame]:
+        """A scan for a pattern with a budget of time: status, totals of what was scanned, and the first lines."""
+        return scans.scan_lines(self._scanned_files(corpus, file_pattern), pattern, not case_sensitive, seconds, max_per_file or limit, limit)
+
+    def _scanned_files(self, corpus: str, file_pattern: str | None) -> DataFrame:
+        files = self.table("files", corpus).withColumnRenamed("relpath", "file")
+        files = files.filter(search.like(F.col("file"), file_pattern)) if file_pattern else files
+        return files.filter(~reads.is_derived(F.col("file"), file_pattern)).select("file", "text")
+
+    @staticmethod
+    def _pattern(pattern: str, regex: bool, case_sensitive: bool) -> str:
+        return ("(?m)" if case_sensitive else "(?mi)") + pattern if regex else reads.literal(pattern, not case_sensitive)
 
     def grep_totals(self, corpus: str, pattern: str, regex: bool = False) -> DataFrame:
         files = self.table("files", corpus).withColumnRenamed("relpath", "file")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .ranks import running
 
-#: Fixed caps: lines and characters of a window, matches shown a file and in all, characters of a shown line.
-WINDOW_LINES, WINDOW_CHARS, PER_FILE, IN_ALL, LINE_CHARS = 5000, 40_000, 20, 200, 400
+#: Fixed caps: lines and characters of a window, matches shown a file and in all, characters of a shown line, lines around a match.
+WINDOW_LINES, WINDOW_CHARS, PER_FILE, IN_ALL, LINE_CHARS, CONTEXT_MOST = 5000, 40_000, 20, 200, 400, 5
 
 
 def lines(df: DataFrame, text: str = "text") -> DataFrame:
@@ -193,31 +193,6 @@ def section_scan(chunks: DataFrame, pattern: str, per_file: int = SECTIONS_SHOWN
     return shown, total.agg(F.count("*").alias("files_hit"), F.sum("sections").alias("sections_hit"), F.sum("in_file").alias("hits"))
 
 
-def bounded(df: DataFrame, seconds: float) -> tuple[str, list | None]:
-    """(status, rows) of a small result within a time budget: `COMPLETE` and its rows, or `INCOMPLETE` and None, never a partial count.
-
-    The job runs under a tag of its own that is cancelled when the time is over.
-    """
-    from concurrent.futures import ThreadPoolExecutor, TimeoutError  # noqa: A004
-    from uuid import uuid4
-
-    spark, tag = df.sparkSession, f"scan-{uuid4().hex}"
-
-    def run() -> list:
-        spark.addTag(tag)
-        return df.collect()
-
-    pool = ThreadPoolExecutor(1)
-    job = pool.submit(run)
-    try:
-        return "COMPLETE", job.result(timeout=seconds)
-    except TimeoutError:
-        spark.interruptTag(tag)
-        return "INCOMPLETE", None
-    finally:
-        pool.shutdown(wait=False, cancel_futures=True)
-
-
 # Fixed forms of a draft's headings, and of leaders in a table of contents.
 HEADING = r"^(?:(Appendix|Annex)\s+)?([0-9]+(?:\.[0-9]+)*|[A-Z]\.[0-9]+(?:\.[0-9]+)*|[A-Z])\.\s+(\S.*?)\s*$"
 LEADER = r"\.{4,}"

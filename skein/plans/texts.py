@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.operators import chunking as C
 from skein.operators import reads as R
+from skein.operators import scans as SC
 from skein.scratch import place
 from skein.session import table
 from skein.sources import chunk_store
@@ -207,6 +208,16 @@ def grep_literal_counts(spark: SparkSession, sf: str) -> DataFrame:
     return R.grep_totals(_files(spark, sf), R.literal("license"))
 
 
+PATTERN = "(the|and)[a-z]* [a-z]+ing"
+
+
+@query(f"""WITH {LINES}, m AS (SELECT * FROM lines WHERE regexp_matches(line_text, '{PATTERN}')), r AS (SELECT doc_id AS file, line, count(*) OVER (PARTITION BY doc_id) AS in_file, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS n FROM m)
+SELECT file, line, in_file FROM r WHERE n <= 2 ORDER BY file, line LIMIT 200""")
+def timed_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """A scan with a budget that is enough."""
+    return SC.scan_lines(_files(spark, sf).select("file", "text"), PATTERN, ignore_case=False, seconds=3600, per_file=2)[2].select("file", "line", "in_file")
+
+
 @query(f"""{GREP}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS o, count(*) OVER (PARTITION BY doc_id) AS in_file FROM hits)
 SELECT doc_id AS file, line, in_file FROM r WHERE o <= 2 ORDER BY file, line LIMIT 200""")
 def grep_capped_hits(spark: SparkSession, sf: str) -> DataFrame:

@@ -271,20 +271,6 @@ def test_index_rebuild(spark):
     assert stamps.filter("sha256 IS NULL").count() == 0
 
 
-def test_bounded_scan(spark):
-    import time
-
-    from skein.operators import reads
-
-    assert reads.bounded(spark.range(3), 60)[0] == "COMPLETE"
-
-    def slow(frames):
-        time.sleep(8)
-        yield from frames
-
-    assert reads.bounded(spark.range(1).mapInPandas(slow, "id long"), 1) == ("INCOMPLETE", None)
-
-
 def test_registry_order(spark):
     mail_ = spark.createDataFrame([("c", 1, "jane@x.org", "jane doe"), ("c", 2, "bob@x.org", "bob roe"), ("c", 3, "jane@y.org", "jane doe")], "corpus string, seq long, email string, key string")
     github = spark.createDataFrame([("bob", None, "", False), ("Jane-Doe", None, "", False), ("Jo-Levy", None, "", False)], "login string, email string, key string, named boolean")
