@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
-from skein.functions.prose import addresses, snippets
+from skein.functions.postal import addresses
+from skein.functions.prose import snippets
 from skein.operators import chunking, digests, reads, records, scans, search, threads
 from skein.operators import positions as stances
 
@@ -340,7 +341,7 @@ class Engine:
         return files.filter("kind IN ('minutes', 'polls')").join(rows.select("meeting").distinct(), "meeting", "left_semi").orderBy("meeting", "kind")
 
     def draft_authors(self, corpus: str, name: str) -> DataFrame:
-        """Authors that the newest revision of a draft names in its addresses: place, name, organisation, email."""
+        """Authors that the newest revision of a draft names in its addresses: place, name, editor, organisation, email, address."""
         newest = reads.newest_revision(self.table("drafts", corpus).filter(F.col("draft") == name)).select(F.col("path").alias("relpath"))
         text = self.table("files", corpus).join(F.broadcast(newest.limit(1)), "relpath", "left_semi")
         return text.select(F.posexplode(addresses(F.col("text"))).alias("_k", "a")).select((F.col("_k") + 1).alias("place"), "a.*")

@@ -85,12 +85,3 @@ def unpaged(text: Column) -> Column:
     indent = F.array_min(F.transform(F.filter(lines, lambda x: F.trim(x) != ""), lambda x: F.length(x) - F.length(F.ltrim(x))))
     even = F.transform(lines, lambda x: F.regexp_replace(F.substr(x, F.coalesce(indent, F.lit(0)) + 1), r"\s+$", ""))
     return F.regexp_replace(F.array_join(even, "\n"), r"^\n+|\n+$", "")
-
-
-def html_text(html: Column) -> Column:
-    """Text of a page: without scripts, styles, comments and tags, entities of the common kinds resolved, spaces folded."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
-    bare = F.regexp_replace(F.regexp_replace(bare, r"(?s)<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        bare = F.replace(bare, F.lit(entity), F.lit(char))
-    return F.regexp_replace(F.regexp_replace(bare, r"\s+", " "), r"^\s+|\s+$", "")

@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.vectors import dot, mean_vectors, normalised
+from skein.operators import kmeans
 from skein.operators.ranks import placed
+from skein.scratch import written
 
 #: Fixed values of the ranking: balance of relevance and novelty, its pool, probed lists, fusion constant, floors.
 MMR_LAMBDA, MMR_POOL, PROBES, RRF_K = 0.7, 50, 20, 60
@@ -243,40 +245,77 @@ def routed(centroids: DataFrame, query: DataFrame, floor: float = ROUTE_FLOOR) -
     return best.withColumn("confident", F.max("score").over(Window.partitionBy()) >= floor)
 
 
-#: Themes of a block when all are compared with all.
-THEME_BLOCK = 2000
+#: Themes of a block, and blocks whose centres go to every task at most.
+THEME_BLOCK, THEME_BLOCKS, THEME_SEED = 2000, 1 << 14, 1729
 
 
-def generic_themes(themes: DataFrame) -> DataFrame:
+def theme_blocks(unit: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks of near themes, and the pairs of blocks (a <= b) that may hold themes as near as GENERIC_COSINE.
+
+    unit: corpus, theme, v (of length 1). Themes are clustered; a cluster of more than `rows` is dealt to several blocks. Two blocks can be skipped if the angle between their centres less both radii is too wide.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    wanted = max(1, min(THEME_BLOCKS, -(-unit.count() // rows)))
+    if wanted > 1:
+        own = unit.select(F.lit(0).alias("corpus"), F.struct("corpus", "theme").alias("id"), F.col("v").alias("embedding"))
+        found = kmeans.clustered(own, F.lit(wanted), THEME_SEED).select("id.corpus", "id.theme", F.col("cluster").alias("pivot"))
+        dealt = written(unit.join(found, ["corpus", "theme"]), "theme-clusters")
+    else:
+        dealt = unit.withColumn("pivot", F.lit(0))
+    sizes = dealt.groupBy("pivot").agg(F.ceil(F.count("*") / rows).alias("_parts"))
+    part = F.pmod(F.xxhash64("corpus", "theme"), F.col("_parts"))
+    own = written(dealt.join(sizes, "pivot").select("corpus", "theme", "v", F.xxhash64("pivot", part).alias("block")), "theme-blocks")
+    centres = mean_vectors(own, ["block"], "v").select("block", normalised(F.col("mean")).alias("c"))
+    cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("v"), F.col("c"))))
+    wide = written(own.join(centres, "block").groupBy("block").agg(F.first("c").alias("c"), F.max(F.acos(cosine)).alias("radius")), "theme-centres")
+    held = wide.orderBy("block").toArrow()
+    blocks, centre, radius = held["block"].to_numpy(), np.array(held["c"].to_pylist()).reshape(len(held), -1), held["radius"].to_numpy()
+    known = unit.sparkSession.sparkContext.broadcast((blocks, centre, radius))
+
+    def near(batches):
+        blocks, centre, radius = known.value
+        for batch in batches:
+            for block, c, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                angle = np.arccos(np.clip(centre @ np.array(c), -1, 1)) - radius - r
+                b = blocks[(angle <= np.arccos(GENERIC_COSINE) + 1e-6) & (blocks >= block)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), block)), pa.array(b)], names=["a", "b"])
+
+    return own, wide.select("block", "c", "radius").mapInArrow(near, "a long, b long")
+
+
+def generic_themes(themes: DataFrame, block: int = THEME_BLOCK) -> DataFrame:
     """Q33: themes near a theme of most other corpora. themes: corpus, theme, embedding (of equal lengths).
 
-    Themes are dealt to blocks, and each pair of blocks is one product of matrices in one task, which gives the best
-    score of each theme with each other corpus; so no task and no broadcast grows with the number of themes.
+    Themes lie in blocks of near ones; pairs of blocks that are too far apart are skipped, each other pair is one product
+    of matrices in one task. Only hits leave a task; misses are what is left of the number of corpora.
     """
     mean = mean_vectors(themes, [], out="_mean")
-    unit = themes.crossJoin(F.broadcast(mean)).select("corpus", "theme", normalised(F.zip_with("embedding", "_mean", lambda x, m: x - m)).alias("v"))
-    blocks = max(1, -(-themes.count() // THEME_BLOCK))
-    own = unit.withColumn("a", F.pmod(F.xxhash64("corpus", "theme"), F.lit(blocks)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left, right = own.withColumn("b", every), own.select(F.col("corpus").alias("other"), F.col("v").alias("w"), F.col("a").alias("d"), every.alias("c"))
-
-    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+    unit = written(themes.crossJoin(F.broadcast(mean)).select("corpus", "theme", normalised(F.zip_with("embedding", "_mean", lambda x, m: x - m)).alias("v")), "themes")
+    others = unit.select("corpus").distinct().count() - 1
+    own, pairs = theme_blocks(unit, block)
+    pairs = written(pairs, "theme-pairs")
+    left = own.withColumnRenamed("block", "a").join(pairs, "a").select("a", "b", "corpus", "theme", "v")
+    right = own.select(F.col("block").alias("d"), F.col("corpus").alias("other"), F.col("theme").alias("near"), F.col("v").alias("w")).join(pairs.select(F.col("a").alias("c"), F.col("b").alias("d")), "d").select("c", "d", "other", "near", "w")
+
+    def hits(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        out = pd.DataFrame({"corpus": [], "theme": [], "other": [], "s": []})
         if not len(x) or not len(y):
-            return out
-        names, at = np.unique(y["other"].to_numpy(), return_inverse=True)
-        order = np.argsort(at, kind="stable")
-        score = np.maximum.reduceat((np.stack(x["v"]) @ np.stack(y["w"]).T)[:, order], np.searchsorted(at[order], np.arange(len(names))), axis=1)
-        rows = pd.DataFrame({"corpus": np.repeat(x["corpus"].to_numpy(), len(names)), "theme": np.repeat(x["theme"].to_numpy(), len(names)), "other": np.tile(names, len(x)), "s": score.ravel()})
-        return rows[rows["corpus"] != rows["other"]]
+            return pd.DataFrame({"corpus": [], "theme": [], "other": []})
+        i, j = np.nonzero(np.stack(x["v"]) @ np.stack(y["w"]).T >= GENERIC_COSINE)
+        one = pd.DataFrame({"corpus": x["corpus"].to_numpy()[i], "theme": x["theme"].to_numpy()[i], "other": y["other"].to_numpy()[j]})
+        two = pd.DataFrame({"corpus": y["other"].to_numpy()[j], "theme": y["near"].to_numpy()[j], "other": x["corpus"].to_numpy()[i]})
+        both = pd.concat([one, two]).drop_duplicates()
+        return both[both["corpus"] != both["other"]]
 
     kind = dict(themes.dtypes)
-    near = left.groupBy("a", "b").cogroup(right.groupBy("c", "d")).applyInPandas(best, f"corpus {kind['corpus']}, theme {kind['theme']}, other {kind['corpus']}, s double")
-    near = near.groupBy("corpus", "theme", "other").agg(F.max("s").alias("s"))
-    share = near.groupBy("corpus", "theme").agg(F.avg(F.when(F.col("s") >= GENERIC_COSINE, 1.0).otherwise(0.0)).alias("share"), F.count("*").alias("others"))
-    return share.withColumn("generic", (F.col("share") >= GENERIC_SHARE) & (F.col("others") + 1 >= GENERIC_LEAST)).drop("others")
+    found = left.groupBy("a", "b").cogroup(right.groupBy("c", "d")).applyInPandas(hits, f"corpus {kind['corpus']}, theme {kind['theme']}, other {kind['corpus']}")
+    count = found.distinct().groupBy("corpus", "theme").agg(F.count("*").alias("_hits"))
+    share = F.coalesce("_hits", F.lit(0)) / max(others, 1)
+    out = unit.select("corpus", "theme").join(count, ["corpus", "theme"], "left").withColumn("share", share)
+    return out.drop("_hits").withColumn("generic", (F.col("share") >= GENERIC_SHARE) & F.lit(others + 1 >= GENERIC_LEAST)).filter(F.lit(others > 0))
 
 
 def clean_word(word: str) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
+from skein.functions.html import page_texts
 from skein.functions.prose import elided_quotes as elided
 from skein.functions.prose import snippets
 from skein.functions.stances import positions
@@ -183,8 +184,8 @@ def redact_userinfo(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def html_text(spark: SparkSession, sf: str) -> DataFrame:
-    """Look-behind and back references aren't in RE2: no SQL."""
-    return table(spark, sf, "pages").select("page_id", X.html_text(F.col("html")).alias("text"))
+    """Nested elements are beyond SQL; tests hold it against a parser's tree on all pages."""
+    return table(spark, sf, "pages").select("page_id", page_texts(F.col("html")).alias("text"))
 
 
 @query()

@@ -152,7 +152,7 @@ def test_records(engine, spark):
 
 
 def test_documents_and_meetings(spark):
-    text = "1.  Intro\n\nfirst words\n\n1.1.  More\n\nmore words\n\n2.  Next\n\nrest\n\nAuthors' Addresses\n\nJane Doe\nExample Org\nEmail: jane@example.org\n"
+    text = "1.  Intro\n\nfirst words\n\n1.1.  More\n\nmore words\n\n2.  Next\n\nrest\n\nAuthors' Addresses\n\n   Jane Doe\n   Example Org\n   Email: jane@example.org\n"
     tables = {
         "drafts": spark.createDataFrame([("c", "draft-x", "00", "drafts/draft-x-00.txt"), ("c", "draft-x", "01", "drafts/draft-x-01.txt")], "corpus string, draft string, rev string, path string"),
         "files": spark.createDataFrame([("c", "drafts/draft-x-00.txt", "old"), ("c", "drafts/draft-x-01.txt", text)], "corpus string, relpath string, text string"),
