@@ -215,6 +215,27 @@ def strip_quotes(body: Column) -> Column:
     return F.regexp_replace(body, r"(?m)^\s*>.*\n?", "")
 
 
+def forest(messages: DataFrame) -> DataFrame:
+    """All messages, once each, with parent_id, root (null for those that only reply to one another), key (of the root's subject), and
+    thread and place where they belong to a conversation. messages: as of `assembled`."""
+    m = written(with_parents(deduplicated(messages)), "thread-messages")
+    roots = m.filter("parent_id IS NULL").select(F.col("message_id").alias("node"))
+    below = descendants(m.filter("parent_id IS NOT NULL").select(F.col("parent_id").alias("parent"), F.col("message_id").alias("child")), roots)
+    below = below.select("root", "node").unionByName(roots.select(F.col("node").alias("root"), "node"))
+    last = below.join(m.select(F.col("message_id").alias("node"), "date"), "node").groupBy("root").agg(F.max("date").alias("last"))
+    heads = m.join(last, m["message_id"] == last["root"]).select("corpus", subject_key(F.col("subject")).alias("key"), F.col("message_id").alias("id"), "subject", "date", "last")
+    owner = written(subject_clusters(heads.filter("key <> ''")), "thread-owners")
+    named = heads.select(F.col("id").alias("root"), "key").join(owner.withColumnRenamed("id", "root"), "root", "left")
+    rows = m.join(below.join(named, "root"), m["message_id"] == below["node"], "left").drop("node")
+    rows = rows.withColumn("parent_id", F.coalesce("parent_id", F.when(F.col("thread") != F.col("root"), F.col("thread"))))
+    inside = placed(rows.filter("thread IS NOT NULL"), ["thread"], [F.col("date").asc_nulls_last(), F.col("message_id").asc()])
+    return inside.unionByName(rows.filter("thread IS NULL").withColumn("place", F.lit(None).cast(dict(inside.dtypes)["place"])))
+
+
+def subject_key(subject: Column) -> Column:
+    return F.lower(X.subject(F.coalesce(subject, F.lit(""))))
+
+
 def assembled(messages: DataFrame) -> DataFrame:
     """Conversations: message_id, parent_id, thread (the id of its first root) and place (by date, undated last).
 
@@ -222,18 +243,7 @@ def assembled(messages: DataFrame) -> DataFrame:
     are one. Roots of one subject are joined as `subject_clusters` says, and hang below the first. Roots without a subject,
     and messages that only reply to one another, belong to no conversation.
     """
-    m = written(with_parents(deduplicated(messages)), "thread-messages")
-    roots = m.filter("parent_id IS NULL").select(F.col("message_id").alias("node"))
-    below = descendants(m.filter("parent_id IS NOT NULL").select(F.col("parent_id").alias("parent"), F.col("message_id").alias("child")), roots)
-    below = below.select("root", "node").unionByName(roots.select(F.col("node").alias("root"), "node"))
-    last = below.join(m.select(F.col("message_id").alias("node"), "date"), "node").groupBy("root").agg(F.max("date").alias("last"))
-    key = F.lower(X.subject(F.col("subject")))
-    heads = m.join(last, m["message_id"] == last["root"]).filter(key != "").select("corpus", key.alias("key"), F.col("message_id").alias("id"), "subject", "date", "last")
-    owner = written(subject_clusters(heads), "thread-owners")
-    rows = below.join(owner, below["root"] == owner["id"]).select("node", "root", "thread").join(m, F.col("node") == F.col("message_id"))
-    parent = F.coalesce("parent_id", F.when(F.col("thread") != F.col("root"), F.col("thread")))
-    out = rows.select("message_id", parent.alias("parent_id"), "thread", "corpus", "subject", "date")
-    return placed(out, ["thread"], [F.col("date").asc_nulls_last(), F.col("message_id").asc()])
+    return forest(messages).filter("thread IS NOT NULL").select("message_id", "parent_id", "thread", "corpus", "subject", "date", "place")
 
 
 def slugs(threads: DataFrame) -> DataFrame:
