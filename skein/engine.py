@@ -20,9 +20,14 @@ from skein.operators import positions as stances
 Embed = Callable[[str], list[float]]
 
 DIGESTS = {
-    "threads": ("state", "since", "until", "least"), "issues": ("state", "label", "since", "until"), "pulls": ("state", "label", "since", "until"), "timeline": ("since", "until", "kinds", "exclude"),
-    "people": (), "documents": (), "labels": (), "index": (),
+    "threads": ("state", "since", "until", "least", "subject"), "issues": ("state", "label", "since", "until", "author"), "pulls": ("state", "label", "since", "until", "author"), "timeline": ("since", "until", "kinds", "exclude"),
+    "people": ("role", "org", "domain", "least"), "documents": (), "labels": (), "index": (),
 }
+#: The order of each table, and what counts as activity in it.
+ORDERS = {"threads": ("-last", "thread"), "issues": ("-updated", "number"), "pulls": ("-updated", "number"), "people": ("-msgs", "name"), "documents": ("draft", "rev"), "index": ("relpath",)}
+ACTIVITY = {"threads": "msgs", "issues": "comments", "pulls": "comments", "people": "msgs"}
+#: Characters of a message's text in a topic: shown without a wish, at least and at most.
+BODY_CHARS, BODY_LEAST, BODY_MOST = 4000, 100, 20_000
 
 
 class Engine:
@@ -152,19 +157,32 @@ class Engine:
         return self.table("chunks", corpus).filter("sub_idx = 0").drop("embedding").join(F.broadcast(wanted), ["file", "chunk_idx"], "left_semi")
 
     def get_by_url(self, corpus: str, url: str) -> DataFrame:
+        """The chunk of an address, or all chunks of a file's; `whole` says which, with the file's text in order on the first row.
+
+        An address that no chunk has may be that of a file which isn't indexed: its text is one row without a chunk.
+        """
         one = self.spark.createDataFrame([(url,)], "u string").select(X.canonical_url(F.col("u")).alias("_url"))
         rows = self.table("chunks", corpus).filter("sub_idx = 0").drop("embedding").withColumn("_url", X.canonical_url(F.col("url")))
-        return rows.join(F.broadcast(one), "_url", "left_semi").drop("_url").orderBy("file", "chunk_idx")
+        found = rows.join(F.broadcast(one), "_url", "left_semi").drop("_url")
+        whole = found.groupBy("file").agg((F.count("*") > 1).alias("whole"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_idx", "text"))), lambda c: c["text"]), "\n").alias("file_text"), F.min("chunk_idx").alias("_first"))
+        found = found.join(F.broadcast(whole), "file").withColumn("file_text", F.when(F.col("whole") & (F.col("chunk_idx") == F.col("_first")), F.col("file_text"))).drop("_first")
+        files = self.tables.get("files")
+        if files is not None and "url" in files.columns:
+            own = files.filter(F.col("corpus") == corpus).withColumn("_url", X.canonical_url(F.col("url"))).join(F.broadcast(one), "_url", "left_semi")
+            own = own.select("corpus", F.col("relpath").alias("file"), "url", F.lit(True).alias("whole"), F.col("text").alias("file_text"))
+            found = found.unionByName(own.join(found.select("file").distinct(), "file", "left_anti"), allowMissingColumns=True)
+        return found.orderBy("file", "chunk_idx")
 
     def read_file_section(self, corpus: str, file: str, start_line: int = 1, max_lines: int = 400) -> DataFrame:
         files = self.table("files", corpus).withColumnRenamed("relpath", "file").filter(F.col("file") == file)
         return reads.line_window(files.select("file", "text"), start_line, start_line + max_lines - 1).orderBy("line")
 
     def get_rfc_section(self, rfc: str, section: str | None = None) -> DataFrame:
+        """The outline, a section, or (section="") what stands in no section, a chunk a row."""
         c = self.table("chunks", "rfc").filter((F.regexp_extract("file", r"([^/]+?)(?:\.txt)?$", 1) == rfc) & (F.col("sub_idx") == 0))
         if section is None:
             return reads.outline(c).orderBy("first")
-        return reads.section_runs(c.filter(F.col("section") == section).select("file", "chunk_idx", "section", "text"))
+        return reads.section_runs(c.filter(F.col("section").isNull() if section == "" else F.col("section") == section).select("file", "chunk_idx", "section", "text"))
 
     def get_draft(self, corpus: str, name: str, section: str | None = None, start_line: int | None = None, max_lines: int = 400, outline: bool = False) -> DataFrame:
         """The newest revision: its path, its outline, a section with its subsections, or a window of lines."""
@@ -234,19 +252,26 @@ class Engine:
         below = threads.descendants(self._edges(corpus), root).select(F.col("node").alias("message_id"), "depth")
         return self.table("messages", corpus).join(below, "message_id").orderBy("date", "message_id").limit(max_messages)
 
-    def read_topic(self, corpus: str, query: str, limit: int = 20, include_replies: bool = False, **facets) -> DataFrame:
-        """Messages nearest the query in the order of time, with the newest of their replies."""
+    def read_topic(self, corpus: str, query: str, limit: int = 20, include_replies: bool = False, body_chars: int | None = None, **facets) -> DataFrame:
+        """Messages nearest the query in the order of time, with the newest of their replies; texts are cut to `body_chars`."""
+        most = max(BODY_LEAST, min(body_chars, BODY_MOST)) if body_chars and body_chars > 0 else BODY_CHARS
         found = self.search_corpus(corpus, query, limit=max(3 * limit, 60), diversify=False, snippet=False, sort="date", **facets)
         kind = F.element_at(F.split("file", "/"), 1)
         found = found.filter(kind.isin("threads", "issues")).orderBy(F.desc("chunk_date"), "file", "chunk_idx").limit(limit)
+        texts = found.select(F.col("url").alias("id"), F.col("text").alias("_text"))
         matched = found.select(F.col("url").alias("id"), F.col("chunk_date").alias("when"))
         if not include_replies:
-            return matched.withColumn("matched", F.lit(True)).orderBy("when", "id")
-        m = self.table("messages", corpus)
-        roots = matched.join(m, m["archived_at"] == matched["id"]).select(F.col("message_id").alias("node"))
-        below = threads.descendants(self._edges(corpus), roots).select(F.col("node").alias("message_id")).distinct()
-        replies = m.join(below, "message_id").select(F.col("archived_at").alias("id"), F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("when"))
-        return threads.topic(matched, replies)
+            out = matched.withColumn("matched", F.lit(True))
+        else:
+            m = self.table("messages", corpus)
+            roots = matched.join(m, m["archived_at"] == matched["id"]).select(F.col("message_id").alias("node"))
+            below = threads.descendants(self._edges(corpus), roots).select(F.col("node").alias("message_id")).distinct()
+            replies = m.join(below, "message_id")
+            texts = texts.unionByName(replies.select(F.col("archived_at").alias("id"), F.col("body").alias("_text")))
+            out = threads.topic(matched, replies.select(F.col("archived_at").alias("id"), F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("when")))
+        texts = texts.groupBy("id").agg(F.min("_text").alias("_text"))
+        cut = F.length("_text") > most
+        return out.join(texts, "id", "left").withColumn("body", F.when(cut, F.concat(F.substring("_text", 1, most), F.lit("…"))).otherwise(F.col("_text"))).drop("_text").orderBy("when", "id")
 
     def find_citations(self, corpus: str, draft: str) -> DataFrame:
         one = self.spark.createDataFrame([(draft,)], "d string").select(X.draft_name(F.col("d")).alias("name"))
@@ -274,11 +299,14 @@ class Engine:
 
     # derived tables
 
-    def read_digest(self, corpus: str, kind: str, limit: int = 100, **filters) -> DataFrame:
+    def read_digest(self, corpus: str, kind: str, limit: int = 100, sort: str | None = None, **filters) -> DataFrame:
+        """Rows of a derived table that meet the filters, in the table's own order or (sort="activity") the busiest first; the limit holds a repository."""
         if kind not in DIGESTS:
             raise ValueError(f"kinds: {', '.join(DIGESTS)}")
         if unknown := set(filters) - set(DIGESTS[kind]):
             raise ValueError(f"{kind} cannot be filtered by {', '.join(sorted(unknown))}")
+        if sort not in (None, "activity") or sort and kind not in ACTIVITY:
+            raise ValueError(f"{kind} cannot be sorted by {sort}")
         if kind == "timeline":
             return digests.timeline_rows(self.table("timeline", corpus), limit=limit, **filters)
         rows = self.table("issues" if kind == "labels" else kind, corpus)
@@ -286,11 +314,24 @@ class Engine:
             return digests.labels(rows.select(F.explode("labels").alias("label"))).orderBy(F.desc("n"), "label")
         if kind in ("issues", "pulls"):
             rows = rows.withColumn("last", F.col("updated")).withColumn("label", F.array_join("labels", ","))
-            return digests.sectioned(digests.matching(rows, **filters), "repo", [F.desc(F.col("state") == "open"), F.desc("updated"), F.asc("number")], limit)
         rows = digests.matching(rows, **filters)
-        order = [F.desc("last"), "thread"] if kind == "threads" else rows.columns[:3]
+        order = [F.desc_nulls_last(c[1:]) if c.startswith("-") else F.asc(c) for c in ORDERS[kind] if c.lstrip("-") in rows.columns] or [F.asc(c) for c in rows.columns[:3]]
+        if sort:
+            order = [F.desc_nulls_last(ACTIVITY[kind]), *order]
+        if kind in ("issues", "pulls"):
+            return digests.sectioned(rows, "repo", order if sort else [F.desc(F.lower("state") == "open"), *order], limit)
         return rows.orderBy(*order).limit(limit)
 
+    def people_note(self, corpus: str, limit: int = 100, org: str | None = None, domain: str | None = None) -> DataFrame:
+        """What the numbers of a people table are of: total, matched, shown, and rows that can't match for want of a value."""
+        rows = self.table("people", corpus).select(F.try_element_at("orgs", F.lit(1)).alias("org"), F.try_element_at("domains", F.lit(1)).alias("domain"), "orgs", "domains")
+        hit = F.lit(True)
+        if org:
+            hit = hit & F.coalesce(F.contains(F.lower("org"), F.lit(org.lower())), F.lit(False))
+        if domain:
+            hit = hit & F.coalesce(F.exists("domains", lambda d: X.domain_within(d, domain.lower().lstrip("@."))), F.lit(False))
+        return digests.people_note(rows, hit, limit)
+
     def list_labels(self, corpus: str) -> DataFrame:
         tags = digests.subject_tags(self.table("messages", corpus)).select(F.col("tag").alias("label"), "n", F.lit("subject").alias("source"))
         return self.read_digest(corpus, "labels").select("label", "n", F.lit("issue").alias("source")).unionByName(tags)
@@ -313,8 +354,13 @@ class Engine:
         score = F.when(F.lower("acronym") == q, 100).otherwise(0) + 10 * search.occurrences(F.lower("name"), q) + search.occurrences(F.lower("description"), q)
         return g.withColumn("score", score).filter("score > 0").orderBy(F.desc("score"), "acronym").limit(limit)
 
-    def get_group_info(self, acronym: str) -> DataFrame:
-        return self.table("groups").filter(F.col("acronym") == acronym)
+    def get_group_info(self, acronym: str, include_charter: bool = True) -> DataFrame:
+        """The group's record, with the text of its newest charter where the store has one. charter_texts: acronym, rev, text."""
+        row = self.table("groups").filter(F.col("acronym") == acronym)
+        if not include_charter or "charter_texts" not in self.tables:
+            return row
+        newest = self.table("charter_texts").filter(F.col("acronym") == acronym).groupBy("acronym").agg(F.max("rev").alias("charter_rev"), F.max_by("text", "rev").alias("charter"))
+        return row.join(newest, "acronym", "left")
 
     def list_milestones(self, today, **filters) -> DataFrame:
         return records.milestones(self.table("milestones"), self.table("groups"), F.lit(today).cast("date"), **filters)
@@ -327,8 +373,13 @@ class Engine:
         d = self.table("drafts", corpus)
         return (d.filter(F.col("state") == state) if state else d).orderBy("draft", "rev")
 
-    def draft_status(self) -> DataFrame:
-        return self.table("draft_states").withColumn("what", digests.agenda_eligibility())
+    def draft_status(self, name: str | None = None) -> DataFrame:
+        """What documents are for an agenda; of one, whose name may carry a revision."""
+        rows = self.table("draft_states")
+        if name is not None:
+            one = self.spark.createDataFrame([(name,)], "n string").select(X.draft_name(F.col("n")).alias("doc"))
+            rows = rows.join(F.broadcast(one), "doc", "left_semi")
+        return rows.withColumn("what", digests.agenda_eligibility())
 
     def list_meetings(self, corpus: str, kinds: tuple[str, ...] = ("minutes", "slides", "transcript", "polls")) -> DataFrame:
         return digests.artefacts(self.table("meeting_files", corpus), kinds).orderBy("meeting")

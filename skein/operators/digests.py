@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.functions.text import domain_within
+
 from .ranks import placed
 
 #: Window of activity, least messages and rows of the most active threads.
@@ -25,12 +27,25 @@ def sectioned(df: DataFrame, section: str, order: list[Column], limit: int) -> D
     return df.withColumn("place", F.row_number().over(Window.partitionBy(section).orderBy(*order))).filter(F.col("place") <= limit)
 
 
-def matching(df: DataFrame, state: str | None = None, label: str | None = None, since=None, until=None, least: int | None = None) -> DataFrame:
-    """`closed` of pull requests holds merged ones too."""
+def matching(
+    df: DataFrame, state: str | None = None, label: str | None = None, since=None, until=None, least: int | None = None, author: str | None = None, subject: str | None = None, role: str | None = None,
+    org: str | None = None, domain: str | None = None,
+) -> DataFrame:
+    """Rows of a table that meet all conditions; one without a value on a conditioned column goes.
+
+    `closed` of pull requests holds merged ones too; label, author, subject and role are parts of a text in any case of
+    letters; an organisation is sought in the leading one of `orgs` only, a domain in all `domains`, with those below it.
+    """
     if state:
-        df = df.filter(F.col("state").isin("closed", "merged") if state == "closed" else F.col("state") == state)
-    if label:
-        df = df.filter(F.lower("label").contains(label.lower()))
+        df = df.filter(F.lower("state").isin("closed", "merged") if state.lower() == "closed" else F.lower("state") == state.lower())
+    for column, part in (("label", label), ("author", author), ("subject", subject), ("roles", role)):
+        if part:
+            text = F.array_join(column, ",") if dict(df.dtypes)[column].startswith("array") else F.col(column)
+            df = df.filter(F.contains(F.lower(text), F.lit(part.lower())))
+    if org:
+        df = df.filter(F.contains(F.lower(F.try_element_at("orgs", F.lit(1))), F.lit(org.lower())))
+    if domain:
+        df = df.filter(F.exists("domains", lambda d: domain_within(d, domain.lower().lstrip("@."))))
     if since is not None:
         df = df.filter(F.col("last") >= since)
     if until is not None:
@@ -38,6 +53,24 @@ def matching(df: DataFrame, state: str | None = None, label: str | None = None,
     return df.filter(F.col("msgs") >= least) if least else df
 
 
+def issue_table(issues: DataFrame, comments: DataFrame) -> DataFrame:
+    """Repo, place (open ones first, then the newest update), number, state, title, labels, comments, updated, author,
+    participants (all others, in the order of their first word) and duplicate_of (what the text or a comment says first).
+
+    issues: repo, number, state, title, labels (array), created, updated (null: created), author, body; comments: repo, number, at,
+    author, body. A comment without an issue goes.
+    """
+    own = F.array_sort(F.collect_list(F.struct("at", "author", "body")))
+    said = comments.groupBy("repo", "number").agg(F.count("*").alias("comments"), own.alias("_c"))
+    rows = issues.withColumn("updated", F.coalesce("updated", "created")).join(said, ["repo", "number"], "left")
+    none = F.array().cast("array<string>")
+    texts = F.concat(F.array("body"), F.coalesce(F.transform("_c", lambda c: c["body"]), none))
+    people = first_seen(F.col("author"), F.coalesce(F.transform("_c", lambda c: c["author"]), none))
+    rows = rows.withColumn("participants", F.filter(people, lambda p: p.isNotNull() & ~p.eqNullSafe(F.col("author")))).withColumn("duplicate_of", duplicate_of(texts, F.col("number")))
+    cols = ["repo", "number", "state", "title", F.array_join("labels", ", ").alias("labels"), F.coalesce("comments", F.lit(0)).alias("comments"), "updated", "author", "participants", "duplicate_of"]
+    return placed(rows.select(*cols), ["repo"], [F.desc(F.lower("state") == "open"), F.desc_nulls_last("updated"), F.asc("number")])
+
+
 def pull_totals(pulls: DataFrame) -> DataFrame:
     """Outcomes, with what has no known state in a bucket of its own."""
     s = F.col("state")

@@ -35,6 +35,22 @@ def issues_digest_order(spark: SparkSession, sf: str) -> DataFrame:
     return D.ordered_issues(issues(spark, sf)).select("repo", "number", "place")
 
 
+@query("""WITH i AS (SELECT 'r' || (o_custkey % 5) AS repo, o_orderkey::BIGINT AS number, CASE o_orderstatus WHEN 'O' THEN 'OPEN' WHEN 'P' THEN 'merged' ELSE 'closed' END AS state, o_orderdate::DATE AS updated, 's' || (o_custkey % 50) AS author FROM orders),
+c AS (SELECT i.repo, i.number, l_linenumber AS nth, 's' || (l_suppkey % 50) AS author, CASE WHEN l_returnflag = 'R' THEN l_partkey END AS dup FROM lineitem JOIN i ON i.number = l_orderkey),
+p AS (SELECT c.repo, c.number, c.author, min(nth) AS first FROM c JOIN i USING (repo, number) WHERE c.author <> i.author GROUP BY 1, 2, 3), q AS (SELECT repo, number, string_agg(author, ',' ORDER BY first, author) AS participants FROM p GROUP BY 1, 2),
+d AS (SELECT repo, number, count(*) AS comments, arg_min(dup, {'a': nth, 'b': author, 'c': dup::VARCHAR}) FILTER (WHERE dup IS NOT NULL AND dup <> number) AS duplicate_of FROM c GROUP BY 1, 2)
+SELECT repo, number, row_number() OVER (PARTITION BY repo ORDER BY state = 'OPEN' DESC, updated DESC, number) AS place, coalesce(comments, 0) AS comments, coalesce(participants, '') AS participants, duplicate_of FROM i LEFT JOIN q USING (repo, number) LEFT JOIN d USING (repo, number)""")
+def issue_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of an order as the comments on an issue; those returned name another issue as the original."""
+    o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    state = F.when(F.col("o_orderstatus") == "O", "OPEN").when(F.col("o_orderstatus") == "P", "merged").otherwise("closed")
+    repo, who = F.concat(F.lit("r"), F.col("o_custkey") % 5), lambda c: F.concat(F.lit("s"), F.col(c) % 50)
+    i = o.select(repo.alias("repo"), F.col("o_orderkey").cast("long").alias("number"), state.alias("state"), F.col("o_comment" if "o_comment" in o.columns else "o_orderpriority").alias("title"), F.array(F.lower("o_orderpriority")).alias("labels"), F.to_date("o_orderdate").alias("created"), F.lit(None).cast("date").alias("updated"), who("o_custkey").alias("author"), F.lit("text").alias("body"))
+    body = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("A duplicate of #"), "l_partkey")).otherwise("thanks")
+    c = li.join(i.select("repo", "number"), F.col("l_orderkey") == F.col("number")).select("repo", "number", F.col("l_linenumber").alias("at"), who("l_suppkey").alias("author"), body.alias("body"))
+    return D.issue_table(i, c).select("repo", "number", "place", "comments", F.array_join("participants", ",").alias("participants"), "duplicate_of")
+
+
 @query(f"WITH {ISSUES}, r AS (SELECT repo, number, row_number() OVER (PARTITION BY repo ORDER BY updated DESC, number) AS place FROM issues WHERE state IN ('closed', 'merged') AND contains(label, 'urgent')) SELECT * FROM r WHERE place <= 7")
 def per_section_limit(spark: SparkSession, sf: str) -> DataFrame:
     rows = D.matching(issues(spark, sf), state="closed", label="URGENT")

@@ -137,6 +137,39 @@ def test_digests(engine):
         engine.list_drafts("c")
 
 
+def test_filters_of_each_table(spark):
+    people = spark.createDataFrame([("c", "Jane", ["Chair"], ["Acme", "Old"], ["mail.acme.org"], 5), ("c", "Bob", [], ["Old", "Acme"], ["x.org"], 9), ("c", "Eve", None, None, None, None)], "corpus string, name string, roles array<string>, orgs array<string>, domains array<string>, msgs long")
+    threads = spark.createDataFrame([("c", "t1", "[mlkem] One", 3, "2024-01-02"), ("c", "t2", "Two", 30, "2024-01-01"), ("c", "t3", None, 1, None)], "corpus string, thread string, subject string, msgs long, last string")
+    issues = spark.createDataFrame([("c", "r", 1, "OPEN", "2024-01-01", ["bug"], "Jane", 1), ("c", "r", 2, "merged", "2024-01-03", ["Doc"], "bob", 9), ("c", "r", 3, "closed", None, None, None, 2)], "corpus string, repo string, number long, state string, updated string, labels array<string>, author string, comments long")
+    engine = Engine(spark, {"people": people, "threads": threads, "issues": issues, "pulls": issues})
+    names = lambda df, c="name": [r[c] for r in df.collect()]
+    assert names(engine.read_digest("c", "people")) == ["Bob", "Jane", "Eve"] and names(engine.read_digest("c", "people", role="chair")) == ["Jane"]
+    assert names(engine.read_digest("c", "people", org="acme")) == ["Jane"] and names(engine.read_digest("c", "people", domain="acme.org")) == ["Jane"] and names(engine.read_digest("c", "people", least=6)) == ["Bob"]
+    assert [tuple(r) for r in engine.people_note("c", 1, org="acme").collect()] == [(3, 1, 1, 1, 1)]
+    assert names(engine.read_digest("c", "threads"), "thread") == ["t1", "t2", "t3"] and names(engine.read_digest("c", "threads", sort="activity"), "thread") == ["t2", "t1", "t3"] and names(engine.read_digest("c", "threads", subject="MLKEM"), "thread") == ["t1"]
+    assert names(engine.read_digest("c", "issues"), "number") == [1, 2, 3] and names(engine.read_digest("c", "issues", sort="activity"), "number") == [2, 3, 1]
+    assert names(engine.read_digest("c", "pulls", state="closed"), "number") == [2, 3] and names(engine.read_digest("c", "issues", author="BOB"), "number") == [2] and names(engine.read_digest("c", "issues", label="doc"), "number") == [2]
+    with pytest.raises(ValueError):
+        engine.read_digest("c", "documents", sort="activity")
+
+
+def test_whole_files_and_unsectioned_chunks(spark):
+    rows = [("c", "issues/1.md", i, 0, "t", f"part {i}", "https://e.org/i/1", None) for i in (2, 0, 1)] + [("c", "threads/a.md", 4, 0, "t", "one", "https://e.org/m", None), ("rfc", "RFC1.txt", 0, 0, "t", "lead", None, None), ("rfc", "RFC1.txt", 1, 0, "t", "more", None, None), ("rfc", "RFC1.txt", 2, 0, "t", "s", None, "1")]
+    chunks = spark.createDataFrame(rows, "corpus string, file string, chunk_idx int, sub_idx int, title string, text string, url string, section string").withColumn("embedding", F.array(F.lit(1.0)))
+    files = spark.createDataFrame([("c", "pulls/9.md", "pull text", "https://e.org/pull/9"), ("c", "threads/a.md", "x", "https://e.org/m")], "corpus string, relpath string, text string, url string")
+    engine = Engine(spark, {"chunks": chunks, "files": files})
+    got = engine.get_by_url("c", "http://www.e.org/i/1/").collect()
+    assert [r.chunk_idx for r in got] == [0, 1, 2] and got[0].file_text == "part 0\npart 1\npart 2" and all(r.whole for r in got) and got[1].file_text is None
+    assert [(r.chunk_idx, r.whole, r.text) for r in engine.get_by_url("c", "https://e.org/m").collect()] == [(4, False, "one")]
+    assert [(r.file, r.file_text, r.whole) for r in engine.get_by_url("c", "https://e.org/pull/9").collect()] == [("pulls/9.md", "pull text", True)]
+    assert [r.text for r in engine.get_rfc_section("RFC1", "").orderBy("first").collect()] == ["lead", "more"] and [r.text for r in engine.get_rfc_section("RFC1", "1").collect()] == ["s"]
+
+
+def test_topics_cut_long_messages(engine):
+    got = engine.read_topic("c", "alpha apple", body_chars=1).collect()
+    assert got and all(len(r.body) <= 101 for r in got)
+
+
 def test_records(engine, spark):
     assert [r.name for r in engine.search_rfc_index("new pro").collect()] == ["RFC200"]
     assert [r.name for r in engine.search_rfc_index("rfc 100").collect()] == ["RFC100"]
