@@ -38,7 +38,7 @@ def issues_digest_order(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH i AS (SELECT 'r' || (o_custkey % 5) AS repo, o_orderkey::BIGINT AS number, CASE o_orderstatus WHEN 'O' THEN 'OPEN' WHEN 'P' THEN 'merged' ELSE 'closed' END AS state, o_orderdate::DATE AS updated, 's' || (o_custkey % 50) AS author FROM orders),
 c AS (SELECT i.repo, i.number, l_linenumber AS nth, 's' || (l_suppkey % 50) AS author, CASE WHEN l_returnflag = 'R' THEN l_partkey END AS dup FROM lineitem JOIN i ON i.number = l_orderkey),
 p AS (SELECT c.repo, c.number, c.author, min(nth) AS first FROM c JOIN i USING (repo, number) WHERE c.author <> i.author GROUP BY 1, 2, 3), q AS (SELECT repo, number, string_agg(author, ',' ORDER BY first, author) AS participants FROM p GROUP BY 1, 2),
-d AS (SELECT repo, number, count(*) AS comments, arg_min(dup, {'a': nth, 'b': author, 'c': dup::VARCHAR}) FILTER (WHERE dup IS NOT NULL AND dup <> number) AS duplicate_of FROM c GROUP BY 1, 2)
+d AS (SELECT repo, number, count(*) AS comments, arg_min(dup, {'a': nth, 'b': author, 'c': dup::VARCHAR}) FILTER (WHERE dup > 0 AND dup <> number) AS duplicate_of FROM c GROUP BY 1, 2)
 SELECT repo, number, row_number() OVER (PARTITION BY repo ORDER BY state = 'OPEN' DESC, updated DESC, number) AS place, coalesce(comments, 0) AS comments, coalesce(participants, '') AS participants, duplicate_of FROM i LEFT JOIN q USING (repo, number) LEFT JOIN d USING (repo, number)""")
 def issue_table(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of an order as the comments on an issue; those returned name another issue as the original."""
