@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import written
 from .vectors import dimension, matrix, usable
 
-#: Bounds of the fit: sampled vectors, lists. Beyond LIST_ROWS * MAX_LISTS rows (2 million) lists grow longer.
-SAMPLE, MAX_LISTS = 131_072, 16_384
+#: Bounds of the fit: sampled vectors, their bytes, lists. Beyond LIST_ROWS * MAX_LISTS rows (2 million) lists grow longer.
+SAMPLE, SAMPLE_BYTES, MAX_LISTS = 131_072, 128 << 20, 16_384
 #: Rows of a list aimed at, of a shard, and queries of a shard's block.
 LIST_ROWS, SHARD_ROWS, BLOCK_QUERIES = 128, 8192, 4096
 #: Lists that a vector may be in, and how much farther than the nearest such a list may be.
@@ -204,6 +204,17 @@ def block_neighbours(base: pa.Table, asked: pa.Table, dim: int, k: int) -> pa.Ta
     return pa.table(dict(zip(kinds, columns, strict=True)))
 
 
+def sampled(good: DataFrame, n: int, dim: int) -> np.ndarray:
+    """About SAMPLE vectors of at most SAMPLE_BYTES, in double precision: those whose hash is below a share of all hashes.
+
+    So each task returns its own share, and none gathers those of all others. good: rid, embedding, n rows.
+    """
+    share = min(SAMPLE, SAMPLE_BYTES // (8 * dim)) / n
+    drawn = good if share >= 1 else good.filter(F.shiftrightunsigned(F.xxhash64("rid"), 1) < max(1, int(share * (1 << 63))))
+    got = drawn.select("rid", "embedding").toArrow().sort_by("rid")
+    return matrix(got.column("embedding"), dim)
+
+
 def neighbours(rows: DataFrame, every: int = 100, k: int = 10, dim: int | None = None) -> DataFrame:
     """rows: vec_id long, embedding (array of numbers); other columns are not read. Queries: vec_id divisible by `every`.
 
@@ -221,8 +232,7 @@ def neighbours(rows: DataFrame, every: int = 100, k: int = 10, dim: int | None =
     n = good.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = good.select("embedding").orderBy(F.xxhash64("rid"), "rid").limit(SAMPLE).toArrow()
-    index = fitted(matrix(sample.column("embedding"), dim), n, k)
+    index = fitted(sampled(good, n, dim), n, k)
     shared = spark.sparkContext.broadcast(index)
     lengths = np.zeros(0, np.int64)
     kind = dict(rows.dtypes)["embedding"]

@@ -624,6 +624,18 @@ def test_neighbours(spark):
     assert few.count() == 2 * 3
 
 
+def test_the_fit_is_drawn_without_gathering_all(spark, monkeypatch):
+    """The sample is bounded in rows and in bytes, repeats itself, and is a filter, not a sort."""
+    rng = np.random.default_rng(21)
+    rows = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=4)]) for i in range(4000)], "rid long, embedding array<float>").repartition(6)
+    assert len(ann.sampled(rows, 4000, 4)) == 4000
+    monkeypatch.setattr(ann, "SAMPLE", 500)
+    one, two = ann.sampled(rows, 4000, 4), ann.sampled(rows.repartition(3), 4000, 4)
+    assert 400 < len(one) < 600 and (one == two).all()
+    monkeypatch.setattr(ann, "SAMPLE_BYTES", 100 * 4 * 8)
+    assert 60 < len(ann.sampled(rows, 4000, 4)) < 140
+
+
 def test_neighbours_of_many_copies(spark, monkeypatch):
     monkeypatch.setattr(ann, "SHARD_ROWS", 64)
     monkeypatch.setattr(ann, "BLOCK_QUERIES", 8)
