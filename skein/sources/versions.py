@@ -87,3 +87,8 @@ def inventory(files: DataFrame) -> DataFrame:
     """Files and characters of each kind."""
     kind = F.element_at(F.split("relpath", "/"), 1)
     return files.groupBy(kind.alias("kind")).agg(F.count("*").alias("files"), F.sum("chars").alias("chars"))
+
+
+def topics_stale(topics: dict[str, str] | None, index: dict[str, str]) -> bool:
+    """K9: whether topics (their metadata, None without any) were made from another build of the index than this one."""
+    return topics is None or not topics.get("build") or topics["build"] != index.get("build")
