@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.vectors import dot
 from skein.operators import kmeans
+from skein.scratch import written
 
 #: Least and most clusters, seed, terms, exemplars, least documents of a map.
 K_LEAST, K_MOST, SEED, TERMS, EXEMPLARS, LEAST_DOCS = 4, 32, 1729, 6, 3, 8
@@ -38,21 +44,47 @@ def terms(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)), lambda w: ~F.array_contains(stop, w))
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """doc, cluster, term, n: each document's terms once, so frequencies of both kinds come from one table. docs: doc, cluster, text."""
-    words = docs.select("doc", "cluster", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term"))
-    return words.filter(~F.col("term").isin(STOPWORDS)).groupBy("doc", "cluster", "term").agg(F.count("*").alias("n"))
-
+def term_totals(docs: DataFrame) -> DataFrame:
+    """cluster, term, tf (occurrences), docs (documents that have it). docs: cluster, text, a row a document.
 
-def cluster_labels(counts: DataFrame, docs: DataFrame, terms: int = TERMS) -> DataFrame:
+    A batch of documents is counted where it is read, and gives a row for each cluster and term it holds; so no row is made
+    for a word, and none for a document's terms.
+    """
+    kind = dict(docs.dtypes)["cluster"]
+    stop = pa.array(sorted(set(STOPWORDS)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = pc.split_pattern_regex(batch.column(2), "[^a-z0-9-]+")
+            words, sizes = lists.flatten().dictionary_encode(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            # a word has one term at most: from the first place where one can begin to its end
+            found = pc.struct_field(pc.extract_regex(words.dictionary, f"(?P<term>{TERM})"), "term")
+            found = pc.if_else(pc.is_in(found, stop), None, found).dictionary_encode()
+            term = found.indices.fill_null(-1).to_numpy(zero_copy_only=False)[words.indices.to_numpy()]
+            doc = np.repeat(np.arange(len(batch)), sizes.astype(np.int64))
+            doc, term = doc[term >= 0], term[term >= 0].astype(np.int64)
+            names = batch.column(1).dictionary_encode().indices.to_numpy()
+            width = max(1, len(found.dictionary))
+            pair, tf = np.unique(names[doc] * width + term, return_counts=True)
+            once = np.unique(doc * width + term)
+            docs_ = np.unique(names[once // width] * width + once % width, return_counts=True)[1]
+            first = np.unique(names, return_index=True)[1]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first[pair // width])), found.dictionary.take(pa.array(pair % width)), pa.array(tf), pa.array(docs_)], names=["cluster", "term", "tf", "docs"])
+
+    rows = docs.select("cluster", F.to_json(F.struct("cluster")).alias("name"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    parts = rows.mapInArrow(run, f"cluster {kind}, term string, tf long, docs long")
+    return parts.groupBy("cluster", "term").agg(F.sum("tf").alias("tf"), F.sum("docs").alias("docs"))
+
+
+def cluster_labels(totals: DataFrame, docs: DataFrame, terms: int = TERMS) -> DataFrame:
     """K5: terms of the highest tf * ln(N / df) in each cluster, ties by term; a term in all documents says nothing.
 
-    counts: as of `term_counts`. A document is in one cluster, so the clusters' document counts of a term add up to df.
+    totals: as of `term_totals`. A document is in one cluster, so the clusters' document counts of a term add up to df.
     """
-    tf = counts.groupBy("cluster", "term").agg(F.sum("n").alias("tf"), F.count("*").alias("_docs"))
-    df = tf.groupBy("term").agg(F.sum("_docs").alias("df"))
+    totals = written(totals, "term-totals")
+    df = totals.groupBy("term").agg(F.sum("docs").alias("df"))
     n = docs.agg(F.count("*").alias("_n"))
-    rows = tf.drop("_docs").join(df, "term").crossJoin(F.broadcast(n)).filter("df < _n").withColumn("score", F.col("tf") * F.log(F.col("_n") / F.col("df")))
+    rows = totals.join(df, "term").crossJoin(F.broadcast(n)).filter("df < _n").withColumn("score", F.col("tf") * F.log(F.col("_n") / F.col("df")))
     place = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc(F.round("score", 9)), "term"))
     return rows.withColumn("place", place).filter(F.col("place") <= terms).select("cluster", "term", "place", "score")
 
@@ -82,11 +114,10 @@ def topic_table(clusters: DataFrame, docs: DataFrame) -> DataFrame:
 
     rows = docs.join(clusters, ["corpus", "id"])
     own = F.struct("corpus", "cluster").alias("cluster")
-    text = rows.select(F.struct("corpus", "id").alias("doc"), own, F.concat_ws(" ", "text", "title").alias("text"), "corpus")
+    text = rows.select(own, F.concat_ws(" ", "text", "title").alias("text"), "corpus")
     n = text.groupBy("corpus").agg(F.count("*").alias("_docs"))
-    counts = term_counts(text.select("doc", "cluster", "text"))
-    tf = counts.groupBy("cluster", "term").agg(F.sum("n").alias("tf"), F.count("*").alias("_d")).withColumn("corpus", F.col("cluster.corpus"))
-    df = tf.groupBy("corpus", "term").agg(F.sum("_d").alias("df"))
+    tf = written(term_totals(text.select("cluster", "text")), "term-totals").withColumn("corpus", F.col("cluster.corpus"))
+    df = tf.groupBy("corpus", "term").agg(F.sum("docs").alias("df"))
     scored = tf.join(df, ["corpus", "term"]).join(n, "corpus").filter("df < _docs").withColumn("score", F.col("tf") * F.log(F.col("_docs") / F.col("df")))
     place = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc(F.round("score", 9)), "term"))
     best = scored.withColumn("_p", place).filter(F.col("_p") <= TERMS).groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("_p", "term"))).alias("_t")).select("cluster", F.col("_t.term").alias("terms"))

@@ -254,7 +254,7 @@ o AS (SELECT * FROM (SELECT doc_id, cluster, unnest(w) AS term FROM d) WHERE ter
 r AS (SELECT cluster, term, tf * ln(n / df) AS s, row_number() OVER (PARTITION BY cluster ORDER BY round(tf * ln(n / df), 9) DESC, term) AS place FROM tf JOIN df USING (term), n WHERE df < n) SELECT cluster, term, place, round(s, 5) AS score FROM r WHERE place <= 6""")
 def tfidf_labels(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").filter("text IS NOT NULL").select(F.col("doc_id").alias("doc"), F.col("source").alias("cluster"), "text")
-    return K.cluster_labels(K.term_counts(d), d).withColumn("score", F.round("score", 5))
+    return K.cluster_labels(K.term_totals(d), d).withColumn("score", F.round("score", 5))
 
 
 @query("""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), m AS (SELECT label, list(x ORDER BY d) AS c FROM (SELECT label, d, avg(v[d]) AS x FROM e, range(1, 65) r(d) GROUP BY 1, 2) GROUP BY label),
