@@ -72,6 +72,8 @@ def term_totals(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first[pair // width])), found.dictionary.take(pa.array(pair % width)), pa.array(tf), pa.array(docs_)], names=["cluster", "term", "tf", "docs"])
 
     rows = docs.select("cluster", F.to_json(F.struct("cluster")).alias("name"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    if rows.rdd.getNumPartitions() < rows.sparkSession.sparkContext.defaultParallelism:  # one small file would be one task
+        rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
     parts = rows.mapInArrow(run, f"cluster {kind}, term string, tf long, docs long")
     return parts.groupBy("cluster", "term").agg(F.sum("tf").alias("tf"), F.sum("docs").alias("docs"))
 
