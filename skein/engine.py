@@ -80,10 +80,10 @@ class Engine:
         top = best.agg(F.max("score").alias("_top"))
         return best.crossJoin(F.broadcast(top)).filter((F.col("score") >= search.CHARTER_FLOOR) & (F.col("score") >= F.col("_top") - search.CHARTER_WINDOW)).drop("_top")
 
-    def _hits(self, chunks: DataFrame, ranked: DataFrame, limit: int, diversify: bool, group_by: str | None, collapse_versions: bool, snippet: bool) -> DataFrame:
-        """Ranks keys and vectors only; texts are joined to the few that are left. Enough are fetched that thinning leaves `limit`."""
+    def _hits(self, chunks: DataFrame, ranked: DataFrame, vectors: DataFrame, limit: int, diversify: bool, group_by: str | None, collapse_versions: bool, snippet: bool) -> DataFrame:
+        """Ranks keys and scores only; vectors and texts are joined to the few that are left. Enough are fetched that thinning leaves `limit`."""
         by_file = group_by == "file"
-        hits = search.best_hits(ranked, search.over_fetch(limit) if by_file or collapse_versions else limit, diversify and not by_file)
+        hits = search.best_hits(ranked, search.over_fetch(limit) if by_file or collapse_versions else limit, vectors if diversify and not by_file else None)
         hits = search.newest_revisions(hits, ("corpus",)) if collapse_versions else hits
         if by_file:
             return search.by_file(hits).limit(limit)
@@ -102,8 +102,9 @@ class Engine:
         chunks = search.facets(self.table("chunks", corpus), dated=sort == "date", **facets)
         near = chunks if facets or sort else self._probed(corpus, chunks, asked)
         key = ("corpus", "file", "chunk_idx")
-        ranked = search.collapsed(search.scan(near.select(*key, "sub_idx", "embedding"), asked), key)
-        out = self._hits(chunks, ranked, limit, diversify, group_by, collapse_versions, snippet)
+        near = near.select(*key, "sub_idx", "embedding")
+        ranked = search.collapsed(search.scan(near, asked).drop("embedding"), key)
+        out = self._hits(chunks, ranked, near, limit, diversify, group_by, collapse_versions, snippet)
         return out.orderBy(F.desc("chunk_date"), "file", "chunk_idx") if sort == "date" and group_by is None else out
 
     def find_related(self, corpus: str, file: str, chunk_idx: int, limit: int = 10, group_by: str | None = None, diversify: bool = True, collapse_versions: bool = True, snippet: bool = True, **facets) -> DataFrame:
@@ -112,8 +113,9 @@ class Engine:
         seed = (F.col("file") == file) & (F.col("chunk_idx") == chunk_idx)
         rest = search.facets(c.filter(~seed), **facets)
         key = ("corpus", "file", "chunk_idx")
-        ranked = search.collapsed(search.related(c.filter(seed).unionByName(rest).select(*key, "sub_idx", "embedding"), seed), key)
-        return self._hits(rest, ranked, limit, diversify, group_by, collapse_versions, snippet)
+        near = rest.select(*key, "sub_idx", "embedding")
+        ranked = search.collapsed(search.related(c.filter(seed).select(*near.columns).unionByName(near), seed).drop("embedding"), key)
+        return self._hits(rest, ranked, near, limit, diversify, group_by, collapse_versions, snippet)
 
     def search_corpora(self, corpora: list[str], query: str, limit: int = 10, collapse_versions: bool = True, **facets) -> DataFrame:
         """The best hits of several corpora, each ranked by itself (with novelty, newest revisions only), then merged."""
@@ -122,8 +124,9 @@ class Engine:
         order = F.array_position(F.array(*[F.lit(x) for x in names]), F.col("corpus"))
         models = self.table("corpora").filter(F.col("corpus").isin(*names)).select("corpus", "model", order.alias("place")).limit(search.CORPORA_MOST)
         key = ("corpus", "file", "chunk_idx")
-        ranked = search.collapsed(search.scan(chunks.select(*key, "sub_idx", "embedding"), self._query(query)), key)
-        hits = search.best_hits(ranked, search.over_fetch(limit) if collapse_versions else limit, True, by_corpus=True)
+        near = chunks.select(*key, "sub_idx", "embedding")
+        ranked = search.collapsed(search.scan(near, self._query(query)).drop("embedding"), key)
+        hits = search.best_hits(ranked, search.over_fetch(limit) if collapse_versions else limit, near, by_corpus=True)
         hits = (search.newest_revisions(hits, ("corpus",)) if collapse_versions else hits).withColumnRenamed("place", "own").join(F.broadcast(models), "corpus")
         merged = search.merged_corpora(hits.withColumn("id", F.concat_ws("#", "file", "chunk_idx")), limit)
         titles = chunks.filter("sub_idx = 0").select(*key, "title")

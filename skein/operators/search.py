@@ -69,25 +69,29 @@ def over_fetch(limit: int) -> int:
     return max(4 * limit, 20)
 
 
-def best_hits(ranked: DataFrame, n: int, diversify: bool, by_corpus: bool = False) -> DataFrame:
-    """Q3, Q5: corpus, file, chunk_idx, score and place of the first n hits (of each corpus, or of all).
+def best_hits(ranked: DataFrame, n: int, vectors: DataFrame | None = None, by_corpus: bool = False) -> DataFrame:
+    """Q3, Q5, Q10: corpus, file, chunk_idx, score and place of the first n hits (of each corpus, or of all).
 
-    ranked: these columns without place, sub_idx, embedding. Diversified, the pool's rows are chosen by relevance and
-    novelty; what n wants beyond the pool follows by relevance.
+    ranked: corpus, file, chunk_idx, sub_idx, score; vectors: the same keys and embedding. With vectors, a pool of the best
+    hits is chosen from by relevance and novelty, and what n wants beyond it follows by relevance. Only the pool's vectors are
+    fetched; a pool that lacks one stays in its order.
     """
     key = ["corpus", "file", "chunk_idx"]
-    group = F.col("corpus") if by_corpus else F.lit("")
     order = [F.desc("score"), *key]
     if by_corpus:
         rows = ranked.withColumn("place", F.row_number().over(Window.partitionBy("corpus").orderBy(*order))).filter(F.col("place") <= n)
     else:
         rows = top(ranked, n, *key).withColumn("place", F.row_number().over(Window.orderBy(*order)))
-    if not diversify:
+    if vectors is None:
         return rows.select(*key, "score", "place")
-    pool = rows.filter(F.col("place") <= MMR_POOL).select(group.alias("query"), F.to_json(F.struct(*key)).alias("id"), "score", "embedding")
+    rows = written(rows.select(*key, "sub_idx", "score", "place"), "hits")
+    ident = F.to_json(F.struct(*key)).alias("id")
+    pool = rows.filter(F.col("place") <= MMR_POOL).select((F.col("corpus") if by_corpus else F.lit("")).alias("group"), ident, "score", "place")
+    wanted = F.broadcast(rows.filter(F.col("place") <= MMR_POOL).select(*key, "sub_idx"))
+    whole, rest = with_vectors(pool, vectors.join(wanted, [*key, "sub_idx"], "left_semi").select(ident, "embedding"))
     kinds = ", ".join(f"{c} {t}" for c, t in ranked.select(*key).dtypes)
-    chosen = mmr(pool, n).select(F.from_json("id", kinds).alias("k"), "score", "place").select("k.*", "score", "place")
-    return chosen.unionByName(rows.filter(F.col("place") > MMR_POOL).select(*key, "score", "place"))
+    chosen = mmr(whole.drop("place"), n, group="group").select("id", "score", "place").unionByName(rest.select("id", "score", F.col("place").cast("int").alias("place")))
+    return chosen.select(F.from_json("id", kinds).alias("k"), "score", "place").select("k.*", "score", "place").unionByName(rows.filter(F.col("place") > MMR_POOL).select(*key, "score", "place"))
 
 
 def probed(df: DataFrame, centroids: DataFrame, query: DataFrame, probes: int = PROBES, filtered: bool = False) -> DataFrame:

@@ -104,9 +104,9 @@ def examined_revisions(spark: SparkSession, sf: str) -> DataFrame:
     return records.examined(reviews, positions, s.select(k.alias("doc"), F.when(k % 6 == 0, "x").otherwise(F.concat(F.lit("0"), k % 9)).alias("rev"), (k % 11 > 0).alias("reachable")))
 
 
-@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey + 1 END AS duplicate_of, CASE WHEN o_orderstatus = 'F' THEN 'last' END AS rationale, CASE WHEN o_custkey = 7 THEN [7, 3] ELSE [o_custkey, 7, 3] END AS people FROM orders WHERE o_custkey <> 3 AND o_custkey + 1 <> o_orderkey""")
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 AND o_custkey + 1 <> o_orderkey THEN o_custkey + 1 END AS duplicate_of, CASE WHEN o_orderstatus = 'F' THEN 'last' END AS rationale, CASE o_custkey WHEN 7 THEN [7, 3] WHEN 3 THEN [3, 7] ELSE [o_custkey, 7, 3] END AS people FROM orders""")
 def issue_details(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").filter("o_custkey <> 3 AND o_custkey + 1 <> o_orderkey")
+    o = table(spark, sf, "orders")
     texts = F.array(F.concat(F.lit("Dup of #"), "o_orderkey"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("duplicate of #"), F.col("o_custkey") + 1)).otherwise("none"))
     return o.select(
         F.col("o_orderkey").alias("id"), D.duplicate_of(texts, F.col("o_orderkey")).alias("duplicate_of"),

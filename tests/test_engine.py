@@ -89,6 +89,16 @@ def test_limits_are_reached_after_thinning(spark):
     assert few.find_related("c", "drafts/draft-1-03.txt", 0, limit=5, group_by="file").collect()[0].hits == 1
 
 
+def test_a_pool_without_all_its_vectors_keeps_its_order(spark):
+    from skein.operators import search
+
+    rows = [(c, f"f{i}", i, 0, 1.0 - i / 100, [float(i < 3), float(i >= 3)]) for c in ("c", "d") for i in range(6)]
+    df = spark.createDataFrame(rows, "corpus string, file string, chunk_idx int, sub_idx int, score double, embedding array<double>")
+    ranked = df.drop("embedding")
+    got = {(r.corpus, r.place): r.chunk_idx for r in search.best_hits(ranked, 6, df.filter("NOT (corpus = 'd' AND chunk_idx = 5)").drop("score"), by_corpus=True).collect()}
+    assert [got["d", k] for k in range(1, 7)] == list(range(6)) and [got["c", k] for k in range(1, 7)] != list(range(6)) and sorted(got["c", k] for k in range(1, 7)) == list(range(6))
+
+
 def test_documents_rank_two_hundred_chunks(spark):
     c = revisions(spark, 30, ("rfc",)).withColumn("section", F.substring("file", -6, 2))
     engine = Engine(spark, {"chunks": c, "rfc_refs": spark.createDataFrame([("a", "draft-3-04")], "src string, dst string")}, vector)
