@@ -340,9 +340,25 @@ class Engine:
         return self.read_digest(corpus, "labels").select("label", "n", F.lit("issue").alias("source")).unionByName(tags)
 
     def overview(self, corpus: str) -> dict[str, DataFrame]:
-        """Several small tables, each of a bounded number of rows."""
-        out = {"active threads": digests.active_threads(self.table("threads", corpus)), "recent": digests.folded(self.table("timeline", corpus), 200), "labels": self.read_digest(corpus, "labels").limit(20)}
-        return out | ({"themes": records.themes(self.table("topics", corpus))} if "topics" in self.tables else {})
+        """Small tables, each of a bounded number of rows; those whose tables the store lacks are left out."""
+        has = lambda *names: all(n in self.tables for n in names)
+        out = {"active threads": digests.active_threads(self.table("threads", corpus)), "recent": digests.folded(self.table("timeline", corpus), 200)}
+        if has("issues"):
+            out["labels"] = self.read_digest(corpus, "labels").limit(20)
+            if "title" in self.tables["issues"].columns:
+                out["open issues"] = digests.recent_open(self.table("issues", corpus), 20)
+        if has("topics"):
+            out["themes"] = records.themes(self.table("topics", corpus))
+        if has("drafts", "authorships", "citations"):
+            d = self.table("drafts", corpus)
+            gone = d.filter(F.col("state").isin(*chunking.CONCLUDED)) if "state" in d.columns else d.limit(0)
+            summary = records.documents_summary(d.select(F.col("draft").alias("doc")).distinct(), self.table("authorships"), self.table("citations", corpus).select("name"), gone.select(F.col("draft").alias("doc")))
+            out["documents"] = summary.orderBy(F.desc("active"), F.desc("citations"), "doc").limit(50)
+        if has("positions"):
+            out["unresolved"] = records.unresolved_discusses(self.table("positions")).limit(50)
+        if has("milestones", "groups"):
+            out["milestones"] = self.list_milestones(F.current_date()).limit(20)
+        return out
 
     # groups, drafts, meetings, records
 
@@ -366,7 +382,7 @@ class Engine:
         return row.join(newest, "acronym", "left")
 
     def list_milestones(self, today, **filters) -> DataFrame:
-        return records.milestones(self.table("milestones"), self.table("groups"), F.lit(today).cast("date"), **filters)
+        return records.milestones(self.table("milestones"), self.table("groups"), (F.lit(today) if isinstance(today, str) else today).cast("date"), **filters)
 
     def group_timeline(self, acronym: str, year: int | None = None) -> DataFrame:
         rows = self.table("group_events").filter(F.col("acronym") == acronym)
@@ -415,6 +431,11 @@ class Engine:
     def upcoming_meetings(self, now) -> DataFrame:
         return records.upcoming(self.table("meetings"), F.lit(now).cast("timestamp"))
 
+    def meeting_schedule(self, meeting: str | None = None) -> DataFrame:
+        """Sessions with their times in UTC and lengths, of one meeting or of all. sessions: meeting, code, local, zone, duration."""
+        rows = self.table("sessions")
+        return digests.meeting_times(rows.filter(F.col("meeting") == meeting) if meeting else rows).orderBy("start", "code")
+
     def session_log(self, limit: int = 200, since=None) -> DataFrame:
         """The newest entries of the log, oldest first. log: when, ..."""
         rows = self.table("log")

@@ -86,6 +86,17 @@ def newest_revision(files: DataFrame) -> DataFrame:
     return files.groupBy("draft").agg(F.max_by("path", "rev").alias("path"), F.max("rev").alias("rev"))
 
 
+#: Fixed forms of a draft's and a published document's file.
+DRAFT_FILE, RFC_FILE = r"(?i)^(?:drafts/)?((?:draft|rfc)-[^/]+?)-([0-9]+)\.txt$", r"(?i)^(?:drafts/)?rfc[^/]*\.txt$"
+
+
+def latest_documents(files: DataFrame) -> DataFrame:
+    """Relpath of the newest revision of each draft, by number, and of every published document. files: relpath."""
+    stem = F.lower(F.regexp_extract("relpath", DRAFT_FILE, 1))
+    drafts = files.filter(F.col("relpath").rlike(DRAFT_FILE)).groupBy(stem.alias("_stem")).agg(F.max_by("relpath", F.struct(F.regexp_extract("relpath", DRAFT_FILE, 2).cast("int"), "relpath")).alias("relpath"))
+    return drafts.select("relpath").unionByName(files.filter(F.col("relpath").rlike(RFC_FILE) & ~F.col("relpath").rlike(DRAFT_FILE)).select("relpath"))
+
+
 def issue_lookup(issues: DataFrame, number: int) -> DataFrame:
     """An issue by number over all repositories; several make it ambiguous and give no row but the count."""
     found = issues.filter(F.col("number") == number)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions.vectors import dequantised, dot, mean_vectors, normalised, quantised
+from skein.operators import reads as R
 from skein.operators import search as S
 from skein.scratch import place
 from skein.session import table
@@ -169,6 +170,15 @@ def newest_revisions(spark: SparkSession, sf: str) -> DataFrame:
     return S.newest_revisions(drafts.unionByName(p.filter("p_size = 7").select(F.concat(F.lit("threads/"), "p_partkey").alias("file"), F.col("p_partkey").alias("id"))))
 
 
+@query(r"""WITH f AS (SELECT CASE p_size % 4 WHEN 0 THEN 'drafts/rfc' || p_partkey || '.txt' WHEN 1 THEN 'drafts/charter-' || p_partkey || '.txt' ELSE 'drafts/draft-' || (p_partkey % 30) || '-' || lpad((p_size % 12)::VARCHAR, 2, '0') || '.txt' END AS relpath FROM part),
+x AS (SELECT DISTINCT relpath, regexp_extract(relpath, '^drafts/(draft-.*?)-(\d+)\.txt$', 1) AS stem, try_cast(regexp_extract(relpath, '^drafts/(draft-.*?)-(\d+)\.txt$', 2) AS INT) AS rev FROM f)
+SELECT arg_max(relpath, rev) AS relpath FROM x WHERE stem <> '' GROUP BY stem UNION ALL SELECT relpath FROM f WHERE relpath LIKE 'drafts/rfc%'""".replace("\\\\", "\\"))
+def latest_documents(spark: SparkSession, sf: str) -> DataFrame:
+    k, size = F.col("p_partkey"), F.col("p_size")
+    name = F.when(size % 4 == 0, F.format_string("drafts/rfc%s.txt", k)).when(size % 4 == 1, F.format_string("drafts/charter-%s.txt", k)).otherwise(F.format_string("drafts/draft-%s-%02d.txt", k % 30, size % 12))
+    return R.latest_documents(table(spark, sf, "part").select(name.alias("relpath")))
+
+
 def _catalog(p: DataFrame) -> tuple:
     return F.lower("p_brand"), F.col("p_name"), F.lower("p_type")
 

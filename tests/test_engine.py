@@ -175,6 +175,23 @@ def test_whole_files_and_unsectioned_chunks(spark):
     assert [r.text for r in engine.get_rfc_section("RFC1", "").orderBy("first").collect()] == ["lead", "more"] and [r.text for r in engine.get_rfc_section("RFC1", "1").collect()] == ["s"]
 
 
+def test_overview_and_schedule(engine, spark):
+    more = {
+        "drafts": spark.createDataFrame([("c", "draft-a", "00", "active"), ("c", "draft-a", "01", "active"), ("c", "draft-b", "00", "rfc")], "corpus string, draft string, rev string, state string"),
+        "authorships": spark.createDataFrame([("draft-a", "Jane"), ("draft-a", "Bob")], "doc string, person string"), "citations": spark.createDataFrame([("c", "m1", "draft-b")], "corpus string, id string, name string"),
+        "positions": spark.createDataFrame([("draft-a", "discuss"), ("draft-b", "yes")], "doc string, pos string"),
+        "sessions": spark.createDataFrame([("m1", "b", "2024-07-01 09:30", "Asia/Tokyo", "1:30"), ("m1", "a", "2024-07-01 09:30", None, "02:00:00"), ("m2", "c", "x", None, "1:00")], "meeting string, code string, local string, zone string, duration string"),
+        "issues": engine.tables["issues"].withColumn("title", F.lit("t")),
+    }
+    full = Engine(spark, engine.tables | more, vector)
+    got = full.overview("c")
+    assert set(got) == {"active threads", "recent", "labels", "open issues", "documents", "unresolved", "milestones"}
+    assert [(r.doc, r.authors, r.citations, r.active) for r in got["documents"].collect()] == [("draft-a", ["Bob", "Jane"], 0, True), ("draft-b", None, 1, False)]
+    assert [tuple(r) for r in got["unresolved"].collect()] == [("draft-a", 1)] and got["open issues"].count() == 1 and got["milestones"].count() == 2
+    assert [(r.code, str(r.start), r.minutes) for r in full.meeting_schedule("m1").collect()] == [("b", "2024-07-01 00:30:00", 90), ("a", "2024-07-01 09:30:00", 120)]
+    assert full.meeting_schedule().count() == 3
+
+
 def test_topics_cut_long_messages(engine):
     got = engine.read_topic("c", "alpha apple", body_chars=1).collect()
     assert got and all(len(r.body) <= 101 for r in got)
