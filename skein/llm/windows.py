@@ -32,6 +32,8 @@ BUCKET_WINDOWS, BUCKET_MOST = 1 << 18, 4
 #: A cell (minimisers with the same leading bits) is large if it holds over LARGE windows, and over a HEAVIEST-th of all:
 #: so at most HEAVIEST are, whatever the input. Cells for each partition of the input, and bits of their number at least.
 LARGE, HEAVIEST, CELLS, CELL_BITS = 1 << 16, 1 << 20, 1 << 12, 17
+#: Words that are joined to strings at once, so that a text of any length can be sent.
+PACKED_WORDS = 1 << 24
 CODEC, LEVEL = "zstd", 3
 
 
@@ -43,6 +45,7 @@ class Settings:
     longest: int = LONGEST
     bucket: int = BUCKET_WINDOWS
     large: int = LARGE
+    packed: int = PACKED_WORDS
 
 
 @dataclass
@@ -241,9 +244,12 @@ def travelling(table: pa.Table, large: np.ndarray, cell_shift: int, buckets: int
         yield parcels(rows(at, one, strings(block, start[at], s.size * one)), dealt(rolled(hashes, start[at], s.size)), one)
     some = np.flatnonzero(~late & ~many)
     first, n = runs(start[some], doc[some], least[some], (start[some] - block.doc[doc[some]]) // s.longest)
-    if len(some):
-        at = some[first]
-        yield parcels(rows(at, n, strings(block, start[at], n + s.size - 1)), dealt(least[at]), n)
+    ends, low = np.cumsum(n + s.size - 1), 0
+    while low < len(first):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + s.packed, "right")))
+        at, own_n = some[first[low:high]], n[low:high]
+        yield parcels(rows(at, own_n, strings(block, start[at], own_n + s.size - 1)), dealt(least[at]), own_n)
+        low = high
 
 
 def judged(table: pa.Table, size: int) -> pa.RecordBatch:

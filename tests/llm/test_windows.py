@@ -79,6 +79,7 @@ def test_small_blocks_buckets_and_parts(docs, want):
     assert got(docs, block=200, longest=20, bucket=1 << 12) == want
     assert got(docs, block=5000, bucket=50) == want
     assert got(docs, block=200, bucket=50, large=1) == want
+    assert got(docs, packed=100) == want
 
 
 def test_equal_hashes_of_different_windows(monkeypatch):
