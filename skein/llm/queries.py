@@ -118,6 +118,26 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.deduplicated(_read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+ORACLES["op11_substring_dedup"] = r"""
+WITH texts AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+    SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM texts, range(1, len(w) - 11) r(i)
+), firsts AS (
+    SELECT k, min(doc_id) AS least FROM windows GROUP BY k
+), gone AS (
+    SELECT DISTINCT doc_id, i + j AS p FROM windows JOIN firsts USING (k), range(0, 13) r(j) WHERE doc_id > least
+), words AS (
+    SELECT doc_id, p, w[p] AS word FROM texts, range(1, len(w) + 1) r(p)
+), kept AS (
+    SELECT words.doc_id, count(gone.p) AS n_removed, string_agg(word, ' ' ORDER BY words.p) FILTER (WHERE gone.p IS NULL) AS text
+    FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.p = words.p GROUP BY words.doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)
+"""
+
+
 @query
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))

@@ -4,13 +4,14 @@ import hashlib
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from skein.llm import windows
-from skein.llm.queries import QUERIES
+from skein.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -108,3 +109,6 @@ def test_query_equals_plain(spark):
     want = Counter((i, *x) for (i, _), x in zip(docs, plain(docs), strict=True))
     assert Counter(tuple(r) for r in QUERIES["op11_substring_dedup"](spark, SF).collect()) == want
     assert sum(x[2] for x in want) > 0
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    assert Counter(con.execute(f"SELECT doc_id, n_words, n_removed, kept_sha256 FROM ({ORACLES['op11_substring_dedup']})").fetchall()) == want
