@@ -16,11 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.operators.ranks import running
+
 from .common import trimmed, written
 from .words import SPACE, chunks, distinct, mixed, split
 
-#: Bound of the fit: labelled texts (those of the least hash of doc_id). All their features have a weight.
-SAMPLE = 20_000
+#: Bounds of the fit: labelled texts (those of the least hash of doc_id), and distinct features of each, summed over them. All
+#: features of the texts that are taken have a weight.
+SAMPLE, SAMPLE_FEATURES = 20_000, 1 << 25
 STEPS, STEP, PULL, BATCH = 2000, 0.15, 3e-4, 128
 #: A document is kept if the chance of the top grade is at least this.
 KEEP = 0.5
@@ -107,8 +110,8 @@ def gradients(score: np.ndarray, y: np.ndarray, bars: np.ndarray) -> tuple[np.nd
     return 1 - top - low, np.array(bar)
 
 
-def train(docs: DataFrame, ratings: DataFrame, n_grades: int, sample: int = SAMPLE) -> OrdinalModel:
-    """ratings: doc_id, grade (0 to n_grades - 1; null: left out). Fits on at most `sample` rated documents.
+def train(docs: DataFrame, ratings: DataFrame, n_grades: int, sample: int = SAMPLE, most: int = SAMPLE_FEATURES) -> OrdinalModel:
+    """ratings: doc_id, grade (0 to n_grades - 1; null: left out). Fits on at most `sample` rated documents, of `most` features in all.
 
     These are the ones of the least hashes of doc_id (ties: the smaller id); of a document's repeated ratings the least
     counts, and rows that share a rated id are each a text of the sample. Null texts are empty; long ones are read
@@ -125,6 +128,11 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int, sample: int = SAMP
                 yield pa.RecordBatch.from_arrays([batch.column(0)[rows], batch.column(1)[rows], got], names=["doc_id", "grade", "features"])
 
     found = written(rows.select("doc_id", "grade", "text").mapInArrow(run, "doc_id long, grade int, features array<long>"), "quality-features")
+    if (found.agg(F.sum(F.size("features"))).first()[0] or 0) > most:
+        sizes = found.select("doc_id", F.xxhash64("features").alias("_f"), F.size("features").cast("long").alias("_n"))
+        taken = running(sizes, [], [F.xxhash64("doc_id").asc(), F.col("doc_id").asc(), F.col("_f").asc()], F.col("_n"), "_until").filter(F.col("_until") <= most)
+        found = found.withColumn("_f", F.xxhash64("features")).join(taken.select("doc_id", "_f"), ["doc_id", "_f"], "left_semi").drop("_f")
+        found = written(found, "quality-taken")
     often = found.select(F.explode("features").alias("key")).distinct().toArrow()
     keys = np.sort(often.column("key").to_numpy().view(np.uint64))
 
@@ -176,5 +184,6 @@ def classified(docs: DataFrame, model: OrdinalModel, keep: float = KEEP) -> Data
 
 
 def selected(docs: DataFrame, model: OrdinalModel, keep: float = KEEP) -> DataFrame:
-    """The rows of `docs`, all columns, that are kept; as in `classified`. No column may be called __rated."""
-    return docs.withColumn("__rated", rated(F.col("text"), model)).filter(F.col("__rated.p_top") >= keep).drop("__rated")
+    """The rows of `docs`, all columns, that are kept; as in `classified`."""
+    free = "_" * (1 + max(map(len, docs.columns), default=0))  # a name that no column has
+    return docs.withColumn(free, rated(F.col("text"), model)).filter(F.col(f"{free}.p_top") >= keep).drop(free)

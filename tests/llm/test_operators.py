@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from skein.llm import ann, chat, licenses, lm, minhash, mixing, packing, pieces, quality, rabitq
 from skein.llm.queries import tokenizer_path
@@ -467,6 +468,24 @@ def test_quality(spark, none):
     assert quality.classified(none, empty).count() == 0 and quality.classified(docs, empty).count() == len(rows)
 
 
+def test_quality_sample_ends_where_its_features_do(spark):
+    """As a fit on the texts of the least hashes alone; columns of any name are kept beside."""
+    rng = np.random.default_rng(31)
+    rows = [(i, " ".join(rng.choice(VOCABULARY, 30)), int(i % 3)) for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    ratings = spark.createDataFrame([(i, g) for i, _, g in rows], "doc_id long, grade int")
+    whole = quality.train(docs, ratings, 3)
+    few = quality.train(docs, ratings, 3, most=600)
+    order = [r.doc_id for r in docs.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    sizes = [len(np.unique(next(quality.features(pa.array([dict((i, t) for i, t, _ in rows)[d]])))[1])) for d in order]
+    n = int(np.searchsorted(np.cumsum(sizes), 600, "right"))
+    assert 5 < n < 40
+    same = quality.train(docs, ratings, 3, sample=n)
+    assert (few.keys == same.keys).all() and np.allclose(few.weights, same.weights) and len(few.keys) < len(whole.keys)
+    odd = docs.withColumn("__rated", F.lit(1)).withColumn("_", F.lit(2))
+    assert quality.selected(odd, whole).columns == odd.columns
+
+
 def test_quality_gradients_are_those_of_the_likelihood():
     rng = np.random.default_rng(14)
     score, y, bars = rng.normal(size=50), rng.integers(0, 4, 50), np.array([-0.7, 0.1, 1.2])
