@@ -10,7 +10,6 @@ from skein.functions.html import page_texts
 from skein.functions.prose import elided_quotes as elided
 from skein.functions.prose import snippets
 from skein.functions.stances import positions
-from skein.operators import positions as V
 from skein.operators import threads as T
 from skein.operators.people import name_keys
 from skein.scratch import written

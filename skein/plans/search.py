@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.functions.vectors import dequantised, dot, mean_vectors, normalised, quantised
+from skein.functions.vectors import dequantised, mean_vectors, normalised, quantised
 from skein.operators import reads as R
 from skein.operators import search as S
 from skein.scratch import place
