@@ -89,6 +89,14 @@ def inventory(files: DataFrame) -> DataFrame:
     return files.groupBy(kind.alias("kind")).agg(F.count("*").alias("files"), F.sum("chars").alias("chars"))
 
 
+def file_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """Relpath (below `path`), sha256 and bytes of all files of a folder, of any kind; each is read in the task that hashes it. Spark leaves empty files out."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    return files.select(F.expr(f"substring(path, {len(root) + 2})").alias("relpath"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+
+
 def topics_stale(topics: dict[str, str] | None, index: dict[str, str]) -> bool:
     """K9: whether topics (their metadata, None without any) were made from another build of the index than this one."""
     return topics is None or not topics.get("build") or topics["build"] != index.get("build")

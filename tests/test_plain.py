@@ -76,6 +76,20 @@ def test_choice_by_relevance_and_novelty(spark):
         assert [r.id for r in sorted((r for r in got if r.corpus == corpus), key=lambda r: r.place)] == chosen
 
 
+def test_hashes_of_files(spark, tmp_path):
+    import hashlib
+
+    from skein.sources import versions
+
+    data = {"a.bin": b"\x00\xff", "d/e.txt": "ü".encode(), "d/void": b""}
+    for name, body in data.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    del data["d/void"]  # an empty file
+    got = {r.relpath: (r.sha256, r.bytes) for r in versions.file_hashes(spark, str(tmp_path)).collect()}
+    assert got == {k: (hashlib.sha256(v).hexdigest(), len(v)) for k, v in data.items()}
+
+
 def test_versions_of_topics(spark):
     from skein.sources import versions
 
