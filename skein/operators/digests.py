@@ -374,6 +374,21 @@ def histogram(rows: DataFrame, column: str, width: float, most: int) -> DataFram
     return rows.filter(F.col(column).isNotNull()).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
+#: Bounds in seconds of a call, and of a gathering.
+CALL_BOUNDS = (0.01, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0, 120.0)
+GATHER_BOUNDS = (5.0, 15.0, 30.0, 60.0, 120.0, 300.0, 600.0, 1200.0, 1800.0, 3600.0)
+
+
+def call_metrics(calls: DataFrame, keys: tuple[str, ...] = ("name",), bounds: tuple[float, ...] = CALL_BOUNDS) -> DataFrame:
+    """For each key the number of calls, errors (timeouts among them), timeouts, seconds, and `within`: calls of at most each bound.
+
+    calls: keys, seconds, error, timeout (null: false). A call without a time counts, but within no bound.
+    """
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    within = F.array(*[F.count_if(F.col("seconds") <= b) for b in bounds])
+    return calls.groupBy(*keys).agg(F.count("*").alias("calls"), F.count_if(yes("error") | yes("timeout")).alias("errors"), F.count_if(yes("timeout")).alias("timeouts"), F.sum("seconds").alias("seconds"), within.alias("within"))
+
+
 def thread_sizes(threads: DataFrame, wanted: DataFrame) -> DataFrame:
     """Messages of the threads asked for; null for unknown ones. threads: thread, msgs; wanted: thread."""
     return wanted.select("thread").distinct().join(threads.select("thread", "msgs"), "thread", "left")

@@ -326,6 +326,17 @@ def latency_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return D.histogram(table(spark, sf, "events"), "value", 10, 12)
 
 
+@query("""WITH c AS (SELECT event_type AS name, value / 10 AS seconds, user_id % 7 = 0 AS error, CASE WHEN value > 90 THEN true END AS timeout FROM events)
+SELECT name, count(*) AS calls, count_if(error OR coalesce(timeout, false)) AS errors, count_if(coalesce(timeout, false)) AS timeouts, round(sum(seconds), 3) AS seconds,
+array_to_string([count_if(seconds <= 0.01), count_if(seconds <= 0.05), count_if(seconds <= 0.1), count_if(seconds <= 0.25), count_if(seconds <= 0.5), count_if(seconds <= 1),
+count_if(seconds <= 2.5), count_if(seconds <= 5), count_if(seconds <= 10), count_if(seconds <= 30), count_if(seconds <= 60), count_if(seconds <= 120)], ',') AS within FROM c GROUP BY name""")
+def call_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    calls = e.select(F.col("event_type").alias("name"), (F.col("value") / 10).alias("seconds"), (F.col("user_id") % 7 == 0).alias("error"), F.when(F.col("value") > 90, True).alias("timeout"))
+    out = D.call_metrics(calls).withColumn("seconds", F.round("seconds", 3))
+    return out.withColumn("within", F.array_join(F.transform("within", lambda n: n.cast("string")), ","))
+
+
 @query()
 def topic_records(spark: SparkSession, sf: str) -> DataFrame:
     """K8 over the topic map: no SQL, as its clusters are iterative. Vectors are dealt to all documents in turn."""
