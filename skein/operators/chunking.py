@@ -280,17 +280,20 @@ def with_hashes(chunks: DataFrame) -> DataFrame:
 
 
 def document_vectors(chunks: DataFrame, most_chars: int = 4000) -> DataFrame:
-    """File, title (the first chunk's), text (the first characters, in order), last_active, embedding (the mean of its fragments, of length 1).
+    """File, title (that of the first chunk with one), text (the first characters, in order), last_active, embedding (the mean of its fragments, of length 1).
 
     chunks: file, chunk_idx, sub_idx, title, text, chunk_date, embedding. Only chunks that begin within the first
     characters are collected, found from the running length of a file's own chunks.
     """
     from skein.functions.vectors import mean_vectors, normalised
 
-    whole = chunks.filter("sub_idx = 0")
-    until = F.sum(F.length("text") + 1).over(Window.partitionBy("file").orderBy("chunk_idx").rowsBetween(Window.unboundedPreceding, -1))
-    lead = whole.withColumn("_at", F.coalesce(until, F.lit(0))).filter(F.col("_at") < most_chars)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_idx", "text"))), lambda x: x["text"]), "\n")
-    facts = whole.groupBy("file").agg(F.min_by("title", "chunk_idx").alias("title"), F.max("chunk_date").alias("last_active"))
-    vectors = mean_vectors(chunks, ["file"]).select("file", normalised(F.col("mean")).alias("embedding"))
-    return facts.join(lead.groupBy("file").agg(F.substring(text, 1, most_chars).alias("text")), "file").join(vectors, "file")
+    order = [F.col("chunk_idx").isNull().alias("_last"), F.col("chunk_idx"), F.col("text")]
+    until = F.sum(F.length("text") + 1).over(Window.partitionBy("file").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    whole = chunks.filter("sub_idx = 0").withColumn("_at", F.coalesce(until, F.lit(0)))
+    # one that begins right after the cut counts: the line end before it is the last character
+    lead = F.when(F.col("_at") <= most_chars, F.struct(*order))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(lead)), lambda x: x["text"]), "\n")
+    title = F.min_by("title", F.when(F.col("title").isNotNull(), F.col("chunk_idx")))
+    facts = whole.groupBy("file").agg(title.alias("title"), F.max("chunk_date").alias("last_active"), F.substring(text, 1, most_chars).alias("text"))
+    vectors = mean_vectors(chunks, ["file"]).select(F.col("file").alias("_file"), normalised(F.col("mean")).alias("embedding"))
+    return facts.join(vectors, F.col("file").eqNullSafe(F.col("_file"))).drop("_file")

@@ -26,3 +26,9 @@ def test_actor_buckets_keep_a_customer_without_key(same_as_sql):
     orders = [(1, 10, "F"), (1, 11, "O"), (2, None, "O"), (2, 12, None), (None, 13, "F")]
     got = same_as_sql("actor_buckets", customer=("c_custkey long", customers), orders=("o_custkey long, o_orderkey long, o_orderstatus string", orders))
     assert len(got) == 4
+
+
+def test_document_heads_keep_a_line_end_at_the_cut(same_as_sql):
+    data = [(1, 0, "user", "a" * 299), (1, 1, "bot", "b"), (2, 0, "user", "a" * 300), (2, 1, "bot", "b"), (3, 0, None, "a" * 298), (3, 1, "bot", "b"), (3, None, "user", "last"), (None, 0, "user", None), (None, 1, "bot", "x")]
+    got = same_as_sql("document_heads", conversations=("conv_id long, turn long, role string, text string", data))
+    assert len(got) == 4
