@@ -224,9 +224,10 @@ def shown_sections(hits: DataFrame, documents: DataFrame, most: int = TOP_SECTIO
 CLOSED_FACTOR, PINNED = 0.6, 1.0
 
 
-def fused(lists: list[DataFrame], closed: Column | None = None, pinned: Column | None = None) -> DataFrame:
-    """Q27: reciprocal ranks from 0 on, summed; closed ones weigh less, and a pinned one comes first. lists: id, score. closed and pinned: conditions on `id`."""
-    ranked = [placed(x.select("id", "score"), [], [F.desc("score"), F.asc("id")], "_rank").select("id", (1.0 / (RRF_K + F.col("_rank") - 1)).alias("part")) for x in lists]
+def fused(lists: list[DataFrame], closed: Column | None = None, pinned: Column | None = None, most: int | None = None) -> DataFrame:
+    """Q27: reciprocal ranks from 0 on, summed; closed ones weigh less, and a pinned one comes first. lists: id, score. closed and pinned: conditions on `id`. most: rows that count of each list (all)."""
+    ranked = [placed(x.select("id", "score"), [], [F.desc("score"), F.asc_nulls_last("id")], "_rank") for x in lists]
+    ranked = [(x.filter(F.col("_rank") <= most) if most is not None else x).select("id", (1.0 / (RRF_K + F.col("_rank") - 1)).alias("part")) for x in ranked]
     union = ranked[0]
     for x in ranked[1:]:
         union = union.unionByName(x)

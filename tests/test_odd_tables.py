@@ -32,3 +32,9 @@ def test_document_heads_keep_a_line_end_at_the_cut(same_as_sql):
     data = [(1, 0, "user", "a" * 299), (1, 1, "bot", "b"), (2, 0, "user", "a" * 300), (2, 1, "bot", "b"), (3, 0, None, "a" * 298), (3, 1, "bot", "b"), (3, None, "user", "last"), (None, 0, "user", None), (None, 1, "bot", "x")]
     got = same_as_sql("document_heads", conversations=("conv_id long, turn long, role string, text string", data))
     assert len(got) == 4
+
+
+def test_rrf_fusion_takes_ten_thousand_of_each_list(same_as_sql):
+    data = [(k, "ring" if k % 50 else "x", float(k % 977), 20 + k % 3) for k in range(16_000)] + [(None, "ring", 5.0, 30), (16_001, "ring", None, None)]
+    got = same_as_sql("rrf_fusion", part=("p_partkey long, p_name string, p_retailprice double, p_size int", data))
+    assert len(got) < len(data)
