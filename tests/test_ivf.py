@@ -79,6 +79,28 @@ def test_facade_reads_the_probed_lists(spark, stored):
     assert "dynamicpruning" not in engine.search_corpus("c", "77", limit=5, since="2023")._jdf.queryExecution().executedPlan().toString()
 
 
+def test_blocks_give_what_all_pairs_give(spark, tmp_path, monkeypatch):
+    """Small blocks, equal rows, vectors that are null, short or hold no number: as ranked over all pairs."""
+    from skein.functions.vectors import dot
+
+    for name, size in (("BLOCK_ROWS", 40), ("BLOCK_QUERIES", 7), ("TILE", 16), ("TILE_QUERIES", 3)):
+        monkeypatch.setattr(ivf, name, size)
+    rng = np.random.default_rng(3)
+    data = [(i % 2, i, [float(a) for a in rng.integers(-2, 3, 4)]) for i in range(400)]
+    data[5:12] = [(1, 5, None), (0, 6, [1.0, None, 1.0, 1.0]), (1, 7, [1.0]), (0, 8, [float("nan")] * 4), (1, 9, [float("inf"), 0.5, 0.5, 0.5]), (0, 10, []), (1, None, [9.0] * 4)]
+    rows = spark.createDataFrame(data, "cluster_id int, id long, embedding array<double>")
+    centroids = spark.createDataFrame([(0, [1.0, 0.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0, 0.0])], "cluster_id int, embedding array<double>")
+    ivf.store(rows, centroids, str(tmp_path))
+    queries = spark.createDataFrame([(q, data[q][2]) for q in range(20, 60)], "query_id long, _q array<double>")
+    for k in (10, 1000):
+        got = ivf.probed(spark, str(tmp_path), queries, probes=2, k=k, columns=["id"])
+        assert "FlatMapCoGroups" in got._jdf.queryExecution().executedPlan().toString()
+        pairs = queries.crossJoin(rows).select("query_id", "id", dot(F.col("embedding"), F.col("_q")).alias("score"))
+        pairs.createOrReplaceTempView("pairs")
+        want = spark.sql(f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM pairs) WHERE rank <= {k}")
+        assert sorted(map(repr, got.select("query_id", "id", "score", "rank").collect())) == sorted(map(repr, want.select("query_id", "id", "score", "rank").collect()))
+
+
 TEXT = (
     b"Title of it\n\n1. Intro\n\n   Some words that run\n   over lines, a sentence broken\n\nDoe & Roe       Standards Track        [Page 1]\n\x0c\nRFC 99          On Things          May 1999\n\n"
     b"   by a page. And more.\n   |  figure |\n     +------+\n2. Next\n   last words \xff here\n"
