@@ -38,3 +38,18 @@ def test_rrf_fusion_takes_ten_thousand_of_each_list(same_as_sql):
     data = [(k, "ring" if k % 50 else "x", float(k % 977), 20 + k % 3) for k in range(16_000)] + [(None, "ring", 5.0, 30), (16_001, "ring", None, None)]
     got = same_as_sql("rrf_fusion", part=("p_partkey long, p_name string, p_retailprice double, p_size int", data))
     assert len(got) < len(data)
+
+
+def test_tfidf_labels_in_slices_of_texts(spark, monkeypatch):
+    import pyarrow as pa
+
+    from skein.operators import topics
+
+    data = [(k % 2, "alpha beta gamma-ray " * (k % 4) + f"word{k}") for k in range(40)] + [(0, None), (1, "")]
+    docs = spark.createDataFrame(data, "cluster int, text string").coalesce(1)
+    whole = sorted(topics.term_totals(docs).collect())
+    monkeypatch.setattr(topics, "SLICE_BYTES", 100)
+    assert sorted(topics.term_totals(docs).collect()) == whole
+    batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in data])], names=["text"])
+    parts = [p.column(0).to_pylist() for p in topics._slices(batch, 0, 100)]
+    assert sum(parts, []) == [t for _, t in data] and all(len(p) == 1 or sum(len(t or "") for t in p) <= 100 for p in parts)
