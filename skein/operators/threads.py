@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import count
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from skein.functions import text as X
-from skein.operators.ranks import ahead, dealt, highest, joined, placed
+from skein.operators.ranks import ahead, dealt, highest, placed
 from skein.scratch import written
 
 #: Longest silence that a subject bridges, matches and replies of a topic.
@@ -75,34 +76,58 @@ def _settled(clusters: list[list]) -> None:
         del clusters[-2]
 
 
-def _scanned(t: pa.Table, gap: int, schema: pa.Schema) -> pa.Table:
-    """One range of a subject's dated roots, from the range alone and the last date of all before it.
+class _Scan:
+    """One range of a subject's dated roots, in order, from the range alone and the last date of all before it.
 
     Rows (kind 0) with the cluster they found or join; or, if that is of an earlier range, with the number of their chain.
     Then the clusters still open at the end (kind 1), oldest first, and the chains (kind 2).
     """
-    rows = sorted(t.select(["d", "id", "z", "reply"]).to_pylist(), key=lambda r: (r["d"], r["id"]))
-    latest, open_, chains, out = t["_before"][0].as_py(), [], [], []
-    for r in rows:
-        founds = not r["reply"] or latest is None or r["d"] - latest > gap
-        latest = r["z"] if latest is None else max(latest, r["z"])
-        while not founds and open_ and r["d"] - open_[-1][1] > gap:
+
+    def __init__(self, place: tuple, gap: int, latest: int | None):
+        self.place, self.gap, self.latest, self.open, self.chains = place, gap, latest, [], []
+
+    def taken(self, d: int, id_: object, z: int, reply: bool) -> tuple:
+        latest, open_, chains, gap = self.latest, self.open, self.chains, self.gap
+        founds = not reply or latest is None or d - latest > gap
+        self.latest = z if latest is None else max(latest, z)
+        while not founds and open_ and d - open_[-1][1] > gap:
             open_.pop()
         if founds or open_:
             if founds:
-                open_.append([r["id"], r["z"]])
-            open_[-1][1] = max(open_[-1][1], r["z"])
-            out.append({"kind": 0, "id": r["id"], "owner": open_[-1][0], "n": None, "d": r["d"], "z": r["z"]})
+                open_.append([id_, z])
+            open_[-1][1] = max(open_[-1][1], z)
+            owner = open_[-1][0]
             _settled(open_)
-        else:
-            # a chain joins one earlier cluster: that lives at least as long as what the chain has brought it
-            if not chains or r["d"] - chains[-1]["z"] > gap:
-                chains.append({"kind": 2, "id": r["id"], "owner": None, "n": len(chains), "d": r["d"], "z": r["z"]})
-            chains[-1]["z"] = max(chains[-1]["z"], r["z"])
-            out.append({"kind": 0, "id": r["id"], "owner": None, "n": len(chains) - 1, "d": r["d"], "z": r["z"]})
-    out += [{"kind": 1, "id": c, "owner": c, "n": k, "d": None, "z": z} for k, (c, z) in enumerate(open_)] + chains
-    place = {c: t[c][0].as_py() for c in ("corpus", "key", "_p")}
-    return pa.Table.from_pylist([place | r for r in out], schema=schema)
+            return (*self.place, 0, id_, owner, None, d, z)
+        # a chain joins one earlier cluster: that lives at least as long as what the chain has brought it
+        if not chains or d - chains[-1][2] > gap:
+            chains.append([id_, d, z])
+        chains[-1][2] = max(chains[-1][2], z)
+        return (*self.place, 0, id_, None, len(chains) - 1, d, z)
+
+    def ended(self) -> list[tuple]:
+        return [(*self.place, 1, c, c, k, None, z) for k, (c, z) in enumerate(self.open)] + [(*self.place, 2, c, None, k, d, z) for k, (c, d, z) in enumerate(self.chains)]
+
+
+def _scanned(batches: Iterator[pa.RecordBatch], gap: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Range after range of a task, as a stream: only a range's open clusters and chains are kept. Of a range with a date before it, that row (without a date of its own) comes first."""
+    scan = None
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+    for batch in batches:
+        out = []
+        for corpus, key, p, d, id_, z, reply, before in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if scan is None or scan.place != (corpus, key, p):
+                out += scan.ended() if scan else []
+                scan = _Scan((corpus, key, p), gap, before)
+            if d is not None:
+                out.append(scan.taken(d, id_, z, reply))
+        if out:
+            yield made(out)
+    if scan and (out := scan.ended()):
+        yield made(out)
 
 
 def _resolved(t: pa.Table, gap: int, schema: pa.Schema) -> pa.Table:
@@ -138,7 +163,10 @@ def subject_clusters(roots: DataFrame) -> DataFrame:
     kinds = dict(roots.dtypes)
     schema = f"corpus {kinds['corpus']}, key {kinds['key']}, _p int, kind int, id {kinds['id']}, owner {kinds['id']}, n int, d long, z long"
     arrow = to_arrow_schema(_parse_datatype_string(schema))
-    scanned = joined(dated, ahead(dated, keys, "z"), keys).groupBy(*keys, "_p").applyInArrow(lambda t: _scanned(t, gap, arrow), schema)
+    cols = [*keys, "_p", "d", "id", "z", "reply"]
+    before = ahead(dated, keys, "z").filter("_before IS NOT NULL")
+    ranges = dated.select(*cols).unionByName(before, allowMissingColumns=True).repartition(*keys, "_p").sortWithinPartitions(*cols[:5])
+    scanned = ranges.select(*cols, "_before").mapInArrow(lambda batches: _scanned(batches, gap, arrow), schema)
     scanned = written(scanned, "subject-scan")
     joins = f"corpus {kinds['corpus']}, key {kinds['key']}, _p int, n int, into {kinds['id']}"
     into_schema = to_arrow_schema(_parse_datatype_string(joins))

@@ -130,3 +130,20 @@ def test_ranks_of_ranges(spark, many):
     assert {r.i: r.x for r in ranks.highest(df, ["k"], order, "v", "x").collect()} == highest
     assert {r.i: r.x for r in ranks.previous(df, ["k"], ["i"], "v", "x").collect()} == previous
     assert {r.i: r.place for r in ranks.placed(df, [], [F.desc("i")]).collect()} == {r[1]: 200 - r[1] for r in rows}
+
+
+def test_subject_ranges_are_scanned_as_a_stream():
+    """Wherever batches end, ranges give the same rows; the date before a range decides whether its first reply founds."""
+    import pyarrow as pa
+
+    from skein.operators import threads
+
+    types = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
+    names = ["corpus", "key", "_p", "d", "id", "z", "reply", "_before"]
+    data = [("c", "a", 0, 1, 1, 4, False, None), ("c", "a", 0, 5, 2, 5, True, None), ("c", "a", 1, None, None, None, None, 5), ("c", "a", 1, 9, 3, 9, True, None), ("c", "a", 1, 40, 4, 40, True, None), ("c", "b", 1, 41, 5, 41, True, None)]
+    schema = pa.schema([("corpus", pa.string()), ("key", pa.string()), ("_p", pa.int32()), ("kind", pa.int32()), ("id", pa.int64()), ("owner", pa.int64()), ("n", pa.int32()), ("d", pa.int64()), ("z", pa.int64())])
+    want = [(0, 1, 1, None), (0, 2, 1, None), (1, 1, 1, 0), (0, 3, None, 0), (0, 4, 4, None), (1, 4, 4, 0), (2, 3, None, 0), (0, 5, 5, None), (1, 5, 5, 0)]
+    for size in (1, 2, 6):
+        parts = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*data[k : k + size], strict=True), types, strict=True)], names=names) for k in range(0, len(data), size)]
+        got = [r for b in threads._scanned(iter(parts), 10, schema) for r in b.to_pylist()]
+        assert [(r["kind"], r["id"], r["owner"], r["n"]) for r in got] == want
