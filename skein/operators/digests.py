@@ -62,13 +62,15 @@ def issue_table(issues: DataFrame, comments: DataFrame) -> DataFrame:
     """
     own = F.array_sort(F.collect_list(F.struct("at", "author", "body")))
     said = comments.groupBy("repo", "number").agg(F.count("*").alias("comments"), own.alias("_c"))
-    rows = issues.withColumn("updated", F.coalesce("updated", "created")).join(said, ["repo", "number"], "left")
+    # places need the issues only: ranking makes several passes, none of which should gather the comments again
+    order = [F.desc(F.lower("state") == "open"), F.desc_nulls_last("updated"), F.asc("number")]
+    rows = placed(issues.withColumn("updated", F.coalesce("updated", "created")), ["repo"], order).join(said, ["repo", "number"], "left")
     none = F.array().cast("array<string>")
     texts = F.concat(F.array("body"), F.coalesce(F.transform("_c", lambda c: c["body"]), none))
     people = first_seen(F.col("author"), F.coalesce(F.transform("_c", lambda c: c["author"]), none))
     rows = rows.withColumn("participants", F.filter(people, lambda p: p.isNotNull() & ~p.eqNullSafe(F.col("author")))).withColumn("duplicate_of", duplicate_of(texts, F.col("number")))
-    cols = ["repo", "number", "state", "title", F.array_join("labels", ", ").alias("labels"), F.coalesce("comments", F.lit(0)).alias("comments"), "updated", "author", "participants", "duplicate_of"]
-    return placed(rows.select(*cols), ["repo"], [F.desc(F.lower("state") == "open"), F.desc_nulls_last("updated"), F.asc("number")])
+    cols = ["repo", "number", "state", "title", F.array_join("labels", ", ").alias("labels"), F.coalesce("comments", F.lit(0)).alias("comments"), "updated", "author", "participants", "duplicate_of", "place"]
+    return rows.select(*cols)
 
 
 def pull_totals(pulls: DataFrame) -> DataFrame:

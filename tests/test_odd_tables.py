@@ -53,3 +53,23 @@ def test_tfidf_labels_in_slices_of_texts(spark, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in data])], names=["text"])
     parts = [p.column(0).to_pylist() for p in topics._slices(batch, 0, 100)]
     assert sum(parts, []) == [t for _, t in data] and all(len(p) == 1 or sum(len(t or "") for t in p) <= 100 for p in parts)
+
+
+def test_issue_table_reads_its_comments_once(spark, monkeypatch):
+    """Ranking by ranges makes several passes over the issues, but the comments are gathered in one."""
+    from pyspark.sql import functions as F
+
+    from skein.operators import digests, ranks
+
+    monkeypatch.setattr(ranks, "FEW_ROWS", 0)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(k):
+        seen.add(1)
+        return "thanks" if k % 2 else f"A duplicate of #{k + 1}"
+
+    issues = spark.range(30).selectExpr("concat('r', id % 2) AS repo", "id AS number", "'OPEN' AS state", "'t' AS title", "array('x') AS labels", "date'2024-01-01' AS created", "CAST(NULL AS date) AS updated", "'a' AS author", "'text' AS body")
+    rows = spark.range(60).select(F.concat(F.lit("r"), F.col("id") % 2).alias("repo"), (F.col("id") % 30).alias("number"), F.col("id").alias("at"), F.udf(counted, "string")("id").alias("author"), F.lit("thanks").alias("body"))
+    got = digests.issue_table(issues, rows).collect()
+    assert sorted(r.place for r in got) == sorted([*range(1, 16)] * 2) and sum(r.comments for r in got) == 60
+    assert seen.value == 60
